@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, pii, sharding, transport_stream, url_filter
+from orrery.llm import decontaminate, line_dedup, near_dup, pii, sharding, toxicity, transport_stream, url_filter
 from orrery.llm.common import table
 
 #: The rules that every page's URL is judged by.
@@ -22,10 +22,22 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.stored_and_read(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -35,7 +47,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op4_shards, op7_media, op9_url_rules, op10_personal_data)
+    f.__name__: f for f in (op2_decontaminate, op4_shards, op5_repeated_lines, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data)
 }
 
 _WORDS = (
@@ -59,6 +71,40 @@ it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)""",
+    "op5_repeated_lines": r"""
+WITH d AS (SELECT doc_id, text, sha256(text) AS digest, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h FROM (SELECT DISTINCT * FROM d)),
+c AS (
+  SELECT doc_id, digest, lines, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
+    OR ((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END % 2147483647 * 1000003 + h[i]) % 2147483647) % 3 = 0) AS ends
+  FROM h),
+k AS (SELECT doc_id, digest, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM c),
+p AS (SELECT doc_id, digest, k, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END AS s, ends[k] AS e, lines FROM k),
+t AS (SELECT doc_id, digest, s, e - s + 1 AS n, array_to_string(lines[s : e], chr(10)) AS t FROM p),
+r AS (SELECT *, (n > 1 AND regexp_matches(t, '\S') AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id NULLS LAST, digest, s) > 1) AS gone FROM t),
+o AS (
+  SELECT doc_id, digest, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed,
+         coalesce(string_agg(t, chr(10) ORDER BY s) FILTER (NOT gone), '') AS text
+  FROM r GROUP BY ALL)
+SELECT d.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_chunks_removed AS BIGINT) AS n_chunks_removed,
+       sha256(o.text) AS text_sha256, o.text
+FROM d JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.digest = o.digest
+UNION ALL SELECT doc_id, 0, 0, 0, NULL, NULL FROM documents WHERE text IS NULL""",
+    "op6_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+spots AS (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT DISTINCT rid, array_to_string(w[s : s + 3], ' ') AS e FROM spots),
+n AS (SELECT rid, count(*) AS n FROM e GROUP BY rid),
+shared AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM e x JOIN e y ON x.e = y.e AND x.rid < y.rid GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT rid, rid FROM w UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
+least AS (SELECT reach.a AS rid, min(doc_id) AS component_id FROM reach JOIN w ON w.rid = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w JOIN least USING (rid) LEFT JOIN n USING (rid)""",
     "op9_url_rules": r"""
 WITH parts AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
