@@ -56,7 +56,7 @@ def _key() -> Column:
 
 def _candidates(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     """spot (document and first line), hash and text of each chunk of several lines with a word."""
-    rows = _chunked(docs.withColumn("doc", _key()), window, divisor).select("doc", F.explode("chunks").alias("chunk"))
+    rows = _chunked(docs.withColumn("doc", _key()), window, divisor).select("doc", F.explode_outer("chunks").alias("chunk"))  # explode() would infer a filter that computes all chunks anew
     rows = rows.where((F.col("chunk.lines") > 1) & F.col("chunk.text").rlike(r"\S"))
     return rows.select(F.struct("doc", F.col("chunk.at").alias("at")).alias("spot"), F.xxhash64("chunk.text").alias("hash"), F.col("chunk.text").alias("text"))
 
