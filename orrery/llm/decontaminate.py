@@ -178,3 +178,9 @@ def report(overlaps: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window of an item."""
+    whole = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("doc"), field(text).alias("text"))
+    return find_overlaps(whole, benchmark, "doc").where(F.size("hits") == 0).select("doc_id.*")

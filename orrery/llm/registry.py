@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, line_dedup, near_dup, pii, sharding, toxicity, transport_stream, url_filter
+from orrery.llm import decontaminate, html_extract, line_dedup, near_dup, pii, sentencepiece_codec, sharding, toxicity, transport_stream, url_filter
 from orrery.llm.common import table
 
 #: The rules that every page's URL is judged by.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded_and_back(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
 
@@ -47,7 +55,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op4_shards, op5_repeated_lines, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data)
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data)
 }
 
 _WORDS = (
