@@ -1,4 +1,16 @@
 """Queries of the ledger operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from orrery.plans import reads
+from orrery.sources.views import Views, with_clause
+
+_PLANS = reads.PLANS
+
+
+def _query(plan):
+    return lambda spark, sf_dir: plan(Views(spark, sf_dir))
+
+
+QUERIES = {name: _query(plan) for name, (plan, _) in _PLANS.items()}
+ORACLE_SQL = {name: with_clause(sql) for name, (_, sql) in _PLANS.items() if sql}
