@@ -23,6 +23,7 @@ text. A null id counts as larger than any other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Pairs stay while the likelihood at the threshold is within e^-DOUBT of the best: about five standard deviations.
 DOUBT = 12.5
 #: Classes of one bucket that are compared in one group. Larger buckets are dealt into squares of such blocks.
-BLOCK = 2_048
+BLOCK = 1_024
 #: Sets wanted by pairs up to this many are found by a broadcast of their keys, more by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -154,7 +155,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
 def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """A row for each class and band: bucket (number of the band and hash of its registers) and key."""
     width = 2 * rows
-    band = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + width * i, width)) for i in range(bands)])
+    band = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("sketch", 1 + width * i, width)).alias("value")) for i in range(bands)])
     return classes.select("key", F.explode(band).alias("bucket"))
 
 
@@ -236,36 +237,112 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _contested(members: DataFrame, roots: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket; those with a bucket's smallest class were tried before."""
-    known = members.where("n > 2").join(roots, "key", "left").select("bucket", "key", "pivot", "n", F.coalesce("root", "key").alias("root"))
-    open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = known.join(open_, "bucket").where("key <> pivot")
-    left = left.join(classes.select("key", F.col("n").alias("size"), "sketch"), "key")
-    # Block i of a bucket meets every block j: a square of blocks has its own group, so no group exceeds two blocks or so.
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, n, key and root of the members of buckets with several components, but for a bucket's smallest class, which all were tried against."""
+    known = members.where("n > 2").join(roots, "key", "left").select("bucket", "n", "key", "pivot", F.coalesce("root", "key").alias("root"))
+    several = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return known.join(several, "bucket").where("key <> pivot").drop("pivot")
+
+
+def _links_across(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Verified links (a, b) between components inside the open buckets."""
+    full = rows.join(classes.select("key", "sketch").join(sets, "key"), "key")
+    # Block i of a bucket meets every block j: each square of blocks is a group of its own, so no group exceeds two blocks or so.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    squares = left.withColumn("blocks", blocks).withColumn("own", own)
-    squares = squares.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    squares = squares.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "sketch")
-
-    def pairs(group: pa.Table) -> pa.Table:
-        own, i, j = (group.column(c).to_numpy() for c in ("own", "i", "j"))
-        keys, size = group.column("key").to_pylist(), group.column("size").to_numpy().astype(float)
-        root = np.unique(np.array([r.hex() for r in group.column("root").to_pylist()]), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(keys), -1)
-        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        same = int(i[0]) == int(j[0])
-        out = set()
-        for x in first.tolist():
-            others = second[(root[second] != root[x]) & (second > x if same else True)]
-            for at in range(0, len(others), 4096):
-                some = others[at : at + 4096]
-                good = some[likely(np.full(len(some), size[x]), size[some], sketch[x][None, :], sketch[some], threshold)]
-                out |= {(max(keys[x], keys[y]), min(keys[x], keys[y])) for y in good.tolist()}
-        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
-
-    return squares.groupBy("bucket", "i", "j").applyInArrow(pairs, "a binary, b binary").distinct()
+    squares = full.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    squares = squares.select(F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "sketch", "elements")
+    parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in comparing, not in the bytes
+    group = ["band", "value", "i", "j"]
+    laid = squares.repartition(parts, *group).sortWithinPartitions(*group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            if held.num_rows:
+                last = int(_groups(held, group)[-1])  # the last group may go on in the next batch
+                if last:
+                    yield _links_in_groups(held.slice(0, last), group, percent, bands)
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield _links_in_groups(held, group, percent, bands)
+
+    return laid.mapInArrow(run, "a binary, b binary")
+
+
+def _groups(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """First rows of the groups."""
+    same = np.ones(rows.num_rows - 1, bool)
+    for c in by:
+        values = rows.column(c).to_numpy()
+        same &= values[1:] == values[:-1]
+    return np.concatenate([[0], np.flatnonzero(~same) + 1])
+
+
+def _likely_pairs(rows: pa.Table, by: list[str], size: np.ndarray, threshold: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of likely pairs of different roots: row k meets row k + 1, then k + 2, as far as its group goes, all rows at once."""
+    n = rows.num_rows
+    starts = _groups(rows, by)
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    own, i, j, band = (rows.column(c).to_numpy() for c in ("own", "i", "j", "band"))
+    root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(n, bands, -1)
+    m = sketch.shape[1] * sketch.shape[2]
+    least = threshold * m - 5 * np.sqrt(m * threshold * (1 - threshold))  # a pair of the threshold has so many equal registers
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    k, step = np.arange(n), 1
+    while len(k := k[k + step < ends[k]]):
+        x = k[(root[k] != root[k + step]) & ((i[k] == j[k]) | (own[k] != own[k + step]))]
+        x = x[np.minimum(size[x], size[x + step]) >= threshold * np.maximum(size[x], size[x + step])]
+        for at in range(0, len(x), 20_000):
+            a = x[at : at + 20_000]
+            equal = sketch[a] == sketch[a + step]
+            good = (equal.sum((1, 2)) >= least) & (equal.all(2).argmax(1) == band[a])  # in the first bucket that they share
+            a = a[good]
+            a = a[likely(size[a], size[a + step], sketch[a].reshape(len(a), m), sketch[a + step].reshape(len(a), m), threshold)]
+            found_a.append(a)
+            found_b.append(a + step)
+        step += 1
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _links_in_groups(rows: pa.Table, by: list[str], percent: int, bands: int) -> pa.RecordBatch:
+    keys = rows.column("key").to_pylist()
+    sets = [np.frombuffer(e, np.uint64) for e in rows.column("elements").to_pylist()]
+    size = np.array([len(e) for e in sets], np.int64)
+    a, b = _likely_pairs(rows, by, size.astype(float), percent / 100, bands)
+    out: list[tuple[bytes, bytes]] = []
+    if len(a):
+        # Each element is a number; the set of one row is marked, and the marks are summed over the sets of its partners.
+        elements, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        marks = np.zeros(len(elements), np.int8)
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x] = above.get(above[x], above[x])
+            return x
+
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(np.diff(a, prepend=-1))
+        for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=True):
+            x, others = int(a[at]), b[at:end]
+            own = numbers[begin[x] : begin[x + 1]]
+            marks[own] = 1
+            for some in np.array_split(others, max(1, int(size[others].sum() // 2_000_000))):
+                lengths = size[some]
+                places = np.repeat(begin[some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+                common = np.add.reduceat(marks[numbers[places]], np.concatenate([[0], np.cumsum(lengths)[:-1]]), dtype=np.int64)
+                linked = 100 * common >= percent * (size[x] + lengths - common)
+                for y in some[linked].tolist():
+                    if (p := top(x)) != (q := top(y)):
+                        above[p] = q
+                        out.append((max(keys[x], keys[y]), min(keys[x], keys[y])))
+            marks[own] = 0
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
 
 
 def near_duplicates(
@@ -284,15 +361,14 @@ def near_duplicates(
     tried = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     likely_pairs = saved(_estimated(tried, classes, threshold))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "doc_id"), "key")
-        return _verified(pairs, saved(_sets(docs, wanted, size)), percent)
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return saved(_sets(docs, keys.select("key").distinct().join(classes.select("key", "doc_id"), "key"), size))
 
-    links = saved(verified(likely_pairs))
+    links = saved(_verified(likely_pairs, sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("key"))), percent))
     roots = components(links)
-    again = saved(_contested(members, roots, classes, threshold))
-    if not again.isEmpty():
-        more = saved(verified(again))
+    open_rows = saved(_open_buckets(members, roots))
+    if not open_rows.isEmpty():
+        more = saved(_links_across(open_rows, classes, sets_of(open_rows), percent, bands))
         if not more.isEmpty():
             roots = components(links.union(more))
     own = classes.select("key", "doc_id").join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
