@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.plans import reads
+from orrery.plans import checks, ingest, reads
 from orrery.sources.views import Views, with_clause
 
-_PLANS = reads.PLANS
+_PLANS = reads.PLANS | ingest.PLANS | checks.PLANS
 
 
 def _query(plan):
