@@ -49,47 +49,49 @@ def _chunked(rows: DataFrame, window: int, divisor: int) -> DataFrame:
     return ends.withColumn("chunks", F.transform("ends", chunk)).drop("lines", "hashes", "ends")
 
 
-def _key() -> Column:
-    """A document: its id and the digest of its text."""
-    return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.sha2("text", 256).alias("digest"))
-
-
-def _candidates(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """spot (document and first line), hash and text of each chunk of several lines with a word."""
-    rows = _chunked(docs.withColumn("doc", _key()), window, divisor).select("doc", F.explode_outer("chunks").alias("chunk"))  # explode() would infer a filter that computes all chunks anew
-    rows = rows.where((F.col("chunk.lines") > 1) & F.col("chunk.text").rlike(r"\S"))
-    return rows.select(F.struct("doc", F.col("chunk.at").alias("at")).alias("spot"), F.xxhash64("chunk.text").alias("hash"), F.col("chunk.text").alias("text"))
-
-
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """spot of each occurrence that goes. docs: doc_id and text, no null text."""
-    chunks = _candidates(docs, window, divisor)
-    spots = saved(chunks.select("spot", "hash"))
-    hashes = saved(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    # Only texts of a repeated hash are shuffled, and each task first brings a text's occurrences down to one: grouping by text compares the bytes.
-    texts = chunks.join(hashes, "hash", "left_semi")
-    firsts = saved(texts.groupBy("hash", "text").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")))
-    by_hash = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
-    one_text = by_hash.where("texts = 1 and n > 1").select("hash", "first")
-    gone = spots.join(one_text, "hash").where("spot <> first").select("spot")
-    # Different texts of one hash: occurrences are told apart by the text itself.
-    clashing = firsts.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi").where("n > 1")
-    if clashing.isEmpty():
-        return gone
-    return gone.union(chunks.join(clashing, ["hash", "text"]).where("spot <> first").select("spot"))
+def _document(text: Column) -> Column:
+    """A document: its id and a hash of its text."""
+    return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.xxhash64(text).alias("hash"))
+
+
+def _several(chunks: str = "chunks") -> Column:
+    """The chunks of several lines with a word."""
+    return F.filter(chunks, lambda c: (c.lines > 1) & c.text.rlike(r"\S"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """For every row: row (a struct of all columns of docs), text (what stays of it), n_lines, n_removed (lines), n_chunks_removed."""
     rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), field(doc_id).alias("doc_id"), field(text).alias("text"))
-    gone = repeated_chunks(rows.where("text is not null").select("doc_id", "text"), window, divisor)
-    gone = gone.groupBy(F.col("spot.doc.doc_id").alias("of"), F.col("spot.doc.digest").alias("digest")).agg(F.collect_set("spot.at").alias("gone"))
-    keyed = rows.withColumn("own", F.sha2("text", 256))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("digest")), "left").drop("of", "digest", "own", "doc_id")
-    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    whole = joined.where("gone is null").select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_chunks_removed"))
-    cut = _chunked(joined.where("gone is not null"), window, divisor)
-    cut = cut.withColumn("left", F.filter("chunks", lambda c: ~F.array_contains("gone", c.at)))
+    rows = rows.select("row", "text", _document(F.col("text")).alias("doc"))
+
+    # The place and hash of every chunk, without its text; the hashes that repeat; the documents that hold them.
+    chunks = _chunked(rows.where("text is not null").select("doc", "text"), window, divisor)
+    spots = chunks.select("doc", F.explode_outer(F.transform(_several(), lambda c: F.struct(c["at"].alias("at"), F.xxhash64(c.text).alias("hash")))).alias("spot"))  # explode() would infer a filter that computes all chunks anew
+    spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
+    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_list(F.struct("at", "hash")).alias("wanted"))
+    joined = saved(rows.drop("text").join(wanted, "doc", "left"))
+    body = F.col("row").getField(text)
+    held = joined.where("wanted is not null").withColumn("text", body)
+
+    # The texts of these chunks; each task first brings a text's occurrences down to one: grouping by the text compares the bytes.
+    own = _chunked(held.select("doc", "wanted", "text"), window, divisor)
+    own = own.select("doc", F.explode_outer(F.filter("chunks", lambda c: F.exists("wanted", lambda w: w["at"] == c["at"]))).alias("chunk"))
+    own = own.select(F.struct("doc", "chunk.at").alias("spot"), F.xxhash64("chunk.text").alias("hash"), F.col("chunk.text").alias("chunk"))
+    firsts = saved(own.groupBy("hash", "chunk").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")))
+    by_hash = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
+    places = joined.where("wanted is not null").select("doc", F.inline("wanted")).select(F.struct("doc", "at").alias("spot"), "hash")
+    gone = places.join(by_hash.where("texts = 1 and n > 1").select("hash", "first"), "hash").where("spot <> first").select("spot")
+    # Different texts of one hash: occurrences are told apart by the text itself.
+    clashing = firsts.join(by_hash.where("texts > 1").select("hash"), "hash", "left_semi").where("n > 1")
+    if not clashing.isEmpty():
+        gone = gone.union(own.join(clashing, ["hash", "chunk"]).where("spot <> first").select("spot"))
+    gone = gone.groupBy(F.col("spot.doc").alias("doc")).agg(F.collect_set("spot.at").alias("gone"))
+
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    whole = joined.where("wanted is null").withColumn("text", body).select("row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_chunks_removed"))
+    cut = _chunked(held.drop("wanted").join(gone, "doc", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))), window, divisor)
+    cut = cut.withColumn("left", F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"])))
     lines_left = F.aggregate("left", F.lit(0), lambda n, c: n + c.lines)
     cut = cut.select("row", F.array_join(F.transform("left", lambda c: c.text), "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - lines_left).alias("n_removed"), F.size("gone").alias("n_chunks_removed"))
     return whole.unionByName(cut)
