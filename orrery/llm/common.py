@@ -16,6 +16,8 @@ WORD_BYTES = bytes(
 )
 #: A-Z become a-z, all else stays.
 LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Rows that a worker turns into Python values at a time.
+ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +57,12 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> None:
 
 
 def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | list | dict], schema: str) -> DataFrame:
-    """mapInArrow by batch: make gets a batch and returns the columns of the new one, in the order of schema."""
+    """mapInArrow: make gets ROWS rows at a time, which bounds a worker's memory, and returns their new columns in the order of schema."""
     names = [part.strip().split()[0] for part in _split_schema(schema)]
     types = _arrow_types(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             columns = make(batch)
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names

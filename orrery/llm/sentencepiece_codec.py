@@ -21,7 +21,9 @@ import re
 import struct
 from dataclasses import dataclass, field as data_field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 WORDS = MARKER + "*[^" + MARKER + "]+|" + MARKER + "+"
 #: Characters that are encoded in one call.
-CALL_CHARS = 500_000
+CALL_CHARS = 200_000
 #: Words known to agree that a worker keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 THREADS = 2
 
 
@@ -171,16 +173,7 @@ class Codec:
         self.agreeing: set[str] = set()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        at = 0
-        while at < len(texts):
-            end, n = at, 0
-            while end < len(texts) and (end == at or n + len(texts[end]) <= CALL_CHARS):
-                n += len(texts[end])
-                end += 1
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
-            at = end
-        return out
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _agree(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         """Whether the sentencepiece library gives the same ids."""
@@ -200,20 +193,36 @@ class Codec:
         self.agreeing |= good
         return [words.isdisjoint(bad) for words in own]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        ids = self._ids(texts)
-        agree: list[bool] = []
-        for at in range(0, len(texts), 200):
-            agree += self._agree(texts[at : at + 200], ids[at : at + 200])
-        return ids, agree
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def encode(self, texts: list[str]) -> tuple[pa.ListArray, list[bool]]:
+        """Ids as an Arrow column, and parity. A few texts at a time: ids as Python integers take many times their bytes."""
+        parts, lengths, agree = [np.empty(0, np.int32)], [], []
+        for some in _slices(texts, CALL_CHARS):
+            ids = self._ids(some)
+            agree += self._agree(some, ids)
+            lengths += map(len, ids)
+            parts += [np.array(i, np.int32) for i in ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))), agree
+
+    def decode(self, ids: pa.Array) -> list[str]:
         out: list[str] = []
-        for at in range(0, len(ids), 100):
-            out += self.tokenizer.decode_batch(ids[at : at + 100], skip_special_tokens=False)
+        for at in range(0, len(ids), 50):
+            out += self.tokenizer.decode_batch([i or [] for i in ids.slice(at, 50).to_pylist()], skip_special_tokens=False)
         return out
 
 
+def _slices(texts: list[str], chars: int):
+    """Neighbouring texts of so many characters in all, or one longer text."""
+    at = 0
+    while at < len(texts):
+        end, n = at + 1, len(texts[at])
+        while end < len(texts) and n + len(texts[end]) <= chars:
+            n += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def _codec(df: DataFrame, model_path: str | None, threads: int):
     """What makes the codec, once in each worker."""
     model = read_model(model_path)
@@ -247,17 +256,20 @@ def decode(df: DataFrame, ids: str = "ids", carry: list[str] | None = None, mode
     rows = df.select(F.struct(*[field(c) for c in (df.columns if carry is None else carry)]).alias("doc"), field(ids).cast("array<int>").alias("ids"))
 
     def run(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), get().decode([i or [] for i in batch.column(1).to_pylist()])]
+        return [batch.column(0), get().decode(batch.column(1))]
 
     return map_columns(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
 
 
-def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
+def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str | None = None, threads: int = THREADS) -> DataFrame:
     """One row for each row: doc_id, n_tokens, ids, parity (with the sentencepiece library), round_trip (decoding gives the text)."""
-    rows = docs.select(field(doc_id).alias("doc_id"), field(text).alias("text"))
-    encoded = encode(rows, "text", ["doc_id", "text"], model_path)
-    back = decode(encoded, "ids", ["doc", "ids", "parity"], model_path)
-    return back.select(
-        F.col("doc.doc.doc_id").alias("doc_id"), F.size("doc.ids").cast("bigint").alias("n_tokens"), F.col("doc.ids").alias("ids"), F.col("doc.parity").alias("parity"),
-        (F.coalesce("doc.doc.text", F.lit("")) == F.col("text")).alias("round_trip"),
-    )
+    rows = docs.select(field(doc_id).alias("doc_id"), F.coalesce(field(text), F.lit("")).alias("text"))
+    get = _codec(docs, model_path, threads)
+
+    def run(batch: pa.RecordBatch) -> list:
+        texts = batch.column(1).to_pylist()
+        ids, agree = get().encode(texts)
+        back = get().decode(ids)
+        return [batch.column(0), pc.list_value_length(ids), ids, agree, [a == b for a, b in zip(texts, back, strict=True)]]
+
+    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, parity boolean, round_trip boolean")
