@@ -320,5 +320,8 @@ LABELLED = [
     f'<body><div class="alert"><p>{_LONG}</p></div><div class="ad">{_MORE}</div><article data-main><header data-not><p>By our staff, today.</p></header><h1>Bridge</h1><p>{_LONG}</p><p>{_MORE}</p><p>Yes.</p><pre>a = 1</pre></article>'
     f'<div class="share-buttons">{_LINKS}</div><aside><p>{_LONG}</p></aside><form class="search"><p>Search this site.</p></form><footer>{_LONG}</footer></body>',
     f'<body><nav>{_LINKS}</nav><div class="ad">{_MORE}</div><article data-main><h1>Bridge</h1><p><b>{_LONG}<br><p>{_MORE}</p><p>No.</p></article><footer>Imprint. {_MORE}</footer></body>',
+    f'<body><nav>{_LINKS}</nav><article data-main><h1>Ok</h1><p>Yes</p><p>no, or so</p><p>1</p></article><footer>Imprint</footer></body>',
+    "<body><article data-main><p>Short</p><p>e</p></article></body>",
+    "<article data-main><h1>Note</h1><p>Late train, again.</p></article>",
     f'<body><p class="notice">{_LONG}</p><nav>{_LINKS}</nav><form><p>{_LONG}</p></form><footer>{_LONG}</footer></body>',
 ]

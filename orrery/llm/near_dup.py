@@ -251,7 +251,7 @@ def _links_across(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     squares = full.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     squares = squares.select(F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "sketch", "elements")
-    parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in comparing, not in the bytes
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, as the work is in comparing and not in the bytes
     group = ["band", "value", "i", "j"]
     laid = squares.repartition(parts, *group).sortWithinPartitions(*group)
 
