@@ -226,7 +226,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
@@ -370,7 +370,7 @@ def near_duplicates(
     if not open_rows.isEmpty():
         more = saved(_links_across(open_rows, classes, sets_of(open_rows), percent, bands))
         if not more.isEmpty():
-            roots = components(links.union(more))
+            roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more))  # stars so far, and what joins them
     own = classes.select("key", "doc_id").join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = own.join(least, "root").select("key", "component_id")
