@@ -68,17 +68,27 @@ def keyset_page(df: DataFrame, key: Sequence[str], limit: int, cursor: Sequence
     return page.withColumn("has_next", nxt).withColumn("has_prev", prev).orderBy(*final).drop("rank_", "more_")
 
 
-def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, values: Sequence[str]) -> DataFrame:
+def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, values: Sequence[str], step: int | None = None) -> DataFrame:
     """Each left row with the values (and time) of the last right row of its keys at or before it; none: null.
 
     Both sides are stacked, laid out by key and time, and the last right row is carried forward: one shuffle, no pairs.
-    The carry goes per key and within it over time; keys that are hot should be split by a time bucket first.
+    step: the time axis is cut into stretches of this length, so that a hot key is many groups; each stretch starts with the
+    last right row before it, which is found among one row for each key and stretch.
     """
     carried = F.struct(F.col(right_at).alias(right_at), *[F.col(v) for v in values])
-    r = right.select(*by, F.col(right_at).alias("at_"), F.lit(0).alias("side_"), carried.alias("carried_"))
     whole = F.struct(*[F.col(c) for c in left.columns])
-    lt = left.select(*by, F.col(at).alias("at_"), F.lit(1).alias("side_"), whole.alias("row_"))
+    r = right.select(*by, F.col(right_at).alias("at_"), F.lit(1).alias("side_"), carried.alias("carried_"))
+    lt = left.select(*by, F.col(at).alias("at_"), F.lit(2).alias("side_"), whole.alias("row_"))
     both = r.unionByName(lt, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("carried_", F.last("carried_", ignorenulls=True).over(w)).where("side_ = 1")
+    group = list(by)
+    if step is not None:
+        both = both.withColumn("stretch_", F.floor(F.col("at_") / step))
+        group.append("stretch_")
+        ends = both.groupBy(*group).agg(F.max(F.when(F.col("side_") == 1, F.struct("at_", "carried_"))).carried_.alias("end_"))
+        before = Window.partitionBy(*by).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.withColumn("carried_", F.last("end_", ignorenulls=True).over(before)).where("carried_ is not null")
+        starts = starts.select(*group, (F.col("stretch_") * step).cast(both.schema["at_"].dataType).alias("at_"), F.lit(0).alias("side_"), "carried_")
+        both = both.unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*group).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("carried_", F.last("carried_", ignorenulls=True).over(w)).where("side_ = 2")
     return both.select("row_.*", *[F.col(f"carried_.{c}").alias(c) for c in (right_at, *values)])

@@ -68,16 +68,17 @@ def pool_usd(pools: DataFrame, snapshots: DataFrame, closes: DataFrame, volume:
     return rows.select("pool_id", F.round(tvl, 4).alias("tvl_usd"), F.round(worth, 4).alias("volume_usd"), F.round(worth * F.col("fee_bps") / 10000, 4).alias("fee_usd"))
 
 
-def pool_chart(pools: DataFrame, snapshots: DataFrame, prices: DataFrame, bucket: int, max_age: int) -> DataFrame:
+def pool_chart(pools: DataFrame, snapshots: DataFrame, prices: DataFrame, bucket: int, max_age: int, step: int = 250) -> DataFrame:
     """For each pool and bucket of ledgers: value of the last snapshot that has both prices, volume (null if a trade has no price), fee, samples.
 
-    Prices are as of the last closed bucket before the snapshot, at most max_age old; a price of 0 is none.
+    Prices are as of the last closed bucket before the snapshot, at most max_age old; a price of 0 is none. An asset that is a leg of
+    very many pools is dealt out by stretches of `step` ledgers.
     """
     rows = snapshots.join(pools.select("pool_id", "asset_a", "asset_b", "fee_bps"), "pool_id")
     usable = prices.where("close_usd > 0").withColumn("closed", F.col("bucket") + 1)  # known once its bucket is over
     for side in "ab":
         right = usable.select(F.col("asset_id").alias(f"asset_{side}"), F.col("closed").alias(f"at_{side}"), F.col("close_usd").alias(f"price_{side}"))
-        rows = asof_left(rows, right, [f"asset_{side}"], "ledger_sequence", f"at_{side}", [f"price_{side}"])
+        rows = asof_left(rows, right, [f"asset_{side}"], "ledger_sequence", f"at_{side}", [f"price_{side}"], step)
         rows = rows.withColumn(f"price_{side}", F.when(F.col("ledger_sequence") - F.col(f"at_{side}") < max_age, F.col(f"price_{side}")))
     tvl = F.col("reserve_a") * F.col("price_a") + F.col("reserve_b") * F.col("price_b")
     worth = F.col("gross_volume_a") * F.col("price_a")

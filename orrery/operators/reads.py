@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from orrery.functions.exprs import CONTRACT_NFT, NATIVE, op_type_label
 from orrery.functions.versioned import dedup_by_key, latest_by_version
 
+# Fixed value: the native asset's name.
+NATIVE_NAME = "Stellar Lumens"
+
 # --- ledgers and the network ---
 
 
@@ -193,7 +196,7 @@ def asset_hydrate(assets: DataFrame, aggregates: DataFrame, enrichment: DataFram
         .join(enrichment.select(F.col("asset_id").alias("id"), F.nullif("name", F.lit("")).alias("web_name"), F.nullif("icon", F.lit("")).alias("icon")), "id", "left")
         .join(metadata.select(F.col("asset_id").alias("id"), "decimals", "deployed_at_ledger"), "id", "left")
     )
-    name = F.when(F.col("asset_type") == NATIVE, "Stellar Lumens").otherwise(F.coalesce("web_name", "name"))
+    name = F.when(F.col("asset_type") == NATIVE, NATIVE_NAME).otherwise(F.coalesce("web_name", "name"))
     return joined.select("id", "asset_type", "asset_code", "issuer_id", F.coalesce("supply", F.lit(0)).alias("supply"), F.coalesce("holders", F.lit(0)).alias("holders"), "icon", name.alias("name"), F.coalesce("decimals", F.lit(7)).alias("decimals"), "deployed_at_ledger")
 
 

@@ -38,6 +38,7 @@ def test_keyset_pages_meet(spark):
 def test_asof_takes_the_last_at_or_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 2, 20.0), (1, 5, 50.0), (1, 6, 60.0)], "k int, at int, p double")
+    assert rows(S.asof_left(left, right, ["k"], "t", "at", ["p"], step=2), "k", "t", "at", "p") == rows(S.asof_left(left, right, ["k"], "t", "at", ["p"]), "k", "t", "at", "p")
     assert rows(S.asof_left(left, right, ["k"], "t", "at", ["p"]), "k", "t", "at", "p") == [(1, 1, None, None), (1, 5, 5, 50.0), (2, 9, None, None)]
 
 
