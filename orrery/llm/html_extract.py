@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import field, map_columns
 
-#: Pages of the table that the weights are trained on, beside the labelled ones.
+#: Pages of the table, by a hash of the id, that the weights are trained on beside the labelled ones, if their author marks the content.
 SAMPLE = 200
 PAGES_AT_ONCE = 400
 STEPS, RATE, DECAY = 80, 0.4, 1e-3
@@ -285,8 +285,9 @@ def labelled_pages() -> list[tuple[Page, list[int]]]:
 
 
 def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> Model:
-    marked = pages.select(field(page_id).alias("page_id"), field(html).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()  # bounded by sample
+    both = pages.select(field(page_id).alias("page_id"), field(html).alias("html"))
+    drawn = both.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids alone are sorted
+    rows = both.join(F.broadcast(drawn), "page_id").orderBy("page_id", F.xxhash64("html")).limit(2 * sample).collect()  # ids may repeat
     labelled = [(p, labels) for p in (parse(r[1]) for r in rows) if (labels := labels_by_author(p))]
     return train(labelled_pages() * 5 + labelled)
 
