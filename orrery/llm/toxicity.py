@@ -1,19 +1,19 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Words (runs of word bytes, A-Z in lower case) of a line form a chain of two states, clean and toxic. A
-word's emission is the sum of the weights of its features: the word, its first 3 to 6 bytes, its last 3
-bytes and its length, hashed to a fixed table; transitions and starts have weights of their own.
+word's emission is a constant plus the weights of its features, which are those of the word itself and its
+first 3 to 6 bytes that training has selected; transitions and starts have weights of their own.
 
 Training: of a bounded sample of labelled rows (``sample`` toxic and twice as many clean ones, by a hash
 of the id) the labelled tokens are made first. Near copies are left out by a hash of two smallest word
 hashes. A word or prefix whose frequency in toxic documents stands out against clean ones (log-odds over
 their standard error of at least ``STANDS_OUT``, or less if it explains documents that nothing else does)
-marks its tokens in toxic documents; all other tokens are clean. The field's likelihood is then raised by gradient steps on
+is selected, and marks its tokens in toxic documents; all other tokens are clean. The field's likelihood is then raised by gradient steps on
 the exact forward-backward marginals, and two logistic weights turn a document's marginals into a score.
 Labels of an id are joined by maximum; ids of one label row each are expected.
 
 Scoring: forward-backward over every word of every line; the score is the logistic of the expected number
-of toxic words (its log1p) and of the largest marginal. Words of a marginal of 0.5 or more form the
+of toxic words among those with a marginal of 0.25 or more (its log1p) and of the largest marginal. Words of a marginal of 0.5 or more form the
 offending spans (code points, end exclusive). Null and empty texts have no words and get the score of a
 document without toxic words. Without labelled rows of both kinds every score is the share of toxic rows
 (0 without any row). Each row is scored by itself, so repeated rows agree.
@@ -39,10 +39,11 @@ SAMPLE = 1_500
 SAMPLE_BYTES = 8_000
 #: Documents of the sample, as many of either label as there are in it, that the field itself is fitted on.
 FIELD_DOCUMENTS = 1_500
-FEATURE_BITS = 18
-#: Log-odds over standard error: marks by themselves; and marks if half of their toxic documents have no stronger mark.
-STANDS_OUT, STANDS_OUT_ALONE = 3.2, 2.2
-STEPS, RATE, DECAY = 25, 0.7, 1e-4
+#: Log-odds over standard error: marks by themselves; and marks if half of their toxic documents, this many at least, have no stronger mark.
+STANDS_OUT, STANDS_OUT_ALONE, ALONE_IN = 3.2, 2.2, 3
+#: A marginal from which on a word counts for the score.
+COUNTS = 0.25
+STEPS, RATE, DECAY = 40, 0.7, 1e-2
 CHAIN = 64  # words of a chain in training
 CHUNK = 400_000  # words that are scored together
 LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
@@ -54,13 +55,8 @@ def lines_of(text: bytes | None) -> list[list[bytes]]:
 
 
 def names(word: bytes) -> list[bytes]:
-    """The features of a word."""
-    out = [b"w" + word, b"s" + word[-3:], b"n%d" % min(len(word), 20)]
-    return out + [b"%d" % k + word[:k] for k in (3, 4, 5, 6) if len(word) >= k]
-
-
-def feature_ids(word: bytes) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(f) & ((1 << FEATURE_BITS) - 1) for f in names(word)]
+    """The features of a word: itself and its beginnings."""
+    return [b"w" + word] + [b"%d" % k + word[:k] for k in (3, 4, 5, 6) if len(word) >= k]
 
 
 @dataclass
@@ -103,16 +99,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    constant: float
+    weights: dict[bytes, float]
     start: float
     move: np.ndarray
     score: tuple[float, float, float]  # constant, weight of log1p(expected toxic words), weight of the largest marginal
-    constant: float | None = None  # the score of all rows, if there was nothing to learn from
-
-
-def _marks_of(word: bytes) -> list[bytes]:
-    found = names(word)
-    return found[:1] + found[3:]
+    same: float | None = None  # the score of all rows, if there was nothing to learn from
 
 
 def without_copies(docs: list[tuple[list[list[bytes]], int]]) -> list[tuple[list[list[bytes]], int]]:
@@ -126,7 +118,7 @@ def without_copies(docs: list[tuple[list[list[bytes]], int]]) -> list[tuple[list
 
 
 def marked_features(docs: list[tuple[list[list[bytes]], int]]) -> set[bytes]:
-    features = [({f for w in {w for line in lines for w in line} for f in _marks_of(w)}, label) for lines, label in docs]
+    features = [({f for w in {w for line in lines for w in line} for f in names(w)}, label) for lines, label in docs]
     seen = [Counter(), Counter()]
     total = [0, 0]
     for own, label in features:
@@ -146,7 +138,8 @@ def marked_features(docs: list[tuple[list[list[bytes]], int]]) -> set[bytes]:
                 holders[f].append(k)
     marks, explained = set(), set()
     for z, f in sorted(ranked):
-        if -z >= STANDS_OUT or 2 * len(explained.intersection(holders[f])) <= len(holders[f]):
+        alone = len(holders[f]) - len(explained.intersection(holders[f]))
+        if -z >= STANDS_OUT or alone >= ALONE_IN and 2 * alone >= len(holders[f]):
             marks.add(f)
             explained.update(holders[f])
     return marks
@@ -156,10 +149,8 @@ def train(rows: list[tuple[bytes | None, int]]) -> Model:
     """rows: text and label of the sample."""
     docs = [(lines_of(text), int(label > 0)) for text, label in rows]
     toxic = sum(label for _, label in docs)
-    blank = Model(np.zeros(1 << FEATURE_BITS), 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0))
     if not toxic or toxic == len(docs):
-        blank.constant = toxic / len(docs) if docs else 0.0
-        return blank
+        return Model(0.0, {}, 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0), toxic / len(docs) if docs else 0.0)
     docs = without_copies(docs)
     marks = marked_features(docs)
     share = min(1.0, FIELD_DOCUMENTS / len(docs))
@@ -175,21 +166,22 @@ def train(rows: list[tuple[bytes | None, int]]) -> Model:
                 lengths.append(len(part))
                 for word in part:
                     ids.append(vocabulary.setdefault(word, len(vocabulary)))
-                    targets.append(label and not marks.isdisjoint(_marks_of(word)))
+                    targets.append(label and not marks.isdisjoint(names(word)))
                     doc_of.append(d)
-    width = 7
-    table = np.zeros((len(vocabulary), width), np.int64)
-    there = np.zeros((len(vocabulary), width))
+    numbers = {f: k + 1 for k, f in enumerate(sorted(marks))}  # 0 is the constant
+    table = np.zeros((len(vocabulary), 6), np.int64)
+    there = np.zeros(table.shape)
+    there[:, 0] = 1
     for word, k in vocabulary.items():
-        f = feature_ids(word)
-        table[k, : len(f)], there[k, : len(f)] = f, 1
+        own = [numbers[f] for f in names(word) if f in numbers]
+        table[k, 1 : 1 + len(own)], there[k, 1 : 1 + len(own)] = own, 1
     ids, y, doc_of = np.array(ids), np.array(targets, float), np.array(doc_of)
     chains = Chains(np.array(starts), np.array(lengths))
     first = chains.starts[chains.lengths > 0]
     later = np.ones(len(ids), bool)
     later[first] = False
     later = np.flatnonzero(later)
-    weights, bias = np.zeros(1 << FEATURE_BITS), np.zeros(5)  # start, and move in the order of its rows
+    weights, bias = np.zeros(len(numbers) + 1), np.zeros(5)  # start, and move in the order of its rows
     squares, bias_squares = np.full_like(weights, 1e-6), np.full(5, 1e-6)
     state = y.astype(int)
     gold_move = np.bincount(2 * state[later - 1] + state[later], minlength=4).astype(float)
@@ -200,7 +192,7 @@ def train(rows: list[tuple[bytes | None, int]]) -> Model:
         p = _sigmoid(left + right)
         residual = np.bincount(ids, y - p, len(vocabulary))
         gradient = np.bincount(table.ravel(), (there * residual[:, None]).ravel(), len(weights))
-        gradient -= DECAY * len(ids) / len(vocabulary) * weights
+        gradient -= DECAY * weights
         before, after = left[later - 1], emission[later] + right[later]
         joint = np.stack([move[0, 0] + 0 * before, move[0, 1] + after, move[1, 0] + before, move[1, 1] + before + after], 1)
         joint = np.exp(joint - joint.max(1, keepdims=True))
@@ -210,10 +202,10 @@ def train(rows: list[tuple[bytes | None, int]]) -> Model:
         bias_squares += slope**2
         weights += RATE * gradient / np.sqrt(squares)
         bias += RATE * slope / np.sqrt(bias_squares)
-    model = Model(weights.astype(np.float32), float(bias[0]), bias[1:].reshape(2, 2).copy(), (0.0, 0.0, 0.0))
-    emission = (model.weights.astype(float)[table] * there).sum(1)[ids]
+    model = Model(float(weights[0]), {f: float(weights[k]) for f, k in numbers.items()}, float(bias[0]), bias[1:].reshape(2, 2).copy(), (0.0, 0.0, 0.0))
+    emission = (weights[table] * there).sum(1)[ids]
     p = _sigmoid(sum(forward_backward(emission, chains, model.start, model.move)))
-    count = np.bincount(doc_of, p, len(docs))
+    count = np.bincount(doc_of, p * (p >= COUNTS), len(docs))
     most = np.zeros(len(docs))
     np.maximum.at(most, doc_of, p)
     model.score = _logistic(np.stack([np.ones(len(docs)), np.log1p(count), most], 1), np.array([label for _, label in docs], float))
@@ -230,19 +222,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 class _Emissions(dict):
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, model: Model):
+        self.constant, self.weights = model.constant, model.weights
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > 400_000:  # bounded memory
             self.clear()
-        self[word] = value = float(self.weights[feature_ids(word)].sum(dtype=np.float64))
+        self[word] = value = self.constant + sum(self.weights.get(f, 0.0) for f in names(word))
         return value
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.emissions = model, _Emissions(model.weights)
+        self.model, self.emissions = model, _Emissions(model)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[float], list[list[tuple[int, int]]]]:
         scores, spans = [], []
@@ -272,9 +264,9 @@ class Scorer:
         for k, (text, _) in enumerate(held):
             own = p[ends[k] : ends[k + 1]]
             a, b, c = m.score
-            x = a + (b * np.log1p(own.sum()) + c * own.max() if len(own) else 0.0)
-            scores.append(m.constant if m.constant is not None else float(_sigmoid(np.array(x))))
-            spans.append(_spans(text, np.flatnonzero(own >= 0.5)) if m.constant is None and len(own) and own.max() >= 0.5 else [])
+            x = a + (b * np.log1p(own[own >= COUNTS].sum()) + c * own.max() if len(own) else 0.0)
+            scores.append(m.same if m.same is not None else float(_sigmoid(np.array(x))))
+            spans.append(_spans(text, np.flatnonzero(own >= 0.5)) if m.same is None and len(own) and own.max() >= 0.5 else [])
 
 
 def _spans(text: bytes, words: np.ndarray) -> list[tuple[int, int]]:
