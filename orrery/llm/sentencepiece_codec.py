@@ -4,11 +4,11 @@ The model file's protobuf is parsed here; from it the tokenizer is rebuilt: its
 character map, white space rules, dummy prefix), the metaspace marker, unigram scores or, for a BPE model,
 the merges that its scores imply, byte fallback and the decoder. Batches are encoded by several threads.
 
-Where no piece has the marker behind another sign, words can't influence each other, and texts are split
-before markers: each word is then encoded once and found again in a cache. Parity with the sentencepiece
-library is verified for every text: in that case by each of its distinct words (new words of a task are
-encoded by both), else by the whole text. ``round_trip`` tells whether decoding gives the text back (a
-text that holds the marker itself can't come back).
+Where no piece has the marker behind another sign (which is checked on the vocabulary), words can't
+influence each other: each distinct word of a worker's texts is encoded once, in batches, its ids are
+compared with those of the sentencepiece library and decoded again, and texts are put together from words.
+Else whole texts are. So parity and the round trip are verified for every text. (A text that holds the
+marker itself can't come back.)
 
 Null and empty texts have no pieces and decode to the empty text. Special pieces in a text are ordinary
 text. Each row is treated by itself, so repeated rows agree.
@@ -16,6 +16,7 @@ text. Each row is treated by itself, so repeated rows agree.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -35,8 +36,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 WORDS = MARKER + "*[^" + MARKER + "]+|" + MARKER + "+"
 #: Characters that are encoded in one call.
 CALL_CHARS = 200_000
-#: Words known to agree that a worker keeps.
-KNOWN_WORDS = 200_000
+#: Characters of words (and 100 a word) that a worker keeps with their ids.
+KNOWN_CHARS = 60_000_000
 THREADS = 2
 
 
@@ -161,48 +162,73 @@ def read_model(path: str | None = None) -> bytes:
 
 
 class Codec:
-    def __init__(self, model: bytes, tokenizer: str, by_word: bool, threads: int):
+    """Where words are independent, each distinct word is encoded, compared and decoded once, in batches, and texts are put together from words."""
+
+    def __init__(self, model: bytes, tokenizer: str, by_word: bool, only_marks: bool, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_str(tokenizer), by_word
+        self.tokenizer, self.by_word, self.only_marks = Tokenizer.from_str(tokenizer), by_word, only_marks
         self.reference = SentencePieceProcessor(model_proto=model)
-        self.words = re.compile(WORDS)
-        self.agreeing: set[str] = set()
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _agree(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether the sentencepiece library gives the same ids."""
-        if not self.by_word:
-            return [self.reference.encode(t) == i for t, i in zip(texts, ids, strict=True)]
-        normal = self.tokenizer.normalizer.normalize_str
-        own = [set(self.words.findall(normal(t))) for t in texts]
-        new = set().union(*own) - self.agreeing
+        self.find_words = re.compile(WORDS).findall
+        self.known: dict[str, bytes] = {}  # ids of a word as 32-bit integers
+        self.chars = 0
+        self.apart: set[str] = set()  # words that the libraries encode differently
+        self.lossy: set[str] = set()  # words that decode to another text
+
+    def _normal(self, text: str) -> str:
+        if self.only_marks:
+            return MARKER + text.replace(" ", MARKER) if text else ""
+        return self.tokenizer.normalizer.normalize_str(text)
+
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        """Ids, whether the sentencepiece library agrees, and whether decoding gives the text back."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        agree = [i == j for i, j in zip(ids, self.reference.encode(texts), strict=True)]
+        back = [t == u for t, u in zip(texts, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
+        return ids, agree, back
+
+    def _learn(self, words: set[str]) -> None:
+        if self.chars > KNOWN_CHARS:  # bounded memory
+            self.known.clear()
+            self.apart.clear()
+            self.lossy.clear()
+            self.chars = 0
+        new = list(words - self.known.keys())
         # A word without its first marker is a text that normalises to the word.
-        plain = {w: w[1:].replace(MARKER, " ") for w in new if w.startswith(MARKER)}
-        order = list(plain)
-        both = zip(order, self._ids([plain[w] for w in order]), self.reference.encode([plain[w] for w in order]) if order else [], strict=True)
-        good = {w for w, x, y in both if x == list(y)}
-        bad = new - good
-        if len(self.agreeing) > KNOWN_WORDS:  # bounded memory
-            self.agreeing.clear()
-        self.agreeing |= good
-        return [words.isdisjoint(bad) for words in own]
-
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, list[bool]]:
-        """Ids as an Arrow column, and parity. A few texts at a time: ids as Python integers take many times their bytes."""
-        parts, lengths, agree = [np.empty(0, np.int32)], [], []
+        plain = [w.removeprefix(MARKER).replace(MARKER, " ") for w in new]
+        at = 0
+        for some in _slices(plain, CALL_CHARS):
+            for word, ids, agree, back in zip(new[at : at + len(some)], *self._both(some), strict=True):
+                self.known[word] = np.array(ids, np.int32).tobytes()
+                self.chars += len(word) + 100
+                if not agree:
+                    self.apart.add(word)
+                if not back:
+                    self.lossy.add(word)
+            at += len(some)
+
+    def encode(self, texts: list[str]) -> tuple[pa.ListArray, list[bool], list[bool]]:
+        """Ids as an Arrow column, parity, and round trip."""
+        parts, agree, back = [], [], []
         for some in _slices(texts, CALL_CHARS):
-            ids = self._ids(some)
-            agree += self._agree(some, ids)
-            lengths += map(len, ids)
-            parts += [np.array(i, np.int32) for i in ids]
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))), agree
+            if not self.by_word:
+                ids, good, same = self._both(some)
+                parts += [np.array(i, np.int32).tobytes() for i in ids]
+                agree += good
+                back += same
+                continue
+            normal = [self._normal(t) for t in some]
+            words = [self.find_words(t) for t in normal]
+            self._learn(set().union(*words))
+            for text, whole, own in zip(some, normal, words, strict=True):
+                parts.append(b"".join(map(self.known.__getitem__, own)))
+                agree.append(not self.apart or self.apart.isdisjoint(own))
+                back.append(whole.removeprefix(MARKER).replace(MARKER, " ") == text and (not self.lossy or self.lossy.isdisjoint(own)))
+        ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32))), agree, back
 
     def decode(self, ids: pa.Array) -> list[str]:
         out: list[str] = []
@@ -223,17 +249,22 @@ def _slices(texts: list[str], chars: int):
         at = end
 
 
+_codecs: dict[str, Codec] = {}
+
+
 def _codec(df: DataFrame, model_path: str | None, threads: int):
-    """What makes the codec, once in each worker."""
+    """What makes the codec, once in each worker process; the last one stays there for later tasks."""
     model = read_model(model_path)
     spec = parse_model(model)
-    shared = df.sparkSession.sparkContext.broadcast((model, build_tokenizer(spec), splits_at_markers(spec)))
-    state: dict = {}
+    only_marks = spec.dummy_prefix and spec.escape and not spec.charsmap and not spec.remove_extra
+    shared = df.sparkSession.sparkContext.broadcast((model, build_tokenizer(spec), splits_at_markers(spec), only_marks))
+    key = f"{hashlib.sha256(model).hexdigest()}-{threads}"
 
     def get() -> Codec:
-        if "codec" not in state:
-            state["codec"] = Codec(*shared.value, threads)
-        return state["codec"]
+        if key not in _codecs:
+            _codecs.clear()
+            _codecs[key] = Codec(*shared.value, threads)
+        return _codecs[key]
 
     return get
 
@@ -244,7 +275,7 @@ def encode(df: DataFrame, text: str = "text", carry: list[str] | None = None, mo
     rows = df.select(F.struct(*[field(c) for c in (df.columns if carry is None else carry)]).alias("doc"), F.coalesce(field(text), F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> list:
-        ids, agree = get().encode(batch.column(1).to_pylist())
+        ids, agree, _ = get().encode(batch.column(1).to_pylist())
         return [batch.column(0), ids, agree]
 
     return map_columns(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, parity boolean")
@@ -267,9 +298,7 @@ def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     get = _codec(docs, model_path, threads)
 
     def run(batch: pa.RecordBatch) -> list:
-        texts = batch.column(1).to_pylist()
-        ids, agree = get().encode(texts)
-        back = get().decode(ids)
-        return [batch.column(0), pc.list_value_length(ids), ids, agree, [a == b for a, b in zip(texts, back, strict=True)]]
+        ids, agree, back = get().encode(batch.column(1).to_pylist())
+        return [batch.column(0), pc.list_value_length(ids), ids, agree, back]
 
     return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, parity boolean, round_trip boolean")
