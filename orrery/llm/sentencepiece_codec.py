@@ -196,7 +196,14 @@ class Codec:
             self.apart.clear()
             self.lossy.clear()
             self.chars = 0
-        new = list(words - self.known.keys())
+        fresh = words - self.known.keys()
+        if MARKER in fresh:  # no text normalises to a single marker: it is what a space adds to a word
+            fresh.discard(MARKER)
+            (short, longer), agree, back = self._both(["a", "a "])
+            self.known[MARKER] = np.array(longer[len(short) :], np.int32).tobytes()
+            self.apart.update([MARKER] * (not all(agree)))
+            self.lossy.update([MARKER] * (not all(back)))
+        new = list(fresh)
         # A word without its first marker is a text that normalises to the word.
         plain = [w.removeprefix(MARKER).replace(MARKER, " ") for w in new]
         at = 0
