@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes that are no word byte become a space, A-Z become a-z; 0-9, a-z and all bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -56,33 +58,19 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> None:
     context.addFile(f"{shared_folder(spark)}/{name}")
 
 
-def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | list | dict], schema: str) -> DataFrame:
-    """mapInArrow: make gets ROWS rows at a time, which bounds a worker's memory, and returns their new columns in the order of schema."""
-    names = [part.strip().split()[0] for part in _split_schema(schema)]
-    types = _arrow_types(df.sparkSession, schema)
+def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], schema: str, keep: StructField | None = None) -> DataFrame:
+    """mapInArrow: make gets ROWS rows at a time, which bounds a worker's memory, and returns their new columns in the order of schema.
+
+    keep: a first column that goes through as it came, of any type and with fields of any names.
+    """
+    made = StructType.fromDDL(schema).fields
+    types = [to_arrow_type(f.dataType) for f in made]
+    names = [f.name for f in ([keep] if keep else []) + made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             columns = make(batch)
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-            )
-
-    return df.mapInArrow(run, schema)
-
-
-def _split_schema(schema: str) -> list[str]:
-    parts, depth, at = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and depth == 0:
-            parts.append(schema[at:i])
-            at = i + 1
-    return [*parts, schema[at:]]
-
-
-def _arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
+            kept, new = (columns[:1], columns[1:]) if keep else ([], columns)
+            yield pa.RecordBatch.from_arrays(kept + [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(new, types, strict=True)], names=names)
 
-    return [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
+    return df.mapInArrow(run, StructType([keep, *made]) if keep else schema)

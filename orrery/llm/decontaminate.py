@@ -129,7 +129,7 @@ def _search_block(docs: DataFrame, items: DataFrame) -> DataFrame:
             found.append(sorted(names))
         return [batch.column(0), n_words, hits, found]
 
-    return map_columns(docs, scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return map_columns(docs, scan, FOUND, docs.schema["doc_id"])
 
 
 def find_overlaps(

@@ -295,13 +295,13 @@ def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample:
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", model: Model | None = None) -> DataFrame:
     """One row for each row: page_id, url, text, n_chars."""
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages, html, page_id))
-    rows = pages.select(field(page_id).alias("page_id"), field(url).alias("url"), field(html).alias("html"))
+    rows = pages.select(field(page_id).alias("page_id"), field(url).cast("string").alias("url"), field(html).alias("html"))
 
     def run(batch: pa.RecordBatch) -> list:
         texts = main_texts(batch.column(2).to_pylist(), shared.value)
         return [batch.column(0), batch.column(1), texts, [len(t) for t in texts]]
 
-    return map_columns(rows, run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars bigint")
+    return map_columns(rows, run, "url string, text string, n_chars bigint", rows.schema["page_id"])
 
 
 _LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "About us", "Contact"))

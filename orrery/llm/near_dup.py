@@ -149,7 +149,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
         sets = [shingle_set(text.as_py(), size, words) for text in batch.column(1)]
         return [batch.column(0), [len(s) for s in sets], [key_of(s) for s in sets], in_chunks(sets, bands * rows)]
 
-    return map_columns(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, key binary, sketch binary")
+    return map_columns(docs, run, "n bigint, key binary, sketch binary", docs.schema["doc_id"])
 
 
 def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:

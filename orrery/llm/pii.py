@@ -160,5 +160,4 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             lines.append(",".join(x for kind in KINDS for x in said[kind]))
         return [batch.column(0), *counts, digests, lines]
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs, scan, f"doc_id {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return map_columns(docs, scan, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", docs.schema["doc_id"])

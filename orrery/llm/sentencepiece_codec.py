@@ -285,7 +285,7 @@ def encode(df: DataFrame, text: str = "text", carry: list[str] | None = None, mo
         ids, agree, _ = get().encode(batch.column(1).to_pylist())
         return [batch.column(0), ids, agree]
 
-    return map_columns(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, parity boolean")
+    return map_columns(rows, run, "ids array<int>, parity boolean", rows.schema["doc"])
 
 
 def decode(df: DataFrame, ids: str = "ids", carry: list[str] | None = None, model_path: str | None = None, threads: int = THREADS) -> DataFrame:
@@ -296,7 +296,7 @@ def decode(df: DataFrame, ids: str = "ids", carry: list[str] | None = None, mode
     def run(batch: pa.RecordBatch) -> list:
         return [batch.column(0), get().decode(batch.column(1))]
 
-    return map_columns(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
+    return map_columns(rows, run, "text string", rows.schema["doc"])
 
 
 def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_path: str | None = None, threads: int = THREADS) -> DataFrame:
@@ -308,4 +308,4 @@ def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         ids, agree, back = get().encode(batch.column(1).to_pylist())
         return [batch.column(0), pc.list_value_length(ids), ids, agree, back]
 
-    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, parity boolean, round_trip boolean")
+    return map_columns(rows, run, "n_tokens bigint, ids array<int>, parity boolean, round_trip boolean", rows.schema["doc_id"])

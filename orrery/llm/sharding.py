@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import field, map_columns, saved, shared_folder
 
-PLACED = "doc_id {id}, size bigint, text_crc32 bigint, shard int, row bigint"
+PLACED = "size bigint, text_crc32 bigint, shard int, row bigint"
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
         state.update(at=state["at"] + int(end[-1]), row=state["row"] + len(size))
         return [batch.column(0), batch.column(1), batch.column(2), shard.astype("int32"), row]
 
-    placed = map_columns(laid, place, PLACED.format(id=docs.select(field(doc_id)).schema[0].dataType.simpleString()))
+    placed = map_columns(laid, place, PLACED, laid.schema["doc_id"])
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row for each shard
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -322,7 +322,7 @@ def score_rows(df: DataFrame, model: Model, text: str = "text", carry: list[str]
         scores, spans = scorer(batch.column(1).to_pylist())
         return [batch.column(0), scores, [len(s) for s in spans], [",".join(f"{a}:{b}" for a, b in s) for s in spans]]
 
-    return map_columns(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double, n_spans bigint, spans string")
+    return map_columns(rows, run, "score double, n_spans bigint, spans string", rows.schema["doc"])
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -212,7 +212,7 @@ def mux(df: DataFrame, key: str = "doc_id", data: str = "text") -> DataFrame:
             media.append(mux_bytes(value.ljust(max(64, -(-len(value) // 64) * 64), b"\0")))
         return [batch.column(0), sizes, media]
 
-    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    return map_columns(rows, run, "n_bytes bigint, media binary", rows.schema["doc_id"])
 
 
 def demux(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -223,7 +223,7 @@ def demux(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
         found = [demux_bytes(value or b"") for value in batch.column(1).to_pylist()]
         return [batch.column(0), *([f[i] for f in found] for i in range(4))]
 
-    return map_columns(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, payload binary, units {UNITS}, gaps int, programs int")
+    return map_columns(rows, run, f"payload binary, units {UNITS}, gaps int, programs int", rows.schema["doc_id"])
 
 
 def stored_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from orrery.llm.common import field, map_columns, share_file
 
 #: Rules of more bytes than this are not shipped as a file: they are joined (see judge_urls).
 INDEX_BYTES = 256_000_000
-JUDGED = "page_id {id}, host string, path string, rule string, verdict string"
+JUDGED = "host string, path string, rule string, verdict string"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     data = build_index([(r[0], r[1]) for r in rules.select("rule", "verdict").toLocalIterator()])
     name = f"rules-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     share_file(pages.sparkSession, name, data)
-    return map_columns(urls, _prober(name), JUDGED.format(id=urls.schema["page_id"].dataType.simpleString()))
+    return map_columns(urls, _prober(name), JUDGED, urls.schema["page_id"])
 
 
 def _prober(name: str):

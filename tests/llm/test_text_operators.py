@@ -491,6 +491,18 @@ def test_pipeline_stages(spark):
     assert decontaminate.find_overlaps(docs, bench).where(F.size("hits") > 0).isEmpty()
 
 
+def test_odd_names_and_types_go_through(spark):
+    import corpus_pipeline
+
+    df = spark.sql("SELECT CAST(1 AS BIGINT) AS doc_id, 'some words here' AS text, 2 AS `a b:c`, DATE '2024-01-01' AS doc, TIMESTAMP '2024-01-01 00:00:00' AS spans, MAP('k', 1.5D) AS score")
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    model = toxicity.train([])
+    assert decontaminate.uncontaminated(df, bench).collect() == df.collect()
+    assert toxicity.score_rows(df, model).select("doc.*").collect() == df.collect()
+    assert corpus_pipeline.cut_repeated_lines(spark, df, SF).collect() == df.collect()
+    assert corpus_pipeline.drop_near_duplicates(spark, df, SF).collect() == df.collect()
+
+
 def test_pipeline_edges(spark):
     """Empty tables and odd rows pass every stage."""
     import corpus_pipeline
