@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, without passages of several lines that an earlier document has; n_chars follows the text."""
-    cut = line_dedup.remove_repeats(docs)
+    """All documents stay, without passages of 50 words or more that stand earlier; n_chars follows the text."""
+    cut = line_dedup.remove_passages(docs)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 

@@ -10,6 +10,10 @@ every occurrence of a repeated chunk but the first (by id, then place) goes.
 Null ids come last; rows that agree in id and text are one document and are treated alike. A null text
 stays null; an empty text stays empty; a text that loses all its chunks becomes empty. All other columns
 stay as they are, whatever their names. Results don't depend on how rows are dealt to partitions.
+
+remove_passages() is the whole job, and what the pipeline runs. A text is cut before the white space that ends a
+line or follows one of .!? (so long lines are sentences). A passage is a run of such pieces; every passage of 50 words or
+more that also stands earlier, in an earlier document or further up and clear of itself, goes, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from orrery.llm.common import field, saved
 
 WINDOW, DIVISOR = 2, 3
 MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
+#: Words of the shortest passage that goes; where a text is cut into pieces.
+PASSAGE_WORDS = 50
+PIECE_ENDS = r"(?<=\S)(?=\s*\n)|(?<=[.!?])(?=\s)"
 
 
 def _line_hashes(text: Column) -> Column:
@@ -102,3 +109,73 @@ def report(removed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         F.col("row").getField(doc_id).alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"),
         F.col("n_chunks_removed").cast("bigint").alias("n_chunks_removed"), F.sha2("text", 256).alias("text_sha256"), "text",
     )
+
+
+def _pieces(rows: DataFrame, words: int) -> DataFrame:
+    """rows (with a column text) and: pieces (of which only the last can be without words), ends and starts.
+
+    ends[i] is the piece with which the shortest run of enough words that starts with piece i ends, starts[i] the one with which the shortest run that ends with piece i starts.
+    """
+    out = rows.withColumn("pieces", F.split("text", PIECE_ENDS, -1))
+    out = out.withColumn("of", F.flatten(F.transform("pieces", lambda p, i: F.array_repeat(i, F.regexp_count(p, F.lit(r"\S+"))))))  # the piece of each word
+    out = out.withColumn("at", F.filter(F.transform("of", lambda p, i: F.when((i == 0) | (F.get("of", i - 1) != p), i)), lambda i: i.isNotNull()))  # the first word of each piece
+    last = F.size("of") - 1
+    starts = F.transform("at", lambda a, i: F.get("of", F.coalesce(F.get("at", i + 1) - 1, last) - (words - 1)))  # null before the first word
+    return out.withColumns({"ends": F.transform("at", lambda a: F.get("of", a + (words - 1))), "starts": starts}).drop("of", "at")
+
+
+def _run(start: Column, end: Column) -> Column:
+    """The pieces of a run, the first without the white space before it."""
+    return F.concat(F.array(F.regexp_replace(F.get("pieces", start), r"^\s+", "")), F.slice("pieces", start + 2, end - start))
+
+
+def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """For every row: row (a struct of all columns of docs), text (what stays of it), n_pieces, n_removed (pieces).
+
+    Any repeated run of enough words is covered by shortest ones: of each piece either the one that ends with it or the one that starts the run.
+    So the shortest runs are counted, first by a hash of those from each start; only where that repeats do both kinds go on, by their SHA-256.
+    """
+    rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), field(doc_id).alias("doc_id"), field(text).alias("text"))
+    rows = rows.select("row", "text", _document(F.col("text")).alias("doc"))
+
+    cut = _pieces(rows.where("text is not null").select("doc", "text"), words)
+    runs = F.filter(F.transform("ends", lambda end, i: F.when(end.isNotNull(), F.struct(i.alias("at"), F.xxhash64(_run(i, end)).alias("hash")))), lambda r: r.isNotNull())
+    spots = cut.select("doc", F.explode_outer(runs).alias("spot"))  # explode() would infer a filter that computes all runs anew
+    spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
+    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_set("at").alias("wanted"))
+    joined = saved(rows.drop("text").join(wanted, "doc", "left"))
+    body = F.col("row").getField(text)
+    held = joined.where("wanted is not null").withColumn("text", body)
+
+    def told(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.unhex(F.sha2(F.array_join(_run(start, end), ""), 256)).alias("digest"))
+
+    own = _pieces(held.select("doc", "wanted", "text"), words)
+    forward = F.transform("wanted", lambda s: told(s, F.get("ends", s)))
+    backward = F.filter(F.transform("starts", lambda s, e: F.when(F.array_contains("wanted", s) & (F.get("ends", s) < e), told(s, e))), lambda r: r.isNotNull())
+    own = own.select("doc", F.explode_outer(F.concat(forward, backward)).alias("run"))
+    own = saved(own.where("run is not null").select("doc", "run.start", "run.end", "run.digest"))
+    firsts = own.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = own.join(firsts, "digest").where(F.struct("doc", "start") != F.col("first"))
+    clear = F.col("first.start") + F.col("end") - F.col("start") + 1  # in one document, pieces of both occurrences stay
+    again = again.select("doc", F.when(F.col("doc") == F.col("first.doc"), F.greatest("start", clear)).otherwise(F.col("start")).alias("start"), "end").where("start <= end")
+    gone = again.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+
+    pieces = F.split("text", PIECE_ENDS, -1)
+    whole = joined.where("wanted is null").withColumn("text", body)
+    whole = whole.select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).alias("n_pieces"), F.lit(0).alias("n_removed"))
+    left = held.drop("wanted").join(gone, "doc", "left").withColumn("pieces", pieces)
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["end"]))))
+    left = left.withColumn("out", F.coalesce(out, F.array().cast("array<int>")))
+    left = left.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), "out"))
+    stays = F.array_join(F.transform("kept", lambda i: F.get("pieces", i)), "")
+    stays = F.when(F.get("kept", F.lit(0)) > 0, F.regexp_replace(stays, r"^\s+", "")).otherwise(stays)
+    return whole.unionByName(left.select("row", stays.alias("text"), F.size("pieces").alias("n_pieces"), F.size("out").alias("n_removed")))
+
+
+def passages_report(removed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    return removed.select(
+        F.col("row").getField(doc_id).alias("doc_id"), F.col("n_pieces").cast("bigint").alias("n_pieces"), F.col("n_removed").cast("bigint").alias("n_removed"),
+        F.sha2("text", 256).alias("text_sha256"), "text",
+    )

@@ -35,6 +35,10 @@ def op5_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(line_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.passages_report(line_dedup.remove_passages(table(spark, sf_dir, "documents")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, pipeline)
+    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op5_repeated_passages, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, pipeline)
 }
 
 _WORDS = (

@@ -172,6 +172,51 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
     assert kept == {(5, False), (None, True), (7, True)}  # the same document twice stays, null ids come last
 
 
+def brute_passages(texts, least):
+    """What stays of each text: every run of pieces with enough words is looked up among all earlier runs."""
+    split = [re.split(r"(?<=\S)(?=\s*\n)|(?<=[.!?])(?=\s)", t, flags=re.ASCII) for t in texts]
+    seen, gone = {}, [set() for _ in texts]
+    for d, pieces in enumerate(split):
+        for a in range(len(pieces)):
+            for b in range(a, len(pieces)):
+                run = "".join(pieces[a : b + 1])
+                if pieces[b].strip() and len(run.split()) >= least:
+                    first = seen.setdefault(run.lstrip(), (d, a))
+                    clear = first[1] + b - a + 1 if first[0] == d else a
+                    if first != (d, a):
+                        gone[d].update(range(max(a, clear), b + 1))
+    left = ["".join(p for i, p in enumerate(pieces) if i not in gone[d]) for d, pieces in enumerate(split)]
+    return [t.lstrip() if 0 in gone[d] else t for d, t in enumerate(left)]
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 5])
+def test_repeated_passages_go_in_foreign_surroundings(spark, lines):
+    import corpus_pipeline
+
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(-(-60 // lines))) for i in range(lines))
+    texts = [f"before {i} it\n{passage}\nafter {i} it" for i in range(4)] + [f"Sentence {i} first. {passage}. More {i}." for i in range(2)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs_of(spark, texts), SF).collect()}
+    assert [got[i] for i in range(4)] == texts[:1] + [f"before {i} it\nafter {i} it" for i in range(1, 4)]
+    assert [got[i] for i in range(6)] == brute_passages(texts, 50)
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["a b c.", "d\n", "e f\n", "\n\n", "g h i j k l m n o", "p! q", "  r s.", " \t"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", ""]) for _ in range(rng.randrange(25))) for _ in range(60)] + ["a b\n" * 40, "", "\n\n\n"]
+    got = {r.row.doc_id: r for r in line_dedup.remove_passages(docs_of(spark, [*texts, None]), words=9).collect()}
+    assert [got[i].text for i in range(len(texts))] == brute_passages(texts, 9)
+    assert got[len(texts)].text is None and got[len(texts)].n_pieces == 0
+
+
+def test_repeated_passages_with_null_and_repeated_ids(spark):
+    text = "\n".join(f"line {i}" for i in range(30))
+    df = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + "\nmore")], "doc_id bigint, text string")
+    kept = {(r.row.doc_id, r.text) for r in line_dedup.remove_passages(df).collect()}
+    assert kept == {(5, text), (None, ""), (7, "more")}
+    assert line_dedup.remove_passages(df.where("false")).count() == 0
+
+
 # --- near duplicates ---
 
 
