@@ -242,3 +242,10 @@ def test_checks_count_and_sample(spark):
     df = spark.createDataFrame([(i,) for i in range(30)] + [(3,)], "k int")
     got = {r.check: r for r in V.stacked([V.unique(df, "t", "u", ["k"]), V.rule(df, "t", "r", F.col("k") < 5, F.col("k"))]).collect()}
     assert (got["u"].violations, got["u"].sample) == (1, "3") and got["r"].violations == 25 and len(got["r"].sample.split(",")) == 10
+
+
+def test_close_times_grow_over_bucket_edges(spark):
+    closed = {8: 80, 9: 90, 10: 90, 11: 110, 19: 190, 20: 185, 21: 210, 45: 200, 46: 460}  # repeats at 10, falls at 20 and 45, with empty buckets before 45
+    df = spark.createDataFrame([(s, c, 1, 100) for s, c in closed.items()], "sequence bigint, closed_at bigint, transaction_count bigint, base_fee int")
+    got = {r.check: r for r in V.check_ledgers(df, 10).collect()}["close_time_increasing"]
+    assert (got.violations, got.sample) == (3, "10,20,45")
