@@ -311,3 +311,43 @@ def check_after_merge(ledgers: DataFrame, transactions: DataFrame, operations: D
             increasing(versions, "accounts", "sequence_never_falls", "version", "sequence_number", ["account_id"], strict=False),
         ]
     )
+
+
+def check_issuers(operations: DataFrame, balances: DataFrame, pools: DataFrame, assets: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Issuers of the assets of operations, balances and pool legs exist; a native balance has neither code nor issuer, a credit balance both."""
+    own = assets.select(F.col("id").alias("asset_"), "asset_type", "asset_code", "issuer_id")
+
+    def issuers(df: DataFrame, table: str, check: str, asset: str, key: Column) -> DataFrame:
+        return foreign_key(df.select(F.col(asset).alias("asset_"), key.cast("string").alias("key_")).join(own, "asset_"), table, check, "issuer_id", accounts, "account_id", "key_")
+
+    name = F.concat_ws(":", "holder_id", "asset_id")
+    kind, code, issuer = F.col("asset_type"), F.coalesce("asset_code", F.lit("")), F.col("issuer_id")
+    shape = F.when(kind == 0, (code == "") & issuer.isNull()).when(kind.isin(1, 2), (code != "") & issuer.isNotNull()).otherwise(True)
+    return stacked(
+        [
+            issuers(operations, "operations", "issuer_exists", "asset_id", F.col("transaction_id")),
+            issuers(balances, "balances", "issuer_exists", "asset_id", name),
+            rule(balances.join(own, F.col("asset_id") == F.col("asset_")), "balances", "identity_shape", shape, name),
+            issuers(pools, "pools", "asset_a_issuer_exists", "asset_a", F.col("pool_id")),
+            issuers(pools, "pools", "asset_b_issuer_exists", "asset_b", F.col("pool_id")),
+        ]
+    )
+
+
+def check_stored_minimums(positions: DataFrame, operations: DataFrame, tokens: DataFrame, ownership: DataFrame, contracts: DataFrame, versions: DataFrame, accounts: DataFrame, percent: float = 1.0) -> DataFrame:
+    """Stored minimums of positions, tokens and contracts against those of the whole history, and the share of skeleton accounts, which must be under percent."""
+    deposits = operations.where("type = 22 and pool_id is not null").groupBy("pool_id", F.col("source_id").alias("account_id")).agg(F.min("ledger_sequence").alias("first_deposit_ledger"))
+    mints = ownership.where("event_type = 0").groupBy("contract_id", "token_id").agg(F.min("ledger_sequence").alias("minted_at_ledger"))
+    first = versions.where("deployer_id is not null").groupBy("contract_id").agg(F.min(F.struct("ledger_sequence", "deployer_id")).alias("first_"))
+    deployed = first.select("contract_id", F.col("first_.ledger_sequence").alias("deployed_at_ledger"), F.col("first_.deployer_id").alias("deployer_id"))
+    known = contracts.where("deployer_id is not null")
+    rate = accounts.agg(F.round(F.try_divide(F.lit(100) * F.count_if(F.coalesce("sequence_number", F.lit(0)) == 0), F.count(F.lit(1))), 4).alias("percent_")).where("percent_ is not null")
+    return stacked(
+        [
+            recompute(positions, deposits, "positions", "first_deposit_is_least", ["pool_id", "account_id"], "first_deposit_ledger"),
+            recompute(tokens, mints, "nfts", "minted_at_is_least", ["contract_id", "token_id"], "minted_at_ledger"),
+            recompute(known, deployed, "contracts", "deployed_at_is_least", ["contract_id"], "deployed_at_ledger"),
+            recompute(known, deployed, "contracts", "deployer_is_first", ["contract_id"], "deployer_id"),
+            rule(rate, "accounts", "skeleton_rate", F.col("percent_") < percent, F.col("percent_")),
+        ]
+    )

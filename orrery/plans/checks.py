@@ -76,6 +76,32 @@ NO_ROWS = "SELECT 0 AS k WHERE false"
 CODE_ROWS = "(SELECT DISTINCT code_hash FROM v_contracts WHERE code_hash IS NOT NULL)"
 
 
+ISSUERS = "(SELECT account_id FROM v_accounts WHERE account_id <> 4)"
+SOME_ASSETS = "(SELECT id, asset_type, CASE WHEN id % 10 = 1 THEN '' ELSE asset_code END AS asset_code, issuer_id FROM v_assets)"
+
+
+def some_assets(v):
+    """Assets, every tenth without a code."""
+    return v.assets.withColumn("asset_code", F.when(F.col("id") % 10 == 1, "").otherwise(F.col("asset_code")))
+
+
+def check_issuers(v):
+    return V.check_issuers(v.operations, v.balances, v.pools, some_assets(v), v.accounts.where("account_id <> 4"))
+
+
+def with_issuer(view: str, asset: str) -> str:
+    return f"(SELECT t.*, issuer_id FROM {view} t JOIN v_assets a ON a.id = t.{asset}) x"
+
+
+def check_minimums(v):
+    """A token's mint, a contract's first ledger and every seventh account's sequence number are wrong."""
+    token = tokens(v).withColumn("minted_at_ledger", F.when(F.col("token_id") == 5, F.col("minted_at_ledger") + 1).otherwise(F.col("minted_at_ledger")))
+    contract = v.contracts.withColumn("deployed_at_ledger", F.when(F.col("contract_id") == 8, F.col("deployed_at_ledger") + 1).otherwise(F.col("deployed_at_ledger")))
+    account = v.accounts.withColumn("sequence_number", F.when(F.col("account_id") % 7 == 0, 0).otherwise(F.col("sequence_number")))
+    operations = v.operations.select("type", F.col("tx_source_id").alias("source_id"), "pool_id", "ledger_sequence")
+    return V.check_stored_minimums(v.positions, operations, token, v.nft_ownership, contract, v.events.select("contract_id", F.col("user_id").alias("deployer_id"), "ledger_sequence"), account)
+
+
 def applied(v):
     """Operations as applied: every 20th transaction has its first two places swapped."""
     o = v.operations.select("transaction_id", "application_order", "type")
@@ -165,6 +191,8 @@ PLANS = {
     "v18_outside_bucket": (lambda v: V.check_layout(v.ledgers.withColumn("bucket", F.when(F.col("sequence") % 300 == 1, 99).otherwise(F.col("bucket"))), 500)[0], check_sql([("ledgers", "in_bucket", "SELECT sequence FROM v_ledgers WHERE sequence % 300 = 1")])),
     "v19_contract_code": (lambda v: V.check_contract_code(v.contracts.where("contract_id <> 8"), v.events.select("contract_id", "ledger_sequence", "event_index", F.when(F.col("contract_id") % 2 == 0, F.md5(F.concat(F.lit("code"), (F.col("contract_id") % 9).cast("string")).cast("binary"))).otherwise("z").alias("code_hash"))), check_sql([("contracts", "code_is_latest", "SELECT DISTINCT contract_id FROM v_events WHERE contract_id % 2 = 1 OR contract_id % 5 = 0 OR contract_id = 8")])),
     "v20_after_merge": (lambda v: V.check_after_merge(v.ledgers, v.transactions.where("id % 500 <> 4"), v.operations, latest_by_version(v.accounts_versions, ["account_id", "version"], "sequence_number"), v.accounts, participants(v)), check_sql([("ledgers", "gap_after", GAPS.format("v_ledgers")), ("accounts", "first_seen_is_least", f"SELECT a.account_id FROM v_accounts a JOIN (SELECT account_id, min(ledger_sequence) AS l FROM {PARTICIPANTS} p GROUP BY account_id) p ON p.account_id = a.account_id WHERE l <> first_seen_ledger"), ("operations", "without_transaction", "SELECT transaction_id FROM v_operations WHERE transaction_id % 500 = 4"), ("ledgers", "transaction_count", "SELECT sequence FROM v_ledgers l JOIN (SELECT ledger_sequence, count(*) AS n FROM v_transactions WHERE id % 500 <> 4 GROUP BY ledger_sequence) t ON t.ledger_sequence = l.sequence WHERE n <> transaction_count"), ("accounts", "skeleton", "SELECT account_id FROM v_accounts WHERE sequence_number = 0"), ("accounts", "sequence_never_falls", "SELECT version FROM (SELECT version, s, lag(s) OVER (PARTITION BY account_id ORDER BY version) AS b FROM (SELECT account_id, version, max(sequence_number) AS s FROM v_accounts_versions GROUP BY ALL) m) x WHERE s < b")])),
+    "v4_issuers": (check_issuers, check_sql([("operations", "issuer_exists", missing("issuer_id", with_issuer("v_operations", "asset_id"), "transaction_id", ISSUERS, "account_id")), ("balances", "issuer_exists", missing("issuer_id", with_issuer("v_balances", "asset_id"), "concat(holder_id, ':', asset_id)", ISSUERS, "account_id")), ("balances", "identity_shape", f"SELECT concat(holder_id, ':', asset_id) FROM v_balances JOIN {SOME_ASSETS} a ON a.id = asset_id WHERE CASE WHEN asset_type = 0 THEN asset_code <> '' OR issuer_id IS NOT NULL ELSE asset_code = '' OR issuer_id IS NULL END"), ("pools", "asset_a_issuer_exists", missing("issuer_id", with_issuer("v_pools", "asset_a"), "pool_id", ISSUERS, "account_id")), ("pools", "asset_b_issuer_exists", missing("issuer_id", with_issuer("v_pools", "asset_b"), "pool_id", ISSUERS, "account_id"))])),
+    "v20_stored_minimums": (check_minimums, check_sql([("positions", "first_deposit_is_least", f"SELECT concat(p.pool_id, ':', p.account_id) FROM v_positions p JOIN (SELECT pool_id, tx_source_id, min(ledger_sequence) AS l FROM v_operations WHERE {REPAIR_OPS} GROUP BY ALL) d ON d.pool_id = p.pool_id AND d.tx_source_id = p.account_id WHERE l <> first_deposit_ledger"), ("nfts", "minted_at_is_least", f"SELECT concat(contract_id, ':', token_id) FROM {TOKENS} t WHERE token_id = 5 AND minted_at_ledger IS NOT NULL"), ("contracts", "deployed_at_is_least", "SELECT contract_id FROM v_contracts WHERE contract_id = 8"), ("contracts", "deployer_is_first", "SELECT c.contract_id FROM v_contracts c JOIN (SELECT contract_id, min(struct_pack(l := ledger_sequence, d := user_id)) AS f FROM v_events GROUP BY contract_id) e ON e.contract_id = c.contract_id WHERE f.d <> deployer_id"), ("accounts", "skeleton_rate", "SELECT p FROM (SELECT round(100 * count(*) FILTER (account_id % 7 = 0 OR sequence_number = 0) / count(*), 4) AS p FROM v_accounts) r WHERE p >= 1")])),
     "r1_table_diff": (lambda v: D.table_diff(v.ledgers, other_ledgers(v), ["sequence"], ["transaction_count", "base_fee"]), "SELECT CAST(sequence AS VARCHAR) AS key, CASE WHEN sequence % 40 = 0 THEN 'missing' ELSE 'transaction_count' END AS field, CASE WHEN sequence % 40 <> 0 THEN CAST(transaction_count AS VARCHAR) END AS \"left\", CASE WHEN sequence % 40 = 0 THEN 'right' ELSE CAST(transaction_count + 1 AS VARCHAR) END AS \"right\" FROM v_ledgers WHERE sequence % 40 = 0 OR sequence % 30 = 0"),
     "r1_diff_counts": (lambda v: D.diff_counts(D.table_diff(v.ledgers, other_ledgers(v), ["sequence"], ["transaction_count", "base_fee"])), "SELECT CASE WHEN sequence % 40 = 0 THEN 'missing' ELSE 'transaction_count' END AS field, count(*) AS n FROM v_ledgers WHERE sequence % 40 = 0 OR sequence % 30 = 0 GROUP BY 1"),
     "r2_order_diff": (lambda v: D.order_diff(v.operations.select("transaction_id", "application_order", "type"), applied(v)), ORDER_DIFF),

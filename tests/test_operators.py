@@ -249,3 +249,25 @@ def test_close_times_grow_over_bucket_edges(spark):
     df = spark.createDataFrame([(s, c, 1, 100) for s, c in closed.items()], "sequence bigint, closed_at bigint, transaction_count bigint, base_fee int")
     got = {r.check: r for r in V.check_ledgers(df, 10).collect()}["close_time_increasing"]
     assert (got.violations, got.sample) == (3, "10,20,45")
+
+
+def test_issuers_and_native_identity(spark):
+    assets = spark.createDataFrame([(0, 0, "", None), (1, 0, "", 1), (2, 1, "A", 1), (3, 1, "", 1), (4, 1, "B", None), (5, 1, "C", 9)], "id int, asset_type int, asset_code string, issuer_id int")
+    accounts = spark.createDataFrame([(1,)], "account_id int")
+    operations = spark.createDataFrame([(70, 2), (71, 5), (72, None)], "transaction_id int, asset_id int")
+    balances = spark.createDataFrame([(1, i) for i in range(6)], "holder_id int, asset_id int")
+    pools = spark.createDataFrame([(1, 0, 2), (2, 2, 5), (3, 5, 0)], "pool_id int, asset_a int, asset_b int")
+    got = {(r.table, r.check): r["sample"] for r in V.check_issuers(operations, balances, pools, assets, accounts).collect()}
+    assert got == {("operations", "issuer_exists"): "71", ("balances", "issuer_exists"): "1:5", ("balances", "identity_shape"): "1:1,1:3,1:4", ("pools", "asset_a_issuer_exists"): "3", ("pools", "asset_b_issuer_exists"): "2"}
+
+
+def test_stored_minimums_are_recomputed(spark):
+    positions = spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "pool_id int, account_id int, first_deposit_ledger int")
+    operations = spark.createDataFrame([(22, 1, 1, 5), (22, 1, 1, 9), (22, 2, 1, 4), (2, 1, 1, 1)], "type int, source_id int, pool_id int, ledger_sequence int")
+    tokens = spark.createDataFrame([(1, 1, 3), (1, 2, None)], "contract_id int, token_id int, minted_at_ledger int")
+    ownership = spark.createDataFrame([(1, 1, 3, 0), (1, 2, 3, 0), (1, 1, 1, 1)], "contract_id int, token_id int, ledger_sequence int, event_type int")
+    contracts = spark.createDataFrame([(1, 7, 2), (2, 7, 3), (3, 8, 2), (4, None, 9)], "contract_id int, deployer_id int, deployed_at_ledger int")
+    versions = spark.createDataFrame([(c, d, s) for c in (1, 2, 3, 4) for d, s in ((7, 2), (6, 4), (None, 1))], "contract_id int, deployer_id int, ledger_sequence int")
+    accounts = spark.createDataFrame([(1, 0), (2, 5)], "account_id int, sequence_number int")
+    got = {r.check: r["sample"] for r in V.check_stored_minimums(positions, operations, tokens, ownership, contracts, versions, accounts).collect()}
+    assert got == {"first_deposit_is_least": "1:2", "minted_at_is_least": "1:2", "deployed_at_is_least": "2", "deployer_is_first": "3", "skeleton_rate": "50.0"}
