@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, line_dedup, near_dup, sentencepiece_codec, toxicity
-from orrery.llm.common import saved, table
+from orrery.llm.common import field, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,16 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays (shingles of five words, similarity 0.8 or more)."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """One row of each group stays, that of the smallest id and then hash of the text (shingles of five words, similarity 0.8 or more); null ids come last."""
+    own = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), own.alias("doc_id"), "text")
+    found = saved(near_dup.near_duplicates(rows.select("doc_id", "text")).select("doc_id", "n_shingles", "kept"))
+    left = rows.drop("text").join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    again = saved(found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))  # id and text repeat
+    if again.isEmpty():
+        return left.select("row.*")
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(again, "doc_id", "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

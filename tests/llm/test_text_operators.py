@@ -548,6 +548,16 @@ def test_odd_names_and_types_go_through(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df, SF).collect() == df.collect()
 
 
+def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "y"), (3, c, "x"), (None, a, "x"), (None, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()]
+    assert sorted(left, key=repr) == sorted([(1, a, "x"), (2, b, "x"), (3, c, "x"), (None, None, "x"), (None, None, "x")], key=repr)
+
+
 def test_pipeline_edges(spark):
     """Empty tables and odd rows pass every stage."""
     import corpus_pipeline
