@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,8 +20,8 @@ WORD_BYTES = bytes(
 )
 #: A-Z become a-z, all else stays.
 LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Rows that a worker turns into Python values at a time.
-ROWS = 1_000
+#: Rows that a worker turns into Python values at a time, and their bytes (or one longer row).
+ROWS, BATCH_BYTES = 1_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,7 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> None:
 
 
 def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], schema: str, keep: StructField | None = None) -> DataFrame:
-    """mapInArrow: make gets ROWS rows at a time, which bounds a worker's memory, and returns their new columns in the order of schema.
+    """mapInArrow: make gets ROWS rows or BATCH_BYTES at a time, which bounds a worker's memory, and returns their new columns in the order of schema.
 
     keep: a first column that goes through as it came, of any type and with fields of any names.
     """
@@ -68,9 +70,24 @@ def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], schema: s
     names = [f.name for f in ([keep] if keep else []) + made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        for batch in (some for whole in batches for some in slices(whole)):
             columns = make(batch)
             kept, new = (columns[:1], columns[1:]) if keep else ([], columns)
             yield pa.RecordBatch.from_arrays(kept + [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(new, types, strict=True)], names=names)
 
     return df.mapInArrow(run, StructType([keep, *made]) if keep else schema)
+
+
+def slices(batch: pa.RecordBatch, rows: int | None = None, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of so many rows and bytes (of texts and binaries) at most, or one row of more bytes."""
+    rows, most = rows or ROWS, most or BATCH_BYTES
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        end = min(at + rows, max(at + 1, fit))
+        yield batch.slice(at, end - at)
+        at = end

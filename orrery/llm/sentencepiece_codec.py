@@ -5,10 +5,10 @@ character map, white space rules, dummy prefix), the metaspace marker, unigram s
 the merges that its scores imply, byte fallback and the decoder. Batches are encoded by several threads.
 
 Where no piece has the marker behind another sign (which is checked on the vocabulary), words can't
-influence each other: each distinct word of a worker's texts is encoded once, in batches, its ids are
-compared with those of the sentencepiece library and decoded again, and texts are put together from words.
-Else whole texts are. So parity and the round trip are verified for every text. (A text that holds the
-marker itself can't come back.)
+influence each other: each distinct word of a worker's texts is encoded once, in large calls, and texts are
+put together from words. Else whole texts are encoded. Parity compares the ids of each whole text with those
+that the sentencepiece library gives the whole text; the round trip puts the bytes of all pieces of a text
+together and compares them with the text. (A text that holds the marker itself can't come back.)
 
 Null and empty texts have no pieces and decode to the empty text. Special pieces in a text are ordinary
 text. Each row is treated by itself, so repeated rows agree.
@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 from dataclasses import dataclass, field as data_field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,11 @@ from orrery.llm.common import field, map_columns
 MARKER = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
+_MARK, _CUT = MARKER.encode(), b"\xff"  # a byte that no text holds
 WORDS = MARKER + "*[^" + MARKER + "]+|" + MARKER + "+"
-#: Characters that are encoded in one call.
-CALL_CHARS = 200_000
-#: Characters of words (and 100 a word) that a worker keeps with their ids.
+#: New words that are encoded as one text.
+WORDS_AT_ONCE = 2_000
+#: Bytes of words (and 100 a word) that a worker keeps with their ids.
 KNOWN_CHARS = 60_000_000
 THREADS = 2
 
@@ -162,80 +163,121 @@ def read_model(path: str | None = None) -> bytes:
 
 
 class Codec:
-    """Where words are independent, each distinct word is encoded, compared and decoded once, in batches, and texts are put together from words."""
+    """Where words are independent, each distinct word is encoded once, in large calls, and texts are put together from words as buffers."""
 
-    def __init__(self, model: bytes, tokenizer: str, by_word: bool, only_marks: bool, threads: int):
+    def __init__(self, model: bytes, spec: Spec, tokenizer: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.only_marks = Tokenizer.from_str(tokenizer), by_word, only_marks
+        self.tokenizer, self.by_word, self.dummy_prefix = Tokenizer.from_str(tokenizer), splits_at_markers(spec), spec.dummy_prefix
+        self.only_marks = spec.dummy_prefix and spec.escape and not spec.charsmap and not spec.remove_extra
         self.reference = SentencePieceProcessor(model_proto=model)
-        self.find_words = re.compile(WORDS).findall
-        self.known: dict[str, bytes] = {}  # ids of a word as 32-bit integers
+        self.bytes_of = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in spec.pieces], pa.large_binary())
+        self.opens = np.array([kind == NORMAL and p.startswith(MARKER) for p, _, kind in spec.pieces])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # number of a word
+        self.words = pa.array([], pa.large_list(pa.int32()))  # ids of each word
         self.chars = 0
-        self.apart: set[str] = set()  # words that the libraries encode differently
-        self.lossy: set[str] = set()  # words that decode to another text
-
-    def _normal(self, text: str) -> str:
-        if self.only_marks:
-            return MARKER + text.replace(" ", MARKER) if text else ""
-        return self.tokenizer.normalizer.normalize_str(text)
-
-    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-        """Ids, whether the sentencepiece library agrees, and whether decoding gives the text back."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        agree = [i == j for i, j in zip(ids, self.reference.encode(texts), strict=True)]
-        back = [t == u for t, u in zip(texts, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
-        return ids, agree, back
-
-    def _learn(self, words: set[str]) -> None:
+
+    def _normal(self, texts: pa.Array) -> pa.Array:
+        """The texts as the model's normaliser leaves them, as bytes."""
+        if not self.only_marks:
+            normal = [self.tokenizer.normalizer.normalize_str(t) for t in texts.to_pylist()]
+            return pa.array(normal, pa.large_string()).cast(pa.large_binary())
+        marked = pc.replace_substring(texts.cast(pa.large_binary()), b" ", _MARK)
+        return pc.if_else(pc.equal(pc.binary_length(marked), 0), marked, pc.binary_join_element_wise(pa.scalar(_MARK, pa.large_binary()), marked, pa.scalar(b"", pa.large_binary())))
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """How many words each text has, and all words: a word starts where markers start."""
+        cut = pc.replace_substring(self._normal(texts), _MARK, _CUT + _MARK)
+        while pc.any(pc.match_substring(cut, _MARK + _CUT + _MARK)).as_py():  # markers in a row are one start
+            cut = pc.replace_substring(cut, _MARK + _CUT + _MARK, _MARK + _MARK)
+        words = pc.split_pattern(cut, _CUT)
+        full = pc.greater(pc.binary_length(words.flatten()), 0)
+        ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        return np.diff(ends[words.offsets.to_numpy()]), words.flatten().filter(full)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of one marker are encoded many at a time, as one text: the pieces that open with a marker tell them apart."""
+        odd = [w for w in words if w.rfind(_MARK) or len(w) == len(_MARK)]
+        plain = [w for w in words if not w.rfind(_MARK) and len(w) > len(_MARK)]
+        groups = [plain[at : at + WORDS_AT_ONCE] for at in range(0, len(plain), WORDS_AT_ONCE)]
+        made: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for group, ids in zip(groups, self._each([b"".join(g).decode()[1:].replace(MARKER, " ") for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(group) or starts[0]:  # the marker itself is no piece
+                apart = self._each([w.decode()[1:] for w in group])
+                ids, starts = np.concatenate(apart), np.cumsum([0, *map(len, apart[:-1])])
+            made.append(ids)
+            sizes.append(np.diff(starts, append=len(ids)))
+        order = plain
+        if odd:
+            # A word without its first marker is a text that normalises to the word. No text normalises to a single marker: it is what a space adds to a word.
+            short, longer = self._each(["a", "a "])
+            found = [longer[len(short) :] if w == _MARK else ids for w, ids in zip(odd, self._each([w.decode().removeprefix(MARKER).replace(MARKER, " ") for w in odd]), strict=True)]
+            made += found
+            sizes.append(np.array([len(i) for i in found]))
+            order = plain + odd
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
+        self.chars += sum(map(len, order)) + 100 * len(order)
+        new = _lists(np.concatenate(sizes), np.concatenate(made))
+        self.words = pa.concat_arrays([self.words, new])
+
+    def _by_word(self, texts: pa.Array) -> pa.LargeListArray:
+        counts, flat = self._words(texts)
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if self.chars > KNOWN_CHARS:  # bounded memory
-            self.known.clear()
-            self.apart.clear()
-            self.lossy.clear()
-            self.chars = 0
-        fresh = words - self.known.keys()
-        if MARKER in fresh:  # no text normalises to a single marker: it is what a space adds to a word
-            fresh.discard(MARKER)
-            (short, longer), agree, back = self._both(["a", "a "])
-            self.known[MARKER] = np.array(longer[len(short) :], np.int32).tobytes()
-            self.apart.update([MARKER] * (not all(agree)))
-            self.lossy.update([MARKER] * (not all(back)))
-        new = list(fresh)
-        # A word without its first marker is a text that normalises to the word.
-        plain = [w.removeprefix(MARKER).replace(MARKER, " ") for w in new]
-        at = 0
-        for some in _slices(plain, CALL_CHARS):
-            for word, ids, agree, back in zip(new[at : at + len(some)], *self._both(some), strict=True):
-                self.known[word] = np.array(ids, np.int32).tobytes()
-                self.chars += len(word) + 100
-                if not agree:
-                    self.apart.add(word)
-                if not back:
-                    self.lossy.add(word)
-            at += len(some)
-
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, list[bool], list[bool]]:
-        """Ids as an Arrow column, parity, and round trip."""
-        parts, agree, back = [], [], []
-        for some in _slices(texts, CALL_CHARS):
-            if not self.by_word:
-                ids, good, same = self._both(some)
-                parts += [np.array(i, np.int32).tobytes() for i in ids]
-                agree += good
-                back += same
-                continue
-            normal = [self._normal(t) for t in some]
-            words = [self.find_words(t) for t in normal]
-            self._learn(set().union(*words))
-            for text, whole, own in zip(some, normal, words, strict=True):
-                parts.append(b"".join(map(self.known.__getitem__, own)))
-                agree.append(not self.apart or self.apart.isdisjoint(own))
-                back.append(whole.removeprefix(MARKER).replace(MARKER, " ") == text and (not self.lossy or self.lossy.isdisjoint(own)))
-        ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32))), agree, back
+            self._forget()
+        if fresh := [w for w in distinct if w not in self.known]:
+            self._learn(fresh)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ids = self.words.take(pa.array(numbers[coded.indices.to_numpy()]))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return pa.LargeListArray.from_arrays(pa.array(_starts(ids)[ends]), ids.flatten())
+
+    def encode(self, texts: pa.Array) -> pa.LargeListArray:
+        """The ids of each text; a null has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.by_word:
+            return self._by_word(texts)
+        made = self._each(texts.to_pylist())
+        return _lists(np.array([len(i) for i in made], np.int64), np.concatenate([np.empty(0, np.int32), *made]))
+
+    def agree(self, texts: pa.Array, ids: pa.LargeListArray) -> np.ndarray:
+        """Whether the sentencepiece library gives each whole text these ids."""
+        made = self.reference.encode(pc.fill_null(texts, "").to_pylist(), num_threads=1)  # whole texts: more threads cost more than they save
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        own = np.diff(_starts(ids))
+        good = lengths == own
+        if good.all():
+            other = np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))
+            apart = np.flatnonzero(ids.flatten().to_numpy() != other)
+            good[np.searchsorted(np.cumsum(own), apart, side="right")] = False
+            return good
+        for k in np.flatnonzero(good):
+            good[k] = ids[int(k)].as_py() == made[k]
+        return good
+
+    def comes_back(self, texts: pa.Array, ids: pa.LargeListArray) -> list[bool]:
+        """Whether the bytes of each text's pieces, put together, are the text."""
+        pieces = self.bytes_of.take(ids.flatten())
+        starts = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)[_starts(ids)].tolist() if len(pieces) else [0] * (len(ids) + 1)
+        data = memoryview(pieces.buffers()[2] or b"")
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        out = []
+        for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+            a += self.dummy_prefix and a < b and data[a : a + 1] == b" "
+            out.append(data[a:b] == text.as_buffer())
+        return out
 
     def decode(self, ids: pa.Array) -> list[str]:
         out: list[str] = []
@@ -244,16 +286,14 @@ class Codec:
         return out
 
 
-def _slices(texts: list[str], chars: int):
-    """Neighbouring texts of so many characters in all, or one longer text."""
-    at = 0
-    while at < len(texts):
-        end, n = at + 1, len(texts[at])
-        while end < len(texts) and n + len(texts[end]) <= chars:
-            n += len(texts[end])
-            end += 1
-        yield texts[at:end]
-        at = end
+def _starts(lists: pa.LargeListArray) -> np.ndarray:
+    """Where each list starts in the flattened values, and the end."""
+    starts = lists.offsets.to_numpy()
+    return starts - starts[0]
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)), pa.array(values, pa.int32()))
 
 
 _codecs: dict[str, Codec] = {}
@@ -263,8 +303,7 @@ def _codec(df: DataFrame, model_path: str | None, threads: int):
     """What makes the codec, once in each worker process; the last one stays there for later tasks."""
     model = read_model(model_path)
     spec = parse_model(model)
-    only_marks = spec.dummy_prefix and spec.escape and not spec.charsmap and not spec.remove_extra
-    shared = df.sparkSession.sparkContext.broadcast((model, build_tokenizer(spec), splits_at_markers(spec), only_marks))
+    shared = df.sparkSession.sparkContext.broadcast((model, spec, build_tokenizer(spec)))
     key = f"{hashlib.sha256(model).hexdigest()}-{threads}"
 
     def get() -> Codec:
@@ -282,8 +321,8 @@ def encode(df: DataFrame, text: str = "text", carry: list[str] | None = None, mo
     rows = df.select(F.struct(*[field(c) for c in (df.columns if carry is None else carry)]).alias("doc"), F.coalesce(field(text), F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> list:
-        ids, agree, _ = get().encode(batch.column(1).to_pylist())
-        return [batch.column(0), ids, agree]
+        ids = get().encode(batch.column(1))
+        return [batch.column(0), ids, get().agree(batch.column(1), ids)]
 
     return map_columns(rows, run, "ids array<int>, parity boolean", rows.schema["doc"])
 
@@ -305,7 +344,8 @@ def encoded_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     get = _codec(docs, model_path, threads)
 
     def run(batch: pa.RecordBatch) -> list:
-        ids, agree, back = get().encode(batch.column(1).to_pylist())
-        return [batch.column(0), pc.list_value_length(ids), ids, agree, back]
+        codec, texts = get(), batch.column(1)
+        ids = codec.encode(texts)
+        return [batch.column(0), pc.list_value_length(ids), ids, codec.agree(texts, ids), codec.comes_back(texts, ids)]
 
     return map_columns(rows, run, "n_tokens bigint, ids array<int>, parity boolean, round_trip boolean", rows.schema["doc_id"])

@@ -463,6 +463,40 @@ def test_pieces_equal_the_library(spark):
     assert sentencepiece_codec.encoded_and_back(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_whole_texts_of_a_table_agree_and_come_back():
+    """Ids and bytes put together from words against both libraries on whole texts; a damaged id is told."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    model = sentencepiece_codec.read_model()
+    spec = sentencepiece_codec.parse_model(model)
+    codec = sentencepiece_codec.Codec(model, spec, sentencepiece_codec.build_tokenizer(spec), 1)
+    reference = SentencePieceProcessor(model_proto=model)
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].combine_chunks()
+    ids = codec.encode(texts)
+    assert ids.to_pylist() == reference.encode([t or "" for t in texts.to_pylist()])
+    assert codec.agree(texts, ids).all() and all(codec.comes_back(texts, ids)) and codec.decode(ids) == [t or "" for t in texts.to_pylist()]
+    values = ids.flatten().to_numpy().copy()
+    at = ids.offsets.to_numpy()
+    k = int(np.flatnonzero(np.diff(at))[3])
+    values[at[k]] += 1
+    damaged = pa.LargeListArray.from_arrays(ids.offsets, pa.array(values))
+    assert np.flatnonzero(~codec.agree(texts, damaged)).tolist() == [k] == [i for i, good in enumerate(codec.comes_back(texts, damaged)) if not good]
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from orrery.llm.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(8)), "t": ["x" * n for n in (1, 2, 30, 4, None or 0, 6, 3, 3)]})
+    parts = [b.column(0).to_pylist() for b in slices(batch, rows=3, most=10)]
+    assert parts == [[0, 1], [2], [3, 4, 5], [6, 7]] and [b.num_rows for b in slices(batch.slice(8))] == []
+
+
 def test_separate_encoding_and_decoding(spark):
     texts = [None, "", "Hello  world", "naïve 🙂"]
     encoded = sentencepiece_codec.encode(docs_of(spark, texts), carry=["doc_id"])
