@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,21 +34,57 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def on_one_machine(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only where all is one process (tests) may it be unset: then it is one of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not on_one_machine(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+#: Tables written by saved() that are still there.
+_held: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
+    """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor loses nothing. The table goes with saved_alone(), or else when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
+    _held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of saved tables, for saved_alone()."""
+    return len(_held)
+
+
+def saved_alone(df: DataFrame, since: int) -> DataFrame:
+    """As saved(); all tables saved since mark() go: nothing else that was made of them may be read any more."""
+    out = saved(df)
+    for path in _held[since:-1]:
+        files, at = _file_system(df.sparkSession, path)
+        files.delete(at, True)
+    del _held[since:-1]
+    return out
+
+
 def share_file(spark: SparkSession, name: str, data: bytes) -> None:
     """Lays data in the shared folder, from where every executor, also one that starts later, fetches it: SparkFiles.get(name) is its copy."""
     context = spark.sparkContext
