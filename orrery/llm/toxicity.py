@@ -1,50 +1,45 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Words (runs of word bytes, A-Z in lower case) of a line form a chain of two states, clean and toxic. A
-word's emission is a constant plus the weights of its features, which are those of the word itself and its
-first 3 to 6 bytes that training has selected; transitions and starts have weights of their own.
-
-Training: of a bounded sample of labelled rows (``sample`` toxic and twice as many clean ones, by a hash
-of the id) the labelled tokens are made first. Near copies are left out by a hash of two smallest word
-hashes. A word or prefix whose frequency in toxic documents stands out against clean ones (log-odds over
-their standard error of at least ``STANDS_OUT``, or less if it explains documents that nothing else does)
-is selected, and marks its tokens in toxic documents; all other tokens are clean. The field's likelihood is then raised by gradient steps on
-the exact forward-backward marginals, and two logistic weights turn a document's marginals into a score.
-Labels of an id are joined by maximum; ids of one label row each are expected.
-
-Scoring: forward-backward over every word of every line; the score is the logistic of the expected number
-of toxic words among those with a marginal of 0.25 or more (its log1p) and of the largest marginal. Words of a marginal of 0.5 or more form the
-offending spans (code points, end exclusive). Null and empty texts have no words and get the score of a
-document without toxic words. Without labelled rows of both kinds every score is the share of toxic rows
+word's emission is a constant plus the weights of its own features (the word, its first 3 to 6 bytes, its
+last 3 and 4, its shape) and of the words before and after it; transitions and starts have weights of their own.
+
+Training: on whole texts of a bounded sample of labelled rows (``sample`` toxic and twice as many clean ones, by a
+hash of the id; texts of TEXT_BYTES at most, SAMPLE_BYTES in all). Near copies are left out by a hash of two smallest
+word hashes; features that fewer than MIN_DOCUMENTS of the sample hold have no weight. Labels are of documents, states
+of words, so the words' states are latent: in a clean document all words are clean, in a toxic one at least one is
+toxic, but for LEAK, the share of toxic labels that nothing in the text explains. With p the exact probability that all words of a document are clean, gradient steps (AdaGrad)
+raise the sum of log((1 - LEAK) p) over clean and log(1 - (1 - LEAK) p) over toxic documents; their slopes are exact
+forward-backward marginals. DECAY and STEPS were chosen on a part of the training rows. Labels of an id are joined by maximum; ids of one
+label row each are expected.
+
+Scoring: forward-backward over every word of every line; the score is 1 - (1 - LEAK) p, in which p is put together
+from each word's marginal given that all words before it are clean. Words of a marginal of 0.5 or more form the
+offending spans (code points, end exclusive); where a score of 0.5 or more comes from lesser words only, the largest one does. Null and empty texts have no words and the score LEAK.
+Without labelled rows of both kinds every score is the share of toxic rows
 (0 without any row). Each row is scored by itself, so repeated rows agree.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field as data_field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import WORD_BYTES, field, map_columns
 
-#: Toxic rows in the training sample at most; twice as many clean ones.
-SAMPLE = 1_500
-#: Bytes of a document that training reads (scoring reads all).
-SAMPLE_BYTES = 8_000
-#: Documents of the sample, as many of either label as there are in it, that the field itself is fitted on.
-FIELD_DOCUMENTS = 1_500
-#: Log-odds over standard error: marks by themselves; and marks if half of their toxic documents, this many at least, have no stronger mark.
-STANDS_OUT, STANDS_OUT_ALONE, ALONE_IN = 3.2, 2.2, 3
-#: A marginal from which on a word counts for the score.
-COUNTS = 0.25
-STEPS, RATE, DECAY = 40, 0.7, 1e-2
-CHAIN = 64  # words of a chain in training
+#: Toxic rows in the training sample at most (twice as many clean ones), bytes of one of its texts at most, and of all.
+SAMPLE, TEXT_BYTES, SAMPLE_BYTES = 1_000, 1_000_000, 32_000_000
+#: Documents of the sample that hold a feature, at least.
+MIN_DOCUMENTS = 3
+#: Share of toxic labels that no word explains.
+LEAK = 0.02
+STEPS, RATE, DECAY = 40, 0.5, 1.0
 CHUNK = 400_000  # words that are scored together
 LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -55,8 +50,9 @@ def lines_of(text: bytes | None) -> list[list[bytes]]:
 
 
 def names(word: bytes) -> list[bytes]:
-    """The features of a word: itself and its beginnings."""
-    return [b"w" + word] + [b"%d" % k + word[:k] for k in (3, 4, 5, 6) if len(word) >= k]
+    """The features of a word: itself, its beginnings and ends, and its shape."""
+    out = [b"w" + word] + [b"%d" % k + word[:k] for k in (3, 4, 5, 6) if len(word) > k] + [b"-%d" % k + word[-k:] for k in (3, 4) if len(word) > k]
+    return [*out, b"s%d%d%d" % (min(len(word), 8) // 3, any(48 <= c <= 57 for c in word), max(word) > 127)]
 
 
 @dataclass
@@ -75,21 +71,22 @@ class Chains:
         self.active = (len(order) - np.searchsorted(self.lengths[::-1], np.arange(longest), side="right")).tolist()
 
 
-def _softplus_ratio(x: np.ndarray, a: float, b: float, c: float, d: float) -> np.ndarray:
-    """log((e^a + e^(b+x)) / (e^c + e^(d+x)))."""
-    return np.logaddexp(a, b + x) - np.logaddexp(c, d + x)
-
-
 def forward_backward(emission: np.ndarray, chains: Chains, start: float, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the toxic state from the left (own emission included) and from the right, at each word. move[x, y]: weight from x to y."""
+    """Log-odds of the toxic state from the left (own emission included) and from the right, at each word. move[x, y]: weight from x to y. Emissions beyond 300 are as at 300."""
+    emission = np.clip(emission, -300, 300)
     left, right = np.zeros_like(emission), np.zeros_like(emission)
-    (cc, ct), (tc, tt) = move
+    cc, ct, tc, tt = np.exp(move - move.max()).ravel().tolist()
     for t, n in enumerate(chains.active):
         at = chains.starts[:n] + t
-        left[at] = emission[at] + (_softplus_ratio(left[at - 1], ct, tt, cc, tc) if t else start)
+        if t:
+            odds = np.exp(left[at - 1])
+            left[at] = emission[at] + np.log((ct + tt * odds) / (cc + tc * odds))
+        else:
+            left[at] = emission[at] + start
     for t in range(len(chains.active) - 2, -1, -1):
         at = chains.starts[: chains.active[t + 1]] + t
-        right[at] = _softplus_ratio(emission[at + 1] + right[at + 1], tc, tt, cc, ct)
+        odds = np.exp(emission[at + 1] + right[at + 1])
+        right[at] = np.log((tc + tt * odds) / (cc + ct * odds))
     return left, right
 
 
@@ -97,16 +94,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def log_all_clean(emission: np.ndarray, right: np.ndarray, opens: np.ndarray, start: float, move: np.ndarray) -> np.ndarray:
+    """For each word the log-probability that it is clean, given that all before it on its line are."""
+    return -np.logaddexp(0, emission + right + np.where(opens, start, move[0, 1] - move[0, 0]))
+
+
 @dataclass
 class Model:
     constant: float
     weights: dict[bytes, float]
+    before: dict[bytes, float]  # of the word before
+    after: dict[bytes, float]  # of the word after
     start: float
     move: np.ndarray
-    score: tuple[float, float, float]  # constant, weight of log1p(expected toxic words), weight of the largest marginal
     same: float | None = None  # the score of all rows, if there was nothing to learn from
 
 
+@dataclass
+class Words:
+    """The words of many documents, line after line, with marks at the first and last word of each line."""
+
+    ids: np.ndarray
+    doc_of: np.ndarray
+    opens: np.ndarray
+    ends: np.ndarray
+    chains: Chains
+
+    @classmethod
+    def of(cls, ids: list[int], lengths: np.ndarray, doc_of: np.ndarray) -> "Words":
+        starts = np.cumsum(lengths) - lengths
+        full = lengths > 0
+        opens, ends = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        opens[starts[full]] = True
+        ends[(starts + lengths - 1)[full]] = True
+        return cls(np.array(ids, np.int64), np.repeat(doc_of, lengths), opens, ends, Chains(starts[full], lengths[full]))
+
+    def emissions(self, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """From the weights of each word of the vocabulary: by itself, as the one before and as the one after."""
+        out = own[self.ids]
+        later, earlier = np.flatnonzero(~self.opens), np.flatnonzero(~self.ends)
+        out[later] += before[self.ids[later - 1]]
+        out[earlier] += after[self.ids[earlier + 1]]
+        return out
+
+
 def without_copies(docs: list[tuple[list[list[bytes]], int]]) -> list[tuple[list[list[bytes]], int]]:
     """One document for each label and pair of smallest word hashes."""
     held = {}
@@ -117,156 +148,138 @@ def without_copies(docs: list[tuple[list[list[bytes]], int]]) -> list[tuple[list
     return list(held.values())
 
 
-def marked_features(docs: list[tuple[list[list[bytes]], int]]) -> set[bytes]:
-    features = [({f for w in {w for line in lines for w in line} for f in names(w)}, label) for lines, label in docs]
-    seen = [Counter(), Counter()]
-    total = [0, 0]
-    for own, label in features:
-        total[label] += 1
-        seen[label].update(own)
-    ranked = []
-    for f, a in seen[1].items():
-        b = seen[0][f]
-        odds = np.log((a + 0.5) / (total[1] + 1)) - np.log((b + 0.5) / (total[0] + 1))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= 3 and z >= STANDS_OUT_ALONE and odds > 2:
-            ranked.append((-z, f))
-    holders: dict[bytes, list[int]] = {f: [] for _, f in ranked}
-    for k, (own, label) in enumerate(features):
-        if label:
-            for f in own & holders.keys():
-                holders[f].append(k)
-    marks, explained = set(), set()
-    for z, f in sorted(ranked):
-        alone = len(holders[f]) - len(explained.intersection(holders[f]))
-        if -z >= STANDS_OUT or alone >= ALONE_IN and 2 * alone >= len(holders[f]):
-            marks.add(f)
-            explained.update(holders[f])
-    return marks
-
-
-def train(rows: list[tuple[bytes | None, int]]) -> Model:
+def _vocabulary_features(words: list[bytes], spots: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Features that enough documents hold, and for each pair of a word and such a feature of it their numbers. spots: distinct (document, word)."""
+    numbers: dict[bytes, int] = {}
+    pairs = [(k, numbers.setdefault(f, len(numbers))) for k, word in enumerate(words) for f in names(word)]
+    of_word, of_feature = np.array(pairs, np.int64).reshape(-1, 2).T
+    start = np.searchsorted(of_word, np.arange(len(words) + 1))
+    n = np.diff(start)[spots[:, 1]]
+    at = np.repeat(start[spots[:, 1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    documents = int(spots[:, 0].max(initial=0)) + 1
+    held = np.unique(of_feature[at] * documents + np.repeat(spots[:, 0], n)) // documents
+    keep = np.bincount(held, minlength=len(numbers)) >= MIN_DOCUMENTS
+    new = np.cumsum(keep) - 1
+    own = keep[of_feature]
+    return [f for f, k in zip(numbers, keep.tolist(), strict=True) if k], of_word[own], new[of_feature[own]]
+
+
+def train(rows: list[tuple[bytes | None, int]], steps: int = STEPS) -> Model:
     """rows: text and label of the sample."""
     docs = [(lines_of(text), int(label > 0)) for text, label in rows]
     toxic = sum(label for _, label in docs)
     if not toxic or toxic == len(docs):
-        return Model(0.0, {}, 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0), toxic / len(docs) if docs else 0.0)
+        return Model(0.0, {}, {}, {}, 0.0, np.zeros((2, 2)), toxic / len(docs) if docs else 0.0)
     docs = without_copies(docs)
-    marks = marked_features(docs)
-    share = min(1.0, FIELD_DOCUMENTS / len(docs))
-    clean, bad = ([d for d in docs if d[1] == label] for label in (0, 1))
-    docs = clean[: max(1, round(share * len(clean)))] + bad[: max(1, round(share * len(bad)))]
     vocabulary: dict[bytes, int] = {}
-    ids, targets, starts, lengths, doc_of = [], [], [], [], []
-    for d, (lines, label) in enumerate(docs):
-        for line in lines:
-            for at in range(0, len(line), CHAIN):
-                part = line[at : at + CHAIN]
-                starts.append(len(ids))
-                lengths.append(len(part))
-                for word in part:
-                    ids.append(vocabulary.setdefault(word, len(vocabulary)))
-                    targets.append(label and not marks.isdisjoint(names(word)))
-                    doc_of.append(d)
-    numbers = {f: k + 1 for k, f in enumerate(sorted(marks))}  # 0 is the constant
-    table = np.zeros((len(vocabulary), 6), np.int64)
-    there = np.zeros(table.shape)
-    there[:, 0] = 1
-    for word, k in vocabulary.items():
-        own = [numbers[f] for f in names(word) if f in numbers]
-        table[k, 1 : 1 + len(own)], there[k, 1 : 1 + len(own)] = own, 1
-    ids, y, doc_of = np.array(ids), np.array(targets, float), np.array(doc_of)
-    chains = Chains(np.array(starts), np.array(lengths))
-    first = chains.starts[chains.lengths > 0]
-    later = np.ones(len(ids), bool)
-    later[first] = False
-    later = np.flatnonzero(later)
-    weights, bias = np.zeros(len(numbers) + 1), np.zeros(5)  # start, and move in the order of its rows
-    squares, bias_squares = np.full_like(weights, 1e-6), np.full(5, 1e-6)
-    state = y.astype(int)
-    gold_move = np.bincount(2 * state[later - 1] + state[later], minlength=4).astype(float)
-    for _ in range(STEPS):
-        emission = (weights[table] * there).sum(1)[ids]
-        move = bias[1:].reshape(2, 2)
-        left, right = forward_backward(emission, chains, bias[0], move)
+    ids = [vocabulary.setdefault(w, len(vocabulary)) for lines, _ in docs for line in lines for w in line]
+    lengths = np.array([len(line) for lines, _ in docs for line in lines], np.int64)
+    there = Words.of(ids, lengths, np.repeat(np.arange(len(docs)), [len(lines) for lines, _ in docs]))
+    y, size = np.array([label for _, label in docs], float), len(vocabulary)
+    spots = np.stack(np.divmod(np.unique(there.doc_of * size + there.ids), size), 1)
+    words = list(vocabulary)
+    features, of_word, of_feature = _vocabulary_features(words, spots)
+    known = np.flatnonzero(np.bincount(spots[:, 1], minlength=size) >= MIN_DOCUMENTS)  # words that count as neighbours
+    later, earlier = np.flatnonzero(~there.opens), np.flatnonzero(~there.ends)
+    # One vector: features, neighbours before and after, constant, start, and move in the order of its rows.
+    cuts = np.cumsum([len(features), len(known), len(known), 1, 1])
+    theta = np.zeros(cuts[-1] + 4)
+    theta[cuts[2]] = -np.log1p(len(ids) / len(docs))  # about one toxic word a document
+    squares, decay = np.full_like(theta, 1e-4), np.full_like(theta, DECAY)
+    decay[cuts[2] :] = 0.01
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        out[known] = values
+        return out
+
+    for _ in range(steps):
+        own, before, after, constant, start, move = np.split(theta, cuts)
+        start, move = float(start[0]), move.reshape(2, 2)
+        emission = there.emissions(constant + np.bincount(of_word, own[of_feature], size), spread(before), spread(after))
+        left, right = forward_backward(emission, there.chains, start, move)
         p = _sigmoid(left + right)
-        residual = np.bincount(ids, y - p, len(vocabulary))
-        gradient = np.bincount(table.ravel(), (there * residual[:, None]).ravel(), len(weights))
-        gradient -= DECAY * weights
-        before, after = left[later - 1], emission[later] + right[later]
-        joint = np.stack([move[0, 0] + 0 * before, move[0, 1] + after, move[1, 0] + before, move[1, 1] + before + after], 1)
+        clean = (1 - LEAK) * np.exp(np.bincount(there.doc_of, log_all_clean(emission, right, there.opens, start, move), len(docs)))
+        weight = np.where(y > 0, -clean / (1 - clean), 1.0)[there.doc_of]  # slope by the log-probability of all clean
+        slope = -weight * p
+        x, z = left[later - 1], emission[later] + right[later]
+        joint = np.stack([move[0, 0] + 0 * x, move[0, 1] + z, move[1, 0] + x, move[1, 1] + x + z], 1)
         joint = np.exp(joint - joint.max(1, keepdims=True))
-        expected = (joint / joint.sum(1, keepdims=True)).sum(0)
-        slope = np.concatenate([[(y[first] - p[first]).sum()], gold_move - expected])
+        moves = -(weight[later, None] * joint / joint.sum(1, keepdims=True)).sum(0)
+        moves[0] += weight[later].sum()
+        gradient = np.concatenate([
+            np.bincount(of_feature, np.bincount(there.ids, slope, size)[of_word], len(features)),
+            np.bincount(there.ids[later - 1], slope[later], size)[known],
+            np.bincount(there.ids[earlier + 1], slope[earlier], size)[known],
+            [slope.sum(), slope[there.opens].sum()], moves,
+        ])
+        gradient -= decay * theta
         squares += gradient**2
-        bias_squares += slope**2
-        weights += RATE * gradient / np.sqrt(squares)
-        bias += RATE * slope / np.sqrt(bias_squares)
-    model = Model(float(weights[0]), {f: float(weights[k]) for f, k in numbers.items()}, float(bias[0]), bias[1:].reshape(2, 2).copy(), (0.0, 0.0, 0.0))
-    emission = (weights[table] * there).sum(1)[ids]
-    p = _sigmoid(sum(forward_backward(emission, chains, model.start, model.move)))
-    count = np.bincount(doc_of, p * (p >= COUNTS), len(docs))
-    most = np.zeros(len(docs))
-    np.maximum.at(most, doc_of, p)
-    model.score = _logistic(np.stack([np.ones(len(docs)), np.log1p(count), most], 1), np.array([label for _, label in docs], float))
-    return model
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = _sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-    return tuple(float(v) for v in w)
-
-
-class _Emissions(dict):
+        theta += RATE * gradient / np.sqrt(squares)
+    own, before, after, constant, start, move = np.split(theta, cuts)
+    near = [words[k] for k in known.tolist()]
+    return Model(float(constant[0]), dict(zip(features, own.tolist())), dict(zip(near, before.tolist())), dict(zip(near, after.tolist())), float(start[0]), move.reshape(2, 2).copy())
+
+
+class _Vocabulary(dict):
+    """Numbers of words, and of each word the weights by itself, as the one before and as the one after."""
+
     def __init__(self, model: Model):
-        self.constant, self.weights = model.constant, model.weights
+        self.model, self.values = model, []
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 400_000:  # bounded memory
-            self.clear()
-        self[word] = value = self.constant + sum(self.weights.get(f, 0.0) for f in names(word))
-        return value
+    def __missing__(self, word: bytes) -> int:
+        m = self.model
+        self[word] = k = len(self.values)
+        self.values.append((m.constant + sum(m.weights.get(f, 0.0) for f in names(word)), m.before.get(word, 0.0), m.after.get(word, 0.0)))
+        return k
+
+    def forget(self) -> None:
+        self.clear()
+        self.values = []
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.emissions = model, _Emissions(model)
+        self.model, self.vocabulary = model, _Vocabulary(model)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[float], list[list[tuple[int, int]]]]:
         scores, spans = [], []
         held: list[tuple[bytes | None, list[int]]] = []
-        values: list[float] = []
+        ids: list[int] = []
         for text in texts:
             lengths = []
             for line in lines_of(text):
-                values.extend(map(self.emissions.__getitem__, line))
+                ids.extend(map(self.vocabulary.__getitem__, line))
                 lengths.append(len(line))
             held.append((text, lengths))
-            if len(values) >= CHUNK:
-                self._score(held, values, scores, spans)
-                held, values = [], []
-        self._score(held, values, scores, spans)
+            if len(ids) >= CHUNK:
+                self._score(held, ids, scores, spans)
+                held, ids = [], []
+        self._score(held, ids, scores, spans)
         return scores, spans
 
-    def _score(self, held: list, values: list[float], scores: list[float], spans: list) -> None:
-        if not held:
-            return
+    def _score(self, held: list, ids: list[int], scores: list[float], spans: list) -> None:
         m = self.model
+        if m.same is not None or not ids:
+            scores.extend([LEAK if m.same is None else m.same] * len(held))
+            spans.extend([] for _ in held)
+            return
         lengths = np.array([n for _, ns in held for n in ns], np.int64)
-        starts = np.cumsum(np.concatenate([[0], lengths[:-1]])).astype(np.int64) if len(lengths) else lengths
-        full = lengths > 0
-        p = _sigmoid(sum(forward_backward(np.array(values, float), Chains(starts[full], lengths[full]), m.start, m.move)))
-        ends = np.cumsum([0, *(sum(ns) for _, ns in held)])
+        there = Words.of(ids, lengths, np.repeat(np.arange(len(held)), [len(ns) for _, ns in held]))
+        emission = there.emissions(*np.array(self.vocabulary.values).T)
+        if len(self.vocabulary) > 400_000:  # bounded memory
+            self.vocabulary.forget()
+        left, right = forward_backward(emission, there.chains, m.start, m.move)
+        clean = np.exp(np.bincount(there.doc_of, log_all_clean(emission, right, there.opens, m.start, m.move), len(held)))
+        scores.extend((1 - (1 - LEAK) * clean).tolist())
+        toxic = np.flatnonzero(left + right >= 0)  # a marginal of 0.5
+        first = np.searchsorted(there.doc_of, np.arange(len(held)))
+        cuts = np.searchsorted(there.doc_of[toxic], np.arange(len(held) + 1)).tolist()
         for k, (text, _) in enumerate(held):
-            own = p[ends[k] : ends[k + 1]]
-            a, b, c = m.score
-            x = a + (b * np.log1p(own[own >= COUNTS].sum()) + c * own.max() if len(own) else 0.0)
-            scores.append(m.same if m.same is not None else float(_sigmoid(np.array(x))))
-            spans.append(_spans(text, np.flatnonzero(own >= 0.5)) if m.same is None and len(own) and own.max() >= 0.5 else [])
+            own = toxic[cuts[k] : cuts[k + 1]]
+            if not len(own) and scores[k - len(held)] >= 0.5:
+                own = first[k] + np.argmax((left + right)[first[k] : first[k + 1] if k + 1 < len(held) else None], keepdims=True)
+            spans.append(_spans(text, own - first[k]) if len(own) else [])
 
 
 def _spans(text: bytes, words: np.ndarray) -> list[tuple[int, int]]:
@@ -301,10 +314,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("label > 0").orderBy(*order).limit(sample).unionByName(marks.where("label <= 0").orderBy(*order).limit(2 * sample))
-    texts = docs.select(field(doc_id).alias("doc_id"), field(text).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "label")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(3 * sample)  # ids may repeat
-    return [(None if r[1] is None else bytes(r[1]), r[2]) for r in rows.collect()]
+    texts = docs.select(field(doc_id).alias("doc_id"), field(text).cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("hash")]
+    sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), "label").where(F.col("size") <= TEXT_BYTES)
+    sizes = sizes.distinct().orderBy(*order).limit(3 * sample)  # ids may repeat
+    so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over 3 * sample rows at most
+    wanted = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "hash", "label")
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("text", "label").orderBy(*order)
+    return [(None if r[0] is None else bytes(r[0]), r[1]) for r in rows.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **names: str) -> Model:

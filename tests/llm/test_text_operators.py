@@ -356,6 +356,49 @@ def test_forward_backward_is_exact():
         assert np.allclose((left + right)[a:b], np.log(mass[:, 1] / mass[:, 0]))
 
 
+def test_scores_are_those_of_all_assignments():
+    """The score of a small document against the sum over every assignment of states to its words."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = [b"ab", b"abcdef", b"x1", b"\xc3\xa9t\xc3\xa9"]
+    features = {f: float(rng.normal()) for w in words for f in toxicity.names(w)}
+    model = toxicity.Model(-1.0, features, {words[0]: 0.7}, {words[1]: -0.4, words[2]: 0.9}, 0.3, rng.normal(size=(2, 2)))
+    lines = [[0, 1, 2, 0], [3], [], [1, 1, 2]]
+    clean, odds = 1.0, []
+    for line in filter(None, lines):
+        own = [words[k] for k in line]
+        emission = [-1.0 + sum(features[f] for f in toxicity.names(w)) for w in own]
+        for t in range(len(own)):
+            emission[t] += model.before.get(own[t - 1], 0.0) * (t > 0) + (model.after.get(own[t + 1], 0.0) if t + 1 < len(own) else 0.0)
+        mass, toxic = {}, np.zeros(len(own))
+        for states in itertools.product((0, 1), repeat=len(own)):
+            energy = 0.3 * states[0] + sum(e for e, x in zip(emission, states) if x) + sum(model.move[a, b] for a, b in itertools.pairwise(states))
+            mass[states] = np.exp(energy)
+            toxic += mass[states] * np.array(states)
+        total = sum(mass.values())
+        clean *= mass[(0,) * len(own)] / total
+        odds += (toxic / total).tolist()
+    text = b"\n".join(b" ".join(words[k] for k in line) for line in lines)
+    scores, spans = toxicity.Scorer(model)([None, text, b"", text])
+    assert np.allclose(scores, [toxicity.LEAK, 1 - (1 - toxicity.LEAK) * clean, toxicity.LEAK, scores[1]])
+    covered = [any(a <= m.start() < b for a, b in spans[1]) for m in re.finditer(r"\S+", text.decode())]
+    marks = [x >= 0.5 for x in odds]
+    assert any(marks) and covered == marks and spans[1] == spans[3]
+
+
+def test_whole_texts_are_learnt_from(spark):
+    """What makes a text toxic stands behind many clean words, on one long line."""
+    rng = random.Random(2)
+    data = [(i, " ".join(f"w{rng.randrange(100_000)}" for _ in range(1500)) + (" knave" if i % 3 == 0 else " friend")) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in data], "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    assert {t.decode() for t, _ in rows} == {t for i, t in data if zlib.crc32(str(i).encode()) % 5} and all(y == t.endswith(b"knave") for t, y in rows)
+    scores, _ = toxicity.Scorer(toxicity.train(rows))([t.encode() for _, t in data])
+    assert [x >= 0.5 for x in scores] == [t.endswith("knave") for _, t in data]
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, edge_texts())
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
@@ -487,6 +530,29 @@ def test_whole_texts_of_a_table_agree_and_come_back():
     assert np.flatnonzero(~codec.agree(texts, damaged)).tolist() == [k] == [i for i, good in enumerate(codec.comes_back(texts, damaged)) if not good]
 
 
+def test_saved_tables_go(spark):
+    from orrery.llm import common
+
+    assert [common.on_one_machine(m) for m in ("local", "local[*]", "local[8,2]", "local-cluster[2,1,1024]", "yarn", "spark://h:7077")] == [True] * 3 + [False] * 3
+    since = common.mark()
+    first = common.saved(spark.range(3))
+    path = first.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path)
+    second = common.saved_alone(first.selectExpr("id + 1 AS id"), since)
+    assert not os.path.isdir(path) and sorted(r.id for r in second.collect()) == [1, 2, 3] and common.mark() == since + 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from orrery.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://h:7077")
+    with pytest.raises(ValueError):
+        common.shared_folder(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def test_batches_are_cut_by_bytes():
     import pyarrow as pa
 
