@@ -130,24 +130,52 @@ def test_broken_pages(spark):
 
 
 @pytest.mark.parametrize("shards", [1, 4, 16])
-def test_shards_are_contiguous_and_balanced(spark, shards):
-    texts = edge_texts() + ["x" * n for n in range(200)]
+def test_shards_are_balanced_and_keep_equal_texts_together(spark, shards):
+    rng = random.Random(shards)
+    texts = edge_texts() + ["x" * n for n in range(200)] + ["pair"] * 2 + [f"copy {n} " * 40 for n in range(30) for _ in range(rng.randrange(1, 9))] + ["y" * 70] * (1500 if shards == 4 else 3)
     df = docs_of(spark, texts).unionByName(docs_of(spark, ["again", None]))  # ids 0 and 1 twice
-    got = sharding.assign_shards(df, shards).orderBy("doc_id", "text_crc32", "size").collect()
+    got = sharding.assign_shards(df, shards).collect()
     assert len(got) == len(texts) + 2
-    assert [r.shard for r in got] == sorted(r.shard for r in got)
+    named = list(enumerate(texts)) + [(0, "again"), (1, None)]
+    data = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in named]
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == sorted(data)
     total = sum(r["size"] for r in got)
-    at = 0
-    for r in got:
-        assert r.shard == min(shards - 1, (2 * at + r["size"]) * shards // (2 * total))
-        at += r["size"]
     for k in {r.shard for r in got}:
-        assert [r.slot for r in got if r.shard == k] == list(range(sum(r.shard == k for r in got)))
-    sizes = {(r.doc_id, r["size"], r.text_crc32) for r in got}
-    assert all((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) in sizes for i, t in enumerate(texts))
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    held, size = {}, {}
+    for r in got:
+        key = (r["size"], r.text_crc32)
+        held.setdefault(key, set()).add(r.shard)
+        size[key] = size.get(key, 0) + r["size"]
+    for key, own in held.items():
+        assert len(own) == 1 or size[key] * shards > total, key
+    largest = max([x for x in size.values() if x * shards <= total] + [r["size"] for r in got])
+    for k in range(shards):  # each cut is within half a group of its target
+        assert abs(sum(r["size"] for r in got if r.shard <= k) - (k + 1) * total / shards) <= largest / 2 + 1
     assert sharding.assign_shards(df.where("false"), shards).count() == 0
 
 
+def test_groups_go_on_in_other_partitions():
+    """Partitions cut anywhere, through groups as well, give the shards of one partition."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    group = np.sort(rng.integers(0, 12, 300))
+    size = rng.integers(1, 50, 300)
+    total, shards = int(size.sum()), 8
+    whole = sharding.shards_of(size, group, 0, 0, 0, total, shards, total) if len(set(group)) == 1 else None
+    cuts = [0, 3, 4, 90, 91, 92, 200, 300]
+    for bounds in ([0, 300], cuts):
+        edges = []
+        for k, (a, b) in enumerate(itertools.pairwise(bounds)):
+            g, n = group[a:b], size[a:b]
+            edges.append({"part": k, "bytes": int(n.sum()), "rows": b - a, "first": g[0], "first_bytes": int(n[g == g[0]].sum()), "last": g[-1], "last_bytes": int(n[g == g[-1]].sum())})
+        offsets = sharding._offsets(edges)
+        got = np.concatenate([sharding.shards_of(size[a:b], group[a:b], offsets[k][0], *offsets[k][2:], shards, total) for k, (a, b) in enumerate(itertools.pairwise(bounds))])
+        whole = got if whole is None else whole
+        assert (got == whole).all() and (np.diff(got) >= 0).all()
+
+
 # --- line dedup ---
 
 
