@@ -9,7 +9,8 @@ level by level.
 The weights are trained by gradient steps on the exact marginals: from the labelled pages below
 (``data-main`` opens content, ``data-not`` closes it), and, as labelled pages of the table itself, a
 sample of pages whose author marks the content by one <article> or <main> (all nodes in it are content,
-but for nav, aside, header, footer and form and what carries a cue against it).
+but for nav, aside, header, footer and form and what carries a cue against it), each of them once more with another
+tag in place of that element.
 
 Scripts, styles, comments, head and markup are never text. Character references are decoded, white space
 inside a block becomes one space (a line break in a block as well), and blocks are joined by \\n. Broken
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Generator
 from dataclasses import dataclass, field as data_field
 
 import numpy as np
@@ -61,7 +64,9 @@ CUES = {
 }
 AGAINST = re.compile("|".join(v for k, v in CUES.items() if k != "content"))
 CUE_LIST = [(k, re.compile(v)) for k, v in CUES.items()]
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]{0,40})")
+SPECIAL = re.compile("['\">]")
+LONG_REFERENCE = re.compile(r"&#(?:(\d{9,})|[xX]([0-9a-fA-F]{9,}));?")
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 N_STATS = 12
@@ -81,41 +86,120 @@ class Page:
     blocks: list[tuple[int, str, int]] = data_field(default_factory=list)  # node, text, characters inside links
 
 
+def tokens(source: str) -> Generator[tuple[int, int, str, str | None, str], int | None, None]:
+    """Tags, comments and declarations in order, each with begin, end, "/" if it closes, name (None: no tag) and what follows the name; a tag that never ends is text.
+
+    Linear: of quotes outside of tags' other quotes that have led to no end before, none is tried again, and the next sign that matters is looked for once.
+    """
+    n, at, last = len(source), 0, {q: source.rfind(q) for q in "\"'>"}
+    dead: set[int] = set()
+    looked, special = 0, -1  # from `looked` on the next quote or > is `special`
+
+    def end_of_tag(at: int) -> int:
+        nonlocal looked, special
+        tried: list[int] = []
+        while True:
+            if not (tried == [] and looked <= at <= special):
+                found = SPECIAL.search(source, at)
+                here = found.start() if found else n
+                if not tried:
+                    looked, special = at, here
+            else:
+                here = special
+            if here == n or here in dead:
+                break
+            if source[here] == ">":
+                return here + 1
+            tried.append(here)
+            if here >= last[source[here]]:
+                break
+            at = source.find(source[here], here + 1) + 1
+        dead.update(tried)
+        return -1
+
+    while True:
+        begin = source.find("<", at)
+        if begin < 0 or begin >= last[">"] and not source.startswith(("<!--", "<![CDATA["), begin):
+            if begin < 0:
+                return
+            at = begin + 1
+            continue
+        closing, name, rest = "", None, ""
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4) + 3
+            end = end if end > 2 else n
+        elif source.startswith("<![CDATA[", begin):
+            end = source.find("]]>", begin + 9) + 3
+            end = end if end > 2 else n
+        elif source.startswith(("<!", "<?"), begin):
+            end = source.find(">", begin) + 1
+        elif tag := NAME.match(source, begin):
+            end = end_of_tag(tag.end())
+            closing, name = tag.group(1), tag.group(2).lower()
+            rest = source[tag.end() : end - 1] if end > 0 else ""
+        else:
+            end = -1
+        if end < 0:
+            at = begin + 1
+            continue
+        to = yield begin, end, closing, name, rest
+        at = to or end
+
+
+def decoded(text: str) -> str:
+    """text without its character references; numbers beyond all characters are U+FFFD."""
+
+    def short(found: re.Match) -> str:
+        decimal, digits = found.group(1), (found.group(1) or found.group(2)).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 8 else f"&#{digits};" if decimal else f"&#x{digits};"
+
+    return entities.unescape(LONG_REFERENCE.sub(short, text))
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack, held, at, link, linked = [0], [], 0, False, 0
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()  # hidden elements that end nowhere from here on
 
     def end_block() -> None:
         nonlocal linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join(decoded("".join(held)).split())
             if text:
                 page.blocks.append((stack[-1], text, linked))
             held.clear()
         linked = 0
 
-    n = len(source)
+    def pop(k: int) -> None:
+        for node in stack[k:]:
+            open_tags[page.tag[node]] -= 1
+        del stack[k:]
+
+    n, reader, jump = len(source), tokens(source), None
     while at < n:
-        found = TOKEN.search(source, at)
-        begin = found.start() if found else n
+        try:
+            begin, end, closing, tag, rest = reader.send(jump)
+        except StopIteration:
+            begin = end = n
+            tag = None
+        jump = None
         if begin > at:
             held.append(source[at:begin])
             if link:
                 linked += begin - at
-        if not found:
-            break
-        at = found.end()
-        closing, tag, rest = found.groups()
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in HIDDEN:
             if not closing and not rest.endswith("/"):
                 if tag in BLOCKS or tag in ("head", "title"):
                     end_block()
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if stop is None:
+                    unclosed.add(tag)
                 # an element that is never closed hides nothing, but for raw text
-                at = stop.end() if stop else n if tag in ("script", "style", "textarea", "title") else at
+                at = jump = stop.end() if stop else n if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag == "a":
             link = not closing
@@ -126,15 +210,13 @@ def parse(source: str) -> Page:
         end_block()
         link = False
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k]] == tag))
             continue
         if page.tag[stack[-1]] == "p":
-            stack.pop()
+            pop(len(stack) - 1)
         while len(stack) > 1 and page.tag[stack[-1]] in CLOSES.get(tag, ()):
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in ("html", "body") and len(stack) == 1 and tag == "html":
             continue
         node = len(page.parent)
@@ -144,6 +226,7 @@ def parse(source: str) -> Page:
         page.label.append(1 if "data-main" in rest else 0 if "data-not" in rest else page.label[stack[-1]])
         if tag not in VOID and not rest.endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     end_block()
     return page
 
@@ -162,6 +245,12 @@ def labels_by_author(page: Page) -> list[int] | None:
     return out
 
 
+def retagged(page: Page, tag: str) -> Page:
+    """The page with another tag for its one article or main element, so that not all is learnt from that tag."""
+    top = page.tag.index("article" if page.tag.count("article") == 1 else "main")
+    return Page(page.parent, [*page.tag[:top], tag, *page.tag[top + 1 :]], page.marks, page.label, page.blocks)
+
+
 def features(page: Page) -> np.ndarray:
     """Numbers of each node's features, -1 where there are fewer."""
     n = len(page.parent)
@@ -289,7 +378,7 @@ def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample:
     drawn = both.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids alone are sorted
     rows = both.join(F.broadcast(drawn), "page_id").orderBy("page_id", F.xxhash64("html")).limit(2 * sample).collect()  # ids may repeat
     labelled = [(p, labels) for p in (parse(r[1]) for r in rows) if (labels := labels_by_author(p))]
-    return train(labelled_pages() * 5 + labelled)
+    return train(labelled_pages() * 5 + labelled + [(retagged(p, ("div", "main", "section")[k % 3]), labels) for k, (p, labels) in enumerate(labelled)])
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url", model: Model | None = None) -> DataFrame:
@@ -324,5 +413,6 @@ LABELLED = [
     f'<body><nav>{_LINKS}</nav><article data-main><h1>Ok</h1><p>Yes</p><p>no, or so</p><p>1</p></article><footer>Imprint</footer></body>',
     "<body><article data-main><p>Short</p><p>e</p></article></body>",
     "<article data-main><h1>Note</h1><p>Late train, again.</p></article>",
+    f'<body><div><ul>{_LINKS}</ul></div><div><div data-main><h2>Bridge</h2><p>{_LONG}</p><p>{_MORE}</p><p>{_LONG}</p></div></div><div class="comments"><h3>Comments</h3><div><p>{_MORE}</p></div><div><p>{_LONG}</p></div></div><div>Imprint</div></body>',
     f'<body><p class="notice">{_LONG}</p><nav>{_LINKS}</nav><form><p>{_LONG}</p></form><footer>{_LONG}</footer></body>',
 ]

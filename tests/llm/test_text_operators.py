@@ -99,6 +99,38 @@ def test_extraction_equals_the_article(spark):
         assert got[r.page_id].text == brute_article(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_extraction_without_an_article_element(spark):
+    """The model, fitted as the query fits it, on the same pages with plain div elements, and on layouts of other make."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html_extract.fit(pages)
+    rows = [r.html or "" for r in pages.collect()]
+    plain = html_extract.main_texts([s.replace("<article>", "<div>").replace("</article>", "</div>") for s in rows], model)
+    assert sum(got == brute_article(s) for got, s in zip(plain, rows)) >= 0.85 * len(rows)  # the rest are articles of a few words
+    story = ["No ferry on Sunday", "The ferry will not run on Sunday, the harbour office said, because the quay is under repair.", "Buses go instead, at the full hour, from the market to the old mill."]
+    body = f"<h1>{story[0]}</h1>" + "".join(f"<p>{t}</p>" for t in story[1:])
+    links = "".join(f'<li><a href="/{k}">{k}</a></li>' for k in ("Start", "Sport", "Weather"))
+    talk = "<p>I have waited for an hour, and nobody told us anything about it.</p>"
+    layouts = [
+        f"<body><div><ul>{links}</ul></div><div><div>{body}</div></div><div class='comments'><div>{talk}</div><div>{talk}</div></div></body>",
+        f"<body><div id='top-nav'><ul>{links}</ul></div><div class='entry-content'>{body}</div><div class='sidebar'><ul>{links}</ul>{talk}</div><div class='footer'>{talk}</div></body>",
+        f"<body><header>{talk}</header><main>{body}<div class='advert'>{talk}</div></main><footer>{talk}</footer></body>",
+    ]
+    assert html_extract.main_texts(layouts, model) == ["\n".join(story)] * len(layouts)
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    bits = ["<a '", "<a ", "<a<a", "<svg>", "<a \"' ", "<!", "<!--x", "<a 'x' ", "</svg  ", "class='\"' "]
+    began = time.process_time()
+    for bit in bits:
+        html_extract.parse("<p>" + bit * (1_000_000 // len(bit)))
+    html_extract.parse("<div>" * 2_000 + "</p>" * 200_000)
+    assert time.process_time() - began < 15
+    assert html_extract.decoded(f"&#{'9' * 10_000};&#{'0' * 10_000}65;&#x{'0' * 9}42;&amp;") == "\ufffdAB&"
+
+
 def test_marginals_are_those_of_all_assignments():
     """Sum-product against the sum over every labelling of a small tree."""
     import numpy as np
