@@ -4,14 +4,16 @@
 table and one elementary stream of PES packets, each with a 33-bit timestamp, every fourth one marked as
 a random-access point with a clock reference. ``demux`` reads any such stream: it finds the packet grid,
 parses both tables, checks each stream's continuity counters (a repeated packet is dropped, a gap is
-counted), reassembles the elementary packets and lists them as access units with their timestamps and
-random-access marks.
+counted), reassembles the elementary packets and lists them as access units with their timestamps,
+random-access marks, places in the data, sizes and checksums.
 
 Null texts count as empty; an empty text is 64 zero bytes; equal texts give equal streams.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ PRIVATE_STREAM, PRIVATE_TYPE = 0xBD, 0x06
 UNIT_BYTES = 16_384
 #: Ticks of the 90 kHz clock from one unit to the next, the first timestamp, and units from one random-access point to the next.
 TICKS, FIRST_TICK, RANDOM_ACCESS_EVERY = 3_600, 90_000, 4
-UNITS = "array<struct<pid: int, stream_type: int, pts: bigint, random_access: boolean, bytes: bigint>>"
+UNITS = "array<struct<pid: int, stream_type: int, pts: bigint, random_access: boolean, at: bigint, bytes: bigint, crc32: bigint>>"
 
 
 def _crc_table() -> list[int]:
@@ -168,7 +170,7 @@ def demux_bytes(stream: bytes) -> tuple[bytes, list[dict], int, int]:
             while at + 5 <= len(section) - 4:
                 streams[(section[at + 1] & 0x1F) << 8 | section[at + 2]] = section[at]
                 at += 5 + ((section[at + 3] & 15) << 8 | section[at + 4])
-    data, units, gaps = [], [], 0
+    data, units, gaps, place = [], [], 0, 0
     for pid, kind in streams.items():
         own = np.flatnonzero((pids == pid) & has_data)
         counters = packets[own, 3] & 15
@@ -187,8 +189,9 @@ def demux_bytes(stream: bytes) -> tuple[bytes, list[dict], int, int]:
             pts, body = unit
             first = packets[own[a]]
             mark = bool(first[3] & 0x20 and first[4] and first[5] & 0x40)
-            units.append({"pid": pid, "stream_type": kind, "pts": pts, "random_access": mark, "bytes": len(body)})
+            units.append({"pid": pid, "stream_type": kind, "pts": pts, "random_access": mark, "at": place, "bytes": len(body), "crc32": zlib.crc32(body)})
             data.append(body)
+            place += len(body)
     return b"".join(data), units, gaps, len(programs)
 
 
@@ -206,8 +209,8 @@ def mux(df: DataFrame, key: str = "doc_id", data: str = "text") -> DataFrame:
 
     def run(batch) -> list:
         sizes, media = [], []
-        for value in batch.column(1).to_pylist():
-            value = value or b""
+        for value in batch.column(1):  # one text at a time as Python bytes
+            value = value.as_py() or b""
             sizes.append(len(value))
             media.append(mux_bytes(value.ljust(max(64, -(-len(value) // 64) * 64), b"\0")))
         return [batch.column(0), sizes, media]
@@ -220,14 +223,17 @@ def demux(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
     rows = df.select(field(key).alias("doc_id"), field(media).cast("binary").alias("media"))
 
     def run(batch) -> list:
-        found = [demux_bytes(value or b"") for value in batch.column(1).to_pylist()]
+        found = [demux_bytes(value.as_py() or b"") for value in batch.column(1)]
         return [batch.column(0), *([f[i] for f in found] for i in range(4))]
 
     return map_columns(rows, run, f"payload binary, units {UNITS}, gaps int, programs int", rows.schema["doc_id"])
 
 
 def stored_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests of each text's stream and of what is read back from it. feature: counts, first and last timestamp, random-access points."""
+    """Digests of each text's stream and of what is read back from it, and units, the access units that were read: stream, timestamp, random-access mark, place, bytes and checksum of each.
+
+    feature: counts, first and last timestamp, random-access points, and a checksum over those of the units.
+    """
     stored = mux(docs, doc_id, text)
     stored = stored.select(F.struct("doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("of"), "media")
     back = demux(stored, "of", "media")
@@ -246,5 +252,7 @@ def stored_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             F.concat(F.lit("gaps="), F.col("gaps")),
             F.concat(F.lit("pts="), F.element_at("units", 1).pts, F.lit("-"), F.element_at("units", -1).pts),
             F.concat(F.lit("random="), F.size(F.filter("units", lambda u: u.random_access))),
+            F.concat(F.lit("crc="), F.crc32(F.concat_ws(",", F.transform("units", lambda u: u.crc32.cast("string"))).cast("binary"))),
         ).alias("feature"),
+        "units",
     )
