@@ -75,7 +75,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chunks = _chunked(rows.where("text is not null").select("doc", "text"), window, divisor)
     spots = chunks.select("doc", F.explode_outer(F.transform(_several(), lambda c: F.struct(c["at"].alias("at"), F.xxhash64(c.text).alias("hash")))).alias("spot"))  # explode() would infer a filter that computes all chunks anew
     spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
-    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    # Both sides of a join by hash are written tables: so Spark can split the hash of a very common chunk.
+    repeated = saved(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_list(F.struct("at", "hash")).alias("wanted"))
     joined = saved(rows.drop("text").join(wanted, "doc", "left"))
     body = F.col("row").getField(text)
@@ -87,6 +88,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = own.select(F.struct("doc", "chunk.at").alias("spot"), F.xxhash64("chunk.text").alias("hash"), F.col("chunk.text").alias("chunk"))
     firsts = saved(own.groupBy("hash", "chunk").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")))
     by_hash = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
+    by_hash = saved(by_hash)
     places = joined.where("wanted is not null").select("doc", F.inline("wanted")).select(F.struct("doc", "at").alias("spot"), "hash")
     gone = places.join(by_hash.where("texts = 1 and n > 1").select("hash", "first"), "hash").where("spot <> first").select("spot")
     # Different texts of one hash: occurrences are told apart by the text itself.
@@ -142,7 +144,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = F.filter(F.transform("ends", lambda end, i: F.when(end.isNotNull(), F.struct(i.alias("at"), F.xxhash64(_run(i, end)).alias("hash")))), lambda r: r.isNotNull())
     spots = cut.select("doc", F.explode_outer(runs).alias("spot"))  # explode() would infer a filter that computes all runs anew
     spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
-    repeated = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    repeated = saved(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_set("at").alias("wanted"))
     joined = saved(rows.drop("text").join(wanted, "doc", "left"))
     body = F.col("row").getField(text)
@@ -157,6 +159,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = own.select("doc", F.explode_outer(F.concat(forward, backward)).alias("run"))
     own = saved(own.where("run is not null").select("doc", "run.start", "run.end", "run.digest"))
     firsts = own.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    firsts = saved(firsts)
     again = own.join(firsts, "digest").where(F.struct("doc", "start") != F.col("first"))
     clear = F.col("first.start") + F.col("end") - F.col("start") + 1  # in one document, pieces of both occurrences stay
     again = again.select("doc", F.when(F.col("doc") == F.col("first.doc"), F.greatest("start", clear)).otherwise(F.col("start")).alias("start"), "end").where("start <= end")

@@ -346,7 +346,7 @@ def _links_in_groups(rows: pa.Table, by: list[str], percent: int, bands: int) ->
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row for each row: doc_id, n_shingles, component_id (smallest id of all linked rows), kept (whether that is its own)."""
     docs = docs.select(field(doc_id).alias("doc_id"), field(text).cast("binary").alias("text"))

@@ -352,7 +352,9 @@ def test_media_round_trip(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert r.media_bytes % 188 == 0 and r.media_sha256 == hashlib.sha256(transport_stream.mux_bytes(padded)).hexdigest()
+        assert [(u.at, u["bytes"], u.crc32, u.pts, u.random_access) for u in r.units] == [(at, len(padded[at : at + 16_384]), zlib.crc32(padded[at : at + 16_384]), 90_000 + 3_600 * k, k % 4 == 0) for k, at in enumerate(range(0, len(padded), 16_384))]
     assert got[3].media_sha256 == got[4].media_sha256 and got[3].feature == got[4].feature
+    assert len({got[i].feature for i in range(len(texts)) if got[i].payload_bytes == 64}) == len({(texts[i] or "").encode().ljust(64, b"\0") for i in range(len(texts)) if got[i].payload_bytes == 64})
 
 
 def test_damaged_streams():
