@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, line_dedup, near_dup, sentencepiece_codec, toxicity
-from orrery.llm.common import field, saved, table
+from orrery.llm.common import field, mark, saved, saved_alone, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,10 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, that of the smallest id and then hash of the text (shingles of five words, similarity 0.8 or more); null ids come last."""
+    """One row of each group stays, that of the smallest id and then hash of the text (shingles of four words, similarity 0.8 or more, as in op6_near_duplicates); null ids come last."""
     own = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), own.alias("doc_id"), "text")
-    found = saved(near_dup.near_duplicates(rows.select("doc_id", "text")).select("doc_id", "n_shingles", "kept"))
+    found = saved(near_dup.near_duplicates(rows.select("doc_id", "text"), size=4, percent=80).select("doc_id", "n_shingles", "kept"))
     left = rows.drop("text").join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
     again = saved(found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))  # id and text repeat
     if again.isEmpty():
@@ -60,9 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+    """Each stage but the last is written as Parquet and read again; what was written for the stages before goes then."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
+    for _, stage in STAGES[:-1]:
+        docs = saved_alone(stage(spark, docs, sf_dir), since)
+    return STAGES[-1][1](spark, docs, sf_dir)
