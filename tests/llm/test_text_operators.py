@@ -720,14 +720,58 @@ def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(left, key=repr) == sorted([(1, a, "x"), (2, b, "x"), (3, c, "x"), (None, None, "x"), (None, None, "x")], key=repr)
 
 
-def test_pipeline_edges(spark):
-    """Empty tables and odd rows pass every stage."""
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables and odd rows pass every stage, and run() as a whole."""
     import corpus_pipeline
 
-    rows = [(i, t, "en", "s", len(t or ""), 1) for i, t in enumerate(edge_texts())]
+    rows = [(i, t, "en", "s", len(t or ""), 1) for i, t in enumerate(edge_texts())] + [(None, "a fool and a lout", "en", "s", 17, 1)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, gone int"
-    for data in (rows, []):
-        docs = spark.createDataFrame(data, schema)
-        for _, stage in corpus_pipeline.STAGES[1:3]:
-            docs = corpus_pipeline.saved(stage(spark, docs, SF))
-            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
+    for k, data in enumerate((rows, [])):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (3, 1, 0), (None, 1, 1), (5, None, None)][: 4 * (1 - k)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, ""), (3, "NaïvE Ünïcode ▁")][: 3 * (1 - k)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.saved(stage(spark, docs, folder))
+            assert docs.columns == names
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert last.count() == docs.count()
+        whole = corpus_pipeline.run(spark, folder)
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, last.collect()))
+        if not k:
+            # the second "one", LONG's near copy and the benchmark text go, nothing else
+            assert sorted(str(r.doc_id) for r in whole.collect()) == sorted(map(str, [0, 1, 2, 3, 5, 8, 9, None]))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_equals_brute_force(spark):
+    """Each stage's rows on a whole table, each judged on its own input by a plain version."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(1_000)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    before = {r.doc_id: r.text for r in docs.collect()}
+    scores = dict(zip(before, toxicity.Scorer(model)([(t or "").encode() for t in before.values()])[0]))
+    docs = corpus_pipeline.saved(corpus_pipeline.STAGES[0][1](spark, docs, SF))
+    now = {r.doc_id: r.text for r in docs.collect()}
+    assert now == {k: t for k, t in before.items() if scores[k] < 0.5}
+    docs = corpus_pipeline.saved(corpus_pipeline.STAGES[1][1](spark, docs, SF))
+    before, now = now, {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(before)
+    assert [now[k] for k in order] == brute_passages([before[k] for k in order], 50)
+    docs = corpus_pipeline.saved(corpus_pipeline.STAGES[2][1](spark, docs, SF))
+    before, now = now, {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(before)
+    assert now == {k: before[k] for i, (k, (_, root)) in enumerate(zip(order, brute_components([before[k] for k in order], 4, 80))) if root == i}
+    docs = corpus_pipeline.saved(corpus_pipeline.STAGES[3][1](spark, docs, SF))
+    before, now = now, {r.doc_id: r.text for r in docs.collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert now == {k: t for k, t in before.items() if not brute_overlap(t, items)[1]}
+    from sentencepiece import SentencePieceProcessor
+
+    reference = SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    last = {r.doc_id: r for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()}
+    assert {k: list(r.ids) for k, r in last.items()} == {k: reference.encode(t) for k, t in now.items()} and all(r.parity and r.round_trip for r in last.values())
