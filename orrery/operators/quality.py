@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 10
+# Shapes of hashes and keys.
+HASH = "^[0-9a-f]{64}$"
+CONTRACT_KEY, ACCOUNT_KEY = "^C[A-Z2-7]{55}$", "^(G[A-Z2-7]{55}|M[A-Z2-7]{68})$"
 
 
 def report(bad: DataFrame, table: str, check: str, key: Column) -> DataFrame:
@@ -85,7 +88,7 @@ def check_transactions(transactions: DataFrame, operations: DataFrame, ledgers:
             foreign_key(transactions, "transactions", "ledger_exists", "ledger_sequence", ledgers, "sequence", "id"),
             foreign_key(transactions, "transactions", "source_exists", "source_id", accounts, "account_id", "id"),
             rule(transactions, "transactions", "fee_not_negative", F.col("fee_charged") >= 0, F.col("id")),
-            rule(transactions.where("inner_tx_hash is not null"), "transactions", "inner_hash_shape", F.col("inner_tx_hash").rlike("^[0-9a-f]{32,64}$"), F.col("id")),
+            rule(transactions.where("inner_tx_hash is not null"), "transactions", "inner_hash_shape", F.col("inner_tx_hash").rlike(HASH), F.col("id")),
             report(transactions.join(operations.select(F.col("transaction_id").alias("id")), "id", "left_anti"), "transactions", "without_operation", F.col("id")),
         ]
     )
@@ -98,7 +101,7 @@ def check_hash_index(index: DataFrame, transactions: DataFrame) -> DataFrame:
             foreign_key(index, "hash_index", "transaction_exists", "transaction_id", transactions, "id", "hash"),
             report(own.join(index, "hash", "left_anti"), "hash_index", "transaction_indexed", F.col("hash")),
             unique(index, "hash_index", "hash_unique", ["hash"]),
-            rule(index, "hash_index", "hash_shape", F.col("hash").rlike("^[0-9a-f]{32,64}$"), F.col("hash")),
+            rule(index, "hash_index", "hash_shape", F.col("hash").rlike(HASH), F.col("hash")),
         ]
     )
 
@@ -132,7 +135,7 @@ def check_contracts(contracts: DataFrame, accounts: DataFrame, code: DataFrame)
             foreign_key(contracts, "contracts", "deployer_exists", "deployer_id", accounts, "account_id", "contract_id"),
             foreign_key(contracts, "contracts", "code_exists", "code_hash", code, "code_hash", "contract_id"),
             rule(contracts, "contracts", "type_range", F.col("contract_type").between(0, 3), F.col("contract_id")),
-            rule(contracts.where("code_hash is not null"), "contracts", "hash_shape", F.col("code_hash").rlike("^[0-9a-f]{32,64}$"), F.col("contract_id")),
+            rule(contracts.where("code_hash is not null"), "contracts", "hash_shape", F.col("code_hash").rlike(HASH), F.col("contract_id")),
         ]
     )
 
@@ -141,7 +144,7 @@ def check_code(code: DataFrame) -> DataFrame:
     return stacked(
         [
             unique(code, "code", "hash_unique", ["code_hash"]),
-            rule(code, "code", "hash_shape", F.col("code_hash").rlike("^[0-9a-f]{32,64}$"), F.col("code_hash")),
+            rule(code, "code", "hash_shape", F.col("code_hash").rlike(HASH), F.col("code_hash")),
             rule(code, "code", "json_object", F.schema_of_variant(F.try_parse_json("interface")).startswith("OBJECT"), F.col("code_hash")),
         ]
     )

@@ -23,9 +23,9 @@ LEG = "CASE WHEN {0}.asset_type = 0 THEN 'XLM' ELSE {0}.asset_code END"
 POOL_HITS = f"SELECT 'pool' AS kind, CAST(p.pool_id AS VARCHAR) AS route, concat({LEG.format('a')}, ' / ', {LEG.format('b')}) AS label FROM v_pools p JOIN v_assets a ON a.id = asset_a JOIN v_assets b ON b.id = asset_b WHERE (upper({LEG.format('a')}) LIKE '%BRAND#1%' AND upper({LEG.format('b')}) LIKE '%2%') OR (upper({LEG.format('b')}) LIKE '%BRAND#1%' AND upper({LEG.format('a')}) LIKE '%2%')"
 ACCOUNT_HITS = "SELECT 'account' AS kind, concat('G', account_id) AS route, concat('G', account_id) AS label FROM v_accounts WHERE account_id >= 10 AND account_id < 20 OR account_id = 1 OR account_id >= 100 AND account_id < 200 OR account_id >= 1000 AND account_id < 2000"
 CONTRACT_HITS = "SELECT 'contract' AS kind, CAST(contract_id AS VARCHAR) AS route, name AS label FROM v_contracts WHERE CAST(contract_id AS VARCHAR) LIKE '1%' OR lower(name) LIKE '%1%'"
-ASSET_HITS = "SELECT 'asset' AS kind, CASE WHEN id < 30 THEN CAST(id AS VARCHAR) WHEN asset_type = 0 THEN 'native' ELSE concat(asset_code, '-', issuer_id) END AS route, CASE WHEN asset_type = 0 THEN 'XLM' ELSE asset_code END AS label FROM v_assets WHERE lower(asset_code) LIKE '%xlm%' OR asset_type = 0"
+ASSET_HITS = "SELECT 'asset' AS kind, CASE WHEN id % 3 <> 2 THEN CAST(id AS VARCHAR) WHEN asset_type = 0 THEN 'native' ELSE concat(asset_code, '-', issuer_id) END AS route, CASE WHEN asset_type = 0 THEN 'XLM' ELSE asset_code END AS label FROM v_assets WHERE lower(asset_code) LIKE '%xlm%' OR asset_type = 0"
 NFT_HITS = f"SELECT 'nft' AS kind, concat(contract_id, '/', token_id) AS route, token_name AS label FROM {TOKEN_ENRICHMENT} t WHERE lower(token_name) LIKE '%token 1%'"
-TX_HITS = "SELECT 'transaction' AS kind, md5(concat('tx', 7)) AS route, md5(concat('tx', 7)) AS label FROM v_transactions WHERE id = 7"
+TX_HITS = "SELECT 'transaction' AS kind, sha256(concat('tx', 7)) AS route, sha256(concat('tx', 7)) AS label FROM v_transactions WHERE id = 7"
 
 
 def pools_with_creation(v):
@@ -38,7 +38,7 @@ def search_parts(v):
 
     wrappers = facets(v).where("contract_id is not null")
     return {
-        "transactions": SE.search_transactions(hash_index(v), hashlib.md5(b"tx7").hexdigest().upper()),
+        "transactions": SE.search_transactions(hash_index(v), hashlib.sha256(b"tx7").hexdigest().upper()),
         "pools": SE.search_pools(pools_with_creation(v), v.assets, "brand#1/2"),
         "accounts": SE.search_accounts(v.accounts.withColumn("account_key", F.concat(F.lit("G"), "account_id")), "G1"),
         "contracts": SE.search_contracts(v.contracts, "1"),
@@ -71,7 +71,6 @@ def missing(column: str, of: str, key: str, dim: str, dim_key: str, where: str =
 
 
 GAPS = "SELECT sequence FROM (SELECT DISTINCT sequence, lead(sequence) OVER (ORDER BY sequence) AS n FROM (SELECT DISTINCT sequence FROM {0}) d) g WHERE n > sequence + 1"
-SHAPE = "'^[0-9a-f]{32,64}$'"
 NO_ROWS = "SELECT 0 AS k WHERE false"
 CODE_ROWS = "(SELECT DISTINCT code_hash FROM v_contracts WHERE code_hash IS NOT NULL)"
 
@@ -173,7 +172,7 @@ PLANS = {
     "v1_ledgers_damaged": (lambda v: V.check_ledgers(bad_ledgers(v)), check_sql([("ledgers", "contiguous", GAPS.format(BAD_LEDGERS)), ("ledgers", "sequence_unique", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "close_time_increasing", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "counts_not_negative", f"SELECT sequence FROM {BAD_LEDGERS} b WHERE transaction_count < 0")])),
     "v2_transactions": (lambda v: V.check_transactions(v.transactions, v.operations, v.ledgers.where("sequence % 9 <> 0"), v.accounts.where("account_id % 50 <> 0")), check_sql([("transactions", "hash_unique", NO_ROWS), ("transactions", "ledger_exists", "SELECT id FROM v_transactions WHERE ledger_sequence % 9 = 0"), ("transactions", "source_exists", "SELECT id FROM v_transactions WHERE source_id % 50 = 0"), ("transactions", "fee_not_negative", NO_ROWS), ("transactions", "inner_hash_shape", NO_ROWS), ("transactions", "without_operation", "SELECT id FROM v_transactions WHERE id NOT IN (SELECT transaction_id FROM v_operations)")])),
     "v3_hash_index": (lambda v: V.check_hash_index(hash_index(v).where("transaction_id % 100 <> 0"), v.transactions.where("id % 30 <> 1")), check_sql([("hash_index", "transaction_exists", f"SELECT hash FROM {HASH_INDEX} h WHERE transaction_id % 100 <> 0 AND transaction_id % 30 = 1"), ("hash_index", "transaction_indexed", "SELECT hash FROM v_transactions WHERE id % 100 = 0 AND id % 30 <> 1"), ("hash_index", "hash_unique", NO_ROWS), ("hash_index", "hash_shape", NO_ROWS)])),
-    "v4_operations": (lambda v: V.check_operations(v.operations, v.transactions.where("id % 100 <> 3"), v.accounts, v.pools.where("pool_id < 19")), check_sql([("operations", "transaction_exists", "SELECT transaction_id FROM v_operations WHERE transaction_id % 100 = 3"), ("operations", "source_exists", NO_ROWS), ("operations", "destination_exists", missing("destination_id", "v_operations", "destination_id", "v_accounts", "account_id")), ("operations", "pool_exists", "SELECT pool_id FROM v_operations WHERE pool_id = 19"), ("operations", "place_unique", NO_ROWS)])),
+    "v4_operations": (lambda v: V.check_operations(v.operations, v.transactions.where("id % 100 <> 3"), v.accounts, v.pools.where("pool_id % 27 <> 2")), check_sql([("operations", "transaction_exists", "SELECT transaction_id FROM v_operations WHERE transaction_id % 100 = 3"), ("operations", "source_exists", NO_ROWS), ("operations", "destination_exists", missing("destination_id", "v_operations", "destination_id", "v_accounts", "account_id")), ("operations", "pool_exists", "SELECT pool_id FROM v_operations WHERE pool_id % 27 = 2"), ("operations", "place_unique", NO_ROWS)])),
     "v5_participants": (lambda v: V.check_participants(participants(v), v.transactions, v.accounts), check_sql([("participants", "transaction_exists", NO_ROWS), ("participants", "account_exists", missing("account_id", f"{PARTICIPANTS} p", "account_id", "v_accounts", "account_id")), ("participants", "triple_unique", NO_ROWS)])),
     "v6_contracts": (lambda v: V.check_contracts(v.contracts, v.accounts, interfaces(v).where("interface like '%functions%'")), check_sql([("contracts", "contract_unique", NO_ROWS), ("contracts", "deployer_exists", missing("deployer_id", "v_contracts", "contract_id", "v_accounts", "account_id")), ("contracts", "code_exists", "SELECT contract_id FROM v_contracts WHERE code_hash IS NOT NULL AND contract_id % 9 % 3 = 2"), ("contracts", "type_range", NO_ROWS), ("contracts", "hash_shape", NO_ROWS)])),
     "v7_code": (lambda v: V.check_code(interfaces(v).withColumn("interface", F.when(F.col("interface").contains("note"), "[1]").otherwise(F.col("interface")))), check_sql([("code", "hash_unique", NO_ROWS), ("code", "hash_shape", NO_ROWS), ("code", "json_object", "SELECT DISTINCT code_hash FROM v_contracts WHERE code_hash IS NOT NULL AND contract_id % 9 % 3 = 2")])),
@@ -184,12 +183,12 @@ PLANS = {
     "v12_balances": (lambda v: V.check_balances(v.balances.withColumn("amount", F.when(F.col("holder_id") % 60 == 0, -1).otherwise(F.col("amount"))), v.accounts, v.assets.where("id <> 7")), check_sql([("balances", "account_exists", NO_ROWS), ("balances", "asset_exists", "SELECT asset_id FROM v_balances WHERE asset_id = 7"), ("balances", "not_negative", "SELECT holder_id FROM v_balances WHERE holder_id % 60 = 0"), ("balances", "holder_asset_unique", NO_ROWS)])),
     "v13_nfts": (lambda v: V.check_nfts(tokens(v).withColumn("owner_id", F.when(F.col("token_id") == 5, -1).otherwise(F.col("owner_id"))), v.contracts, v.accounts, v.nft_ownership), check_sql([("nfts", "token_unique", NO_ROWS), ("nfts", "contract_exists", NO_ROWS), ("nfts", "owner_exists", missing("owner_id", f"(SELECT contract_id, token_id, CASE WHEN token_id = 5 THEN -1 ELSE owner_id END AS owner_id FROM {TOKENS} t) o", "owner_id", "v_accounts", "account_id")), ("nfts", "minted_before_seen", NO_ROWS), ("nfts", "owner_is_latest", f"SELECT concat(contract_id, ':', token_id) FROM {TOKENS} t WHERE token_id = 5")])),
     "v14_nft_ownership": (lambda v: V.check_nft_ownership(v.nft_ownership, tokens(v).where("token_id <> 3"), v.transactions, v.accounts), check_sql([("nft_ownership", "token_exists", "SELECT concat(contract_id, ':', token_id) FROM v_nft_ownership WHERE token_id = 3"), ("nft_ownership", "transaction_exists", missing("transaction_id", "v_nft_ownership", "transaction_id", "v_transactions", "id")), ("nft_ownership", "owner_exists", missing("owner_id", "v_nft_ownership", "owner_id", "v_accounts", "account_id")), ("nft_ownership", "type_range", NO_ROWS), ("nft_ownership", "first_is_mint", "SELECT concat(contract_id, ':', token_id) FROM (SELECT contract_id, token_id, min_by(event_type, ledger_sequence * 100000 + event_order) AS t FROM v_nft_ownership GROUP BY ALL) x WHERE t <> 0"), ("nft_ownership", "order_not_negative", NO_ROWS)])),
-    "v15_pools": (lambda v: V.check_pools(v.pools.withColumns({"asset_b": F.when(F.col("pool_id") == 3, 2).otherwise(F.col("asset_b")), "fee_bps": F.when(F.col("pool_id") == 4, 20_000).otherwise(F.col("fee_bps"))}), v.assets.where("id <> 25")), check_sql([("pools", "pool_unique", NO_ROWS), ("pools", "leg_order", "SELECT 3"), ("pools", "asset_a_exists", NO_ROWS), ("pools", "asset_b_exists", "SELECT 5"), ("pools", "fee_range", "SELECT 4")])),
-    "v16_snapshots": (lambda v: V.check_snapshots(v.pool_snapshots.unionByName(v.pool_snapshots.where("ledger_sequence % 50 = 0 and pool_id = 2")), v.pools.where("pool_id <> 6"), v.ledgers), check_sql([("pool_snapshots", "pool_exists", "SELECT pool_id FROM v_pool_snapshots WHERE pool_id = 6"), ("pool_snapshots", "reserves_not_negative", "SELECT pool_id FROM (SELECT * FROM v_pool_snapshots UNION ALL SELECT * FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2) s WHERE reserve_a < 0 OR reserve_b < 0"), ("pool_snapshots", "volume_not_negative", NO_ROWS), ("pool_snapshots", "one_a_ledger", "SELECT concat(pool_id, ':', ledger_sequence) FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2"), ("pool_snapshots", "ledger_exists", NO_ROWS)])),
+    "v15_pools": (lambda v: V.check_pools(v.pools.withColumns({"asset_b": F.when(F.col("pool_id") == 3, 0).otherwise(F.col("asset_b")), "fee_bps": F.when(F.col("pool_id") == 4, 20_000).otherwise(F.col("fee_bps"))}), v.assets.where("id <> 25")), check_sql([("pools", "pool_unique", NO_ROWS), ("pools", "leg_order", "SELECT 3"), ("pools", "asset_a_exists", "SELECT pool_id FROM v_pools WHERE asset_a = 25"), ("pools", "asset_b_exists", "SELECT pool_id FROM v_pools WHERE asset_b = 25"), ("pools", "fee_range", "SELECT 4")])),
+    "v16_snapshots": (lambda v: V.check_snapshots(v.pool_snapshots.unionByName(v.pool_snapshots.where("ledger_sequence % 50 = 0 and pool_id = 2")), v.pools.where("pool_id <> 13"), v.ledgers), check_sql([("pool_snapshots", "pool_exists", "SELECT pool_id FROM v_pool_snapshots WHERE pool_id = 13"), ("pool_snapshots", "reserves_not_negative", "SELECT pool_id FROM (SELECT * FROM v_pool_snapshots UNION ALL SELECT * FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2) s WHERE reserve_a < 0 OR reserve_b < 0"), ("pool_snapshots", "volume_not_negative", NO_ROWS), ("pool_snapshots", "one_a_ledger", "SELECT concat(pool_id, ':', ledger_sequence) FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2"), ("pool_snapshots", "ledger_exists", NO_ROWS)])),
     "v17_positions": (lambda v: V.check_positions(v.positions, v.pools, v.accounts, v.pool_snapshots), check_sql([("positions", "pool_exists", NO_ROWS), ("positions", "account_exists", NO_ROWS), ("positions", "shares_not_negative", NO_ROWS), ("positions", "ledgers_in_order", NO_ROWS), ("positions", "holder_unique", NO_ROWS), ("positions", "shares_add_up", "SELECT p.pool_id FROM (SELECT pool_id, sum(shares) AS held FROM v_positions WHERE shares > 0 GROUP BY pool_id) p JOIN (SELECT pool_id, max_by(total_shares, ledger_sequence) AS total FROM v_pool_snapshots GROUP BY pool_id) s ON s.pool_id = p.pool_id WHERE abs(held - total) > total * 0.001")])),
     "v18_layout": (lambda v: V.check_layout(v.ledgers, 500)[1], "SELECT bucket, count(*) AS rows, bucket > (SELECT max(bucket) FROM v_ledgers) - 2 AS recent FROM v_ledgers GROUP BY bucket"),
     "v18_outside_bucket": (lambda v: V.check_layout(v.ledgers.withColumn("bucket", F.when(F.col("sequence") % 300 == 1, 99).otherwise(F.col("bucket"))), 500)[0], check_sql([("ledgers", "in_bucket", "SELECT sequence FROM v_ledgers WHERE sequence % 300 = 1")])),
-    "v19_contract_code": (lambda v: V.check_contract_code(v.contracts.where("contract_id <> 8"), v.events.select("contract_id", "ledger_sequence", "event_index", F.when(F.col("contract_id") % 2 == 0, F.md5(F.concat(F.lit("code"), (F.col("contract_id") % 9).cast("string")).cast("binary"))).otherwise("z").alias("code_hash"))), check_sql([("contracts", "code_is_latest", "SELECT DISTINCT contract_id FROM v_events WHERE contract_id % 2 = 1 OR contract_id % 5 = 0 OR contract_id = 8")])),
+    "v19_contract_code": (lambda v: V.check_contract_code(v.contracts.where("contract_id <> 8"), v.events.select("contract_id", "ledger_sequence", "event_index", F.when(F.col("contract_id") % 2 == 0, F.sha2(F.concat(F.lit("code"), (F.col("contract_id") % 9).cast("string")), 256)).otherwise("z").alias("code_hash"))), check_sql([("contracts", "code_is_latest", "SELECT DISTINCT contract_id FROM v_events WHERE contract_id % 2 = 1 OR contract_id % 5 = 0 OR contract_id = 8")])),
     "v20_after_merge": (lambda v: V.check_after_merge(v.ledgers, v.transactions.where("id % 500 <> 4"), v.operations, latest_by_version(v.accounts_versions, ["account_id", "version"], "sequence_number"), v.accounts, participants(v)), check_sql([("ledgers", "gap_after", GAPS.format("v_ledgers")), ("accounts", "first_seen_is_least", f"SELECT a.account_id FROM v_accounts a JOIN (SELECT account_id, min(ledger_sequence) AS l FROM {PARTICIPANTS} p GROUP BY account_id) p ON p.account_id = a.account_id WHERE l <> first_seen_ledger"), ("operations", "without_transaction", "SELECT transaction_id FROM v_operations WHERE transaction_id % 500 = 4"), ("ledgers", "transaction_count", "SELECT sequence FROM v_ledgers l JOIN (SELECT ledger_sequence, count(*) AS n FROM v_transactions WHERE id % 500 <> 4 GROUP BY ledger_sequence) t ON t.ledger_sequence = l.sequence WHERE n <> transaction_count"), ("accounts", "skeleton", "SELECT account_id FROM v_accounts WHERE sequence_number = 0"), ("accounts", "sequence_never_falls", "SELECT version FROM (SELECT version, s, lag(s) OVER (PARTITION BY account_id ORDER BY version) AS b FROM (SELECT account_id, version, max(sequence_number) AS s FROM v_accounts_versions GROUP BY ALL) m) x WHERE s < b")])),
     "v4_issuers": (check_issuers, check_sql([("operations", "issuer_exists", missing("issuer_id", with_issuer("v_operations", "asset_id"), "transaction_id", ISSUERS, "account_id")), ("balances", "issuer_exists", missing("issuer_id", with_issuer("v_balances", "asset_id"), "concat(holder_id, ':', asset_id)", ISSUERS, "account_id")), ("balances", "identity_shape", f"SELECT concat(holder_id, ':', asset_id) FROM v_balances JOIN {SOME_ASSETS} a ON a.id = asset_id WHERE CASE WHEN asset_type = 0 THEN asset_code <> '' OR issuer_id IS NOT NULL ELSE asset_code = '' OR issuer_id IS NULL END"), ("pools", "asset_a_issuer_exists", missing("issuer_id", with_issuer("v_pools", "asset_a"), "pool_id", ISSUERS, "account_id")), ("pools", "asset_b_issuer_exists", missing("issuer_id", with_issuer("v_pools", "asset_b"), "pool_id", ISSUERS, "account_id"))])),
     "v20_stored_minimums": (check_minimums, check_sql([("positions", "first_deposit_is_least", f"SELECT concat(p.pool_id, ':', p.account_id) FROM v_positions p JOIN (SELECT pool_id, tx_source_id, min(ledger_sequence) AS l FROM v_operations WHERE {REPAIR_OPS} GROUP BY ALL) d ON d.pool_id = p.pool_id AND d.tx_source_id = p.account_id WHERE l <> first_deposit_ledger"), ("nfts", "minted_at_is_least", f"SELECT concat(contract_id, ':', token_id) FROM {TOKENS} t WHERE token_id = 5 AND minted_at_ledger IS NOT NULL"), ("contracts", "deployed_at_is_least", "SELECT contract_id FROM v_contracts WHERE contract_id = 8"), ("contracts", "deployer_is_first", "SELECT c.contract_id FROM v_contracts c JOIN (SELECT contract_id, min(struct_pack(l := ledger_sequence, d := user_id)) AS f FROM v_events GROUP BY contract_id) e ON e.contract_id = c.contract_id WHERE f.d <> deployer_id"), ("accounts", "skeleton_rate", "SELECT p FROM (SELECT round(100 * count(*) FILTER (account_id % 7 = 0 OR sequence_number = 0) / count(*), 4) AS p FROM v_accounts) r WHERE p >= 1")])),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orrery.operators import contracts as C
 from orrery.operators import ingest as I
 from orrery.plans.reads import HASH_INDEX, LABEL, joined, participants
+from orrery.sources.views import LEG_A, LEG_B
 
 # --- records derived from the views ---
 
@@ -15,7 +16,7 @@ def ops_json(v):
     """Operations with details as JSON."""
     o = v.operations
     asset = F.when(F.col("asset_id") == 0, "native").otherwise(F.concat(F.lit("C"), F.col("asset_id"), F.lit(":I"), F.col("asset_id") % 10))
-    other = F.concat(F.lit("C"), (F.col("asset_id") + 1) % 50, F.lit(":I"), (F.col("asset_id") + 1) % 10)
+    other = F.concat(F.lit("C"), F.col("asset_id") + 1, F.lit(":I"), (F.col("asset_id") + 1) % 10)
     account = F.concat(F.lit("G"), F.col("destination_id"))
     pool = F.coalesce(F.col("pool_id"), F.lit(0)).cast("string")
     details = F.to_json(
@@ -29,22 +30,22 @@ def ops_json(v):
 
 
 ASSET = "CASE WHEN asset_id = 0 THEN 'native' ELSE concat('C', asset_id, ':I', asset_id % 10) END"
-OTHER = "concat('C', (asset_id + 1) % 50, ':I', (asset_id + 1) % 10)"
+OTHER = "concat('C', asset_id + 1, ':I', (asset_id + 1) % 10)"
 
 
 def atoms(v):
     """A claimed atom for each trade with a pool: the pool buys its first asset and sells its second."""
     t = v.operations.where("pool_id is not null and flag = 'A'")
-    return t.select("transaction_id", "application_order", "ledger_sequence", "pool_id", F.col("pool_id").alias("asset_bought"), F.col("quantity").alias("amount_bought"), (F.col("pool_id") + 20).alias("asset_sold"), F.col("price").alias("amount_sold"))
+    return t.select("transaction_id", "application_order", "ledger_sequence", "pool_id", F.expr(LEG_A.format("pool_id")).alias("asset_bought"), F.col("quantity").alias("amount_bought"), F.expr(LEG_B.format("pool_id")).alias("asset_sold"), F.col("price").alias("amount_sold"))
 
 
 def deltas(v):
     """Before and after of each leg of deposits and withdrawals."""
     t = v.lp_amounts.where("flag <> 'A'")
-    return t.select("transaction_id", "application_order", "ledger_sequence", "pool_id", F.when(F.col("leg") == "A", F.col("pool_id")).otherwise(F.col("pool_id") + 20).alias("asset_id"), F.lit(1000).cast("bigint").alias("before"), (F.col("amount") + 1000).alias("after"))
+    return t.select("transaction_id", "application_order", "ledger_sequence", "pool_id", F.when(F.col("leg") == "A", F.expr(LEG_A.format("pool_id"))).otherwise(F.expr(LEG_B.format("pool_id"))).alias("asset_id"), F.lit(1000).cast("bigint").alias("before"), (F.col("amount") + 1000).alias("after"))
 
 
-AMOUNTS = "SELECT transaction_id, application_order, ledger_sequence, pool_id, CASE WHEN leg = 'A' THEN pool_id ELSE pool_id + 20 END AS asset_id, CAST(sum(amount) AS BIGINT) AS amount FROM v_lp_amounts GROUP BY ALL HAVING sum(amount) <> 0"
+AMOUNTS = f"SELECT transaction_id, application_order, ledger_sequence, pool_id, CASE WHEN leg = 'A' THEN {LEG_A.format('pool_id')} ELSE {LEG_B.format('pool_id')} END AS asset_id, CAST(sum(amount) AS BIGINT) AS amount FROM v_lp_amounts GROUP BY ALL HAVING sum(amount) <> 0"
 NET = "SELECT transaction_id, asset_id, CAST(greatest(sum(greatest(n, 0)), sum(greatest(-n, 0))) AS BIGINT) AS net_settled FROM (SELECT transaction_id, holder_id, asset_id, max_by(after, change_index) - min_by(before, change_index) AS n FROM v_entry_changes GROUP BY ALL) d WHERE n <> 0 GROUP BY ALL"
 
 
@@ -87,7 +88,7 @@ def invocations(v):
 
 def deployments(v):
     e = v.events
-    return e.select("contract_id", F.when(F.col("contract_id") % 5 > 0, F.md5(F.concat(F.lit("code"), F.col("contract_id") % 9).cast("binary"))).alias("code_hash"), F.col("user_id").alias("deployer_id"), "ledger_sequence", F.col("transaction_id").alias("order"), (F.col("contract_id") % 4 == 0).alias("is_wrapper"))
+    return e.select("contract_id", F.when(F.col("contract_id") % 5 > 0, F.sha2(F.concat(F.lit("code"), F.col("contract_id") % 9), 256)).alias("code_hash"), F.col("user_id").alias("deployer_id"), "ledger_sequence", F.col("transaction_id").alias("order"), (F.col("contract_id") % 4 == 0).alias("is_wrapper"))
 
 
 def trace(v):

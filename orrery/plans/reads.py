@@ -50,8 +50,8 @@ METADATA = "(SELECT id AS asset_id, concat('S', CAST(id AS VARCHAR)) AS symbol,
 
 
 def facets(v):
-    """Two partial rows of each wrapper: its contract, and whether it is deployed."""
-    a = v.assets.where("id < 30")
+    """Two partial rows of each wrapper: its contract, and whether it is deployed. Every third asset has no wrapper."""
+    a = v.assets.where("id % 3 <> 2")
     return a.select(F.col("id").alias("asset_id"), F.col("id").alias("contract_id"), F.lit(0).alias("deployed")).union(a.where("id % 2 = 0").select("id", F.lit(None).cast("bigint"), F.lit(1)))
 
 
@@ -95,7 +95,7 @@ def json_events(v):
     return v.events.withColumn("topics", topics)
 
 
-TXL = "id, hash, t.ledger_sequence, application_order, source_id, successful, closed_at FROM v_transactions t JOIN v_ledgers l ON l.sequence = t.ledger_sequence"
+TXL = "id, t.hash, t.ledger_sequence, application_order, source_id, successful, closed_at FROM v_transactions t JOIN v_ledgers l ON l.sequence = t.ledger_sequence"
 LABEL = "(CASE " + " ".join(f"WHEN type = {k} THEN '{x}'" for k, x in enumerate(X.OP_TYPES)) + " ELSE concat('UNKNOWN_', CAST(type AS VARCHAR)) END)"
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY ledger_sequence DESC) AS rn FROM v_pool_snapshots) s WHERE rn = 1"
 CLOSES = f"SELECT asset_id, max(bucket) AS bucket, max_by(close_usd, bucket) AS close_usd FROM v_prices_1d WHERE close_usd > 0 AND bucket < {NOW_DAY} AND bucket >= {NOW_DAY} - 400 GROUP BY asset_id"
@@ -125,7 +125,7 @@ PLANS = {
     "s4_latest_by_version": (lambda v: R.account_detail(v.accounts_versions), "SELECT account_id, max(version) AS version, max(home_domain) AS home_domain, max_by(sequence_number, version * 1000000 + sequence_number) AS sequence_number FROM v_accounts_versions GROUP BY account_id"),
     "s5_dedup_by_key": (lambda v: S.dedup_by_key(v.ledgers.unionByName(v.ledgers), ["sequence"]), "SELECT * FROM v_ledgers"),
     "s6_top_n_by": (lambda v: S.top_n_by(v.transactions, ["source_id"], [F.desc("ledger_sequence"), F.desc("id")], 3).select("source_id", "id"), "SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ledger_sequence DESC, id DESC) AS rn FROM v_transactions) t WHERE rn <= 3"),
-    "s7_merge_facets": (lambda v: S.merge_facets(facets(v), ["asset_id"]), "SELECT id AS asset_id, id AS contract_id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS deployed FROM v_assets WHERE id < 30"),
+    "s7_merge_facets": (lambda v: S.merge_facets(facets(v), ["asset_id"]), "SELECT id AS asset_id, id AS contract_id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS deployed FROM v_assets WHERE id % 3 <> 2"),
     "s9_resolve_ids": (lambda v: S.resolve_ids(v.operations.select("transaction_id", "application_order", "source_id", "tx_source_id"), {"source_id": "source", "tx_source_id": "tx_source"}, v.customer, "c_custkey", "c_name"),
         "SELECT transaction_id, application_order, source_id, tx_source_id, a.c_name AS source, b.c_name AS tx_source FROM v_operations LEFT JOIN customer a ON a.c_custkey = source_id LEFT JOIN customer b ON b.c_custkey = tx_source_id"),
     "s10_lookup_hash": (lambda v: S.lookup_hash(hashes(v), hash_index(v)), f"SELECT i.hash, transaction_id, ledger_sequence FROM {HASH_INDEX} i JOIN {HASHES} h ON h.hash = i.hash"),
@@ -133,7 +133,7 @@ PLANS = {
         "WITH h AS (SELECT max(sequence) AS head, max(epoch(closed_at)) AS last FROM v_ledgers) SELECT max(head) AS head, coalesce(sum(transaction_count) / nullif(max(epoch(closed_at)) - min(epoch(closed_at)), 0), 0.0)::DOUBLE AS tps, (SELECT count(DISTINCT account_id) FROM v_accounts) AS accounts, (SELECT count(DISTINCT contract_id) FROM v_contracts) AS contracts FROM v_ledgers, h WHERE epoch(closed_at) >= last - 2592000"),
     "q2_ledgers_with_success": (lambda v: R.ledgers_with_success(v.ledgers, v.transactions), "SELECT sequence, closed_at, transaction_count, coalesce(n, 0) AS successful FROM v_ledgers LEFT JOIN (SELECT ledger_sequence, count(*) FILTER (successful) AS n FROM v_transactions GROUP BY ledger_sequence) t ON ledger_sequence = sequence"),
     "q3_ledger_neighbours": (lambda v: R.ledger_neighbours(v.ledgers), "SELECT sequence, lag(sequence) OVER (ORDER BY sequence) AS previous, lead(sequence) OVER (ORDER BY sequence) AS next FROM v_ledgers"),
-    "q4_ledger_transactions": (lambda v: R.ledger_transactions(v.transactions, v.ledgers.where("sequence % 7 = 0")).drop("inner_tx_hash"), "SELECT id, hash, ledger_sequence, application_order, source_id, fee_charged, successful FROM v_transactions WHERE ledger_sequence % 7 = 0"),
+    "q4_ledger_transactions": (lambda v: R.ledger_transactions(v.transactions, v.ledgers).drop("inner_tx_hash"), "SELECT id, hash, ledger_sequence, application_order, source_id, fee_charged, successful FROM v_transactions"),
     "q5_tx_list": (lambda v: R.tx_list(v.transactions, v.ledgers), f"SELECT {TXL}"),
     "q5_tx_list_newest": (lambda v: R.tx_list(v.transactions, v.ledgers, limit=100), f"SELECT {TXL} ORDER BY t.ledger_sequence DESC, application_order DESC LIMIT 100"),
     "q6_tx_list_by_op_type": (lambda v: R.tx_list_by_op_type(v.transactions, v.ledgers, v.operations, 13), f"SELECT {TXL} WHERE id IN (SELECT transaction_id FROM v_operations WHERE type = 13)"),
@@ -149,13 +149,13 @@ PLANS = {
     "q16_deleted_accounts": (lambda v: R.deleted_accounts(v.accounts, v.operations, v.transactions), "SELECT * FROM v_accounts a WHERE EXISTS (SELECT 1 FROM v_operations o JOIN v_transactions t ON t.id = o.transaction_id WHERE successful AND type = 8 AND coalesce(o.source_id, t.source_id) = a.account_id AND o.ledger_sequence = a.last_seen_ledger)"),
     "q17_account_balances": (lambda v: R.account_balances(v.balances, v.assets, enrichment(v), metadata(v)), f"SELECT holder_id, b.asset_id, amount, asset_type, asset_code, issuer_id, coalesce(nullif(e.name, ''), a.name) AS name, symbol, coalesce(decimals, 7) AS decimals FROM v_balances b LEFT JOIN v_assets a ON a.id = b.asset_id LEFT JOIN {ENRICHMENT} e ON e.asset_id = b.asset_id LEFT JOIN {METADATA} m ON m.asset_id = b.asset_id WHERE amount <> 0"),
     "q18_account_transactions": (lambda v: R.account_transactions(participants(v), v.transactions, v.ledgers, 50), f"SELECT {TXL} WHERE id IN (SELECT transaction_id FROM {PARTICIPANTS} p WHERE account_id = 50)"),
-    "q19_asset_list": (lambda v: R.asset_list(v.assets, 1, "e", facets(v).where("deployed = 1")), "SELECT * FROM v_assets WHERE asset_type = 1 AND (lower(asset_code) LIKE '%e%' OR lower(name) LIKE '%e%') AND id < 30 AND id % 2 = 0"),
+    "q19_asset_list": (lambda v: R.asset_list(v.assets, 1, "e", facets(v).where("deployed = 1")), "SELECT * FROM v_assets WHERE asset_type = 1 AND (lower(asset_code) LIKE '%e%' OR lower(name) LIKE '%e%') AND id % 3 <> 2 AND id % 2 = 0"),
     "q20_asset_hydrate": (lambda v: R.asset_hydrate(v.assets, R.balance_aggregates(v.balances), enrichment(v), metadata(v)), f"SELECT a.id, asset_type, asset_code, issuer_id, coalesce(supply, 0) AS supply, coalesce(holders, 0) AS holders, nullif(icon, '') AS icon, CASE WHEN asset_type = 0 THEN 'Stellar Lumens' ELSE coalesce(nullif(e.name, ''), a.name) END AS name, coalesce(decimals, 7) AS decimals, deployed_at_ledger FROM v_assets a LEFT JOIN (SELECT asset_id, CAST(sum(amount) AS BIGINT) AS supply, count(*) FILTER (amount > 0) AS holders FROM v_balances GROUP BY asset_id) g ON g.asset_id = a.id LEFT JOIN {ENRICHMENT} e ON e.asset_id = a.id LEFT JOIN {METADATA} m ON m.asset_id = a.id"),
     "q21_asset_resolve": (lambda v: R.asset_resolve(v.assets, v.assets.select(F.when(F.col("id") == 0, "native").otherwise(F.concat_ws("-", "asset_code", F.col("issuer_id").cast("string"))).alias("text"))),
         "SELECT CASE WHEN id = 0 THEN 'native' ELSE concat(asset_code, '-', CAST(issuer_id AS VARCHAR)) END AS text, min(asset_type) AS asset_type, min(id) AS id FROM v_assets GROUP BY 1"),
-    "q22_asset_transactions": (lambda v: R.asset_transactions(v.operations, v.invocations, facets(v).where("contract_id is not null")), "SELECT asset_id, transaction_id, max(ledger_sequence) AS ledger_sequence FROM (SELECT asset_id, transaction_id, ledger_sequence FROM v_operations UNION ALL SELECT contract_id, transaction_id, i.ledger_sequence FROM v_invocations i JOIN v_assets a ON a.id = contract_id AND a.id < 30) x GROUP BY asset_id, transaction_id"),
-    "q23_contract_list": (lambda v: R.contract_list(v.contracts, v.invocations, R.wrapped_asset(facets(v), v.assets), NOW_MINUTE, WEEK_MINUTES, text="1"), f"SELECT c.contract_id, contract_type, c.name, deployer_id, coalesce(n, 0) AS calls, CASE WHEN a.asset_type <> 0 THEN asset_code END AS asset_code, CASE WHEN a.asset_type <> 0 THEN issuer_id END AS issuer_id FROM v_contracts c LEFT JOIN (SELECT contract_id, count(*) AS n FROM v_invocations WHERE ledger_sequence > {NOW_MINUTE - WEEK_MINUTES} GROUP BY contract_id) i ON i.contract_id = c.contract_id LEFT JOIN v_assets a ON a.id = c.contract_id AND a.id < 30 WHERE lower(c.name) LIKE '%1%'"),
-    "q24_wrapped_asset": (lambda v: R.wrapped_asset(facets(v), v.assets), "SELECT id AS contract_id, CASE WHEN asset_type <> 0 THEN asset_code END AS asset_code, CASE WHEN asset_type <> 0 THEN issuer_id END AS issuer_id FROM v_assets WHERE id < 30"),
+    "q22_asset_transactions": (lambda v: R.asset_transactions(v.operations, v.invocations, facets(v).where("contract_id is not null")), "SELECT asset_id, transaction_id, max(ledger_sequence) AS ledger_sequence FROM (SELECT asset_id, transaction_id, ledger_sequence FROM v_operations UNION ALL SELECT contract_id, transaction_id, i.ledger_sequence FROM v_invocations i JOIN v_assets a ON a.id = contract_id AND a.id % 3 <> 2) x GROUP BY asset_id, transaction_id"),
+    "q23_contract_list": (lambda v: R.contract_list(v.contracts, v.invocations, R.wrapped_asset(facets(v), v.assets), NOW_MINUTE, WEEK_MINUTES, text="1"), f"SELECT c.contract_id, contract_type, c.name, deployer_id, coalesce(n, 0) AS calls, CASE WHEN a.asset_type <> 0 THEN asset_code END AS asset_code, CASE WHEN a.asset_type <> 0 THEN issuer_id END AS issuer_id FROM v_contracts c LEFT JOIN (SELECT contract_id, count(*) AS n FROM v_invocations WHERE ledger_sequence > {NOW_MINUTE - WEEK_MINUTES} GROUP BY contract_id) i ON i.contract_id = c.contract_id LEFT JOIN v_assets a ON a.id = c.contract_id AND a.id % 3 <> 2 WHERE lower(c.name) LIKE '%1%'"),
+    "q24_wrapped_asset": (lambda v: R.wrapped_asset(facets(v), v.assets), "SELECT id AS contract_id, CASE WHEN asset_type <> 0 THEN asset_code END AS asset_code, CASE WHEN asset_type <> 0 THEN issuer_id END AS issuer_id FROM v_assets WHERE id % 3 <> 2"),
     "q25_contract_detail": (lambda v: R.contract_detail(v.contracts, code(v)), f"SELECT c.*, CASE WHEN c.code_hash IS NULL THEN false WHEN contract_id % 9 % 3 = 0 THEN true WHEN contract_id % 9 % 3 = 1 THEN false END AS upgradeable FROM v_contracts c"),
     "q26_contract_stats": (lambda v: R.contract_stats(v.invocations, v.events, WEEK_MINUTES), f"WITH h AS (SELECT max(ledger_sequence) AS head FROM v_invocations), i AS (SELECT contract_id, count(*) AS calls, count(DISTINCT caller_id) AS callers FROM v_invocations, h WHERE ledger_sequence > head - {WEEK_MINUTES} GROUP BY contract_id), e AS (SELECT contract_id, count(*) AS events FROM v_events, h WHERE ledger_sequence > head - {WEEK_MINUTES} GROUP BY contract_id) SELECT contract_id, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(events, 0) AS events FROM i FULL JOIN e USING (contract_id)"),
     "q27_contract_interface": (lambda v: R.contract_interface(v.contracts, code(v)), f"SELECT contract_id, interface FROM v_contracts c JOIN {CODE} k ON k.code_hash = c.code_hash WHERE interface LIKE '%functions%'"),

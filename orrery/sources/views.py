@@ -10,18 +10,20 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Assets of a pool's legs, by its id: the first is the smaller one.
+LEG_A, LEG_B = "CAST(floor({0} / 2) AS BIGINT)", "(CAST(floor({0} / 2) AS BIGINT) + 1 + {0} % 2)"
 BASE = ("orders", "lineitem", "customer", "supplier", "part", "events")
 #: View: (what it reads, SQL).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_ledgers": (
         ("orders",),
-        "SELECT CAST(DAYS(o_orderdate) AS BIGINT) AS sequence, o_orderdate AS closed_at, count(*) AS transaction_count, 100 AS base_fee, "
+        "SELECT CAST(DAYS(o_orderdate) AS BIGINT) AS sequence, o_orderdate AS closed_at, sha2(concat('ledger', CAST(DAYS(o_orderdate) AS STRING)), 256) AS hash, count(*) AS transaction_count, 100 AS base_fee, "
         "CAST(floor(DAYS(o_orderdate) / 500) AS BIGINT) AS bucket FROM orders GROUP BY o_orderdate",
     ),
     "v_transactions": (
         ("orders",),
-        "SELECT o_orderkey AS id, md5(concat('tx', CAST(o_orderkey AS STRING))) AS hash, "
-        "CASE WHEN o_orderkey % 10 = 0 THEN md5(concat('in', CAST(o_orderkey AS STRING))) END AS inner_tx_hash, "
+        "SELECT o_orderkey AS id, sha2(concat('tx', CAST(o_orderkey AS STRING)), 256) AS hash, "
+        "CASE WHEN o_orderkey % 10 = 0 THEN sha2(concat('in', CAST(o_orderkey AS STRING)), 256) END AS inner_tx_hash, "
         "CAST(DAYS(o_orderdate) AS BIGINT) AS ledger_sequence, "
         "CAST(row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS BIGINT) AS application_order, "
         "o_custkey AS source_id, CAST(floor(o_totalprice) AS BIGINT) AS fee_charged, o_orderstatus <> 'F' AS successful FROM orders",
@@ -31,8 +33,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT l_orderkey AS transaction_id, CAST(DAYS(o_orderdate) AS BIGINT) AS ledger_sequence, "
         "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS application_order, "
         "CAST(l_partkey % 27 AS INT) AS type, CASE WHEN l_linenumber % 2 = 0 THEN o_custkey END AS source_id, o_custkey AS tx_source_id, l_suppkey AS destination_id, "
-        "CASE WHEN l_partkey % 27 = 24 THEN l_suppkey % 30 END AS contract_id, l_partkey % 50 AS asset_id, "
-        "CASE WHEN l_partkey % 27 IN (2, 13, 22, 23) THEN l_partkey % 20 END AS pool_id, "
+        "CASE WHEN l_partkey % 27 = 24 THEN l_suppkey % 30 END AS contract_id, l_partkey AS asset_id, "
+        "CASE WHEN l_partkey % 27 IN (2, 13, 22, 23) THEN l_partkey END AS pool_id, "
         "CAST(l_quantity AS BIGINT) AS quantity, CAST(floor(l_extendedprice) AS BIGINT) AS price, l_returnflag AS flag, l_linestatus AS status "
         "FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     ),
@@ -48,12 +50,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_assets": (
         ("part",),
-        "SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN 0 ELSE 1 END AS asset_type, CASE WHEN p_partkey = 0 THEN '' ELSE p_brand END AS asset_code, p_partkey % 10 AS issuer_id, p_name AS name "
-        "FROM part WHERE p_partkey < 50",
+        "SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN 0 ELSE 1 END AS asset_type, CASE WHEN p_partkey = 0 THEN '' ELSE concat(p_brand, 'P', CAST(p_partkey AS STRING)) END AS asset_code, p_partkey % 10 AS issuer_id, p_name AS name "
+        "FROM part",
     ),
     "v_pools": (
         ("part",),
-        "SELECT p_partkey AS pool_id, p_partkey AS asset_a, p_partkey + 20 AS asset_b, 30 AS fee_bps FROM part WHERE p_partkey < 20",
+        f"SELECT p_partkey AS pool_id, {LEG_A.format('p_partkey')} AS asset_a, {LEG_B.format('p_partkey')} AS asset_b, 30 AS fee_bps FROM part",
     ),
     "v_lp_amounts": (
         ("v_operations",),
@@ -75,7 +77,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_prices_1d": (
         ("lineitem",),
-        "SELECT l_partkey % 50 AS asset_id, CAST(DAYS(l_shipdate) AS BIGINT) AS bucket, CAST(floor(max(l_extendedprice / l_quantity)) AS DOUBLE) AS close_usd FROM lineitem GROUP BY l_partkey % 50, CAST(DAYS(l_shipdate) AS BIGINT)",
+        "SELECT l_partkey AS asset_id, CAST(DAYS(l_shipdate) AS BIGINT) AS bucket, CAST(floor(max(l_extendedprice / l_quantity)) AS DOUBLE) AS close_usd FROM lineitem GROUP BY l_partkey, CAST(DAYS(l_shipdate) AS BIGINT)",
     ),
     "v_balances": (
         ("v_operations",),
@@ -100,14 +102,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_entry_changes": (
         ("v_lp_amounts",),
-        "SELECT transaction_id, tx_source_id AS holder_id, CASE WHEN leg = 'A' THEN pool_id ELSE pool_id + 20 END AS asset_id, 2 * application_order + CASE WHEN leg = 'A' THEN 0 ELSE 1 END AS change_index, "
+        f"SELECT transaction_id, tx_source_id AS holder_id, CASE WHEN leg = 'A' THEN {LEG_A.format('pool_id')} ELSE {LEG_B.format('pool_id')} END AS asset_id, 2 * application_order + CASE WHEN leg = 'A' THEN 0 ELSE 1 END AS change_index, "
         "CAST(1000000 - sum(amount) OVER w + amount AS BIGINT) AS before, CAST(1000000 - sum(amount) OVER w AS BIGINT) AS after FROM v_lp_amounts "
-        "WINDOW w AS (PARTITION BY transaction_id, tx_source_id, CASE WHEN leg = 'A' THEN pool_id ELSE pool_id + 20 END ORDER BY application_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+        f"WINDOW w AS (PARTITION BY transaction_id, tx_source_id, CASE WHEN leg = 'A' THEN {LEG_A.format('pool_id')} ELSE {LEG_B.format('pool_id')} END ORDER BY application_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     ),
     "v_contracts": (
         ("v_events",),
         "SELECT contract_id, CASE contract_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS contract_type, min(ledger_sequence) AS deployed_at_ledger, min(user_id) AS deployer_id, concat('Contract ', CAST(contract_id AS STRING)) AS name, "
-        "CASE WHEN contract_id % 5 > 0 THEN md5(concat('code', CAST(contract_id % 9 AS STRING))) END AS code_hash FROM v_events GROUP BY contract_id",
+        "CASE WHEN contract_id % 5 > 0 THEN sha2(concat('code', CAST(contract_id % 9 AS STRING)), 256) END AS code_hash FROM v_events GROUP BY contract_id",
     ),
     "v_request_log": (
         ("events",),
@@ -144,6 +146,7 @@ def with_clause(sql: str) -> str:
 def _outside(sql: str) -> str:
     sql = re.sub(r"DAYS\((\w+)\)", r"date_diff('day', DATE '1994-12-31', CAST(\1 AS DATE))", sql)
     sql = re.sub(r"MINUTES\((\w+)\)", r"floor((epoch(\1) - 1704067200) / 60)", sql)
+    sql = re.sub(r"sha2\((.*?), 256\)", r"sha256(\1)", sql)
     return sql.replace("AS STRING", "AS VARCHAR")
 
 
