@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,13 +112,31 @@ def decimal_text_equal(a: Column, b: Column) -> Column:
 
 
 def classify_query(text: Column) -> Column:
-    """Kind of a search text: hash, account or contract (a key or its prefix), else text."""
-    t = F.trim(text)
+    """Kind of a search text, in either case: hash, account or contract (a key or a prefix of two signs or more), else text."""
+    t = F.upper(F.trim(text))
     return (
-        F.when(t.rlike("^[0-9a-fA-F]{64}$"), "hash").when(t.rlike("^G[A-Z2-7]{1,55}$"), "account").when(t.rlike("^C[A-Z2-7]{1,55}$"), "contract").otherwise("text")
+        F.when(t.rlike("^[0-9A-F]{64}$"), "hash").when(t.rlike("^G[A-Z2-7]{1,55}$"), "account").when(t.rlike("^C[A-Z2-7]{1,55}$"), "contract").otherwise("text")
     )
 
 
+def key_prefix(text: str | None) -> str | None:
+    """The text in upper case if it is an account's or contract's key or a prefix of one, as classify_query() has it."""
+    found = (text or "").strip().upper()
+    return found if re.fullmatch("[GC][A-Z2-7]{1,55}", found) else None
+
+
+def asked_hash(text: str | None) -> str | None:
+    """The 32 bytes that a text names, as 64 hex signs: written out, or as a pool key of 56 signs with a right checksum."""
+    found = (text or "").strip()
+    if re.fullmatch("[0-9a-fA-F]{64}", found):
+        return found.lower()
+    if re.fullmatch("L[A-Z2-7]{55}", found.upper()):
+        data = base64.b32decode(found.upper())
+        if data[0] == 11 << 3 and binascii.crc_hqx(data[:33], 0) == int.from_bytes(data[33:], "little"):
+            return data[1:33].hex()
+    return None
+
+
 def classify_tx(labels: Column, count: Column) -> Column:
     """The story that the set of operation types of a transaction tells; null if unsure."""
 

@@ -2,48 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import pool_filter
-from orrery.functions.versioned import asof_left, latest_by_version
+from orrery.functions.versioned import latest_by_version
+
+#: Id of the native asset in pools and wrappers.
+NATIVE_ID = 0
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return latest_by_version(snapshots, ["pool_id"], "ledger_sequence")
 
 
-def pool_list(pools: DataFrame, snapshots: DataFrame, positions: DataFrame, text: str | None = None, leg_a: Column | None = None, leg_b: Column | None = None) -> DataFrame:
-    """Pools with first and latest snapshot and participants that hold shares, newest first."""
+def pool_list(
+    pools: DataFrame, snapshots: DataFrame, positions: DataFrame, ledgers: DataFrame, wrappers: DataFrame, text: str | None = None, leg_a: Column | None = None, leg_b: Column | None = None, limit: int | None = None
+) -> DataFrame:
+    """Pools with first and latest snapshot and its close time, participants that hold shares, and of each leg the wrapper contract and the icon.
+
+    A pool without snapshots counts as created at its last update; a native leg has no wrapper here. wrappers: asset_id, contract_id, icon.
+    """
     rows = pools if text is None else pools.where(pool_filter(text, leg_a, leg_b))
     first = snapshots.groupBy("pool_id").agg(F.min("ledger_sequence").alias("created_ledger"))
     last = latest_snapshots(snapshots).withColumnRenamed("ledger_sequence", "snapshot_ledger")
+    closes = ledgers.select(F.col("sequence").alias("snapshot_ledger"), F.col("closed_at").alias("snapshot_at")).dropDuplicates(["snapshot_ledger"])
     holders = positions.where("shares > 0").groupBy("pool_id").agg(F.count(F.lit(1)).alias("participants"))
-    joined = rows.join(first, "pool_id", "left").join(last, "pool_id", "left").join(holders, "pool_id", "left")
-    return joined.select(*pools.columns, "created_ledger", "snapshot_ledger", "reserve_a", "reserve_b", "total_shares", F.coalesce("participants", F.lit(0)).alias("participants")).orderBy(F.desc("created_ledger"), "pool_id")
+    joined = rows.join(first, "pool_id", "left").join(last, "pool_id", "left").join(holders, "pool_id", "left").join(closes, "snapshot_ledger", "left")
+    side = wrappers.where(F.col("asset_id") != NATIVE_ID).groupBy("asset_id").agg(F.max("contract_id").alias("contract"), F.max(F.nullif("icon", F.lit(""))).alias("icon"))
+    for s in "ab":
+        joined = joined.join(side.select(F.col("asset_id").alias(f"asset_{s}"), F.col("contract").alias(f"contract_{s}"), F.col("icon").alias(f"icon_{s}")), f"asset_{s}", "left")
+    created = F.coalesce("created_ledger", "last_updated_ledger").alias("created_ledger")
+    found = joined.select(*pools.columns, created, "snapshot_ledger", "snapshot_at", "reserve_a", "reserve_b", "total_shares", F.coalesce("participants", F.lit(0)).alias("participants"), "contract_a", "icon_a", "contract_b", "icon_b")
+    return found if limit is None else found.orderBy(F.desc("last_updated_ledger"), F.desc("pool_id")).limit(limit)
 
 
-def pool_detail(pools: DataFrame, snapshots: DataFrame, positions: DataFrame, keys: DataFrame) -> DataFrame:
+def pool_detail(pools: DataFrame, snapshots: DataFrame, positions: DataFrame, ledgers: DataFrame, wrappers: DataFrame, keys: DataFrame) -> DataFrame:
     wanted = keys.select("pool_id").distinct()
-    return pool_list(*(df.join(wanted, "pool_id", "left_semi") for df in (pools, snapshots, positions)))
+    return pool_list(*(df.join(wanted, "pool_id", "left_semi") for df in (pools, snapshots, positions)), ledgers, wrappers)
 
 
 def pool_participants(positions: DataFrame, snapshots: DataFrame, head: int, fresh: int) -> DataFrame:
-    """Holders by shares with their percentage of the latest total; null if that is 0 or older than `fresh` ledgers."""
+    """Holders with shares and their percentage of the latest total; null if that is 0 or older than `fresh` ledgers."""
     last = latest_snapshots(snapshots).select("pool_id", F.when((F.col("ledger_sequence") >= head - fresh) & (F.col("total_shares") > 0), F.col("total_shares")).alias("total"))
     joined = positions.where("shares > 0").join(last, "pool_id", "left")
-    return joined.select("pool_id", "account_id", "shares", F.round(F.col("shares").cast("double") * 100 / F.col("total"), 6).alias("percentage"), "first_deposit_ledger", "last_updated_ledger").orderBy("pool_id", F.desc("shares"), "account_id")
+    return joined.select("pool_id", "account_id", "shares", F.round(F.col("shares").cast("double") * 100 / F.col("total"), 6).alias("percentage"), "first_deposit_ledger", "last_updated_ledger")
 
 
 def pool_activity(amounts: DataFrame, operations: DataFrame) -> DataFrame:
-    """The two legs of each operation on a pool in one row: kind by their signs, its source, and how many pools the operation crossed."""
-    key = ["pool_id", "ledger_sequence", "transaction_id", "application_order"]
-    legs = amounts.groupBy(*key).agg(F.max(F.when(F.col("leg") == "A", F.col("amount"))).alias("amount_a"), F.max(F.when(F.col("leg") == "B", F.col("amount"))).alias("amount_b"))
-    crossed = amounts.groupBy("transaction_id", "application_order").agg(F.count_distinct("pool_id").alias("pools_crossed"))
-    source = operations.select("transaction_id", "application_order", F.coalesce("source_id", "tx_source_id").alias("source_id"))
+    """The two legs of each operation on a pool in one row: kind by their signs, its source, and how many pools the operation crossed.
+
+    Amounts meet once, by operation: a map of pools to their legs is made there and taken apart again.
+    """
+    key = ["transaction_id", "application_order"]
+    legs = amounts.groupBy(*key, "pool_id", "ledger_sequence").agg(F.max(F.when(F.col("leg") == "A", F.col("amount"))).alias("amount_a"), F.max(F.when(F.col("leg") == "B", F.col("amount"))).alias("amount_b"))
+    by_operation = legs.groupBy(*key).agg(F.collect_list(F.struct("pool_id", "ledger_sequence", "amount_a", "amount_b")).alias("legs"), F.count_distinct("pool_id").alias("pools_crossed"))
+    source = operations.where("pool_id is not null").select(*key, F.coalesce("source_id", "tx_source_id").alias("source_id"))
     a, b = F.col("amount_a"), F.col("amount_b")
     kind = F.when(a.isNull() | b.isNull(), None).when((a > 0) & (b > 0), "deposit").when((a < 0) & (b < 0), "withdrawal").otherwise("trade")
-    return legs.withColumn("kind", kind).join(crossed, ["transaction_id", "application_order"]).join(source, ["transaction_id", "application_order"], "left")
+    return by_operation.join(source, key, "left").select(*key, "pools_crossed", "source_id", F.inline("legs")).withColumn("kind", kind)
 
 
 def pool_volume(snapshots: DataFrame, since: int) -> DataFrame:
@@ -68,24 +85,45 @@ def pool_usd(pools: DataFrame, snapshots: DataFrame, closes: DataFrame, volume:
     return rows.select("pool_id", F.round(tvl, 4).alias("tvl_usd"), F.round(worth, 4).alias("volume_usd"), F.round(worth * F.col("fee_bps") / 10000, 4).alias("fee_usd"))
 
 
-def pool_chart(pools: DataFrame, snapshots: DataFrame, prices: DataFrame, bucket: int, max_age: int, step: int = 250) -> DataFrame:
-    """For each pool and bucket of ledgers: value of the last snapshot that has both prices, volume (null if a trade has no price), fee, samples.
+#: Chart interval: (its bucket, the bucket of the prices that it uses).
+INTERVALS = {"1h": ("hour", "hour"), "1d": ("day", "day"), "1w": ("week", "day")}
+
+
+def carried_prices(prices: DataFrame, grain: str, carry: int, now: Column | None = None) -> DataFrame:
+    """leg, bucket and close for every bucket in which a price holds: its own and later ones, up to the next price and at most `carry` seconds on.
+
+    The bucket of `now` is still open, and left out. A row becomes carry / grain rows at most, so that snapshots need no more than an equality on leg and bucket.
+    """
+    step = F.expr(f"INTERVAL 1 {grain}")
+    own = prices.where("close_usd > 0").select("leg", F.date_trunc(grain, "bucket").alias("bucket"), "close_usd")
+    if now is not None:
+        own = own.where(F.col("bucket") < F.date_trunc(grain, now))
+    own = own.groupBy("leg", "bucket").agg(F.max("close_usd").alias("close_usd"))
+    after = F.lead("bucket").over(Window.partitionBy("leg").orderBy("bucket"))
+    until = F.least(F.coalesce(after - step, F.col("bucket") + F.make_interval(secs=F.lit(carry))), F.col("bucket") + F.make_interval(secs=F.lit(carry)))
+    return own.withColumn("until", until).select("leg", F.explode(F.sequence("bucket", F.greatest("until", "bucket"), step)).alias("bucket"), "close_usd")
+
+
+def pool_chart(pools: DataFrame, snapshots: DataFrame, ledgers: DataFrame, prices: DataFrame, interval: str, carry: int, now: Column | None = None) -> DataFrame:
+    """For each pool and hour, day or week (from Monday) by close time: value of the last snapshot that has both prices, volume (null if a trade has no price), fee, samples.
 
-    Prices are as of the last closed bucket before the snapshot, at most max_age old; a price of 0 is none. An asset that is a leg of
-    very many pools is dealt out by stretches of `step` ledgers.
+    A snapshot is priced by the close of its own price bucket or of the last one before it, at most `carry` seconds older.
+    pools: pool_id, leg_a, leg_b (price_leg()), fee_bps; prices: leg, bucket, close_usd. Snapshots and ledgers that repeat count once.
     """
-    rows = snapshots.join(pools.select("pool_id", "asset_a", "asset_b", "fee_bps"), "pool_id")
-    usable = prices.where("close_usd > 0").withColumn("closed", F.col("bucket") + 1)  # known once its bucket is over
+    bucket, grain = INTERVALS[interval]
+    closes = ledgers.select(F.col("sequence").alias("ledger_sequence"), F.col("closed_at").cast("timestamp").alias("closed_at")).dropDuplicates(["ledger_sequence"])
+    rows = snapshots.dropDuplicates(["pool_id", "ledger_sequence"]).join(pools.select("pool_id", "leg_a", "leg_b", "fee_bps"), "pool_id").join(closes, "ledger_sequence")
+    rows = rows.withColumns({"price_bucket": F.date_trunc(grain, "closed_at"), "bucket": F.date_trunc(bucket, "closed_at")})
+    carried = carried_prices(prices, grain, carry, now)
     for side in "ab":
-        right = usable.select(F.col("asset_id").alias(f"asset_{side}"), F.col("closed").alias(f"at_{side}"), F.col("close_usd").alias(f"price_{side}"))
-        rows = asof_left(rows, right, [f"asset_{side}"], "ledger_sequence", f"at_{side}", [f"price_{side}"], step)
-        rows = rows.withColumn(f"price_{side}", F.when(F.col("ledger_sequence") - F.col(f"at_{side}") < max_age, F.col(f"price_{side}")))
+        price = carried.select(F.col("leg").alias(f"leg_{side}"), F.col("bucket").alias("price_bucket"), F.col("close_usd").alias(f"price_{side}"))
+        rows = rows.join(price, [f"leg_{side}", "price_bucket"], "left")
     tvl = F.col("reserve_a") * F.col("price_a") + F.col("reserve_b") * F.col("price_b")
-    worth = F.col("gross_volume_a") * F.col("price_a")
-    rows = rows.withColumns({"tvl": tvl, "worth": worth, "bucket": F.floor(F.col("ledger_sequence") / bucket) * bucket})
-    unpriced = F.count_if(F.col("gross_volume_a").isNotNull() & F.col("worth").isNull())
+    rows = rows.withColumns({"tvl": tvl, "worth": F.col("gross_volume_a") * F.col("price_a")})
+    unpriced = F.count_if(F.col("gross_volume_a").isNotNull() & F.col("price_a").isNull())
     volume = F.when(unpriced > 0, None).otherwise(F.round(F.sum("worth"), 4))
     grouped = rows.groupBy("pool_id", "bucket").agg(
         F.round(F.max_by("tvl", F.when(F.col("tvl").isNotNull(), F.col("ledger_sequence"))), 4).alias("tvl_usd"), volume.alias("volume_usd"), F.max("fee_bps").alias("fee_bps"), F.count(F.lit(1)).alias("samples")
     )
-    return grouped.select("pool_id", "bucket", "tvl_usd", "volume_usd", F.round(F.col("volume_usd") * F.col("fee_bps") / 10000, 4).alias("fee_usd"), "samples")
+    fee = F.round(F.col("volume_usd") * F.col("fee_bps") / 10000, 4)
+    return grouped.select("pool_id", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "tvl_usd", "volume_usd", fee.alias("fee_usd"), "samples")

@@ -75,6 +75,7 @@ def check_ledgers(ledgers: DataFrame, bucket: int = 500) -> DataFrame:
         [
             report(gaps, "ledgers", "contiguous", F.col("sequence")),
             unique(ledgers, "ledgers", "sequence_unique", ["sequence"]),
+            unique(ledgers, "ledgers", "hash_unique", ["hash"]),
             increasing_over_buckets(ledgers, "ledgers", "close_time_increasing", "sequence", "closed_at", F.floor(F.col("sequence") / bucket)),
             rule(ledgers, "ledgers", "counts_not_negative", (F.col("transaction_count") >= 0) & (F.col("base_fee") >= 0), F.col("sequence")),
         ]
@@ -82,12 +83,15 @@ def check_ledgers(ledgers: DataFrame, bucket: int = 500) -> DataFrame:
 
 
 def check_transactions(transactions: DataFrame, operations: DataFrame, ledgers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """operation_count is what the transaction declares; its rows of operations may be folded, so there are that many at most."""
+    held = operations.groupBy(F.col("transaction_id").alias("id")).agg(F.count(F.lit(1)).alias("held_"))
     return stacked(
         [
             unique(transactions, "transactions", "hash_unique", ["hash"]),
             foreign_key(transactions, "transactions", "ledger_exists", "ledger_sequence", ledgers, "sequence", "id"),
             foreign_key(transactions, "transactions", "source_exists", "source_id", accounts, "account_id", "id"),
-            rule(transactions, "transactions", "fee_not_negative", F.col("fee_charged") >= 0, F.col("id")),
+            rule(transactions, "transactions", "not_negative", (F.col("fee_charged") >= 0) & (F.col("operation_count") >= 0) & (F.col("application_order") >= 0), F.col("id")),
+            rule(transactions.join(held, "id"), "transactions", "operations_declared", F.col("operation_count") >= F.col("held_"), F.col("id")),
             rule(transactions.where("inner_tx_hash is not null"), "transactions", "inner_hash_shape", F.col("inner_tx_hash").rlike(HASH), F.col("id")),
             report(transactions.join(operations.select(F.col("transaction_id").alias("id")), "id", "left_anti"), "transactions", "without_operation", F.col("id")),
         ]
@@ -114,6 +118,7 @@ def check_operations(operations: DataFrame, transactions: DataFrame, accounts: D
             foreign_key(operations, "operations", "destination_exists", "destination_id", accounts, "account_id", "destination_id"),
             foreign_key(operations, "operations", "pool_exists", "pool_id", pools, "pool_id", "pool_id"),
             unique(operations, "operations", "place_unique", ["transaction_id", "application_order"]),
+            rule(operations.where("amount is not null"), "operations", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
         ]
     )
 
@@ -134,6 +139,7 @@ def check_contracts(contracts: DataFrame, accounts: DataFrame, code: DataFrame)
             unique(contracts, "contracts", "contract_unique", ["contract_id"]),
             foreign_key(contracts, "contracts", "deployer_exists", "deployer_id", accounts, "account_id", "contract_id"),
             foreign_key(contracts, "contracts", "code_exists", "code_hash", code, "code_hash", "contract_id"),
+            rule(contracts, "contracts", "key_shape", F.col("contract_key").rlike(CONTRACT_KEY), F.col("contract_id")),
             rule(contracts, "contracts", "type_range", F.col("contract_type").between(0, 3), F.col("contract_id")),
             rule(contracts.where("code_hash is not null"), "contracts", "hash_shape", F.col("code_hash").rlike(HASH), F.col("contract_id")),
         ]
@@ -156,6 +162,7 @@ def check_events(events: DataFrame, transactions: DataFrame, contracts: DataFram
         [
             foreign_key(events, "events", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
             foreign_key(events, "events", "contract_exists", "contract_id", contracts, "contract_id", "contract_id"),
+            rule(events.where("amount is not null"), "events", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
             rule(events.join(parent, "transaction_id"), "events", "ledger_of_parent", F.col("ledger_sequence") == F.col("parent_"), F.col("transaction_id")),
         ]
     )
@@ -168,6 +175,7 @@ def check_invocations(invocations: DataFrame, transactions: DataFrame, contracts
             foreign_key(invocations, "invocations", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
             foreign_key(invocations, "invocations", "contract_exists", "contract_id", contracts, "contract_id", "contract_id"),
             foreign_key(invocations, "invocations", "caller_exists", "caller_id", accounts, "account_id", "caller_id"),
+            rule(invocations.where("amount is not null"), "invocations", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
             rule(invocations.join(parent, "transaction_id"), "invocations", "ledger_of_parent", F.col("ledger_sequence") == F.col("parent_"), F.col("transaction_id")),
             report(invocations.join(events, ["contract_id", "transaction_id"], "left_anti"), "invocations", "without_event", F.col("transaction_id")),
         ]
@@ -183,6 +191,7 @@ def check_assets(assets: DataFrame, accounts: DataFrame, contracts: DataFrame) -
             rule(assets, "assets", "identity_shape", shape, F.col("id")),
             rule(assets.agg(F.count_if(kind == 0).alias("n")), "assets", "one_native", F.col("n") == 1, F.col("n")),
             foreign_key(assets, "assets", "issuer_exists", "issuer_id", accounts, "account_id", "id"),
+            rule(assets, "assets", "not_negative", (F.coalesce("holders", F.lit(0)) >= 0) & (F.coalesce("supply", F.lit(0)) >= 0), F.col("id")),
             foreign_key(assets.where(kind == 3), "assets", "contract_exists", "id", contracts, "contract_id", "id"),
         ]
     )
@@ -193,6 +202,8 @@ def check_accounts(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     return stacked(
         [
             unique(accounts, "accounts", "account_unique", ["account_id"]),
+            rule(accounts, "accounts", "key_shape", F.col("account_key").rlike(ACCOUNT_KEY), F.col("account_id")),
+            rule(accounts, "accounts", "ledgers_not_negative", (F.col("first_seen_ledger") >= 0) & (F.col("last_seen_ledger") >= 0), F.col("account_id")),
             rule(accounts, "accounts", "seen_in_order", F.col("first_seen_ledger") <= F.col("last_seen_ledger"), F.col("account_id")),
             rule(accounts, "accounts", "sequence_not_negative", F.col("sequence_number") >= 0, F.col("account_id")),
             rule(accounts.join(sources, "account_id", "left_semi"), "accounts", "source_has_sequence", F.col("sequence_number") > 0, F.col("account_id")),
@@ -201,12 +212,15 @@ def check_accounts(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def check_balances(balances: DataFrame, accounts: DataFrame, assets: DataFrame) -> DataFrame:
+    """Issuers and identities of balances: check_issuers()."""
+    native = balances.join(assets.where("asset_type = 0").select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
     return stacked(
         [
             foreign_key(balances, "balances", "account_exists", "holder_id", accounts, "account_id", "holder_id"),
             foreign_key(balances, "balances", "asset_exists", "asset_id", assets, "id", "asset_id"),
             rule(balances, "balances", "not_negative", F.col("amount") >= 0, F.col("holder_id")),
             unique(balances, "balances", "holder_asset_unique", ["holder_id", "asset_id"]),
+            unique(native, "balances", "one_native_a_holder", ["holder_id"]),
         ]
     )
 
@@ -243,8 +257,11 @@ def check_nft_ownership(ownership: DataFrame, tokens: DataFrame, transactions: D
 
 
 def check_pools(pools: DataFrame, assets: DataFrame) -> DataFrame:
+    """A pool without a creation ledger (0) is a placeholder: that is reported, and no fault. Issuers of the legs: check_issuers()."""
     return stacked(
         [
+            rule(pools, "pools", "key_shape", F.col("pool_key").rlike(HASH), F.col("pool_id")),
+            report(pools.where("created_at_ledger = 0"), "pools", "placeholders", F.col("pool_id")),
             unique(pools, "pools", "pool_unique", ["pool_id"]),
             rule(pools, "pools", "leg_order", F.col("asset_a") < F.col("asset_b"), F.col("pool_id")),
             foreign_key(pools, "pools", "asset_a_exists", "asset_a", assets, "id", "pool_id"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.exprs import CONTRACT_NFT, NATIVE, op_type_label
+from orrery.functions.exprs import CONTRACT_NFT, CONTRACT_OPS, NATIVE, op_type_label
 from orrery.functions.versioned import dedup_by_key, latest_by_version
 
 # Fixed value: the native asset's name.
@@ -28,7 +30,7 @@ def network_stats(ledgers: DataFrame, accounts: DataFrame, contracts: DataFrame,
 def ledgers_with_success(ledgers: DataFrame, transactions: DataFrame) -> DataFrame:
     good = transactions.groupBy("ledger_sequence").agg(F.count_if("successful").alias("successful"))
     joined = dedup_by_key(ledgers, ["sequence"]).join(good, F.col("sequence") == F.col("ledger_sequence"), "left")
-    return joined.select("sequence", "closed_at", "transaction_count", F.coalesce("successful", F.lit(0)).alias("successful")).orderBy(F.desc("sequence"))
+    return joined.select("sequence", "closed_at", "transaction_count", F.coalesce("successful", F.lit(0)).alias("successful"))
 
 
 def ledger_neighbours(ledgers: DataFrame, bucket: int = 500) -> DataFrame:
@@ -44,7 +46,7 @@ def ledger_neighbours(ledgers: DataFrame, bucket: int = 500) -> DataFrame:
 
 def ledger_transactions(transactions: DataFrame, sequences: DataFrame) -> DataFrame:
     wanted = sequences.select(F.col("sequence").alias("ledger_sequence")).distinct()
-    return transactions.join(wanted, "ledger_sequence", "left_semi").orderBy("ledger_sequence", "application_order")
+    return transactions.join(wanted, "ledger_sequence", "left_semi")
 
 
 # --- transactions ---
@@ -57,13 +59,18 @@ def with_ledger(transactions: DataFrame, ledgers: DataFrame) -> DataFrame:
 
 
 def newest(df: DataFrame, limit: int | None) -> DataFrame:
-    ordered = df.orderBy(F.desc("ledger_sequence"), F.desc("application_order"))
-    return ordered if limit is None else ordered.limit(limit)
-
-
-def tx_list(transactions: DataFrame, ledgers: DataFrame, source: int | None = None, limit: int | None = None) -> DataFrame:
-    rows = dedup_by_key(transactions, ["id"])
-    rows = rows if source is None else rows.where(F.col("source_id") == source)
+    """The first rows, newest first; without a limit all, in no order, as no table keeps one."""
+    return df if limit is None else df.orderBy(F.desc("ledger_sequence"), F.desc("application_order")).limit(limit)
+
+
+def tx_list(transactions: DataFrame, ledgers: DataFrame, source: int | None = None, limit: int | None = None, whole: bool = False) -> DataFrame:
+    """whole: transactions are the whole table, so that every ledger has as many as it says."""
+    rows = transactions if source is None else transactions.where(F.col("source_id") == source)
+    if limit is not None and whole and source is None:
+        # as many of the newest ledgers with a transaction hold enough of them, so that only those are read and deduplicated
+        last = ledgers.where("transaction_count > 0").select(F.col("sequence").alias("ledger_sequence")).distinct().orderBy(F.desc("ledger_sequence")).limit(limit)
+        rows = rows.join(F.broadcast(last), "ledger_sequence", "left_semi")
+    rows = dedup_by_key(rows, ["id"])
     return newest(with_ledger(rows, ledgers).select("id", "hash", "ledger_sequence", "application_order", "source_id", "successful", "closed_at"), limit)
 
 
@@ -110,11 +117,24 @@ def tx_operations(operations: DataFrame, transactions: DataFrame, assets: DataFr
     return joined.select("transaction_id", "application_order", op_type_label(F.col("type")).alias("type_name"), F.coalesce("source_id", "tx_source").alias("source_id"), "destination_id", "contract_id", "pool_id", "asset_code", "issuer_id")
 
 
-def participants(transactions: DataFrame, operations: DataFrame) -> DataFrame:
-    """Distinct (account, ledger, transaction) over sources and destinations."""
-    tx = transactions.select(F.col("source_id").alias("account_id"), "ledger_sequence", F.col("id").alias("transaction_id"))
-    ops = operations.select("ledger_sequence", "transaction_id", F.explode(F.array("source_id", "destination_id")).alias("account_id")).where("account_id is not null")
-    return tx.unionByName(ops).distinct()
+def participants(transactions: DataFrame, operations: DataFrame, token_events: DataFrame, invocations: DataFrame) -> DataFrame:
+    """Distinct (account, ledger, transaction) over all roles.
+
+    These are a transaction's source and fee payer, its operations' sources and counterparties, callers of contracts, and both
+    ends of token events (from_id, to_id), but these only in transactions with a contract operation: elsewhere operations name the same accounts.
+    """
+
+    def roles(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select("ledger_sequence", "transaction_id", F.explode(F.array(*columns)).alias("account_id")).where("account_id is not null")
+
+    own = operations.where(F.col("type").isin(*CONTRACT_OPS)).select("transaction_id")
+    parts = [
+        roles(transactions.withColumnRenamed("id", "transaction_id"), "source_id", "fee_source_id"),
+        roles(operations, "source_id", "destination_id"),
+        roles(token_events.join(own, "transaction_id", "left_semi"), "from_id", "to_id"),
+        roles(invocations, "caller_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("account_id", "ledger_sequence", "transaction_id").distinct()
 
 
 def tx_participants(parts: DataFrame) -> DataFrame:
@@ -147,8 +167,8 @@ def events_by_tx_hash(events: DataFrame, hash_index: DataFrame, hashes: DataFram
 def accounts_recent(accounts: DataFrame, balances: DataFrame, native_id: int = 0, only_with_domain: bool = False, limit: int | None = None) -> DataFrame:
     native = balances.where(F.col("asset_id") == native_id).select(F.col("holder_id").alias("account_id"), F.col("amount").alias("native_balance"))
     rows = accounts.where("home_domain is not null and home_domain <> ''") if only_with_domain else accounts
-    rows = rows.join(native, "account_id", "left").orderBy(F.desc("last_seen_ledger"), F.desc("account_id"))
-    return rows if limit is None else rows.limit(limit)
+    rows = rows.join(native, "account_id", "left")
+    return rows if limit is None else rows.orderBy(F.desc("last_seen_ledger"), F.desc("account_id")).limit(limit)
 
 
 def account_detail(versions: DataFrame) -> DataFrame:
@@ -181,23 +201,25 @@ def account_transactions(parts: DataFrame, transactions: DataFrame, ledgers: Dat
 
 
 def asset_list(assets: DataFrame, kind: int | None = None, text: str | None = None, wrapped: DataFrame | None = None) -> DataFrame:
-    """By type, deployed wrappers only (a frame of asset ids), and text in code, name or symbol; ordered by type, code, issuer, id."""
+    """By type, deployed wrappers only (a frame of asset ids), and text in code, name or symbol; pages go by type, code, issuer, id (keyset_page)."""
     rows = assets if kind is None else assets.where(F.col("asset_type") == kind)
     if text:
         rows = rows.where(F.lower(F.concat_ws("\n", *[c for c in ("asset_code", "name", "symbol") if c in assets.columns])).contains(text.lower()))
     if wrapped is not None:
         rows = rows.join(wrapped.select(F.col("asset_id").alias("id")), "id", "left_semi")
-    return rows.orderBy("asset_type", "asset_code", "issuer_id", "id")
+    return rows
 
 
-def asset_hydrate(assets: DataFrame, aggregates: DataFrame, enrichment: DataFrame, metadata: DataFrame) -> DataFrame:
+def asset_hydrate(assets: DataFrame, aggregates: DataFrame, enrichment: DataFrame, metadata: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """wrappers: asset_id and deployed_at_ledger of its wrapper contract, which stands in where the metadata has none."""
     joined = (
         assets.join(aggregates.withColumnRenamed("asset_id", "id"), "id", "left")
         .join(enrichment.select(F.col("asset_id").alias("id"), F.nullif("name", F.lit("")).alias("web_name"), F.nullif("icon", F.lit("")).alias("icon")), "id", "left")
         .join(metadata.select(F.col("asset_id").alias("id"), "decimals", "deployed_at_ledger"), "id", "left")
+        .join(wrappers.select(F.col("asset_id").alias("id"), F.col("deployed_at_ledger").alias("wrapper_ledger")), "id", "left")
     )
     name = F.when(F.col("asset_type") == NATIVE, NATIVE_NAME).otherwise(F.coalesce("web_name", "name"))
-    return joined.select("id", "asset_type", "asset_code", "issuer_id", F.coalesce("supply", F.lit(0)).alias("supply"), F.coalesce("holders", F.lit(0)).alias("holders"), "icon", name.alias("name"), F.coalesce("decimals", F.lit(7)).alias("decimals"), "deployed_at_ledger")
+    return joined.select("id", "asset_type", "asset_code", "issuer_id", F.coalesce("supply", F.lit(0)).alias("supply"), F.coalesce("holders", F.lit(0)).alias("holders"), "icon", name.alias("name"), F.coalesce("decimals", F.lit(7)).alias("decimals"), F.coalesce("deployed_at_ledger", "wrapper_ledger").alias("deployed_at_ledger"))
 
 
 def asset_resolve(assets: DataFrame, asked: DataFrame) -> DataFrame:
@@ -228,12 +250,12 @@ def balance_aggregates(balances: DataFrame) -> DataFrame:
 
 
 def contract_list(contracts: DataFrame, invocations: DataFrame, wrapped: DataFrame, now: int, window: int, kind: int | None = None, text: str | None = None) -> DataFrame:
-    """Contracts by id with calls in the last `window` ledgers and the asset they wrap."""
+    """Contracts with calls in the last `window` ledgers and the asset they wrap."""
     rows = contracts if kind is None else contracts.where(F.col("contract_type") == kind)
     rows = rows.where(F.lower("name").contains(text.lower())) if text else rows
     recent = invocations.where(F.col("ledger_sequence") > now - window).groupBy("contract_id").agg(F.count(F.lit(1)).alias("calls"))
     joined = rows.join(recent, "contract_id", "left").join(wrapped, "contract_id", "left")
-    return joined.select("contract_id", "contract_type", "name", "deployer_id", F.coalesce("calls", F.lit(0)).alias("calls"), *[c for c in wrapped.columns if c != "contract_id"]).orderBy("contract_id")
+    return joined.select("contract_id", "contract_type", "name", "deployer_id", F.coalesce("calls", F.lit(0)).alias("calls"), *[c for c in wrapped.columns if c != "contract_id"])
 
 
 def wrapped_asset(facets: DataFrame, assets: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from orrery.operators import contracts as C
 from orrery.operators import opsstats as O
 from orrery.operators import pools as P
 from orrery.operators import quality as V
+from orrery.operators import reads as R
 from orrery.operators import reconcile as D
 from orrery.operators import repair as B
 from orrery.operators import search as SE
@@ -20,30 +21,57 @@ from orrery.plans.reads import code as interfaces
 # --- search ---
 
 LEG = "CASE WHEN {0}.asset_type = 0 THEN 'XLM' ELSE {0}.asset_code END"
-POOL_HITS = f"SELECT 'pool' AS kind, CAST(p.pool_id AS VARCHAR) AS route, concat({LEG.format('a')}, ' / ', {LEG.format('b')}) AS label FROM v_pools p JOIN v_assets a ON a.id = asset_a JOIN v_assets b ON b.id = asset_b WHERE (upper({LEG.format('a')}) LIKE '%BRAND#1%' AND upper({LEG.format('b')}) LIKE '%2%') OR (upper({LEG.format('b')}) LIKE '%BRAND#1%' AND upper({LEG.format('a')}) LIKE '%2%')"
-ACCOUNT_HITS = "SELECT 'account' AS kind, concat('G', account_id) AS route, concat('G', account_id) AS label FROM v_accounts WHERE account_id >= 10 AND account_id < 20 OR account_id = 1 OR account_id >= 100 AND account_id < 200 OR account_id >= 1000 AND account_id < 2000"
-CONTRACT_HITS = "SELECT 'contract' AS kind, CAST(contract_id AS VARCHAR) AS route, name AS label FROM v_contracts WHERE CAST(contract_id AS VARCHAR) LIKE '1%' OR lower(name) LIKE '%1%'"
-ASSET_HITS = "SELECT 'asset' AS kind, CASE WHEN id % 3 <> 2 THEN CAST(id AS VARCHAR) WHEN asset_type = 0 THEN 'native' ELSE concat(asset_code, '-', issuer_id) END AS route, CASE WHEN asset_type = 0 THEN 'XLM' ELSE asset_code END AS label FROM v_assets WHERE lower(asset_code) LIKE '%xlm%' OR asset_type = 0"
-NFT_HITS = f"SELECT 'nft' AS kind, concat(contract_id, '/', token_id) AS route, token_name AS label FROM {TOKEN_ENRICHMENT} t WHERE lower(token_name) LIKE '%token 1%'"
-TX_HITS = "SELECT 'transaction' AS kind, sha256(concat('tx', 7)) AS route, sha256(concat('tx', 7)) AS label FROM v_transactions WHERE id = 7"
+KEY = "concat('{0}', translate(lpad(CAST({1} AS VARCHAR), 55, '0'), '0123456789', 'ABCDEFGHIJ'))"
+CREATED = "LEFT JOIN (SELECT pool_id, min(ledger_sequence) AS created FROM v_pool_snapshots GROUP BY pool_id) f ON f.pool_id = p.pool_id"
+TEXTS = ["brand#1/2", "1", "xlm", "token 1"]
+
+
+def account_prefix(digits: int) -> str:
+    """Prefix of account keys that ends with the first digits of three-digit ids from 10 on."""
+    return "g" + "a" * 53 + "BCDEFGHIJ"[digits]
+
+
+def pool_hits(text: str, where: str) -> str:
+    a, b = LEG.format("a"), LEG.format("b")
+    return f"SELECT '{text}' AS query, 'pool' AS kind, CAST(p.pool_id AS VARCHAR) AS route, concat({a}, ' / ', {b}) AS label, coalesce(-created, 0) AS rank FROM v_pools p JOIN v_assets a ON a.id = asset_a JOIN v_assets b ON b.id = asset_b {CREATED} WHERE {where.format(a=f'upper({a})', b=f'upper({b})')}"
+
+
+POOL_HITS = pool_hits("brand#1/2", "({a} LIKE '%BRAND#1%' AND {b} LIKE '%2%') OR ({b} LIKE '%BRAND#1%' AND {a} LIKE '%2%')")
+ACCOUNTS_FOUND = account_prefix(0)
+ACCOUNT_HITS = f"SELECT '{ACCOUNTS_FOUND}' AS query, 'account' AS kind, {KEY.format('G', 'account_id')} AS route, coalesce(home_domain, '') AS label, 0 AS rank FROM v_accounts WHERE account_id BETWEEN 10 AND 19"
+CONTRACT_HITS = f"SELECT '1' AS query, 'contract' AS kind, {KEY.format('C', 'contract_id')} AS route, name AS label, 0 AS rank FROM v_contracts WHERE lower(name) LIKE '%1%'"
+ASSET_HITS = "SELECT 'xlm' AS query, 'asset' AS kind, CASE WHEN id % 3 <> 2 THEN CAST(id AS VARCHAR) WHEN asset_type = 0 THEN 'native' ELSE concat(asset_code, '-', issuer_id) END AS route, CASE WHEN asset_type = 0 THEN 'XLM' ELSE asset_code END AS label, 0 AS rank FROM v_assets WHERE lower(asset_code) LIKE '%xlm%' OR asset_type = 0"
+NFT_HITS = f"SELECT 'token 1' AS query, 'nft' AS kind, concat(contract_id, '/', token_id) AS route, token_name AS label, 0 AS rank FROM {TOKEN_ENRICHMENT} t WHERE lower(token_name) LIKE '%token 1%'"
+TX_HITS = "SELECT upper(sha256(concat('tx', 7))) AS query, 'transaction' AS kind, sha256(concat('tx', 7)) AS route, sha256(concat('tx', 7)) AS label, 0 AS rank FROM v_transactions WHERE id = 7"
+#: All texts against all tables: each row's hits, by text.
+ALL_HITS = " UNION ALL ".join(
+    [pool_hits(t, f"({{a}} LIKE '%{t.upper()}%' OR {{b}} LIKE '%{t.upper()}%' OR CAST(p.pool_id AS VARCHAR) = '{t}')") for t in TEXTS[1:]]
+    + [POOL_HITS, ASSET_HITS]
+    + [f"SELECT '{t}' AS query, 'contract' AS kind, {KEY.format('C', 'contract_id')} AS route, name AS label, 0 AS rank FROM v_contracts WHERE lower(name) LIKE '%{t}%'" for t in TEXTS]
+    + [f"SELECT '{t}' AS query, 'asset' AS kind, CASE WHEN id % 3 <> 2 THEN CAST(id AS VARCHAR) ELSE concat(asset_code, '-', issuer_id) END AS route, asset_code AS label, 0 AS rank FROM v_assets WHERE lower(asset_code) LIKE '%{t}%' AND asset_type = 1" for t in TEXTS if t != "xlm"]
+    + [f"SELECT '{t}' AS query, 'nft' AS kind, concat(contract_id, '/', token_id) AS route, token_name AS label, 0 AS rank FROM {TOKEN_ENRICHMENT} t WHERE lower(token_name) LIKE '%{t}%'" for t in TEXTS]
+)
 
 
 def pools_with_creation(v):
     first = v.pool_snapshots.groupBy("pool_id").agg(F.min("ledger_sequence").alias("created_ledger"))
-    return v.pools.join(first, "pool_id", "left")
+    return v.pools.join(first, "pool_id", "left").withColumn("pool_key", F.sha2(F.concat(F.lit("pool"), F.col("pool_id").cast("string")), 256))
 
 
-def search_parts(v):
+def search_parts(v, texts=None):
+    """Hits of one text for each kind, or of all texts in each kind."""
     import hashlib
 
     wrappers = facets(v).where("contract_id is not null")
+    accounts = v.accounts.withColumn("account_key", key_of("G", F.col("account_id"), F.lit(False)))
+    contracts = v.contracts.withColumn("contract_key", key_of("C", F.col("contract_id"), F.lit(False)))
     return {
-        "transactions": SE.search_transactions(hash_index(v), hashlib.sha256(b"tx7").hexdigest().upper()),
-        "pools": SE.search_pools(pools_with_creation(v), v.assets, "brand#1/2"),
-        "accounts": SE.search_accounts(v.accounts.withColumn("account_key", F.concat(F.lit("G"), "account_id")), "G1"),
-        "contracts": SE.search_contracts(v.contracts, "1"),
-        "assets": SE.search_assets(v.assets, "xlm", wrappers),
-        "nfts": SE.search_nfts(token_enrichment(v), "token 1"),
+        "transactions": SE.search_transactions(hash_index(v), texts or hashlib.sha256(b"tx7").hexdigest().upper()),
+        "pools": SE.search_pools(pools_with_creation(v), v.assets, texts or "brand#1/2"),
+        "accounts": SE.search_accounts(accounts, texts or ACCOUNTS_FOUND),
+        "contracts": SE.search_contracts(contracts, texts or "1"),
+        "assets": SE.search_assets(v.assets, texts or "xlm", wrappers),
+        "nfts": SE.search_nfts(token_enrichment(v), texts or "token 1"),
     }
 
 
@@ -56,7 +84,31 @@ def bad_ledgers(v):
     return good.unionByName(good.where("sequence % 90 = 0"))
 
 
-BAD_LEDGERS = "(SELECT sequence, closed_at, CASE WHEN sequence % 70 = 0 THEN -1 ELSE transaction_count END AS transaction_count, base_fee, bucket FROM v_ledgers WHERE sequence % 50 <> 0 UNION ALL SELECT sequence, closed_at, CASE WHEN sequence % 70 = 0 THEN -1 ELSE transaction_count END, base_fee, bucket FROM v_ledgers WHERE sequence % 50 <> 0 AND sequence % 90 = 0)"
+BAD_LEDGERS = "(SELECT sequence, closed_at, hash, CASE WHEN sequence % 70 = 0 THEN -1 ELSE transaction_count END AS transaction_count, base_fee, bucket FROM v_ledgers WHERE sequence % 50 <> 0 UNION ALL SELECT sequence, closed_at, hash, CASE WHEN sequence % 70 = 0 THEN -1 ELSE transaction_count END, base_fee, bucket FROM v_ledgers WHERE sequence % 50 <> 0 AND sequence % 90 = 0)"
+
+
+def key_of(first, number, wrong):
+    """A key of 56 signs; in lower case where wrong holds."""
+    key = F.concat(F.lit(first), F.translate(F.lpad(number.cast("string"), 55, "0"), "0123456789", "ABCDEFGHIJ"))
+    return F.when(wrong, F.lower(key)).otherwise(key)
+
+
+def declared(v):
+    """Transactions with the number of operations that they declare: every 40th declares none, every 41st -1."""
+    n = v.operations.groupBy(F.col("transaction_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    count = F.when(F.col("id") % 41 == 0, -1).when(F.col("id") % 40 == 0, 0).otherwise(F.coalesce("n", F.lit(0)))
+    return v.transactions.join(n, "id", "left").withColumn("operation_count", count)
+
+
+def counted(df):
+    """Rows with the number that were folded into each; that of every 77th transaction is 0."""
+    return df.withColumn("amount", F.when(F.col("transaction_id") % 77 == 0, 0).when(F.col("transaction_id") % 2 == 0, 1))
+
+
+def held_assets(v):
+    """Assets with supply and holders, every tenth without a code, every 13th with a supply below 0."""
+    supply = F.when((F.col("id") % 13 == 0) & F.col("supply").isNotNull(), -1).otherwise(F.col("supply"))
+    return some_assets(v).join(R.balance_aggregates(v.balances).withColumnRenamed("asset_id", "id"), "id", "left").withColumn("supply", supply)
 
 
 def check_sql(parts: list[tuple[str, str, str]]) -> str:
@@ -164,26 +216,26 @@ PLANS = {
     "f4_search_contracts": (lambda v: search_parts(v)["contracts"], CONTRACT_HITS),
     "f5_search_assets": (lambda v: search_parts(v)["assets"], ASSET_HITS),
     "f6_search_nfts": (lambda v: search_parts(v)["nfts"], NFT_HITS),
-    "f7_search_all": (lambda v: SE.search_all(list(search_parts(v).values()), 5), "WITH a AS (" + " UNION ALL ".join((TX_HITS, POOL_HITS, ACCOUNT_HITS, CONTRACT_HITS, ASSET_HITS, NFT_HITS)) + ") SELECT kind, route, label FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY route, label) AS rn FROM a) x WHERE rn <= 5"),
+    "f7_search_all": (lambda v: SE.search_all(list(search_parts(v, TEXTS).values()), 5), f"SELECT query, kind, route, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY rank, route, label) AS rn FROM ({ALL_HITS}) a) x WHERE rn <= 5"),
     "x2_visible": (lambda v: X.visible(v.transactions.select("id", "ledger_sequence"), v.ledgers.where("sequence <= 1000")), "SELECT id, ledger_sequence FROM v_transactions WHERE ledger_sequence <= (SELECT max(sequence) FROM v_ledgers WHERE sequence <= 1000)"),
     "x5_texts": (lambda v: v.operations.select("transaction_id", "application_order", X.fee_percent(F.col("quantity")).alias("fee"), X.usd_text(F.col("price") / 7).alias("usd"), X.classify_query(F.when(F.col("type") % 2 == 0, F.concat(F.lit("G"), F.lit("ABC"))).otherwise(F.lit("usd coin"))).alias("query"), X.decimal_text_equal(F.concat(F.col("quantity").cast("string"), F.lit(".000")), F.col("quantity").cast("string")).alias("same")),
         "SELECT transaction_id, application_order, rtrim(rtrim(printf('%.2f', quantity / 100), '0'), '.') AS fee, printf('%.2f', price / 7) AS usd, CASE WHEN type % 2 = 0 THEN 'account' ELSE 'text' END AS query, true AS same FROM v_operations"),
-    "v1_ledgers": (lambda v: V.check_ledgers(v.ledgers), check_sql([("ledgers", "contiguous", GAPS.format("v_ledgers")), ("ledgers", "sequence_unique", NO_ROWS), ("ledgers", "close_time_increasing", NO_ROWS), ("ledgers", "counts_not_negative", NO_ROWS)])),
-    "v1_ledgers_damaged": (lambda v: V.check_ledgers(bad_ledgers(v)), check_sql([("ledgers", "contiguous", GAPS.format(BAD_LEDGERS)), ("ledgers", "sequence_unique", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "close_time_increasing", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "counts_not_negative", f"SELECT sequence FROM {BAD_LEDGERS} b WHERE transaction_count < 0")])),
-    "v2_transactions": (lambda v: V.check_transactions(v.transactions, v.operations, v.ledgers.where("sequence % 9 <> 0"), v.accounts.where("account_id % 50 <> 0")), check_sql([("transactions", "hash_unique", NO_ROWS), ("transactions", "ledger_exists", "SELECT id FROM v_transactions WHERE ledger_sequence % 9 = 0"), ("transactions", "source_exists", "SELECT id FROM v_transactions WHERE source_id % 50 = 0"), ("transactions", "fee_not_negative", NO_ROWS), ("transactions", "inner_hash_shape", NO_ROWS), ("transactions", "without_operation", "SELECT id FROM v_transactions WHERE id NOT IN (SELECT transaction_id FROM v_operations)")])),
+    "v1_ledgers": (lambda v: V.check_ledgers(v.ledgers), check_sql([("ledgers", "contiguous", GAPS.format("v_ledgers")), ("ledgers", "sequence_unique", NO_ROWS), ("ledgers", "hash_unique", NO_ROWS), ("ledgers", "close_time_increasing", NO_ROWS), ("ledgers", "counts_not_negative", NO_ROWS)])),
+    "v1_ledgers_damaged": (lambda v: V.check_ledgers(bad_ledgers(v)), check_sql([("ledgers", "contiguous", GAPS.format(BAD_LEDGERS)), ("ledgers", "sequence_unique", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "hash_unique", f"SELECT hash FROM {BAD_LEDGERS} b GROUP BY hash HAVING count(*) > 1"), ("ledgers", "close_time_increasing", f"SELECT sequence FROM {BAD_LEDGERS} b GROUP BY sequence HAVING count(*) > 1"), ("ledgers", "counts_not_negative", f"SELECT sequence FROM {BAD_LEDGERS} b WHERE transaction_count < 0")])),
+    "v2_transactions": (lambda v: V.check_transactions(declared(v), v.operations, v.ledgers.where("sequence % 9 <> 0"), v.accounts.where("account_id % 50 <> 0")), check_sql([("transactions", "hash_unique", NO_ROWS), ("transactions", "ledger_exists", "SELECT id FROM v_transactions WHERE ledger_sequence % 9 = 0"), ("transactions", "source_exists", "SELECT id FROM v_transactions WHERE source_id % 50 = 0"), ("transactions", "not_negative", "SELECT id FROM v_transactions WHERE id % 41 = 0"), ("transactions", "operations_declared", "SELECT id FROM v_transactions WHERE (id % 40 = 0 OR id % 41 = 0) AND id IN (SELECT transaction_id FROM v_operations)"), ("transactions", "inner_hash_shape", NO_ROWS), ("transactions", "without_operation", "SELECT id FROM v_transactions WHERE id NOT IN (SELECT transaction_id FROM v_operations)")])),
     "v3_hash_index": (lambda v: V.check_hash_index(hash_index(v).where("transaction_id % 100 <> 0"), v.transactions.where("id % 30 <> 1")), check_sql([("hash_index", "transaction_exists", f"SELECT hash FROM {HASH_INDEX} h WHERE transaction_id % 100 <> 0 AND transaction_id % 30 = 1"), ("hash_index", "transaction_indexed", "SELECT hash FROM v_transactions WHERE id % 100 = 0 AND id % 30 <> 1"), ("hash_index", "hash_unique", NO_ROWS), ("hash_index", "hash_shape", NO_ROWS)])),
-    "v4_operations": (lambda v: V.check_operations(v.operations, v.transactions.where("id % 100 <> 3"), v.accounts, v.pools.where("pool_id % 27 <> 2")), check_sql([("operations", "transaction_exists", "SELECT transaction_id FROM v_operations WHERE transaction_id % 100 = 3"), ("operations", "source_exists", NO_ROWS), ("operations", "destination_exists", missing("destination_id", "v_operations", "destination_id", "v_accounts", "account_id")), ("operations", "pool_exists", "SELECT pool_id FROM v_operations WHERE pool_id % 27 = 2"), ("operations", "place_unique", NO_ROWS)])),
+    "v4_operations": (lambda v: V.check_operations(counted(v.operations), v.transactions.where("id % 100 <> 3"), v.accounts, v.pools.where("pool_id % 27 <> 2")), check_sql([("operations", "transaction_exists", "SELECT transaction_id FROM v_operations WHERE transaction_id % 100 = 3"), ("operations", "source_exists", NO_ROWS), ("operations", "destination_exists", missing("destination_id", "v_operations", "destination_id", "v_accounts", "account_id")), ("operations", "pool_exists", "SELECT pool_id FROM v_operations WHERE pool_id % 27 = 2"), ("operations", "place_unique", NO_ROWS), ("operations", "folded_count", "SELECT transaction_id FROM v_operations WHERE transaction_id % 77 = 0")])),
     "v5_participants": (lambda v: V.check_participants(participants(v), v.transactions, v.accounts), check_sql([("participants", "transaction_exists", NO_ROWS), ("participants", "account_exists", missing("account_id", f"{PARTICIPANTS} p", "account_id", "v_accounts", "account_id")), ("participants", "triple_unique", NO_ROWS)])),
-    "v6_contracts": (lambda v: V.check_contracts(v.contracts, v.accounts, interfaces(v).where("interface like '%functions%'")), check_sql([("contracts", "contract_unique", NO_ROWS), ("contracts", "deployer_exists", missing("deployer_id", "v_contracts", "contract_id", "v_accounts", "account_id")), ("contracts", "code_exists", "SELECT contract_id FROM v_contracts WHERE code_hash IS NOT NULL AND contract_id % 9 % 3 = 2"), ("contracts", "type_range", NO_ROWS), ("contracts", "hash_shape", NO_ROWS)])),
+    "v6_contracts": (lambda v: V.check_contracts(v.contracts.withColumn("contract_key", key_of("C", F.col("contract_id"), F.col("contract_id") % 11 == 0)), v.accounts, interfaces(v).where("interface like '%functions%'")), check_sql([("contracts", "contract_unique", NO_ROWS), ("contracts", "deployer_exists", missing("deployer_id", "v_contracts", "contract_id", "v_accounts", "account_id")), ("contracts", "code_exists", "SELECT contract_id FROM v_contracts WHERE code_hash IS NOT NULL AND contract_id % 9 % 3 = 2"), ("contracts", "key_shape", "SELECT contract_id FROM v_contracts WHERE contract_id % 11 = 0"), ("contracts", "type_range", NO_ROWS), ("contracts", "hash_shape", NO_ROWS)])),
     "v7_code": (lambda v: V.check_code(interfaces(v).withColumn("interface", F.when(F.col("interface").contains("note"), "[1]").otherwise(F.col("interface")))), check_sql([("code", "hash_unique", NO_ROWS), ("code", "hash_shape", NO_ROWS), ("code", "json_object", "SELECT DISTINCT code_hash FROM v_contracts WHERE code_hash IS NOT NULL AND contract_id % 9 % 3 = 2")])),
-    "v8_events": (lambda v: V.check_events(v.events, v.transactions, v.contracts.where("contract_id % 7 <> 0")), check_sql([("events", "transaction_exists", missing("transaction_id", "v_events", "transaction_id", "v_transactions", "id")), ("events", "contract_exists", "SELECT contract_id FROM v_events WHERE contract_id % 7 = 0"), ("events", "ledger_of_parent", "SELECT transaction_id FROM v_events e JOIN v_transactions t ON t.id = e.transaction_id WHERE e.ledger_sequence <> t.ledger_sequence")])),
-    "v9_invocations": (lambda v: V.check_invocations(v.invocations, v.transactions, v.contracts, v.accounts, v.events.where("signature = 'other'")), check_sql([("invocations", "transaction_exists", missing("transaction_id", "v_invocations", "transaction_id", "v_transactions", "id")), ("invocations", "contract_exists", NO_ROWS), ("invocations", "caller_exists", missing("caller_id", "v_invocations", "caller_id", "v_accounts", "account_id")), ("invocations", "ledger_of_parent", "SELECT transaction_id FROM v_invocations e JOIN v_transactions t ON t.id = e.transaction_id WHERE e.ledger_sequence <> t.ledger_sequence"), ("invocations", "without_event", "SELECT transaction_id FROM v_invocations i WHERE NOT EXISTS (SELECT 1 FROM v_events e WHERE e.signature = 'other' AND e.contract_id = i.contract_id AND e.transaction_id = i.transaction_id)")])),
-    "v10_assets": (lambda v: V.check_assets(v.assets.withColumn("asset_code", F.when(F.col("id") % 10 == 1, "").otherwise(F.col("asset_code"))), v.accounts.where("account_id <> 4"), v.contracts), check_sql([("assets", "type_range", NO_ROWS), ("assets", "identity_shape", "SELECT id FROM v_assets WHERE id % 10 = 1"), ("assets", "one_native", NO_ROWS), ("assets", "issuer_exists", missing("issuer_id", "v_assets", "id", "(SELECT account_id FROM v_accounts WHERE account_id <> 4)", "account_id")), ("assets", "contract_exists", NO_ROWS)])),
-    "v11_accounts": (lambda v: V.check_accounts(v.accounts.withColumn("first_seen_ledger", F.when(F.col("account_id") % 40 == 0, F.col("last_seen_ledger") + 1).otherwise(F.col("first_seen_ledger"))), v.transactions), check_sql([("accounts", "account_unique", NO_ROWS), ("accounts", "seen_in_order", "SELECT account_id FROM v_accounts WHERE account_id % 40 = 0"), ("accounts", "sequence_not_negative", NO_ROWS), ("accounts", "source_has_sequence", "SELECT account_id FROM v_accounts WHERE sequence_number = 0")])),
-    "v12_balances": (lambda v: V.check_balances(v.balances.withColumn("amount", F.when(F.col("holder_id") % 60 == 0, -1).otherwise(F.col("amount"))), v.accounts, v.assets.where("id <> 7")), check_sql([("balances", "account_exists", NO_ROWS), ("balances", "asset_exists", "SELECT asset_id FROM v_balances WHERE asset_id = 7"), ("balances", "not_negative", "SELECT holder_id FROM v_balances WHERE holder_id % 60 = 0"), ("balances", "holder_asset_unique", NO_ROWS)])),
+    "v8_events": (lambda v: V.check_events(counted(v.events), v.transactions, v.contracts.where("contract_id % 7 <> 0")), check_sql([("events", "transaction_exists", missing("transaction_id", "v_events", "transaction_id", "v_transactions", "id")), ("events", "contract_exists", "SELECT contract_id FROM v_events WHERE contract_id % 7 = 0"), ("events", "folded_count", "SELECT transaction_id FROM v_events WHERE transaction_id % 77 = 0"), ("events", "ledger_of_parent", "SELECT transaction_id FROM v_events e JOIN v_transactions t ON t.id = e.transaction_id WHERE e.ledger_sequence <> t.ledger_sequence")])),
+    "v9_invocations": (lambda v: V.check_invocations(counted(v.invocations), v.transactions, v.contracts, v.accounts, v.events.where("signature = 'other'")), check_sql([("invocations", "transaction_exists", missing("transaction_id", "v_invocations", "transaction_id", "v_transactions", "id")), ("invocations", "contract_exists", NO_ROWS), ("invocations", "caller_exists", missing("caller_id", "v_invocations", "caller_id", "v_accounts", "account_id")), ("invocations", "folded_count", "SELECT transaction_id FROM v_invocations WHERE transaction_id % 77 = 0"), ("invocations", "ledger_of_parent", "SELECT transaction_id FROM v_invocations e JOIN v_transactions t ON t.id = e.transaction_id WHERE e.ledger_sequence <> t.ledger_sequence"), ("invocations", "without_event", "SELECT transaction_id FROM v_invocations i WHERE NOT EXISTS (SELECT 1 FROM v_events e WHERE e.signature = 'other' AND e.contract_id = i.contract_id AND e.transaction_id = i.transaction_id)")])),
+    "v10_assets": (lambda v: V.check_assets(held_assets(v), v.accounts.where("account_id <> 4"), v.contracts), check_sql([("assets", "type_range", NO_ROWS), ("assets", "identity_shape", "SELECT id FROM v_assets WHERE id % 10 = 1"), ("assets", "one_native", NO_ROWS), ("assets", "issuer_exists", missing("issuer_id", "v_assets", "id", "(SELECT account_id FROM v_accounts WHERE account_id <> 4)", "account_id")), ("assets", "not_negative", "SELECT id FROM v_assets WHERE id % 13 = 0 AND id IN (SELECT asset_id FROM v_balances)"), ("assets", "contract_exists", NO_ROWS)])),
+    "v11_accounts": (lambda v: V.check_accounts(v.accounts.withColumn("account_key", key_of("G", F.col("account_id"), F.col("account_id") % 33 == 0)).withColumn("first_seen_ledger", F.when(F.col("account_id") % 40 == 0, F.col("last_seen_ledger") + 1).otherwise(F.col("first_seen_ledger"))), v.transactions), check_sql([("accounts", "account_unique", NO_ROWS), ("accounts", "key_shape", "SELECT account_id FROM v_accounts WHERE account_id % 33 = 0"), ("accounts", "ledgers_not_negative", "SELECT account_id FROM v_accounts WHERE first_seen_ledger < 0 AND account_id % 40 <> 0 OR last_seen_ledger < 0"), ("accounts", "seen_in_order", "SELECT account_id FROM v_accounts WHERE account_id % 40 = 0"), ("accounts", "sequence_not_negative", NO_ROWS), ("accounts", "source_has_sequence", "SELECT account_id FROM v_accounts WHERE sequence_number = 0")])),
+    "v12_balances": (lambda v: V.check_balances(v.balances.unionByName(v.balances.where("asset_id = 0 and holder_id % 3 = 0")).withColumn("amount", F.when(F.col("holder_id") % 60 == 0, -1).otherwise(F.col("amount"))), v.accounts, v.assets.where("id <> 7")), check_sql([("balances", "account_exists", NO_ROWS), ("balances", "asset_exists", "SELECT asset_id FROM v_balances WHERE asset_id = 7"), ("balances", "not_negative", "SELECT holder_id FROM v_balances WHERE holder_id % 60 = 0 UNION ALL SELECT holder_id FROM v_balances WHERE holder_id % 60 = 0 AND asset_id = 0"), ("balances", "holder_asset_unique", "SELECT concat(holder_id, ':0') FROM v_balances WHERE asset_id = 0 AND holder_id % 3 = 0"), ("balances", "one_native_a_holder", "SELECT holder_id FROM v_balances WHERE asset_id = 0 AND holder_id % 3 = 0")])),
     "v13_nfts": (lambda v: V.check_nfts(tokens(v).withColumn("owner_id", F.when(F.col("token_id") == 5, -1).otherwise(F.col("owner_id"))), v.contracts, v.accounts, v.nft_ownership), check_sql([("nfts", "token_unique", NO_ROWS), ("nfts", "contract_exists", NO_ROWS), ("nfts", "owner_exists", missing("owner_id", f"(SELECT contract_id, token_id, CASE WHEN token_id = 5 THEN -1 ELSE owner_id END AS owner_id FROM {TOKENS} t) o", "owner_id", "v_accounts", "account_id")), ("nfts", "minted_before_seen", NO_ROWS), ("nfts", "owner_is_latest", f"SELECT concat(contract_id, ':', token_id) FROM {TOKENS} t WHERE token_id = 5")])),
     "v14_nft_ownership": (lambda v: V.check_nft_ownership(v.nft_ownership, tokens(v).where("token_id <> 3"), v.transactions, v.accounts), check_sql([("nft_ownership", "token_exists", "SELECT concat(contract_id, ':', token_id) FROM v_nft_ownership WHERE token_id = 3"), ("nft_ownership", "transaction_exists", missing("transaction_id", "v_nft_ownership", "transaction_id", "v_transactions", "id")), ("nft_ownership", "owner_exists", missing("owner_id", "v_nft_ownership", "owner_id", "v_accounts", "account_id")), ("nft_ownership", "type_range", NO_ROWS), ("nft_ownership", "first_is_mint", "SELECT concat(contract_id, ':', token_id) FROM (SELECT contract_id, token_id, min_by(event_type, ledger_sequence * 100000 + event_order) AS t FROM v_nft_ownership GROUP BY ALL) x WHERE t <> 0"), ("nft_ownership", "order_not_negative", NO_ROWS)])),
-    "v15_pools": (lambda v: V.check_pools(v.pools.withColumns({"asset_b": F.when(F.col("pool_id") == 3, 0).otherwise(F.col("asset_b")), "fee_bps": F.when(F.col("pool_id") == 4, 20_000).otherwise(F.col("fee_bps"))}), v.assets.where("id <> 25")), check_sql([("pools", "pool_unique", NO_ROWS), ("pools", "leg_order", "SELECT 3"), ("pools", "asset_a_exists", "SELECT pool_id FROM v_pools WHERE asset_a = 25"), ("pools", "asset_b_exists", "SELECT pool_id FROM v_pools WHERE asset_b = 25"), ("pools", "fee_range", "SELECT 4")])),
+    "v15_pools": (lambda v: V.check_pools(pools_with_creation(v).withColumns({"created_at_ledger": F.coalesce("created_ledger", F.lit(0)), "pool_key": F.when(F.col("pool_id") % 19 > 0, F.col("pool_key")).otherwise(F.substring("pool_key", 1, 32)), "asset_b": F.when(F.col("pool_id") == 3, 0).otherwise(F.col("asset_b")), "fee_bps": F.when(F.col("pool_id") == 4, 20_000).otherwise(F.col("fee_bps"))}), v.assets.where("id <> 25")), check_sql([("pools", "key_shape", "SELECT pool_id FROM v_pools WHERE pool_id % 19 = 0"), ("pools", "placeholders", "SELECT pool_id FROM v_pools WHERE pool_id NOT IN (SELECT pool_id FROM v_pool_snapshots)"), ("pools", "pool_unique", NO_ROWS), ("pools", "leg_order", "SELECT 3"), ("pools", "asset_a_exists", "SELECT pool_id FROM v_pools WHERE asset_a = 25"), ("pools", "asset_b_exists", "SELECT pool_id FROM v_pools WHERE asset_b = 25"), ("pools", "fee_range", "SELECT 4")])),
     "v16_snapshots": (lambda v: V.check_snapshots(v.pool_snapshots.unionByName(v.pool_snapshots.where("ledger_sequence % 50 = 0 and pool_id = 2")), v.pools.where("pool_id <> 13"), v.ledgers), check_sql([("pool_snapshots", "pool_exists", "SELECT pool_id FROM v_pool_snapshots WHERE pool_id = 13"), ("pool_snapshots", "reserves_not_negative", "SELECT pool_id FROM (SELECT * FROM v_pool_snapshots UNION ALL SELECT * FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2) s WHERE reserve_a < 0 OR reserve_b < 0"), ("pool_snapshots", "volume_not_negative", NO_ROWS), ("pool_snapshots", "one_a_ledger", "SELECT concat(pool_id, ':', ledger_sequence) FROM v_pool_snapshots WHERE ledger_sequence % 50 = 0 AND pool_id = 2"), ("pool_snapshots", "ledger_exists", NO_ROWS)])),
     "v17_positions": (lambda v: V.check_positions(v.positions, v.pools, v.accounts, v.pool_snapshots), check_sql([("positions", "pool_exists", NO_ROWS), ("positions", "account_exists", NO_ROWS), ("positions", "shares_not_negative", NO_ROWS), ("positions", "ledgers_in_order", NO_ROWS), ("positions", "holder_unique", NO_ROWS), ("positions", "shares_add_up", "SELECT p.pool_id FROM (SELECT pool_id, sum(shares) AS held FROM v_positions WHERE shares > 0 GROUP BY pool_id) p JOIN (SELECT pool_id, max_by(total_shares, ledger_sequence) AS total FROM v_pool_snapshots GROUP BY pool_id) s ON s.pool_id = p.pool_id WHERE abs(held - total) > total * 0.001")])),
     "v18_layout": (lambda v: V.check_layout(v.ledgers, 500)[1], "SELECT bucket, count(*) AS rows, bucket > (SELECT max(bucket) FROM v_ledgers) - 2 AS recent FROM v_ledgers GROUP BY bucket"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import contracts as C
 from orrery.operators import ingest as I
-from orrery.plans.reads import HASH_INDEX, LABEL, joined, participants
+from orrery.plans.reads import HASH_INDEX, LABEL, PARTICIPANTS, joined, participants
 from orrery.sources.views import LEG_A, LEG_B
 
 # --- records derived from the views ---
@@ -151,7 +151,7 @@ PLANS = {
     "e4_transaction_rows": (lambda v: I.transaction_rows(v.transactions.drop("application_order").withColumn("position", F.col("id")), v.operations).select("id", "ledger_sequence", "application_order", "operation_count", "has_contract"),
         "SELECT id, t.ledger_sequence, t.application_order, coalesce(n, 0) AS operation_count, coalesce(c, false) AS has_contract FROM v_transactions t LEFT JOIN (SELECT transaction_id, count(*) AS n, bool_or(type IN (24, 25, 26)) AS c FROM v_operations GROUP BY transaction_id) o ON o.transaction_id = t.id"),
     "e5_hash_index": (lambda v: I.hash_index(v.transactions), f"SELECT hash, ledger_sequence FROM {HASH_INDEX} i"),
-    "e6_participants": (participants, "SELECT source_id AS account_id, ledger_sequence, id AS transaction_id FROM v_transactions UNION SELECT source_id, ledger_sequence, transaction_id FROM v_operations WHERE source_id IS NOT NULL UNION SELECT destination_id, ledger_sequence, transaction_id FROM v_operations"),
+    "e6_participants": (participants, f"SELECT account_id, ledger_sequence, transaction_id FROM {PARTICIPANTS} p"),
     "e7_token_events": (lambda v: C.token_events(raw_events(v)), TOKEN_EVENTS),
     "e8_op_typed": (lambda v: joined(I.op_typed(ops_json(v)), "pool_ids").select("transaction_id", "application_order", "destination", "contract", "asset_code", "asset_issuer", "pool_ids"),
         f"SELECT transaction_id, application_order, CASE WHEN type IN (0, 1, 2, 7, 8, 13, 19, 21) THEN concat('G', destination_id) END AS destination, CASE WHEN type IN (24, 25, 26) THEN concat('K', destination_id % 30) END AS contract, CASE WHEN type IN (1, 2, 3, 4, 6, 12, 13, 14, 19, 21) AND asset_id <> 0 THEN concat('C', asset_id) END AS asset_code, CASE WHEN type IN (1, 2, 3, 4, 6, 12, 13, 14, 19, 21) AND asset_id <> 0 THEN concat('I', asset_id % 10) END AS asset_issuer, CASE WHEN type IN (2, 3, 4, 12, 13, 22, 23) THEN CAST(coalesce(pool_id, 0) AS VARCHAR) ELSE '' END AS pool_ids FROM v_operations"),

@@ -55,6 +55,41 @@ def facets(v):
     return a.select(F.col("id").alias("asset_id"), F.col("id").alias("contract_id"), F.lit(0).alias("deployed")).union(a.where("id % 2 = 0").select("id", F.lit(None).cast("bigint"), F.lit(1)))
 
 
+def wrappers(v):
+    """Wrapper contracts of assets, with the ledger of their deployment and the icon of the asset."""
+    own = facets(v).where("contract_id is not null").select("asset_id", "contract_id").join(v.contracts.select("contract_id", "deployed_at_ledger"), "contract_id", "left")
+    return own.join(enrichment(v).select("asset_id", "icon"), "asset_id", "left")
+
+
+WRAPPERS = f"(SELECT a.id AS asset_id, a.id AS contract_id, deployed_at_ledger, icon FROM v_assets a LEFT JOIN v_contracts c ON c.contract_id = a.id LEFT JOIN {ENRICHMENT} e ON e.asset_id = a.id WHERE a.id % 3 <> 2)"
+
+
+def updated_pools(v):
+    """Pools with the ledger of their last update: that of the last snapshot, or one of its own."""
+    last = v.pool_snapshots.groupBy("pool_id").agg(F.max("ledger_sequence").alias("last"))
+    return v.pools.join(last, "pool_id", "left").withColumn("last_updated_ledger", F.coalesce("last", F.col("pool_id") + 1)).drop("last")
+
+
+def identities(v):
+    """Assets by the identity that prices are kept by."""
+    return v.assets.select(F.col("id"), X.price_leg(F.col("asset_type"), F.col("asset_code"), F.col("issuer_id"), F.lit(None).cast("bigint")).alias("leg"))
+
+
+def priced_pools(v):
+    a, b = (identities(v).select(F.col("id").alias(f"asset_{s}"), F.col("leg").alias(f"leg_{s}")) for s in "ab")
+    return v.pools.join(a, "asset_a").join(b, "asset_b").select("pool_id", "leg_a", "leg_b", "fee_bps")
+
+
+def price_series(v):
+    """Closes by identity and day."""
+    day = F.expr("CAST(date_add(DATE '1994-12-31', CAST(bucket AS INT)) AS TIMESTAMP)")
+    return v.prices_1d.join(identities(v), F.col("id") == F.col("asset_id")).select("leg", day.alias("bucket"), "close_usd")
+
+
+def chart(v, interval):
+    return P.pool_chart(priced_pools(v), v.pool_snapshots, v.ledgers, price_series(v), interval, 48 * 3600)
+
+
 def code(v):
     """Interfaces of contract code, as JSON."""
     c = v.contracts.where("code_hash is not null").select("code_hash", (F.col("contract_id") % 9).alias("k")).distinct()
@@ -82,10 +117,18 @@ TOKEN_ENRICHMENT = f"(SELECT contract_id, token_id, concat('Token ', CAST(token_
 
 
 def participants(v):
-    return R.participants(v.transactions, v.operations)
+    to = F.when(F.col("signature") == "transfer", F.col("user_id") + 1).when(F.col("signature") == "mint", F.col("user_id"))
+    ends = v.events.where("signature <> 'other'").withColumns({"from_id": F.when(F.col("signature") != "mint", F.col("user_id")), "to_id": to})
+    return R.participants(v.transactions, v.operations, ends, v.invocations)
 
 
-PARTICIPANTS = "(SELECT source_id AS account_id, ledger_sequence, id AS transaction_id FROM v_transactions UNION SELECT source_id, ledger_sequence, transaction_id FROM v_operations WHERE source_id IS NOT NULL UNION SELECT destination_id, ledger_sequence, transaction_id FROM v_operations)"
+ENDS = "FROM v_events WHERE transaction_id IN (SELECT transaction_id FROM v_operations WHERE type IN (24, 25, 26)) AND signature"
+PARTICIPANTS = (
+    "(SELECT source_id AS account_id, ledger_sequence, id AS transaction_id FROM v_transactions UNION SELECT fee_source_id, ledger_sequence, id FROM v_transactions WHERE fee_source_id IS NOT NULL "
+    "UNION SELECT source_id, ledger_sequence, transaction_id FROM v_operations WHERE source_id IS NOT NULL UNION SELECT destination_id, ledger_sequence, transaction_id FROM v_operations "
+    f"UNION SELECT user_id, ledger_sequence, transaction_id {ENDS} <> 'other' UNION SELECT user_id + 1, ledger_sequence, transaction_id {ENDS} = 'transfer' "
+    "UNION SELECT caller_id, ledger_sequence, transaction_id FROM v_invocations WHERE caller_id IS NOT NULL)"
+)
 
 
 def json_events(v):
@@ -105,20 +148,26 @@ SWAPS = "'PATH_PAYMENT_STRICT_RECEIVE', 'PATH_PAYMENT_STRICT_SEND'"
 
 def pool_list_sql(where: str = "") -> str:
     return f"""WITH last AS ({LATEST})
-SELECT p.pool_id, p.asset_a, p.asset_b, p.fee_bps, f.created_ledger, last.ledger_sequence AS snapshot_ledger, reserve_a, reserve_b, total_shares, coalesce(h.n, 0) AS participants
-FROM v_pools p LEFT JOIN (SELECT pool_id, min(ledger_sequence) AS created_ledger FROM v_pool_snapshots GROUP BY pool_id) f ON f.pool_id = p.pool_id
-LEFT JOIN last ON last.pool_id = p.pool_id LEFT JOIN (SELECT pool_id, count(*) AS n FROM v_positions WHERE shares > 0 GROUP BY pool_id) h ON h.pool_id = p.pool_id {where}"""
-
-
-def chart_sql(days: int, age: int) -> str:
-    return f"""WITH price AS (SELECT asset_id, bucket + 1 AS at, close_usd FROM v_prices_1d WHERE close_usd > 0),
-s AS (SELECT s.*, asset_a, asset_b, fee_bps FROM v_pool_snapshots s JOIN v_pools p ON s.pool_id = p.pool_id),
-a AS (SELECT s.*, CASE WHEN s.ledger_sequence - price.at < {age} THEN close_usd END AS price_a FROM s ASOF LEFT JOIN price ON s.asset_a = price.asset_id AND s.ledger_sequence >= price.at),
-b AS (SELECT a.*, CASE WHEN a.ledger_sequence - price.at < {age} THEN close_usd END AS price_b FROM a ASOF LEFT JOIN price ON a.asset_b = price.asset_id AND a.ledger_sequence >= price.at),
-x AS (SELECT *, reserve_a * price_a + reserve_b * price_b AS tvl, gross_volume_a * price_a AS worth, CAST(floor(ledger_sequence / {days}) * {days} AS BIGINT) AS bk FROM b),
-g AS (SELECT pool_id, bk AS bucket, round(max_by(tvl, ledger_sequence) FILTER (tvl IS NOT NULL), 4) AS tvl_usd, CASE WHEN count(*) FILTER (gross_volume_a IS NOT NULL AND worth IS NULL) = 0 THEN round(sum(worth), 4) END AS volume_usd,
+SELECT p.pool_id, p.asset_a, p.asset_b, p.fee_bps, coalesce(last.ledger_sequence, p.pool_id + 1) AS last_updated_ledger, coalesce(f.created_ledger, p.pool_id + 1) AS created_ledger, last.ledger_sequence AS snapshot_ledger, l.closed_at AS snapshot_at,
+reserve_a, reserve_b, total_shares, coalesce(h.n, 0) AS participants, CASE WHEN p.asset_a <> 0 THEN wa.contract_id END AS contract_a, CASE WHEN p.asset_a <> 0 THEN nullif(wa.icon, '') END AS icon_a, wb.contract_id AS contract_b, nullif(wb.icon, '') AS icon_b
+FROM v_pools p LEFT JOIN {WRAPPERS} wa ON wa.asset_id = p.asset_a LEFT JOIN {WRAPPERS} wb ON wb.asset_id = p.asset_b LEFT JOIN (SELECT pool_id, min(ledger_sequence) AS created_ledger FROM v_pool_snapshots GROUP BY pool_id) f ON f.pool_id = p.pool_id
+LEFT JOIN last ON last.pool_id = p.pool_id LEFT JOIN v_ledgers l ON l.sequence = last.ledger_sequence LEFT JOIN (SELECT pool_id, count(*) AS n FROM v_positions WHERE shares > 0 GROUP BY pool_id) h ON h.pool_id = p.pool_id {where}"""
+
+
+IDENTITY = "CASE WHEN {0}.asset_type = 0 THEN 'native' ELSE concat('credit:', {0}.asset_code, ':', {0}.issuer_id) END"
+
+
+def chart_sql(interval: str, grain: str) -> str:
+    """Each snapshot at the close of its ledger, priced at the last close of its own price bucket or before, at most 48 hours old."""
+    side = "SELECT {1}.*, CASE WHEN date_diff('second', price.bucket, {1}.price_bucket) <= 172800 THEN close_usd END AS price_{0} FROM {1} ASOF LEFT JOIN price ON {1}.leg_{0} = price.leg AND {1}.price_bucket >= price.bucket"
+    return f"""WITH price AS (SELECT {IDENTITY.format('a')} AS leg, CAST(DATE '1994-12-31' + CAST(bucket AS INT) AS TIMESTAMP) AS bucket, close_usd FROM v_prices_1d p JOIN v_assets a ON a.id = p.asset_id WHERE close_usd > 0),
+s AS (SELECT s.*, fee_bps, {IDENTITY.format('a')} AS leg_a, {IDENTITY.format('b')} AS leg_b, date_trunc('{grain}', CAST(closed_at AS TIMESTAMP)) AS price_bucket, date_trunc('{interval}', CAST(closed_at AS TIMESTAMP)) AS bk
+  FROM v_pool_snapshots s JOIN v_pools p ON s.pool_id = p.pool_id JOIN v_assets a ON a.id = p.asset_a JOIN v_assets b ON b.id = p.asset_b JOIN v_ledgers l ON l.sequence = s.ledger_sequence),
+pa AS ({side.format('a', 's')}), pb AS ({side.format('b', 'pa')}),
+x AS (SELECT *, reserve_a * price_a + reserve_b * price_b AS tvl, gross_volume_a * price_a AS worth FROM pb),
+g AS (SELECT pool_id, bk, round(max_by(tvl, ledger_sequence) FILTER (tvl IS NOT NULL), 4) AS tvl_usd, CASE WHEN count(*) FILTER (gross_volume_a IS NOT NULL AND price_a IS NULL) = 0 THEN round(sum(worth), 4) END AS volume_usd,
   max(fee_bps) AS fee_bps, count(*) AS samples FROM x GROUP BY pool_id, bk)
-SELECT pool_id, bucket, tvl_usd, volume_usd, round(volume_usd * fee_bps / 10000, 4) AS fee_usd, samples FROM g"""
+SELECT pool_id, strftime(bk, '%Y-%m-%d %H:%M:%S') AS bucket, tvl_usd, volume_usd, round(volume_usd * fee_bps / 10000, 4) AS fee_usd, samples FROM g"""
 
 
 PLANS = {
@@ -133,15 +182,15 @@ PLANS = {
         "WITH h AS (SELECT max(sequence) AS head, max(epoch(closed_at)) AS last FROM v_ledgers) SELECT max(head) AS head, coalesce(sum(transaction_count) / nullif(max(epoch(closed_at)) - min(epoch(closed_at)), 0), 0.0)::DOUBLE AS tps, (SELECT count(DISTINCT account_id) FROM v_accounts) AS accounts, (SELECT count(DISTINCT contract_id) FROM v_contracts) AS contracts FROM v_ledgers, h WHERE epoch(closed_at) >= last - 2592000"),
     "q2_ledgers_with_success": (lambda v: R.ledgers_with_success(v.ledgers, v.transactions), "SELECT sequence, closed_at, transaction_count, coalesce(n, 0) AS successful FROM v_ledgers LEFT JOIN (SELECT ledger_sequence, count(*) FILTER (successful) AS n FROM v_transactions GROUP BY ledger_sequence) t ON ledger_sequence = sequence"),
     "q3_ledger_neighbours": (lambda v: R.ledger_neighbours(v.ledgers), "SELECT sequence, lag(sequence) OVER (ORDER BY sequence) AS previous, lead(sequence) OVER (ORDER BY sequence) AS next FROM v_ledgers"),
-    "q4_ledger_transactions": (lambda v: R.ledger_transactions(v.transactions, v.ledgers).drop("inner_tx_hash"), "SELECT id, hash, ledger_sequence, application_order, source_id, fee_charged, successful FROM v_transactions"),
+    "q4_ledger_transactions": (lambda v: R.ledger_transactions(v.transactions, v.ledgers).drop("inner_tx_hash", "fee_source_id"), "SELECT id, hash, ledger_sequence, application_order, source_id, fee_charged, successful FROM v_transactions"),
     "q5_tx_list": (lambda v: R.tx_list(v.transactions, v.ledgers), f"SELECT {TXL}"),
-    "q5_tx_list_newest": (lambda v: R.tx_list(v.transactions, v.ledgers, limit=100), f"SELECT {TXL} ORDER BY t.ledger_sequence DESC, application_order DESC LIMIT 100"),
+    "q5_tx_list_newest": (lambda v: R.tx_list(v.transactions, v.ledgers, limit=100, whole=True), f"SELECT {TXL} ORDER BY t.ledger_sequence DESC, application_order DESC LIMIT 100"),
     "q6_tx_list_by_op_type": (lambda v: R.tx_list_by_op_type(v.transactions, v.ledgers, v.operations, 13), f"SELECT {TXL} WHERE id IN (SELECT transaction_id FROM v_operations WHERE type = 13)"),
     "q7_tx_list_by_contract": (lambda v: R.tx_list_by_contract(v.transactions, v.ledgers, v.operations, v.invocations, v.events, 7), f"SELECT {TXL} WHERE id IN (SELECT transaction_id FROM v_operations WHERE contract_id = 7 UNION SELECT transaction_id FROM v_invocations WHERE contract_id = 7 UNION SELECT transaction_id FROM v_events WHERE contract_id = 7)"),
     "q8_tx_op_types": (lambda v: joined(R.tx_op_types(v.operations), "op_types"), f"SELECT transaction_id, string_agg(label, ',' ORDER BY label) AS op_types FROM (SELECT DISTINCT transaction_id, {LABEL} AS label FROM v_operations) o GROUP BY transaction_id"),
-    "q9_tx_detail": (lambda v: R.tx_detail(v.transactions, hashes(v)).drop("inner_tx_hash"), f"SELECT id, t.hash, ledger_sequence, application_order, source_id, fee_charged, successful, h.hash AS asked FROM v_transactions t JOIN {HASHES} h ON h.hash = t.hash OR h.hash = t.inner_tx_hash"),
+    "q9_tx_detail": (lambda v: R.tx_detail(v.transactions, hashes(v)).drop("inner_tx_hash", "fee_source_id"), f"SELECT id, t.hash, ledger_sequence, application_order, source_id, fee_charged, successful, h.hash AS asked FROM v_transactions t JOIN {HASHES} h ON h.hash = t.hash OR h.hash = t.inner_tx_hash"),
     "q10_tx_operations": (lambda v: R.tx_operations(v.operations, v.transactions, v.assets), f"SELECT transaction_id, o.application_order, {LABEL} AS type_name, coalesce(o.source_id, t.source_id) AS source_id, destination_id, contract_id, pool_id, asset_code, issuer_id FROM v_operations o JOIN v_transactions t ON t.id = transaction_id LEFT JOIN v_assets a ON a.id = o.asset_id"),
-    "q11_tx_participants": (lambda v: joined(R.tx_participants(participants(v)), "accounts"), f"SELECT transaction_id, string_agg(CAST(account_id AS VARCHAR), ',' ORDER BY account_id) AS accounts FROM {PARTICIPANTS} p GROUP BY transaction_id"),
+    "q11_tx_participants": (lambda v: joined(R.tx_participants(participants(v)), "accounts"), f"SELECT transaction_id, string_agg(CAST(account_id AS VARCHAR), ',' ORDER BY account_id) AS accounts FROM (SELECT DISTINCT transaction_id, account_id FROM {PARTICIPANTS} p) d GROUP BY transaction_id"),
     "q12_tx_event_contracts": (lambda v: joined(R.tx_event_contracts(v.events), "contracts"), "SELECT transaction_id, string_agg(DISTINCT CAST(contract_id AS VARCHAR), ',') AS contracts FROM v_events GROUP BY transaction_id"),
     "q13_tx_invocations": (lambda v: joined(joined(R.tx_invocations(v.invocations), "contracts"), "callers"), "SELECT transaction_id, string_agg(DISTINCT CAST(contract_id AS VARCHAR), ',') AS contracts, coalesce(string_agg(DISTINCT CAST(caller_id AS VARCHAR), ','), '') AS callers FROM v_invocations GROUP BY transaction_id"),
     "q14_accounts_recent": (lambda v: R.accounts_recent(v.accounts, v.balances, 0, True), "SELECT a.*, amount AS native_balance FROM v_accounts a LEFT JOIN v_balances b ON b.holder_id = a.account_id AND asset_id = 0 WHERE home_domain IS NOT NULL AND home_domain <> ''"),
@@ -150,7 +199,7 @@ PLANS = {
     "q17_account_balances": (lambda v: R.account_balances(v.balances, v.assets, enrichment(v), metadata(v)), f"SELECT holder_id, b.asset_id, amount, asset_type, asset_code, issuer_id, coalesce(nullif(e.name, ''), a.name) AS name, symbol, coalesce(decimals, 7) AS decimals FROM v_balances b LEFT JOIN v_assets a ON a.id = b.asset_id LEFT JOIN {ENRICHMENT} e ON e.asset_id = b.asset_id LEFT JOIN {METADATA} m ON m.asset_id = b.asset_id WHERE amount <> 0"),
     "q18_account_transactions": (lambda v: R.account_transactions(participants(v), v.transactions, v.ledgers, 50), f"SELECT {TXL} WHERE id IN (SELECT transaction_id FROM {PARTICIPANTS} p WHERE account_id = 50)"),
     "q19_asset_list": (lambda v: R.asset_list(v.assets, 1, "e", facets(v).where("deployed = 1")), "SELECT * FROM v_assets WHERE asset_type = 1 AND (lower(asset_code) LIKE '%e%' OR lower(name) LIKE '%e%') AND id % 3 <> 2 AND id % 2 = 0"),
-    "q20_asset_hydrate": (lambda v: R.asset_hydrate(v.assets, R.balance_aggregates(v.balances), enrichment(v), metadata(v)), f"SELECT a.id, asset_type, asset_code, issuer_id, coalesce(supply, 0) AS supply, coalesce(holders, 0) AS holders, nullif(icon, '') AS icon, CASE WHEN asset_type = 0 THEN 'Stellar Lumens' ELSE coalesce(nullif(e.name, ''), a.name) END AS name, coalesce(decimals, 7) AS decimals, deployed_at_ledger FROM v_assets a LEFT JOIN (SELECT asset_id, CAST(sum(amount) AS BIGINT) AS supply, count(*) FILTER (amount > 0) AS holders FROM v_balances GROUP BY asset_id) g ON g.asset_id = a.id LEFT JOIN {ENRICHMENT} e ON e.asset_id = a.id LEFT JOIN {METADATA} m ON m.asset_id = a.id"),
+    "q20_asset_hydrate": (lambda v: R.asset_hydrate(v.assets, R.balance_aggregates(v.balances), enrichment(v), metadata(v), wrappers(v)), f"SELECT a.id, asset_type, asset_code, issuer_id, coalesce(supply, 0) AS supply, coalesce(holders, 0) AS holders, nullif(e.icon, '') AS icon, CASE WHEN asset_type = 0 THEN 'Stellar Lumens' ELSE coalesce(nullif(e.name, ''), a.name) END AS name, coalesce(decimals, 7) AS decimals, coalesce(m.deployed_at_ledger, w.deployed_at_ledger) AS deployed_at_ledger FROM v_assets a LEFT JOIN {WRAPPERS} w ON w.asset_id = a.id LEFT JOIN (SELECT asset_id, CAST(sum(amount) AS BIGINT) AS supply, count(*) FILTER (amount > 0) AS holders FROM v_balances GROUP BY asset_id) g ON g.asset_id = a.id LEFT JOIN {ENRICHMENT} e ON e.asset_id = a.id LEFT JOIN {METADATA} m ON m.asset_id = a.id"),
     "q21_asset_resolve": (lambda v: R.asset_resolve(v.assets, v.assets.select(F.when(F.col("id") == 0, "native").otherwise(F.concat_ws("-", "asset_code", F.col("issuer_id").cast("string"))).alias("text"))),
         "SELECT CASE WHEN id = 0 THEN 'native' ELSE concat(asset_code, '-', CAST(issuer_id AS VARCHAR)) END AS text, min(asset_type) AS asset_type, min(id) AS id FROM v_assets GROUP BY 1"),
     "q22_asset_transactions": (lambda v: R.asset_transactions(v.operations, v.invocations, facets(v).where("contract_id is not null")), "SELECT asset_id, transaction_id, max(ledger_sequence) AS ledger_sequence FROM (SELECT asset_id, transaction_id, ledger_sequence FROM v_operations UNION ALL SELECT contract_id, transaction_id, i.ledger_sequence FROM v_invocations i JOIN v_assets a ON a.id = contract_id AND a.id % 3 <> 2) x GROUP BY asset_id, transaction_id"),
@@ -164,16 +213,17 @@ PLANS = {
     "q30_nft_list": (lambda v: R.nft_list(tokens(v), token_enrichment(v), v.contracts.where("contract_id % 3 = 0"), name="2", collection="1"), f"WITH c AS (SELECT contract_id, name FROM v_contracts WHERE contract_id % 3 = 0) SELECT t.contract_id, t.token_id, owner_id, minted_at_ledger, last_seen_ledger, token_name, coalesce(c.name, nullif(collection_name, '')) AS collection FROM {TOKENS} t LEFT JOIN {TOKEN_ENRICHMENT} e ON e.contract_id = t.contract_id AND e.token_id = t.token_id LEFT JOIN c ON c.contract_id = t.contract_id WHERE lower(token_name) LIKE '%2%' AND (lower(c.name) LIKE '%1%' OR lower(collection_name) LIKE '%1%')"),
     "q31_nft_detail": (lambda v: R.nft_list(tokens(v), token_enrichment(v), v.contracts.where("contract_id % 3 = 0"), contract=6), f"SELECT t.contract_id, t.token_id, owner_id, minted_at_ledger, last_seen_ledger, token_name, concat('Contract ', CAST(t.contract_id AS VARCHAR)) AS collection FROM {TOKENS} t LEFT JOIN {TOKEN_ENRICHMENT} e ON e.contract_id = t.contract_id AND e.token_id = t.token_id WHERE t.contract_id = 6"),
     "q32_nft_transfers": (lambda v: R.nft_transfers(v.nft_ownership), "SELECT contract_id, token_id, ledger_sequence, event_order, event_type, lead(owner_id) OVER (PARTITION BY contract_id, token_id ORDER BY ledger_sequence DESC, event_order DESC) AS from_id, CASE WHEN event_type <> 2 THEN owner_id END AS to_id FROM v_nft_ownership"),
-    "q33_pool_list": (lambda v: P.pool_list(v.pools, v.pool_snapshots, v.positions), pool_list_sql()),
-    "q34_pool_detail": (lambda v: P.pool_detail(v.pools, v.pool_snapshots, v.positions, v.pools.where("pool_id % 3 = 1")), pool_list_sql("WHERE p.pool_id % 3 = 1")),
+    "q33_pool_list": (lambda v: P.pool_list(updated_pools(v), v.pool_snapshots, v.positions, v.ledgers, wrappers(v)), pool_list_sql()),
+    "q34_pool_detail": (lambda v: P.pool_detail(updated_pools(v), v.pool_snapshots, v.positions, v.ledgers, wrappers(v), v.pools.where("pool_id % 3 = 1")), pool_list_sql("WHERE p.pool_id % 3 = 1")),
     "q35_pool_participants": (lambda v: P.pool_participants(v.positions, v.pool_snapshots, NOW_DAY, 400), f"WITH last AS ({LATEST}) SELECT p.pool_id, account_id, shares, round(CAST(shares AS DOUBLE) * 100 / CASE WHEN last.ledger_sequence >= {NOW_DAY} - 400 AND total_shares > 0 THEN total_shares END, 6) AS percentage, first_deposit_ledger, last_updated_ledger FROM v_positions p LEFT JOIN last ON last.pool_id = p.pool_id WHERE shares > 0"),
     "q36_pool_activity": (lambda v: P.pool_activity(v.lp_amounts, v.operations), "WITH g AS (SELECT pool_id, ledger_sequence, transaction_id, application_order, max(CASE WHEN leg = 'A' THEN amount END) AS amount_a, max(CASE WHEN leg = 'B' THEN amount END) AS amount_b FROM v_lp_amounts GROUP BY ALL) SELECT g.*, CASE WHEN amount_a IS NULL OR amount_b IS NULL THEN NULL WHEN amount_a > 0 AND amount_b > 0 THEN 'deposit' WHEN amount_a < 0 AND amount_b < 0 THEN 'withdrawal' ELSE 'trade' END AS kind, CAST(1 AS BIGINT) AS pools_crossed, coalesce(o.source_id, o.tx_source_id) AS source_id FROM g LEFT JOIN v_operations o ON o.transaction_id = g.transaction_id AND o.application_order = g.application_order"),
     "q37_pool_volume": (lambda v: P.pool_volume(v.pool_snapshots, NOW_DAY - 100), VOLUME),
     "q38_last_closes": (lambda v: P.last_closes(v.prices_1d, NOW_DAY, 400), CLOSES),
     "q39_pool_usd": (lambda v: P.pool_usd(v.pools, v.pool_snapshots, P.last_closes(v.prices_1d, NOW_DAY, 400), P.pool_volume(v.pool_snapshots, NOW_DAY - 100)),
         f"WITH last AS ({LATEST}), c AS ({CLOSES}), vol AS ({VOLUME}) SELECT p.pool_id, round(reserve_a * a.close_usd + reserve_b * b.close_usd, 4) AS tvl_usd, round(volume * a.close_usd, 4) AS volume_usd, round(volume * a.close_usd * fee_bps / 10000, 4) AS fee_usd FROM v_pools p JOIN last ON last.pool_id = p.pool_id LEFT JOIN vol ON vol.pool_id = p.pool_id LEFT JOIN c a ON a.asset_id = p.asset_a LEFT JOIN c b ON b.asset_id = p.asset_b"),
-    "q40_pool_chart": (lambda v: P.pool_chart(v.pools, v.pool_snapshots, v.prices_1d, 7, 2), chart_sql(7, 2)),
-    "q40_pool_chart_daily": (lambda v: P.pool_chart(v.pools, v.pool_snapshots, v.prices_1d, 1, 10), chart_sql(1, 10)),
+    "q40_pool_chart": (lambda v: chart(v, "1w"), chart_sql("week", "day")),
+    "q40_pool_chart_daily": (lambda v: chart(v, "1d"), chart_sql("day", "day")),
+    "q40_pool_chart_hourly": (lambda v: chart(v, "1h"), chart_sql("hour", "hour")),
     "q41_keyset_page": (lambda v: S.keyset_page(v.transactions.select("id", "ledger_sequence", "application_order"), ["ledger_sequence", "application_order"], 25, (1200, 3)), "SELECT id, ledger_sequence, application_order, true AS has_next, true AS has_prev FROM v_transactions WHERE (ledger_sequence, application_order) < (1200, 3) ORDER BY ledger_sequence DESC, application_order DESC LIMIT 25"),
     "q41_keyset_page_back": (lambda v: S.keyset_page(v.transactions.select("id", "ledger_sequence", "application_order"), ["ledger_sequence", "application_order"], 25, (1200, 3), backward=True), "SELECT id, ledger_sequence, application_order, true AS has_next, true AS has_prev FROM v_transactions WHERE (ledger_sequence, application_order) > (1200, 3) ORDER BY ledger_sequence, application_order LIMIT 25"),
     "q42_balance_aggregates": (lambda v: R.balance_aggregates(v.balances), "SELECT asset_id, CAST(sum(amount) AS BIGINT) AS supply, count(*) FILTER (amount > 0) AS holders FROM v_balances GROUP BY asset_id"),

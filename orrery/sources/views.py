@@ -26,7 +26,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "CASE WHEN o_orderkey % 10 = 0 THEN sha2(concat('in', CAST(o_orderkey AS STRING)), 256) END AS inner_tx_hash, "
         "CAST(DAYS(o_orderdate) AS BIGINT) AS ledger_sequence, "
         "CAST(row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS BIGINT) AS application_order, "
-        "o_custkey AS source_id, CAST(floor(o_totalprice) AS BIGINT) AS fee_charged, o_orderstatus <> 'F' AS successful FROM orders",
+        "o_custkey AS source_id, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1 END AS fee_source_id, CAST(floor(o_totalprice) AS BIGINT) AS fee_charged, o_orderstatus <> 'F' AS successful FROM orders",
     ),
     "v_operations": (
         ("lineitem", "orders"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.sources.records import BUCKET, with_bucket
@@ -26,11 +27,12 @@ def progress_by_partition(ledgers: DataFrame, lo: int, hi: int, size: int = 64_0
 
 
 def contiguous(batch: DataFrame, head: int) -> DataFrame:
-    """Ledgers of a batch that follow the head without a gap. A batch has at most a few thousand ledgers, so its sequences are laid out in one window."""
+    """Rows of ledgers that follow the head without a gap: those before the first sequence whose successor is missing."""
     own = batch.select("sequence").where(F.col("sequence") > head).distinct()
-    place = F.row_number().over(Window.orderBy("sequence"))
-    run = own.withColumn("gap", F.col("sequence") - F.lit(head) - place).where("gap = 0").select("sequence")
-    return batch.join(run, "sequence", "left_semi")
+    known = own.union(own.sparkSession.range(head, head + 1).select(F.col("id").alias("sequence")))
+    before = own.select((F.col("sequence") - 1).alias("sequence"))
+    last = known.join(before, "sequence", "left_anti").agg(F.min("sequence").alias("last_"))  # one row
+    return batch.where(F.col("sequence") > head).join(F.broadcast(last), F.col("sequence") <= F.col("last_")).drop("last_")
 
 
 def ingestion_lag(ledgers: DataFrame, now: str | None = None) -> DataFrame:
@@ -68,6 +70,12 @@ def _committed(spark: SparkSession, path: str, column: str) -> DataFrame | None:
     return spark.read.parquet(path).select(column, "ledger_bucket")
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(f.getPath()) for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+
+
 def head_of(spark: SparkSession, root: str, before: int = 0) -> int:
     have = _committed(spark, f"{root}/{MARKER}", "sequence")
     return before if have is None else (have.agg(F.max("sequence")).first()[0] or before)
@@ -78,19 +86,27 @@ def live_tail(
 ):
     """A running query that takes new ledger files, keeps what is past a gap for later, and writes the tables that `fold` makes of each run.
 
-    Records wait in `<root>/_waiting` until their ledger's turn; the cursor is the highest committed ledger. Returns the StreamingQuery.
+    A ledger may have any number of rows, all in files of one batch; rows that repeat in all columns (a file sent twice) count once.
+    Records past a gap wait in `<root>/_waiting` until their ledger's turn: each batch writes what still waits to a new folder there
+    and then removes the older ones, so they hold what is past the head only. The cursor is the highest committed
+    ledger. A batch that is tried again changes nothing. Returns the StreamingQuery.
     """
     waiting = f"{root}/_waiting"
 
     def take(batch: DataFrame, _: int) -> None:
-        bucketed = with_bucket(batch, size, "sequence")
-        bucketed.write.mode("append").partitionBy("ledger_bucket").parquet(waiting)
         head = head_of(spark, root, start)
-        waits = spark.read.schema(bucketed.schema).parquet(waiting).where((F.col("ledger_bucket") >= head // size) & (F.col("sequence") > head))
-        whole = waits.drop("ledger_bucket").dropDuplicates(["sequence"])
+        old = _folders(spark, waiting)
+        held = batch if not old else batch.unionByName(spark.read.schema(batch.schema).parquet(*old))
+        whole = held.where(F.col("sequence") > head).distinct()
         run = contiguous(whole, head)
         if not run.isEmpty():
             write_ledger_batch(fold(run), root, size)
+            head = head_of(spark, root, start)
+        # what still waits, of this batch and of those before it, is one folder; only then do the others go
+        whole.where(F.col("sequence") > head).write.parquet(f"{waiting}/{uuid.uuid4().hex}")
+        for path in old:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(form).load(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -177,18 +177,30 @@ def test_code_upgrades_keep_identity_and_skip_unknown(spark):
 def test_pool_activity_kinds(spark):
     key = "pool_id int, ledger_sequence int, transaction_id int, application_order int"
     legs = spark.createDataFrame([(1, 1, 1, 1, "A", 5), (1, 1, 1, 1, "B", 6), (1, 1, 2, 1, "A", -5), (1, 1, 2, 1, "B", -6), (1, 1, 3, 1, "A", 5), (1, 1, 3, 1, "B", 0), (1, 1, 4, 1, "A", 5)], f"{key}, leg string, amount bigint")
-    ops = spark.createDataFrame([(1, 1, None, 9)], "transaction_id int, application_order int, source_id int, tx_source_id int")
-    got = {r.transaction_id: (r.kind, r.source_id) for r in P.pool_activity(legs, ops).collect()}
-    assert got == {1: ("deposit", 9), 2: ("withdrawal", None), 3: ("trade", None), 4: (None, None)}
+    legs = legs.unionByName(spark.createDataFrame([(2, 1, 3, 1, "A", 1), (2, 1, 3, 1, "B", -1)], legs.schema))
+    ops = spark.createDataFrame([(1, 1, 1, None, 9)], "transaction_id int, application_order int, pool_id int, source_id int, tx_source_id int")
+    got = {(r.transaction_id, r.pool_id): (r.kind, r.source_id, r.pools_crossed) for r in P.pool_activity(legs, ops).collect()}
+    assert got == {(1, 1): ("deposit", 9, 1), (2, 1): ("withdrawal", None, 1), (3, 1): ("trade", None, 2), (3, 2): ("trade", None, 2), (4, 1): (None, None, 1)}
 
 
-def test_pool_chart_voids_a_bucket_with_an_unpriced_trade(spark):
-    pools = spark.createDataFrame([(1, 10, 11, 30)], "pool_id int, asset_a int, asset_b int, fee_bps int")
-    snaps = spark.createDataFrame([(1, 10, 100, 200, 5), (1, 12, 100, 300, 7), (1, 20, 100, 100, 4)], "pool_id int, ledger_sequence int, reserve_a int, reserve_b int, gross_volume_a int")
-    prices = spark.createDataFrame([(10, 9, 2.0), (10, 10, 0.0), (11, 9, 1.0)], "asset_id int, bucket int, close_usd double")
-    got = {r.bucket: r for r in P.pool_chart(pools, snaps, prices, 10, 2).collect()}
-    assert got[10].tvl_usd == 400.0 and got[10].volume_usd is None and got[10].samples == 2
-    assert got[20].tvl_usd is None and got[20].volume_usd is None
+def test_pool_chart_by_close_time(spark):
+    """Price of the snapshot's own bucket, carried for two days at most, weeks from Monday, a bucket void with an unpriced trade."""
+    pools = spark.createDataFrame([(1, "X", "Y", 30)], "pool_id int, leg_a string, leg_b string, fee_bps int")
+    at = {10: "2024-01-02 05:00:00", 11: "2024-01-02 23:00:00", 12: "2024-01-05 01:00:00", 13: "2024-01-07 12:00:00", 14: "2024-01-08 00:00:00"}
+    ledgers = spark.createDataFrame([(s, t) for s, t in at.items()] * 2, "sequence int, closed_at string")
+    snaps = [(1, 10, 100, 200, 5), (1, 11, 100, 300, None), (1, 12, 100, 100, 4), (1, 13, 10, 10, None), (1, 14, 7, 7, 1)]
+    snapshots = spark.createDataFrame(snaps + snaps[:1], "pool_id int, ledger_sequence int, reserve_a int, reserve_b int, gross_volume_a int")
+    prices = spark.createDataFrame([("X", "2024-01-01 00:00:00", 1.0), ("X", "2024-01-02 00:00:00", 2.0), ("X", "2024-01-03 00:00:00", 0.0), ("Y", "2024-01-01 00:00:00", 1.0), ("X", "2024-01-08 00:00:00", 3.0), ("Y", "2024-01-08 00:00:00", 1.0)], "leg string, bucket string, close_usd double")
+    prices = prices.withColumn("bucket", F.col("bucket").cast("timestamp"))
+
+    def chart(interval, now=None):
+        return {r.bucket[:10]: (r.tvl_usd, r.volume_usd, r.fee_usd, r.samples) for r in P.pool_chart(pools, snapshots, ledgers, prices, interval, 48 * 3600, now).collect()}
+
+    days = chart("1d")
+    assert days == {"2024-01-02": (500.0, 10.0, 0.03, 2), "2024-01-05": (None, None, None, 1), "2024-01-07": (None, None, None, 1), "2024-01-08": (28.0, 3.0, 0.009, 1)}
+    assert chart("1w") == {"2024-01-01": (500.0, None, None, 4), "2024-01-08": (28.0, 3.0, 0.009, 1)}
+    assert chart("1d", F.lit("2024-01-08 09:00:00").cast("timestamp"))["2024-01-08"] == (None, None, None, 1)  # the open bucket has no price yet
+    assert len(P.pool_chart(pools, snapshots, ledgers, prices, "1h", 48 * 3600).collect()) == 5
 
 
 def test_pool_filter(spark):
@@ -209,8 +221,29 @@ def test_texts(spark):
     assert list(fees) == ["0.3", "1", "0.05", "1.25"]
     equal = one.select(*[X.decimal_text_equal(F.lit(a), F.lit(b)).alias(f"c{i}") for i, (a, b) in enumerate((("1.0000000", "1"), ("1.0", "1.000"), ("10", "1"), ("0.10", "0.1")))]).first()
     assert list(equal) == [True, True, False, True]
-    kinds = one.select(*[X.classify_query(F.lit(t)).alias(f"c{i}") for i, t in enumerate(("a" * 64, "GABC", "CZZ", "G", "usd"))]).first()
-    assert list(kinds) == ["hash", "account", "contract", "text", "text"]
+    kinds = one.select(*[X.classify_query(F.lit(t)).alias(f"c{i}") for i, t in enumerate(("a" * 64, "GABC", "CZZ", "G", "usd", " gabc ", "czz", "g1", "A" * 63))]).first()
+    assert list(kinds) == ["hash", "account", "contract", "text", "text", "account", "contract", "text", "text"]
+    assert [X.key_prefix(t) for t in (" gabc ", "CZ", "G", "g1", "", None, "G" * 57)] == ["GABC", "CZ", None, None, None, None, None]
+    import base64
+    import binascii
+
+    body = bytes([11 << 3]) + bytes(range(32))
+    pool = base64.b32encode(body + binascii.crc_hqx(body, 0).to_bytes(2, "little")).decode()
+    assert X.asked_hash(pool.lower()) == bytes(range(32)).hex() and X.asked_hash("AB" * 32) == "ab" * 32 and X.asked_hash(pool[:-1] + "A") is None and X.asked_hash("usd") is None
+
+
+def test_search_by_shape_and_in_batches(spark):
+    from orrery.operators import search as SE
+
+    accounts = spark.createDataFrame([("GABC", "a.org"), ("GABD", None), ("GZZZ", "")], "account_key string, home_domain string")
+    found = sorted(tuple(r) for r in SE.search_accounts(accounts, ["gab", "", "  ", "abc", "GZ"]).select("query", "route", "label").collect())
+    assert found == [("GZ", "GZZZ", ""), ("gab", "GABC", "a.org"), ("gab", "GABD", "")]
+    assert SE.search_accounts(accounts, "").count() == 0
+    contracts = spark.createDataFrame([("CABC", "Gab things"), ("CABD", "cab"), ("CZZZ", None)], "contract_key string, name string")
+    found = sorted(tuple(r) for r in SE.search_contracts(contracts, ["cab", "gab", "b t"]).select("query", "route").collect())
+    assert found == [("b t", "CABC"), ("cab", "CABC"), ("cab", "CABD")]
+    top = SE.search_all([SE.search_contracts(contracts, ["cab", "b t"]), SE.search_accounts(accounts, ["gab"])], 1)
+    assert sorted((r.query, r.kind, r.route) for r in top.collect()) == [("b t", "contract", "CABC"), ("cab", "contract", "CABC"), ("gab", "account", "GABC")]
 
 
 def test_asset_ids_of_pool_legs_fold_both_credit_types(spark):
@@ -246,7 +279,7 @@ def test_checks_count_and_sample(spark):
 
 def test_close_times_grow_over_bucket_edges(spark):
     closed = {8: 80, 9: 90, 10: 90, 11: 110, 19: 190, 20: 185, 21: 210, 45: 200, 46: 460}  # repeats at 10, falls at 20 and 45, with empty buckets before 45
-    df = spark.createDataFrame([(s, c, 1, 100) for s, c in closed.items()], "sequence bigint, closed_at bigint, transaction_count bigint, base_fee int")
+    df = spark.createDataFrame([(s, c, 1, 100, str(s)) for s, c in closed.items()], "sequence bigint, closed_at bigint, transaction_count bigint, base_fee int, hash string")
     got = {r.check: r for r in V.check_ledgers(df, 10).collect()}["close_time_increasing"]
     assert (got.violations, got.sample) == (3, "10,20,45")
 

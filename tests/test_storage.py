@@ -66,6 +66,27 @@ def test_live_tail_stops_at_a_gap_and_goes_on_later(spark, tmp_path):
     assert sorted(r.tx for r in spark.read.parquet(f"{root}/transactions").collect()) == [50, 60, 70, 80, 90]
 
 
+def test_live_tail_keeps_all_rows_of_a_ledger(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def put(name, *rows):
+        (source / f"{name}.json").write_text("".join(json.dumps({"sequence": s, "tx": t}) + "\n" for s, t in rows))
+
+    def run():
+        fold = lambda batch: {"ledgers": batch.select("sequence").distinct(), "transactions": batch.select(F.col("sequence").alias("ledger_sequence"), "tx")}
+        L.live_tail(spark, str(source), root, "sequence bigint, tx bigint", fold, str(tmp_path / "checkpoint"), size=10).awaitTermination()
+        waits = spark.read.schema("sequence bigint, tx bigint").option("recursiveFileLookup", "true").parquet(f"{root}/_waiting")
+        return sorted(r.tx for r in spark.read.parquet(f"{root}/transactions").collect()), sorted(r.tx for r in waits.collect())
+
+    put("a", (1, 10), (1, 11), (2, 20), (2, 21), (4, 40), (4, 41), (1, 10))
+    assert run() == ([10, 11, 20, 21], [40, 41])
+    put("b", (6, 60), (1, 10))
+    assert run() == ([10, 11, 20, 21], [40, 41, 60])
+    put("c", (3, 30), (3, 31), (5, 50))
+    assert run() == ([10, 11, 20, 21, 30, 31, 40, 41, 50, 60], [])
+
+
 def test_lag_is_not_negative(spark):
     df = spark.sql("SELECT 1 AS sequence, TIMESTAMP '2024-01-01 00:00:10' AS closed_at UNION ALL SELECT 2, TIMESTAMP '2024-01-01 00:01:00'")
     assert sorted(r.lag_seconds for r in L.ingestion_lag(df, "2024-01-01 00:00:30").collect()) == [0, 20]
