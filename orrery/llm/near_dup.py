@@ -38,7 +38,7 @@ BANDS, ROWS = 28, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Pairs stay while the likelihood at the threshold is within e^-DOUBT of the best: about five standard deviations.
 DOUBT = 12.5
-#: Classes of one bucket that are compared in one group. Larger buckets are dealt into squares of such blocks.
+#: Classes of one bucket that are compared in one group. Larger buckets are dealt into pairs of such blocks.
 BLOCK = 1_024
 #: Sets wanted by pairs up to this many are found by a broadcast of their keys, more by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -238,19 +238,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, n, key and root of the members of buckets with several components, but for a bucket's smallest class, which all were tried against."""
-    known = members.where("n > 2").join(roots, "key", "left").select("bucket", "n", "key", "pivot", F.coalesce("root", "key").alias("root"))
-    several = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return known.join(several, "bucket").where("key <> pivot").drop("pivot")
+    """The members of buckets with several components, but for a bucket's smallest class, which all were tried against.
+
+    bucket, key, root, inside (whether the root is that of the bucket's largest component), n_in (members of that one) and n_out (of all others).
+    """
+    known = saved(members.where("n > 2").join(roots, "key", "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root")))
+    sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = F.max(F.struct("size", "root"))
+    several = sizes.groupBy("bucket").agg(largest.getField("root").alias("top"), largest.getField("size").alias("n_in"), (F.sum("size") - F.max("size")).alias("n_out"))
+    several = saved(several.where("n_out > 0"))
+    return known.join(several, "bucket").where("key <> pivot").select("bucket", "key", "root", (F.col("root") == F.col("top")).alias("inside"), "n_in", "n_out")
 
 
 def _links_across(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Verified links (a, b) between components inside the open buckets."""
+    """Verified links (a, b) between components inside the open buckets.
+
+    Members outside of a bucket's largest component are compared with each other and with that component's, whose own members have
+    no need to meet again. Both lots are dealt into blocks; each pair of blocks is a group of its own, so no group exceeds two blocks or so.
+    """
     full = rows.join(classes.select("key", "sketch").join(sets, "key"), "key")
-    # Block i of a bucket meets every block j: each square of blocks is a group of its own, so no group exceeds two blocks or so.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    squares = full.withColumns({"own": F.pmod(F.xxhash64("key"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    squares = squares.select(F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "sketch", "elements")
+    outer, inner = (F.greatest(F.ceil(F.col(n) / BLOCK).cast("int"), F.lit(1)) for n in ("n_out", "n_in"))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("inside"), inner).otherwise(outer)).cast("int")
+    # j counts outer blocks, and inner ones behind them: (-1 - block)
+    with_outer = F.transform(F.sequence(F.lit(0), outer - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    with_inner = F.transform(F.sequence(F.lit(0), inner - 1), lambda k: F.struct(own.alias("i"), (-1 - k).alias("j")))
+    from_inner = F.transform(F.sequence(F.lit(0), outer - 1), lambda k: F.struct(k.alias("i"), (-1 - own).alias("j")))
+    squares = full.withColumn("square", F.explode(F.when(F.col("inside"), from_inner).otherwise(F.concat(with_outer, with_inner))))
+    squares = squares.select(F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"), "square.i", "square.j", F.when(F.col("inside"), -1 - own).otherwise(own).alias("own"), "key", "root", "sketch", "elements")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, as the work is in comparing and not in the bytes
     group = ["band", "value", "i", "j"]
     laid = squares.repartition(parts, *group).sortWithinPartitions(*group)
@@ -293,7 +307,8 @@ def _likely_pairs(rows: pa.Table, by: list[str], size: np.ndarray, threshold: fl
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     k, step = np.arange(n), 1
     while len(k := k[k + step < ends[k]]):
-        x = k[(root[k] != root[k + step]) & ((i[k] == j[k]) | (own[k] != own[k + step]))]
+        meet = np.where(j[k] < 0, (own[k] < 0) != (own[k + step] < 0), (i[k] == j[k]) | (own[k] != own[k + step]))
+        x = k[(root[k] != root[k + step]) & meet]
         x = x[np.minimum(size[x], size[x + step]) >= threshold * np.maximum(size[x], size[x + step])]
         for at in range(0, len(x), 20_000):
             a = x[at : at + 20_000]
@@ -356,7 +371,7 @@ def near_duplicates(
         all_rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     )
     buckets = _buckets(classes, bands, rows)
-    heads = buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = saved(buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))  # a table, so that a bucket of very many classes can be split in the join
     members = saved(buckets.join(heads, "bucket"))
     tried = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     likely_pairs = saved(_estimated(tried, classes, threshold))

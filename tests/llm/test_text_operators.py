@@ -320,6 +320,59 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert all(got[i].kept == (want[i][1] == i) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("components", [3000, 40, 2])
+def test_a_bucket_of_very_many_classes_equals_brute_force(spark, monkeypatch, components):
+    """3,000 sets of a small universe in one bucket: the links found join just what all pairs would."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dup, "BLOCK", 256)
+    rng = np.random.default_rng(components)
+    universe = near_dup._mixed(np.arange(1, 61, dtype=np.uint64))
+    base = rng.random((40, 60)) < 0.5
+    member = base[rng.integers(0, 40, 3000)] ^ (rng.random((3000, 60)) < 0.04)
+    member[:, 0] = True
+    member = np.unique(member, axis=0)
+    n = len(member)
+    sets = [np.sort(universe[m]) for m in member]
+    keys = [near_dup.key_of(s) for s in sets]
+    sketch = np.zeros((n, near_dup.BANDS * near_dup.ROWS), np.uint16)
+    sketch[:, near_dup.ROWS :] = near_dup.registers(sets, near_dup.BANDS * near_dup.ROWS)[:, near_dup.ROWS :]  # all are in one bucket of band 0
+    common = member.astype(int) @ member.T.astype(int)
+    size = member.sum(1)
+    linked = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    known = rng.integers(0, components, n) if components < 3000 else np.arange(n)
+    if components == 2:
+        known = (np.arange(n) < 20).astype(int)  # a few outside of one large component
+
+    def classes_of(pairs, start):
+        top = list(start)
+
+        def find(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            top[find(a)] = find(b)
+        return [find(x) for x in range(n)]
+
+    first = {c: int(np.flatnonzero(known == c)[0]) for c in set(known.tolist())}
+    start = [first[c] for c in known.tolist()]
+    counts = np.bincount(known)
+    top = int(counts.argmax())
+    rows = spark.createDataFrame([((0, 7), keys[k], keys[start[k]], bool(known[k] == top), int(counts[top]), int(n - counts[top])) for k in range(n)], "bucket struct<band: int, value: bigint>, key binary, root binary, inside boolean, n_in bigint, n_out bigint")
+    classes = spark.createDataFrame([(keys[k], sketch[k].tobytes()) for k in range(n)], "key binary, sketch binary")
+    full = spark.createDataFrame([(keys[k], sets[k].tobytes()) for k in range(n)], "key binary, elements binary")
+    found = near_dup._links_across(rows, classes, full, 80, near_dup.BANDS).collect()
+    place = {k: i for i, k in enumerate(keys)}
+    links = [(place[bytes(r.a)], place[bytes(r.b)]) for r in found]
+    assert all(linked[a, b] for a, b in links)
+    got, want = classes_of(links, start), classes_of(zip(*np.nonzero(np.triu(linked, 1))), start)
+    group = {}
+    assert all(group.setdefault(g, w) == w for g, w in zip(got, want)) and len(set(got)) == len(set(want))
+
+
 def test_sketches_merge_by_maximum_and_estimate():
     import numpy as np
 
