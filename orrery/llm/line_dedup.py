@@ -14,6 +14,9 @@ stay as they are, whatever their names. Results don't depend on how rows are dea
 remove_passages() is the whole job, and what the pipeline runs. A text is cut before the white space that ends a
 line or follows one of .!? (so long lines are sentences). A passage is a run of such pieces; every passage of 50 words or
 more that also stands earlier, in an earlier document or further up and clear of itself, goes, whatever stands around it.
+Boundaries are chosen by content here too: in each shortest run of enough words, the place of the least rolling hash over two
+neighbouring pieces' hashes is a boundary, so two copies of a passage hold a boundary at the same place, however they are surrounded.
+Boundaries whose rolling hash repeats are the seeds: runs around them, grown piece by piece to enough words, are compared.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ WINDOW, DIVISOR = 2, 3
 MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
 #: Words of the shortest passage that goes; where a text is cut into pieces.
 PASSAGE_WORDS = 50
+SPACE = " \t\n\v\f\r"
 PIECE_ENDS = r"(?<=\S)(?=\s*\n)|(?<=[.!?])(?=\s)"
 
 
@@ -126,23 +130,34 @@ def _pieces(rows: DataFrame, words: int) -> DataFrame:
     return out.withColumns({"ends": F.transform("at", lambda a: F.get("of", a + (words - 1))), "starts": starts}).drop("of", "at")
 
 
+def _with_boundaries(rows: DataFrame) -> DataFrame:
+    """rows of _pieces() and boundaries: for each piece that of the shortest run that starts there (hash, at: the piece before it), null if none does. A run of one piece is its own boundary."""
+    out = rows.withColumn("hashes", F.transform("pieces", lambda p: F.xxhash64(F.ltrim(p, F.lit(SPACE)))))
+    own = F.transform("hashes", lambda h, i: F.struct(h.alias("own"), i.alias("at")))
+    out = out.withColumn("pairs", F.zip_with(own, F.slice("hashes", 2, F.size("hashes")), lambda r, after: F.struct(F.xxhash64(r["own"], after).alias("hash"), r["at"].alias("at"))))
+    # hashes and pairs are named twice each: a column that is named once would be computed anew for every element
+    single = lambda i: F.struct(F.get("hashes", F.least(i, F.size("hashes"))).alias("hash"), i.alias("at"))
+    least = lambda i, end: F.array_min(F.slice("pairs", i + 1, F.least(end - i, F.size("pairs"))))
+    return out.withColumn("boundaries", F.transform("ends", lambda end, i: F.when(end == i, single(i)).when(end > i, least(i, end)))).drop("hashes", "pairs")
+
+
 def _run(start: Column, end: Column) -> Column:
     """The pieces of a run, the first without the white space before it."""
-    return F.concat(F.array(F.regexp_replace(F.get("pieces", start), r"^\s+", "")), F.slice("pieces", start + 2, end - start))
+    return F.concat(F.array(F.ltrim(F.get("pieces", start), F.lit(SPACE))), F.slice("pieces", start + 2, end - start))
 
 
 def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
     """For every row: row (a struct of all columns of docs), text (what stays of it), n_pieces, n_removed (pieces).
 
     Any repeated run of enough words is covered by shortest ones: of each piece either the one that ends with it or the one that starts the run.
-    So the shortest runs are counted, first by a hash of those from each start; only where that repeats do both kinds go on, by their SHA-256.
+    So the boundaries of all shortest runs are counted over the corpus; only around those that repeat are both kinds of runs compared, by their SHA-256.
     """
     rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), field(doc_id).alias("doc_id"), field(text).alias("text"))
     rows = rows.select("row", "text", _document(F.col("text")).alias("doc"))
 
-    cut = _pieces(rows.where("text is not null").select("doc", "text"), words)
-    runs = F.filter(F.transform("ends", lambda end, i: F.when(end.isNotNull(), F.struct(i.alias("at"), F.xxhash64(_run(i, end)).alias("hash")))), lambda r: r.isNotNull())
-    spots = cut.select("doc", F.explode_outer(runs).alias("spot"))  # explode() would infer a filter that computes all runs anew
+    cut = _with_boundaries(_pieces(rows.where("text is not null").select("doc", "text"), words))
+    found = F.array_distinct(F.filter("boundaries", lambda b: b.isNotNull()))
+    spots = cut.select("doc", F.explode_outer(found).alias("spot"))  # explode() would infer a filter that computes all boundaries anew
     spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
     repeated = saved(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_set("at").alias("wanted"))
@@ -153,7 +168,9 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def told(start: Column, end: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), F.unhex(F.sha2(F.array_join(_run(start, end), ""), 256)).alias("digest"))
 
-    own = _pieces(held.select("doc", "wanted", "text"), words)
+    own = _with_boundaries(_pieces(held.select("doc", "wanted", "text"), words))
+    around = F.transform("boundaries", lambda b, i: F.when(F.array_contains("wanted", b["at"]), i))  # starts of the shortest runs around a repeated boundary
+    own = own.withColumn("wanted", F.filter(around, lambda i: i.isNotNull()))
     forward = F.transform("wanted", lambda s: told(s, F.get("ends", s)))
     backward = F.filter(F.transform("starts", lambda s, e: F.when(F.array_contains("wanted", s) & (F.get("ends", s) < e), told(s, e))), lambda r: r.isNotNull())
     own = own.select("doc", F.explode_outer(F.concat(forward, backward)).alias("run"))
@@ -173,7 +190,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = left.withColumn("out", F.coalesce(out, F.array().cast("array<int>")))
     left = left.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), "out"))
     stays = F.array_join(F.transform("kept", lambda i: F.get("pieces", i)), "")
-    stays = F.when(F.get("kept", F.lit(0)) > 0, F.regexp_replace(stays, r"^\s+", "")).otherwise(stays)
+    stays = F.when(F.get("kept", F.lit(0)) > 0, F.ltrim(stays, F.lit(SPACE))).otherwise(stays)
     return whole.unionByName(left.select("row", stays.alias("text"), F.size("pieces").alias("n_pieces"), F.size("out").alias("n_removed")))
 
 
