@@ -31,7 +31,7 @@ MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
 #: Words of the shortest passage that goes; where a text is cut into pieces.
 PASSAGE_WORDS = 50
 SPACE = " \t\n\v\f\r"
-PIECE_ENDS = r"(?<=\S)(?=\s*\n)|(?<=[.!?])(?=\s)"
+PIECE_ENDS = r"(?=\s)(?:(?<=[.!?])|(?<=\S)(?=\s*\n))"
 
 
 def _line_hashes(text: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import WORD_BYTES, field, map_columns
 
 #: Toxic rows in the training sample at most (twice as many clean ones), bytes of one of its texts at most, and of all.
-SAMPLE, TEXT_BYTES, SAMPLE_BYTES = 1_000, 1_000_000, 32_000_000
+SAMPLE, TEXT_BYTES, SAMPLE_BYTES = 800, 1_000_000, 16_000_000
 #: Documents of the sample that hold a feature, at least.
 MIN_DOCUMENTS = 3
 #: Share of toxic labels that no word explains.
@@ -72,8 +72,8 @@ class Chains:
 
 
 def forward_backward(emission: np.ndarray, chains: Chains, start: float, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the toxic state from the left (own emission included) and from the right, at each word. move[x, y]: weight from x to y. Emissions beyond 300 are as at 300."""
-    emission = np.clip(emission, -300, 300)
+    """Log-odds of the toxic state from the left (own emission included) and from the right, at each word. move[x, y]: weight from x to y. Emissions beyond 60 are as at 60."""
+    emission = np.clip(emission, -60, 60)
     left, right = np.zeros_like(emission), np.zeros_like(emission)
     cc, ct, tc, tt = np.exp(move - move.max()).ravel().tolist()
     for t, n in enumerate(chains.active):
@@ -121,7 +121,7 @@ class Words:
     chains: Chains
 
     @classmethod
-    def of(cls, ids: list[int], lengths: np.ndarray, doc_of: np.ndarray) -> "Words":
+    def of(cls, ids: list[int] | np.ndarray, lengths: np.ndarray, doc_of: np.ndarray) -> "Words":
         starts = np.cumsum(lengths) - lengths
         full = lengths > 0
         opens, ends = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
@@ -149,19 +149,21 @@ def without_copies(docs: list[tuple[list[list[bytes]], int]]) -> list[tuple[list
 
 
 def _vocabulary_features(words: list[bytes], spots: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Features that enough documents hold, and for each pair of a word and such a feature of it their numbers. spots: distinct (document, word)."""
-    numbers: dict[bytes, int] = {}
-    pairs = [(k, numbers.setdefault(f, len(numbers))) for k, word in enumerate(words) for f in names(word)]
-    of_word, of_feature = np.array(pairs, np.int64).reshape(-1, 2).T
-    start = np.searchsorted(of_word, np.arange(len(words) + 1))
-    n = np.diff(start)[spots[:, 1]]
-    at = np.repeat(start[spots[:, 1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    documents = int(spots[:, 0].max(initial=0)) + 1
-    held = np.unique(of_feature[at] * documents + np.repeat(spots[:, 0], n)) // documents
-    keep = np.bincount(held, minlength=len(numbers)) >= MIN_DOCUMENTS
-    new = np.cumsum(keep) - 1
-    own = keep[of_feature]
-    return [f for f, k in zip(numbers, keep.tolist(), strict=True) if k], of_word[own], new[of_feature[own]]
+    """Features that enough documents hold, and for each pair of a word and such a feature of it their numbers. spots: distinct document * number of words + word, in order."""
+    sizes = np.fromiter((len(names(w)) for w in words), np.int64, len(words))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(f) for w in words for f in names(w)), np.uint64, int(sizes.sum()))
+    hashes, first, of_feature = np.unique(hashes, return_index=True, return_inverse=True)
+    start, held = np.cumsum(sizes) - sizes, np.zeros(len(hashes), np.int64)
+    for at in range(0, len(spots), 50_000):  # distinct pairs of a document and a feature are counted part by part; a document may lie in two parts
+        document, word = np.divmod(spots[at : at + 50_000], len(words))
+        n = sizes[word]
+        own = of_feature[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        held += np.bincount(np.unique(own * (int(document[-1]) + 1) + np.repeat(document, n)) // (int(document[-1]) + 1), minlength=len(hashes))
+    keep = held >= MIN_DOCUMENTS
+    new, own = np.cumsum(keep) - 1, keep[of_feature]
+    wanted = set(first[keep].tolist())
+    named = {k: f for k, f in enumerate(f for w in words for f in names(w)) if k in wanted}
+    return [named[k] for k in first[keep].tolist()], np.repeat(np.arange(len(words)), sizes)[own], new[of_feature[own]]
 
 
 def train(rows: list[tuple[bytes | None, int]], steps: int = STEPS) -> Model:
@@ -172,19 +174,19 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = STEPS) -> Model:
         return Model(0.0, {}, {}, {}, 0.0, np.zeros((2, 2)), toxic / len(docs) if docs else 0.0)
     docs = without_copies(docs)
     vocabulary: dict[bytes, int] = {}
-    ids = [vocabulary.setdefault(w, len(vocabulary)) for lines, _ in docs for line in lines for w in line]
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for lines, _ in docs for line in lines for w in line), np.int64)
     lengths = np.array([len(line) for lines, _ in docs for line in lines], np.int64)
     there = Words.of(ids, lengths, np.repeat(np.arange(len(docs)), [len(lines) for lines, _ in docs]))
-    y, size = np.array([label for _, label in docs], float), len(vocabulary)
-    spots = np.stack(np.divmod(np.unique(there.doc_of * size + there.ids), size), 1)
-    words = list(vocabulary)
+    y, size, words = np.array([label for _, label in docs], float), len(vocabulary), list(vocabulary)
+    del docs, vocabulary, ids  # the driver's memory
+    spots = np.unique(there.doc_of * size + there.ids)
     features, of_word, of_feature = _vocabulary_features(words, spots)
-    known = np.flatnonzero(np.bincount(spots[:, 1], minlength=size) >= MIN_DOCUMENTS)  # words that count as neighbours
+    known = np.flatnonzero(np.bincount(spots % size, minlength=size) >= MIN_DOCUMENTS)  # words that count as neighbours
     later, earlier = np.flatnonzero(~there.opens), np.flatnonzero(~there.ends)
     # One vector: features, neighbours before and after, constant, start, and move in the order of its rows.
     cuts = np.cumsum([len(features), len(known), len(known), 1, 1])
     theta = np.zeros(cuts[-1] + 4)
-    theta[cuts[2]] = -np.log1p(len(ids) / len(docs))  # about one toxic word a document
+    theta[cuts[2]] = -np.log1p(len(there.ids) / len(y))  # about one toxic word a document
     squares, decay = np.full_like(theta, 1e-4), np.full_like(theta, DECAY)
     decay[cuts[2] :] = 0.01
 
@@ -196,17 +198,17 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = STEPS) -> Model:
     for _ in range(steps):
         own, before, after, constant, start, move = np.split(theta, cuts)
         start, move = float(start[0]), move.reshape(2, 2)
-        emission = there.emissions(constant + np.bincount(of_word, own[of_feature], size), spread(before), spread(after))
+        emission = there.emissions(constant + np.bincount(of_word, own[of_feature], size), spread(before), spread(after)).astype(np.float32)  # for the driver's memory
         left, right = forward_backward(emission, there.chains, start, move)
         p = _sigmoid(left + right)
-        clean = (1 - LEAK) * np.exp(np.bincount(there.doc_of, log_all_clean(emission, right, there.opens, start, move), len(docs)))
+        clean = (1 - LEAK) * np.exp(np.bincount(there.doc_of, log_all_clean(emission, right, there.opens, start, move), len(y)))
         weight = np.where(y > 0, -clean / (1 - clean), 1.0)[there.doc_of]  # slope by the log-probability of all clean
         slope = -weight * p
         x, z = left[later - 1], emission[later] + right[later]
-        joint = np.stack([move[0, 0] + 0 * x, move[0, 1] + z, move[1, 0] + x, move[1, 1] + x + z], 1)
-        joint = np.exp(joint - joint.max(1, keepdims=True))
-        moves = -(weight[later, None] * joint / joint.sum(1, keepdims=True)).sum(0)
-        moves[0] += weight[later].sum()
+        most = np.maximum(np.maximum(move[0, 0], move[0, 1] + z), np.maximum(move[1, 0] + x, move[1, 1] + x + z))
+        joint = [np.exp(v - most) for v in (move[0, 0], move[0, 1] + z, move[1, 0] + x, move[1, 1] + x + z)]
+        share = weight[later] / sum(joint)
+        moves = np.array([weight[later].sum() - joint[0] @ share, *(-(j @ share) for j in joint[1:])])
         gradient = np.concatenate([
             np.bincount(of_feature, np.bincount(there.ids, slope, size)[of_word], len(features)),
             np.bincount(there.ids[later - 1], slope[later], size)[known],
