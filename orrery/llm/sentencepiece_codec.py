@@ -37,8 +37,10 @@ _MARK, _CUT = MARKER.encode(), b"\xff"  # a byte that no text holds
 WORDS = MARKER + "*[^" + MARKER + "]+|" + MARKER + "+"
 #: New words that are encoded as one text.
 WORDS_AT_ONCE = 2_000
+#: Such texts in one call, which is dealt to threads.
+GROUPS_AT_ONCE = 8
 #: Bytes of words (and 100 a word) that a worker keeps with their ids.
-KNOWN_CHARS = 60_000_000
+KNOWN_CHARS = 25_000_000
 THREADS = 2
 
 
@@ -211,7 +213,8 @@ class Codec:
         groups = [plain[at : at + WORDS_AT_ONCE] for at in range(0, len(plain), WORDS_AT_ONCE)]
         made: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        for group, ids in zip(groups, self._each([b"".join(g).decode()[1:].replace(MARKER, " ") for g in groups]), strict=True):
+        coded = (ids for at in range(0, len(groups), GROUPS_AT_ONCE) for ids in self._each([b"".join(g).decode()[1:].replace(MARKER, " ") for g in groups[at : at + GROUPS_AT_ONCE]]))
+        for group, ids in zip(groups, coded, strict=True):
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(group) or starts[0]:  # the marker itself is no piece
                 apart = self._each([w.decode()[1:] for w in group])

@@ -23,6 +23,7 @@ Without labelled rows of both kinds every score is the share of toxic rows
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field as data_field
 
 import numpy as np
@@ -40,7 +41,8 @@ MIN_DOCUMENTS = 3
 #: Share of toxic labels that no word explains.
 LEAK = 0.02
 STEPS, RATE, DECAY = 40, 0.5, 1.0
-CHUNK = 400_000  # words that are scored together
+CHUNK = 150_000  # words that are scored together
+VOCABULARY = 200_000  # distinct words that a worker keeps with their weights
 LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -227,17 +229,17 @@ class _Vocabulary(dict):
     """Numbers of words, and of each word the weights by itself, as the one before and as the one after."""
 
     def __init__(self, model: Model):
-        self.model, self.values = model, []
+        self.model, self.values = model, array("d")  # three for each word
 
     def __missing__(self, word: bytes) -> int:
         m = self.model
-        self[word] = k = len(self.values)
-        self.values.append((m.constant + sum(m.weights.get(f, 0.0) for f in names(word)), m.before.get(word, 0.0), m.after.get(word, 0.0)))
+        self[word] = k = len(self)
+        self.values.extend((m.constant + sum(m.weights.get(f, 0.0) for f in names(word)), m.before.get(word, 0.0), m.after.get(word, 0.0)))
         return k
 
     def forget(self) -> None:
         self.clear()
-        self.values = []
+        self.values = array("d")
 
 
 class Scorer:
@@ -268,8 +270,8 @@ class Scorer:
             return
         lengths = np.array([n for _, ns in held for n in ns], np.int64)
         there = Words.of(ids, lengths, np.repeat(np.arange(len(held)), [len(ns) for _, ns in held]))
-        emission = there.emissions(*np.array(self.vocabulary.values).T)
-        if len(self.vocabulary) > 400_000:  # bounded memory
+        emission = there.emissions(*np.frombuffer(self.vocabulary.values).reshape(-1, 3).T)
+        if len(self.vocabulary) > VOCABULARY:  # bounded memory
             self.vocabulary.forget()
         left, right = forward_backward(emission, there.chains, m.start, m.move)
         clean = np.exp(np.bincount(there.doc_of, log_all_clean(emission, right, there.opens, m.start, m.move), len(held)))
