@@ -111,6 +111,7 @@ def map_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], schema: s
             columns = make(batch)
             kept, new = (columns[:1], columns[1:]) if keep else ([], columns)
             yield pa.RecordBatch.from_arrays(kept + [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(new, types, strict=True)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return df.mapInArrow(run, StructType([keep, *made]) if keep else schema)
 
@@ -120,6 +121,10 @@ def slices(batch: pa.RecordBatch, rows: int | None = None, most: int | None = No
     rows, most = rows or ROWS, most or BATCH_BYTES
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
+        if pa.types.is_struct(column.type):  # its texts count too
+            for child in column.flatten():
+                if pa.types.is_string(child.type) or pa.types.is_binary(child.type):
+                    sizes += pc.fill_null(pc.binary_length(child), 0).to_numpy(zero_copy_only=False)
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
             sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes), 0

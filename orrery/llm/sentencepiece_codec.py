@@ -16,7 +16,6 @@ text. Each row is treated by itself, so repeated rows agree.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import struct
 from dataclasses import dataclass, field as data_field
@@ -299,21 +298,15 @@ def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)), pa.array(values, pa.int32()))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(df: DataFrame, model_path: str | None, threads: int):
-    """What makes the codec, once in each worker process; the last one stays there for later tasks."""
+    """What makes the codec, once in each task: its words must not stay in a worker that goes on with other work."""
     model = read_model(model_path)
     spec = parse_model(model)
     shared = df.sparkSession.sparkContext.broadcast((model, spec, build_tokenizer(spec)))
-    key = f"{hashlib.sha256(model).hexdigest()}-{threads}"
+    state: dict[str, Codec] = {}
 
     def get() -> Codec:
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(*shared.value, threads)
-        return _codecs[key]
+        return state.get("codec") or state.setdefault("codec", Codec(*shared.value, threads))
 
     return get
 

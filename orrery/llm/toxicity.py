@@ -335,12 +335,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **names: str)
 def score_rows(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """score, n_spans and spans (begin:end, comma-joined) of every row, beside doc: a struct of the columns to carry (all, if not said)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.struct(*[field(c) for c in (df.columns if carry is None else carry)]).alias("doc"), field(text).cast("binary").alias("text"))
+    carry = df.columns if carry is None else carry
+    rows = df.select(F.struct(*[field(c) for c in carry]).alias("doc"), *([] if text in carry else [field(text).alias("text")]))  # a text goes to the workers once
     state: dict = {}
 
     def run(batch: pa.RecordBatch) -> list:
         scorer = state.get("scorer") or state.setdefault("scorer", Scorer(shared.value))
-        scores, spans = scorer(batch.column(1).to_pylist())
+        texts = batch.column(0).flatten()[carry.index(text)] if text in carry else batch.column(1)
+        scores, spans = scorer(texts.cast(pa.large_binary()).to_pylist())
         return [batch.column(0), scores, [len(s) for s in spans], [",".join(f"{a}:{b}" for a, b in s) for s in spans]]
 
     return map_columns(rows, run, "score double, n_spans bigint, spans string", rows.schema["doc"])
