@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import decontaminate, html_extract, line_dedup, near_dup, pii, sentencepiece_codec, sharding, toxicity, transport_stream, url_filter
+from orrery.llm import decontaminate, html_extract, line_dedup, near_dup, pii, sentencepiece_codec, sharding, token_align, toxicity, transport_stream, url_filter
 from orrery.llm.common import table
 
 #: The rules that every page's URL is judged by.
@@ -59,13 +59,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op5_repeated_passages, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, pipeline)
+    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op5_repeated_passages, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, op11_token_alignment, pipeline)
 }
 
 _WORDS = (
