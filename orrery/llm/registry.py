@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import decontaminate, html_extract, line_dedup, near_dup, pii, sentencepiece_codec, sharding, token_align, toxicity, transport_stream, url_filter
+from orrery.llm import collocations, decontaminate, html_extract, language_id, line_dedup, near_dup, pii, sentencepiece_codec, sharding, token_align, toxicity, transport_stream, url_filter
 from orrery.llm.common import table
 
 #: The rules that every page's URL is judged by.
@@ -63,13 +63,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignment_report(table(spark, sf_dir, "documents"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op5_repeated_passages, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, op11_token_alignment, pipeline)
+    for f in (op1_sentencepiece, op2_decontaminate, op3_html, op4_shards, op5_repeated_lines, op5_repeated_passages, op6_near_duplicates, op7_media, op8_toxicity, op9_url_rules, op10_personal_data, op11_token_alignment, op12_language, op13_collocations, pipeline)
 }
 
 _WORDS = (
@@ -77,6 +85,8 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
@@ -140,4 +150,25 @@ best AS (
   GROUP BY ALL)
 SELECT u.page_id, u.host, u.path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict
 FROM u LEFT JOIN best USING (page_id, host, path)""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+runs AS (SELECT lang, s, w, unnest(range(1, least(4, len(w) - s + 1) + 1)) AS k FROM starts),
+f AS (SELECT lang, w[s : s + k - 1] AS w, k, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, w, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.w, c.k, c.a, c.cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.w = c.w[1 : c.cut] JOIN f y ON y.lang = c.lang AND y.w = c.w[c.cut + 1 : c.k]),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, w[s : s + k2 - 1] AS w, a AS longer FROM (
+    SELECT lang, w, k, f AS a, k2, unnest(range(1, k - k2 + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS k2 FROM f WHERE k > 2))),
+within AS (SELECT lang, w, max(longer) AS longer FROM inner_parts GROUP BY ALL),
+stays AS (SELECT t.* FROM least_cut t LEFT JOIN within i ON i.lang = t.lang AND i.w = t.w WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * t.a),
+ranked AS (SELECT *, array_to_string(w, ' ') AS phrase FROM stays)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked JOIN total USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
