@@ -32,20 +32,25 @@ from orrery.llm.common import field, saved, slices
 
 LEAST, PERCENT, TOP = 30, 80, 2_000
 #: Rows and bytes of text that make blocks together.
-BLOCK_ROWS, BLOCK_BYTES = 10_000, 8_000_000
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 4_000_000
 #: Parts that a language is ranked in first.
 PARTS = 64
 UNKNOWN = "und"
 _END = b"\xff"  # a byte that no text holds
 #: A-Z become a-z, a tab a space, what ends a piece the end.
-_PLAIN = bytes(255 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_PLAIN = bytes(255 if b == 255 or b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of the texts, and the texts as numbers of words from 1, with 0 where a piece ends."""
-    words = _END.join(t.translate(_PLAIN) for t in [*texts, b""]).replace(_END, b" " + _END + b" ").split()
-    coded = pa.array([_END, *words], pa.large_binary()).dictionary_encode()  # the end is number 0
-    return coded.dictionary[1:].cast(pa.large_string()), coded.indices.to_numpy()[1:].astype(np.int32)
+    sign = np.frombuffer(_END.join([b"", *texts, b""]).translate(_PLAIN), np.uint8)
+    kept = sign != 32
+    begins = kept.copy()
+    begins[1:] &= (sign[:-1] == 32) | (sign[:-1] == 255) | (sign[1:] == 255)  # an end is a word of its own
+    at = np.append((np.cumsum(kept) - 1)[begins], np.count_nonzero(kept)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(sign[kept]))])
+    coded = words.dictionary_encode()  # the first is an end, so that is number 0
+    return coded.dictionary[1:].cast(pa.large_string()), coded.indices.to_numpy().astype(np.int32)
 
 
 def _blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -153,10 +158,10 @@ def paths_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _graph(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
-    """path (word numbers) and n: paths of four words and more, and the ends of runs."""
+    """n, and path (word numbers of a path of four words and more) or k, p, q (the last words of runs, see _key())."""
     spots = blocks.select(F.col("block").alias("of_block"), "lang", F.posexplode("words").alias("at", "word")).select("of_block", "lang", "at", "word.word")
     ids = spots.join(numbered, ["lang", "word"]).select("of_block", "at", "id")
-    schema = StructType.fromDDL("path array<int>, n bigint")
+    schema = StructType.fromDDL("path array<int>, k int, p bigint, q bigint, n bigint")
     arrow = to_arrow_schema(schema)
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
@@ -168,8 +173,14 @@ def _graph(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
             stream = np.frombuffer(value.as_buffer(), np.int32)
             found.append(paths_of(np.where(stream < len(of), of[np.minimum(stream, len(of) - 1)], np.int32(-1))))
         lengths, path, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)), pa.array(path.astype(np.int32)))
-        return pa.Table.from_arrays([lists.cast(arrow.types[0]), pa.array(n.astype(np.int64))], schema=arrow)
+        first, short = np.cumsum(lengths) - lengths, lengths < 4
+        at, size = first[short], lengths[short]
+        word = lambda i: np.where(size > i, path[np.minimum(at + i, len(path) - 1)], 0).astype(np.int64) if len(at) else at
+        ends = [size, np.where(size == 1, word(0), (word(0) << 32) | word(1)), word(2)]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[~short]))), pa.array(path[np.repeat(~short, lengths)].astype(np.int32)))
+        some = [lists, *(pa.nulls(len(lists), t) for t in arrow.types[1:4]), pa.array(n[~short].astype(np.int64))]
+        rest = [pa.nulls(len(at), arrow.types[0]), *map(pa.array, ends), pa.array(n[short].astype(np.int64))]
+        return pa.concat_tables([pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow) for columns in (some, rest)])
 
     return blocks.select("block", "stream").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(run, schema)
 
@@ -203,17 +214,14 @@ def flow_counts(graph: DataFrame, least: int) -> DataFrame:
     """k, p, q, n of all phrases of one to four words with n of at least least: edges are summed, then each node from its edges and ends."""
     at = lambda i: F.get("path", i)
     windows = F.transform(F.sequence(F.lit(0), F.size("path") - 4), lambda i: F.struct(_pack(at(i), at(i + 1)).alias("p"), _pack(at(i + 2), at(i + 3)).alias("q")))
-    edges = graph.where(F.size("path") >= 4).select("n", F.explode(windows).alias("e")).select(F.lit(4).alias("k"), "e.p", "e.q", "n")
-    total = lambda df: df.groupBy("k", "p", "q").agg(F.sum("n").alias("n"))
-    rows = total(edges)
-    for k in (3, 2, 1):
-        p, q = _key([_word(i) for i in range(k)])
-        shorter = F.struct(F.lit(k).alias("k"), p.alias("p"), q.alias("q"), F.col("n"))
-        own = F.struct("k", "p", "q", "n")
-        more = rows.select(F.inline(F.when(F.col("k") > k + 1, F.array(own)).when(F.col("n") >= least, F.array(own, shorter)).otherwise(F.array(shorter))))
-        p, q = _key([at(F.lit(i)) for i in range(k)])
-        ends = graph.where(F.size("path") == k).select(F.lit(k).alias("k"), p.alias("p"), q.alias("q"), "n")
-        rows = total(more.union(ends))
+    rows = graph.where("path is not null").select("n", F.inline(windows)).select(F.lit(4).alias("k"), "p", "q", "n").groupBy("k", "p", "q").agg(F.sum("n").alias("n"))
+    shorter = {3: ("p", "shiftright(q, 32)"), 2: ("p", "0L"), 1: ("shiftright(p, 32)", "0L")}  # without the last word
+    for k, (p, q) in shorter.items():
+        # each frequent phrase goes on as it is; each of k + 1 words also adds to its first k
+        both = rows.select(F.expr(f"stack(2, k, p, q, n, {k}, {p}, {q}, if(k = {k + 1}, n, 0L)) AS (k, p, q, n)"))
+        more = both.where(((F.col("k") > k) & (F.col("n") >= least)) | ((F.col("k") == k) & (F.col("n") > 0)))
+        ends = graph.where(F.col("k") == k).select("k", "p", "q", "n")
+        rows = more.union(ends).groupBy("k", "p", "q").agg(F.sum("n").alias("n"))
     return rows.where(F.col("n") >= least)
 
 
