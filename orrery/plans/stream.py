@@ -4,10 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.sources.records import prune, with_bucket
+from orrery.sources.records import prune, publish_version, read_records, read_version, scratch_folder, with_bucket
 from orrery.streaming import live as L
 
+
+def stored_records(v):
+    """Ledgers as JSON lines, read with the fixed schema of their list; what the schema lacks (a bucket) isn't read, what the lines lack is null."""
+    folder = scratch_folder(v.spark)
+    v.ledgers.withColumn("closed_at", F.col("sequence") * 86400).write.json(f"{folder}/ledgers")
+    return read_records(v.spark, folder, "ledgers", "json").select("sequence", "hash", "closed_at", "protocol_version", "transaction_count", "base_fee")
+
+
+def written_batches(v):
+    """Two batches, one again, and one whose ledgers are written anew in place of all their rows."""
+    root = scratch_folder(v.spark)
+    tx = v.transactions.select("id", "ledger_sequence", "fee_charged")
+
+    def put(where, fee, **how):
+        tables = {"ledgers": v.ledgers.select("sequence", "hash"), "transactions": tx.withColumn("fee_charged", fee)}
+        L.write_ledger_batch({k: t.where(where.format("sequence" if k == "ledgers" else "ledger_sequence")) for k, t in tables.items()}, root, 500, **how)
+
+    put("{} <= 1200", F.lit(-1))
+    put("{} between 1100 and 2000", F.col("fee_charged"))  # of 1100 to 1200 nothing is new
+    put("{} > 2000", F.col("fee_charged"))
+    put("{} between 300 and 700", F.col("fee_charged"), replace=True)
+    return v.spark.read.parquet(f"{root}/transactions")
+
+
+def swapped_versions(v):
+    """The accounts' last ledgers as a first version, and a second one made from it with what the transactions say."""
+    target = scratch_folder(v.spark)
+    publish_version(v.accounts.select("account_id", F.lit(0).cast("bigint").alias("last_seen_ledger")), target)
+    seen = v.transactions.groupBy(F.col("source_id").alias("account_id")).agg(F.max("ledger_sequence").alias("seen"))
+    now = read_version(v.spark, target).join(seen, "account_id", "left")
+    publish_version(now.select("account_id", F.greatest("last_seen_ledger", "seen").alias("last_seen_ledger")), target)
+    return read_version(v.spark, target)
+
+
 PLANS = {
+    "s1_read_records": (stored_records, "SELECT CAST(sequence AS INT) AS sequence, hash, sequence * 86400 AS closed_at, CAST(NULL AS INT) AS protocol_version, CAST(transaction_count AS INT) AS transaction_count, CAST(base_fee AS INT) AS base_fee FROM v_ledgers"),
+    "s3_ledger_batches": (written_batches, "SELECT id, ledger_sequence, CASE WHEN ledger_sequence <= 1200 AND ledger_sequence NOT BETWEEN 300 AND 700 THEN -1 ELSE fee_charged END AS fee_charged, CAST(floor(ledger_sequence / 500) AS INT) AS ledger_bucket FROM v_transactions"),
+    "s8_versions": (swapped_versions, "SELECT a.account_id, greatest(0, coalesce(max(t.ledger_sequence), 0)) AS last_seen_ledger FROM v_accounts a LEFT JOIN v_transactions t ON t.source_id = a.account_id GROUP BY a.account_id"),
     "s2_with_bucket": (lambda v: with_bucket(v.transactions.select("id", "ledger_sequence"), 500), "SELECT id, ledger_sequence, CAST(floor(ledger_sequence / 500) AS INT) AS ledger_bucket FROM v_transactions"),
     "s2_prune": (lambda v: prune(with_bucket(v.transactions.select("id", "ledger_sequence"), 500), 700, 1300, 500), "SELECT id, ledger_sequence, CAST(floor(ledger_sequence / 500) AS INT) AS ledger_bucket FROM v_transactions WHERE ledger_sequence BETWEEN 700 AND 1300"),
     "s11_missing_ledgers": (lambda v: L.missing_ledgers(v.ledgers, 1, 2500), "SELECT s AS sequence FROM range(1, 2501) r(s) WHERE s NOT IN (SELECT sequence FROM v_ledgers)"),
