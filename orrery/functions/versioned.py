@@ -47,23 +47,26 @@ def lookup_hash(hashes: DataFrame, hash_index: DataFrame) -> DataFrame:
     return hash_index.join(hashes.select("hash").distinct(), "hash")
 
 
+def beyond(df: DataFrame, key: Sequence[str], cursor: Sequence, falling: bool) -> Column:
+    """Whether a row comes after the cursor, a tuple of key values."""
+    here = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(key, cursor, strict=True)])
+    at = F.struct(*[F.col(k) for k in key])
+    return at < here if falling else at > here
+
+
 def keyset_page(df: DataFrame, key: Sequence[str], limit: int, cursor: Sequence | None = None, backward: bool = False, descending: bool = True) -> DataFrame:
     """A page of `limit` rows after (or before) the cursor, a tuple of key values, with has_next and has_prev.
 
     limit + 1 rows are taken, the last one tells whether there is more in that direction.
     """
     falling = descending != backward
-    rows = df
-    if cursor is not None:
-        here = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(key, cursor, strict=True)])
-        at = F.struct(*[F.col(k) for k in key])
-        rows = rows.where(at < here if falling else at > here)
+    rows = df if cursor is None else df.where(beyond(df, key, cursor, falling))
     order = [F.col(k).desc() if falling else F.col(k).asc() for k in key]
     taken = rows.orderBy(*order).limit(limit + 1)
     ranked = taken.withColumn("rank_", F.row_number().over(Window.orderBy(*order))).withColumn("more_", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
     page = ranked.where(F.col("rank_") <= limit)
-    beyond = F.lit(cursor is not None)
-    nxt, prev = (beyond, F.col("more_")) if backward else (F.col("more_"), beyond)
+    behind = F.lit(cursor is not None)
+    nxt, prev = (behind, F.col("more_")) if backward else (F.col("more_"), behind)
     final = [F.col(k).desc() if descending else F.col(k).asc() for k in key]
     return page.withColumn("has_next", nxt).withColumn("has_prev", prev).orderBy(*final).drop("rank_", "more_")
 

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from orrery.functions.exprs import CONTRACT_NFT, CONTRACT_OPS, NATIVE, op_type_label
 from orrery.functions.versioned import dedup_by_key, latest_by_version
+from orrery.sources.records import with_bucket
 
-# Fixed value: the native asset's name.
+# The native asset's name, the signs of a hash.
 NATIVE_NAME = "Stellar Lumens"
+HASH_SIGNS = 64
+#: Ledgers that a scan is asked for by number; of more only their buckets.
+PUSHED_LEDGERS = 1_000
 
 # --- ledgers and the network ---
 
@@ -155,10 +159,22 @@ def coverage(ledgers: DataFrame) -> DataFrame:
     return ledgers.agg(F.count_distinct("sequence").alias("ledgers"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), span.alias("expected"), (span - F.count_distinct("sequence")).alias("missing"))
 
 
-def events_by_tx_hash(events: DataFrame, hash_index: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Events of the transactions of the hashes; hash_index: hash, transaction_id."""
-    wanted = hash_index.join(hashes.select("hash").distinct(), "hash")
-    return events.join(wanted, "transaction_id").select("hash", "transaction_id", "event_index", "contract_id", "signature", "data")
+def events_by_tx_hash(events: DataFrame, hash_index: DataFrame, hashes: DataFrame, size: int | None = None) -> DataFrame:
+    """Events of the transactions of the hashes; hash_index: hash, transaction_id.
+
+    size: events lie in ledger buckets of this size, and the index has ledger_sequence. Then the index is asked first: its rows say which buckets
+    are read (a list of bucket numbers, so it grows with the table's buckets only), and where they name few ledgers, files and row groups are skipped by these.
+    """
+    asked = hashes.where(F.length("hash") == HASH_SIGNS).select("hash").distinct()  # nothing else is a hash
+    wanted, key = hash_index.join(asked, "hash"), ["transaction_id"]
+    if size is not None:
+        wanted, key = with_bucket(wanted, size), ["ledger_bucket", "ledger_sequence", "transaction_id"]
+        ledgers = [r[0] for r in wanted.select("ledger_sequence").distinct().limit(PUSHED_LEDGERS + 1).collect()]
+        few = len(ledgers) <= PUSHED_LEDGERS
+        buckets = {s // size for s in ledgers} if few else {r[0] for r in wanted.select("ledger_bucket").distinct().collect()}
+        events = events.where(F.col("ledger_bucket").isin(sorted(buckets)))
+        events = events.where(F.col("ledger_sequence").isin(sorted(ledgers))) if few else events
+    return events.join(wanted, key).select("hash", "transaction_id", "event_index", "contract_id", "signature", "data")
 
 
 # --- accounts ---

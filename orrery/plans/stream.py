@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.sources.records import prune, publish_version, read_records, read_version, scratch_folder, with_bucket
+from orrery.operators import reads as R
+from orrery.plans.reads import json_events, HASH_INDEX, TXL, hash_index
+from orrery.sources.bucketed import bucket_page, buckets_of
+from orrery.sources.records import prune, publish_version, read_records, read_version, scratch_folder, with_bucket, write_bucketed
 from orrery.streaming import live as L
 
 
@@ -41,7 +44,54 @@ def swapped_versions(v):
     return read_version(v.spark, target)
 
 
+def stored(v, df, size):
+    """df as a table in ledger buckets, and its buckets."""
+    path = scratch_folder(v.spark)
+    write_bucketed(df, path, size)
+    return v.spark.read.parquet(path), buckets_of(v.spark, path)
+
+
+def paged(v, df, size, key, limit, cursor=None, build=None, **how):
+    facts, buckets = stored(v, df, size)
+    return bucket_page(facts, buckets, key, limit, cursor, size=size, build=build, **how).drop("ledger_bucket")
+
+
+def events_of_transactions(v):
+    """Events in the ledger of their transaction."""
+    return v.events.drop("ledger_sequence").join(v.transactions.select(F.col("id").alias("transaction_id"), "ledger_sequence"), "transaction_id")
+
+
+def early_hashes(v):
+    """Hashes of the transactions of ledgers 700 to 900, among them inner ones, and texts that are no hash."""
+    t = v.transactions.where("ledger_sequence BETWEEN 700 AND 900")
+    return t.select("hash").union(t.select("inner_tx_hash")).union(v.transactions.where("id % 100 = 0").selectExpr("CAST(id AS STRING)"))
+
+
+def pruned_events(v):
+    events, _ = stored(v, events_of_transactions(v), 500)
+    return R.events_by_tx_hash(events, hash_index(v), early_hashes(v), 500)
+
+
+TX_KEY = ["ledger_sequence", "application_order"]
+PAGE = "true AS has_next, {} AS has_prev"
+TX_PAGE = "SELECT id, ledger_sequence, application_order, " + PAGE + " FROM v_transactions WHERE {} ORDER BY ledger_sequence {}, application_order {} LIMIT 25"
+
 PLANS = {
+    "q41_bucket_page": (lambda v: paged(v, v.transactions.select("id", *TX_KEY), 500, TX_KEY, 25, (1200, 3)), TX_PAGE.format("true", "(ledger_sequence, application_order) < (1200, 3)", "DESC", "DESC")),
+    "q41_bucket_page_back": (lambda v: paged(v, v.transactions.select("id", *TX_KEY), 500, TX_KEY, 25, (1200, 3), backward=True), TX_PAGE.format("true", "(ledger_sequence, application_order) > (1200, 3)", "", "")),
+    "q5_tx_list_paged": (lambda v: paged(v, v.transactions, 500, TX_KEY, 100, build=lambda t: R.tx_list(t, v.ledgers)), f"SELECT {PAGE.format('false')}, {TXL} ORDER BY t.ledger_sequence DESC, application_order DESC LIMIT 100"),
+    "q28_invocations_paged": (
+        lambda v: paged(v, v.invocations, 5_000, ["ledger_sequence", "transaction_id"], 50, (30_000, 0), build=lambda i: R.contract_invocations(i.where("contract_id = 7"), v.transactions)),
+        f"SELECT contract_id, transaction_id, i.ledger_sequence, invocation_index, hash, successful, caller_id, count(*) OVER () > 50 AS has_next, true AS has_prev FROM v_invocations i JOIN v_transactions t ON t.id = transaction_id WHERE contract_id = 7 AND i.ledger_sequence < 30000 ORDER BY i.ledger_sequence DESC, transaction_id DESC LIMIT 50",
+    ),
+    "q29_events_paged": (
+        lambda v: paged(v, json_events(v), 5_000, ["ledger_sequence", "transaction_id"], 50, build=lambda e: R.contract_events(e.where("contract_id = 3"), v.transactions).drop("topics", "n_topics")),
+        "SELECT contract_id, e.ledger_sequence, transaction_id, event_index, signature, data, hash, successful, count(*) OVER () > 50 AS has_next, false AS has_prev FROM v_events e LEFT JOIN v_transactions t ON t.id = transaction_id WHERE contract_id = 3 ORDER BY e.ledger_sequence DESC, transaction_id DESC LIMIT 50",
+    ),
+    "q44_events_pruned": (
+        pruned_events,
+        f"SELECT i.hash, e.transaction_id, event_index, contract_id, signature, data FROM v_events e JOIN {HASH_INDEX} i ON i.transaction_id = e.transaction_id WHERE i.ledger_sequence BETWEEN 700 AND 900",
+    ),
     "s1_read_records": (stored_records, "SELECT CAST(sequence AS INT) AS sequence, hash, sequence * 86400 AS closed_at, CAST(NULL AS INT) AS protocol_version, CAST(transaction_count AS INT) AS transaction_count, CAST(base_fee AS INT) AS base_fee FROM v_ledgers"),
     "s3_ledger_batches": (written_batches, "SELECT id, ledger_sequence, CASE WHEN ledger_sequence <= 1200 AND ledger_sequence NOT BETWEEN 300 AND 700 THEN -1 ELSE fee_charged END AS fee_charged, CAST(floor(ledger_sequence / 500) AS INT) AS ledger_bucket FROM v_transactions"),
     "s8_versions": (swapped_versions, "SELECT a.account_id, greatest(0, coalesce(max(t.ledger_sequence), 0)) AS last_seen_ledger FROM v_accounts a LEFT JOIN v_transactions t ON t.source_id = a.account_id GROUP BY a.account_id"),

@@ -251,3 +251,66 @@ def test_progress(spark):
     done = spark.createDataFrame([(1,), (2,), (2,), (5,)], "sequence bigint")
     assert [r.sequence for r in L.missing_ledgers(done, 1, 6).orderBy("sequence").collect()] == [3, 4, 6]
     assert sorted((r.part, r.indexed, r.pending) for r in L.progress_by_partition(done, 0, 7, 4).collect()) == [(0, 2, 2), (1, 1, 3)]
+
+
+def scans(df):
+    """Partitions and files that each scan of a finished query read."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.getClass().getSimpleName():
+            return walk(node.plan())
+        metrics = node.metrics()
+        if metrics.contains("numPartitions") and metrics.contains("numFiles"):
+            found.append((metrics.apply("numPartitions").value(), metrics.apply("numFiles").value()))
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_hash_lookups_prune_the_scan_of_events(spark, tmp_path, monkeypatch):
+    from orrery.operators import reads
+
+    events = spark.range(20_000).selectExpr("id AS transaction_id", "CAST(id / 10 AS BIGINT) AS ledger_sequence", "id AS event_index", "id AS contract_id", "'s' AS signature", "'d' AS data")
+    S.write_bucketed(events, str(tmp_path / "e"), 100)
+    spark.range(20_000).selectExpr("sha2(CAST(id AS STRING), 256) AS hash", "id AS transaction_id", "CAST(id / 10 AS BIGINT) AS ledger_sequence").write.parquet(str(tmp_path / "i"))
+    asked = [5_003, 5_500, 17_000]
+    spark.createDataFrame([(k,) for k in asked], "id bigint").selectExpr("sha2(CAST(id AS STRING), 256) AS hash").union(spark.sql("SELECT 'no hash'")).write.parquet(str(tmp_path / "h"))
+    e, i, h = (spark.read.parquet(str(tmp_path / n)) for n in "eih")
+    for pushed in (reads.PUSHED_LEDGERS, 1):  # by ledgers and buckets, and by buckets alone
+        monkeypatch.setattr(reads, "PUSHED_LEDGERS", pushed)
+        df = reads.events_by_tx_hash(e, i, h, 100)
+        assert sorted(r.transaction_id for r in df.collect()) == asked
+        assert min(parts for parts, _ in scans(df)) == 2  # of 20 buckets
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("In(ledger_sequence" in plan) == (pushed > 1)
+    assert sorted(r.transaction_id for r in reads.events_by_tx_hash(e, i, h).collect()) == asked
+    assert reads.events_by_tx_hash(e, i, h.where("false"), 100).count() == 0
+
+
+def test_pages_by_descent_equal_the_full_sort_and_read_few_buckets(spark, tmp_path):
+    import random
+
+    from orrery.functions.versioned import keyset_page
+    from orrery.sources.bucketed import bucket_page, buckets_of
+
+    rng, size = random.Random(4), 100
+    rows = [(s, k, rng.randrange(50)) for s in rng.sample(range(3_000), 700) for k in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame([r for r in rows if not 900 <= r[0] < 1_700], "ledger_sequence bigint, k bigint, who bigint")
+    S.write_bucketed(df, str(tmp_path / "t"), size)
+    facts, buckets = spark.read.parquet(str(tmp_path / "t")), buckets_of(spark, str(tmp_path / "t"))
+    whole, key = df.cache(), ["ledger_sequence", "k"]
+    for cursor, backward, descending, limit, who in [(None, False, True, 20, None), ((1_750, 2), False, True, 30, None), ((950, 0), True, True, 15, None), ((2_999, 9), True, True, 5, None), ((40, 1), False, True, 500, None), (None, False, False, 7, 3), ((1_800, 0), False, True, 4, 7), ((0, 0), False, True, 3, 99)]:
+        build = (lambda f: f) if who is None else (lambda f, who=who: f.where(F.col("who") == who))
+        want = [tuple(r) for r in keyset_page(build(whole), key, limit, cursor, backward, descending).collect()]
+        page = bucket_page(facts, buckets, key, limit, cursor, backward, descending, size, build)
+        assert [tuple(r) for r in page.drop("ledger_bucket").collect()] == want
+        if who is None and limit <= 30 and want:
+            assert max(parts for parts, _ in scans(page)) <= 3
+    assert bucket_page(facts, [], key, 5, size=size).count() == 0
