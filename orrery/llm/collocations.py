@@ -6,11 +6,13 @@ are counted in texts. Shorter counts come from the flow through nodes: what star
 edges, or ends a piece there, so a count is the sum of the outgoing weights and of the piece ends; the same step leads from
 three words to two and from two to one.
 
-A phrase can't be more frequent than its words, so pieces are also cut at words of fewer than ``least`` occurrences, which changes no count
-of a frequent phrase. For that, words get numbers: neighbouring rows of a task and a language are a block, with the block's distinct words
-and its text as their places; the words of all blocks are counted, the frequent ones numbered and joined back to
-blocks. Each block becomes its own graph, and unary paths (nodes with one edge in, one out and nothing that starts or
-ends there) are compacted to one row with one weight; the corpus' graph is the sum over the compacted blocks.
+A phrase can't be more frequent than its words and its pairs of words, so pieces are also cut at words of fewer than ``least``
+occurrences and between words whose pair is rarer than that, which changes no count of a frequent phrase. For the first, words get numbers:
+neighbouring rows of a task and a language are a block, with the block's distinct words and its text as their places; the words of all blocks are
+counted, the frequent ones numbered and joined back to blocks. For the second, pairs are counted and the frequent ones put into a Bloom
+filter of bounded size, the one thing that is broadcast: it knows all frequent pairs, and what else it takes for one only
+stays uncut, so results are exact however full it is. Tasks make graphs of their blocks, and unary paths (nodes with one edge in, one out and
+nothing that starts or ends there) are compacted to one row with one weight; the corpus' graph is the sum over the compacted ones.
 
 Everything is per language; a null language is 'und', a null text has no words. All counts are exact; products are decimals of 38 digits.
 Repeated rows count again. No frequent words, or no rows, give no phrases.
@@ -33,6 +35,10 @@ from orrery.llm.common import field, saved, slices
 LEAST, PERCENT, TOP = 30, 80, 2_000
 #: Rows and bytes of text that make blocks together.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 4_000_000
+#: Words of blocks that a task takes together.
+WORDS_AT_ONCE = 2_000_000
+#: Bits of a pair in the filter of frequent pairs, and the filter's greatest size (16 MB).
+FILTER_BITS, MOST_BITS = 4, 1 << 27
 #: Parts that a language is ranked in first.
 PARTS = 64
 UNKNOWN = "und"
@@ -157,34 +163,117 @@ def paths_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _graph(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
-    """n, and path (word numbers of a path of four words and more) or k, p, q (the last words of runs, see _key())."""
+def _runs(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """stream: the texts of each block as numbers of frequent words (32 bits, as bytes), with -1 where a run of them ends."""
     spots = blocks.select(F.col("block").alias("of_block"), "lang", F.posexplode("words").alias("at", "word")).select("of_block", "lang", "at", "word.word")
     ids = spots.join(numbered, ["lang", "word"]).select("of_block", "at", "id")
-    schema = StructType.fromDDL("path array<int>, k int, p bigint, q bigint, n bigint")
+    schema = StructType.fromDDL("stream binary")
     arrow = to_arrow_schema(schema)
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        of = np.full(1 + (int(words.column("at").to_numpy().max()) + 1 if words.num_rows else 0), -1, np.int32)
-        if words.num_rows:
-            of[words.column("at").to_numpy() + 1] = words.column("id").to_numpy()
         found = []
         for value in own.column("stream"):
             stream = np.frombuffer(value.as_buffer(), np.int32)
-            found.append(paths_of(np.where(stream < len(of), of[np.minimum(stream, len(of) - 1)], np.int32(-1))))
-        lengths, path, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        first, short = np.cumsum(lengths) - lengths, lengths < 4
-        at, size = first[short], lengths[short]
-        word = lambda i: np.where(size > i, path[np.minimum(at + i, len(path) - 1)], 0).astype(np.int64) if len(at) else at
-        ends = [size, np.where(size == 1, word(0), (word(0) << 32) | word(1)), word(2)]
-        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[~short]))), pa.array(path[np.repeat(~short, lengths)].astype(np.int32)))
-        some = [lists, *(pa.nulls(len(lists), t) for t in arrow.types[1:4]), pa.array(n[~short].astype(np.int64))]
-        rest = [pa.nulls(len(at), arrow.types[0]), *map(pa.array, ends), pa.array(n[short].astype(np.int64))]
-        return pa.concat_tables([pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow) for columns in (some, rest)])
+            of = np.full(int(stream.max(initial=0)) + 1, -1, np.int32)
+            of[words.column("at").to_numpy() + 1] = words.column("id").to_numpy()
+            numbers = of[stream]
+            kept = numbers >= 0
+            kept[1:] |= kept[:-1]  # one end behind each run
+            found.append(numbers[kept].tobytes())
+        return pa.Table.from_arrays([pa.array(found, arrow.types[0])], schema=arrow)
 
     return blocks.select("block", "stream").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(run, schema)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Streams of neighbouring blocks as one, of so many words at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            held += [np.frombuffer(value.as_buffer().to_pybytes(), np.int32), np.array([-1], np.int32)]
+            size += len(held[-2])
+            if size >= WORDS_AT_ONCE:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _pairs_of(numbers: np.ndarray) -> np.ndarray:
+    """Each two neighbouring numbers as one, at the place of the first; -1 where a run ends."""
+    a, b = numbers[:-1].astype(np.int64), numbers[1:].astype(np.int64)
+    return np.where((a >= 0) & (b >= 0), (a << 32) | b, -1)
+
+
+def _places(pairs: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The bits of pairs in a filter of size bits, a power of two."""
+    x = pairs.astype(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # fixed values: the steps of splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    low, high = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+    for i in range(FILTER_BITS):
+        yield (low + np.uint64(i) * high) & np.uint64(size - 1)
+
+
+def frequent_pairs(runs: DataFrame, least: int) -> np.ndarray:
+    """A Bloom filter of the pairs of words that stand together at least `least` times: of a size that their number says, MOST_BITS at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers in _together(batches):
+            pairs = _pairs_of(numbers)
+            p, n = np.unique(pairs[pairs >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
+
+    pairs = saved(runs.mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("p"))
+    size = min(max(1 << 10, 1 << (12 * pairs.count()).bit_length()), MOST_BITS)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), size):
+                np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = own.view(np.int64)
+        cells = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(words[cells])], names=["cell", "bits"])
+
+    merged = pairs.mapInArrow(bits, "cell bigint, bits bigint").groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
+    out[merged.column("cell").to_numpy()] = merged.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def cut_at_rare_pairs(numbers: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """numbers with -1 between words whose pair isn't in the filter."""
+    pairs = _pairs_of(numbers)
+    inside = pairs >= 0
+    known = np.ones(int(inside.sum()), bool)
+    for at in _places(pairs[inside], 8 * len(held)):
+        known &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return np.insert(numbers, np.flatnonzero(inside)[~known] + 1, -1)
+
+
+def _graph(runs: DataFrame, held: np.ndarray) -> DataFrame:
+    """n, and path (word numbers of a path of four words and more) or k, p, q (the last words of runs, see _key())."""
+    shared = runs.sparkSession.sparkContext.broadcast(held)
+    schema = StructType.fromDDL("path array<int>, k int, p bigint, q bigint, n bigint")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers in _together(batches):
+            lengths, path, n = paths_of(cut_at_rare_pairs(numbers, shared.value))
+            first, short = np.cumsum(lengths) - lengths, lengths < 4
+            at, size = first[short], lengths[short]
+            word = lambda i: np.where(size > i, path[np.minimum(at + i, len(path) - 1)], 0).astype(np.int64) if len(at) else at  # noqa: B023, E731
+            ends = [size, np.where(size == 1, word(0), (word(0) << 32) | word(1)), word(2)]
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[~short])).astype(np.int64)), pa.array(path[np.repeat(~short, lengths)].astype(np.int32)))
+            some = [lists, *(pa.nulls(len(lists), t) for t in arrow.types[1:4]), pa.array(n[~short].astype(np.int64))]
+            rest = [pa.nulls(len(at), arrow.types[0]), *map(pa.array, ends), pa.array(n[short].astype(np.int64))]
+            for columns in (some, rest):
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return runs.mapInArrow(run, schema)
+
+
 def _pack(high: Column, low: Column) -> Column:
     return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
 
@@ -268,7 +357,8 @@ def _prepared(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFr
     blocks = saved(_blocks(docs, text, lang))
     words = blocks.select("lang", F.inline("words"))
     numbered = saved(_numbered(words, least))
-    graph = saved(_graph(blocks, numbered))
+    runs = saved(_runs(blocks, numbered))
+    graph = saved(_graph(runs, frequent_pairs(runs, least)))
     return words, numbered, saved(flow_counts(graph, least))
 
 

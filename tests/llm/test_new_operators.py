@@ -301,6 +301,15 @@ def test_collocations_equal_brute_force(spark, monkeypatch, block_bytes):
     assert got == {p: n for p, n in counts.items() if n >= 4}
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """A filter that takes nearly every pair for a frequent one leaves all counts as they are."""
+    rows = collocation_rows()
+    docs = spark.createDataFrame([(t, lang) for lang, t in rows], "text string, lang string").repartition(2)
+    monkeypatch.setattr(collocations, "MOST_BITS", 64)
+    got = [tuple(r) for r in collocations.collocations(docs, least=3).collect()]
+    assert sorted(got) == sorted(brute_collocations(rows, 3, 80, 2_000))
+
+
 def test_paths_are_compacted_and_keep_every_edge():
     import numpy as np
 
