@@ -1,9 +1,16 @@
-"""Invariants of tables: each check gives (table, check, violations, sample), the reports are stacked into one frame."""
+"""Invariants of tables: each check gives (table, check, violations, sample).
+
+The rules over a table's rows are decided in one scan: a row gives a line for each rule that it breaks, and one for each key that must be
+unique; rows of other tables that must exist are joined on once, as a mark. Lines are counted by rule and key, each task keeps
+the count and the ten smallest keys of every rule, and these few are merged.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,38 +20,103 @@ HASH = "^[0-9a-f]{64}$"
 CONTRACT_KEY, ACCOUNT_KEY = "^C[A-Z2-7]{55}$", "^(G[A-Z2-7]{55}|M[A-Z2-7]{68})$"
 
 
-def report(bad: DataFrame, table: str, check: str, key: Column) -> DataFrame:
-    """bad: rows that break the rule. The sample is the smallest keys, kept to ten in every step of the aggregate."""
-    numbered = bad.select(key.cast("string").alias("key"))
-    sample = numbered.orderBy("key").limit(SAMPLE).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("sample"))
-    counted = numbered.agg(F.count(F.lit(1)).alias("violations"))
-    return counted.crossJoin(sample).select(F.lit(table).alias("table"), F.lit(check).alias("check"), "violations", "sample")  # two single rows
-
-
-def unique(df: DataFrame, table: str, check: str, key: list[str]) -> DataFrame:
-    bad = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
-    return report(bad, table, check, F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
-
-
-def foreign_key(df: DataFrame, table: str, check: str, column: str, dim: DataFrame, dim_key: str, key: str) -> DataFrame:
-    """Values that are not null and have no row in dim."""
-    side = dim.select(F.col(dim_key).alias(column))
-    return report(df.where(F.col(column).isNotNull()).join(side, column, "left_anti"), table, check, F.col(key))
-
-
-def rule(df: DataFrame, table: str, check: str, holds: Column, key: Column) -> DataFrame:
-    """Rows for which `holds` is false or unknown."""
-    return report(df.where(~F.coalesce(holds, F.lit(False))), table, check, key)
-
-
-def increasing(df: DataFrame, table: str, check: str, order: str, value: str, by: list[str], strict: bool = True) -> DataFrame:
+class Rules:
+    """Rules over the rows of one frame."""
+
+    def __init__(self, df: DataFrame, table: str):
+        self.df, self.table, self.checks, self._lines, self._joined = df, table, [], [], 0
+
+    def _line(self, check: str, said: Column, key: Column, whole: Column | None = None) -> Rules:
+        """whole: the key that must be unique; without it the row breaks the rule where `said` holds."""
+        self.checks.append(check)
+        own = F.lit(None).cast("string") if whole is None else whole
+        self._lines.append(F.when(said, F.struct(F.lit(check).alias("check"), F.lit(whole is not None).alias("counts"), own.alias("whole"), key.cast("string").alias("key"))))
+        return self
+
+    def broken(self, check: str, said: Column, key: Column) -> Rules:
+        """Rows for which `said` holds break the rule."""
+        return self._line(check, said, key)
+
+    def rule(self, check: str, holds: Column, key: Column, where: Column | None = None) -> Rules:
+        """Rows (of those in `where`) for which `holds` is false or unknown."""
+        wrong = ~F.coalesce(holds, F.lit(False))
+        return self._line(check, wrong if where is None else where & wrong, key)
+
+    def unique(self, check: str, key: list[str], where: Column | None = None) -> Rules:
+        """Keys of several rows, each once."""
+        texts = [F.col(k).cast("string") for k in key]
+        parts = [F.concat(F.coalesce(F.length(t), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(t, F.lit(""))) for t in texts]
+        return self._line(check, F.lit(True) if where is None else where, F.concat_ws(":", *texts), F.concat(*parts))
+
+    def known(self, column: str, dim: DataFrame, dim_key: str) -> Column:
+        """Whether a value has a row in dim."""
+        self._joined += 1
+        at, mark = f"dim_{self._joined}_", f"known_{self._joined}_"
+        side = dim.select(F.col(dim_key).alias(at)).distinct().withColumn(mark, F.lit(True))
+        self.df = self.df.join(side, F.col(column) == F.col(at), "left")
+        return F.col(mark).isNotNull()
+
+    def foreign_key(self, check: str, column: str, dim: DataFrame, dim_key: str, key: str | Column, where: Column | None = None) -> Rules:
+        """Values that are not null and have no row in dim."""
+        wrong = F.col(column).isNotNull() & ~self.known(column, dim, dim_key)
+        return self._line(check, wrong if where is None else where & wrong, F.col(key) if isinstance(key, str) else key)
+
+    def lines(self) -> DataFrame:
+        return self.df.select(F.lit(self.table).alias("table"), F.inline(F.filter(F.array(*self._lines), lambda x: x.isNotNull())))
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each rule the count, and the ten smallest keys (a key as often as it breaks the rule)."""
+    held: dict[tuple[str, str], tuple[int, list[str]]] = {}
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        for name in rows.select(["table", "check"]).group_by(["table", "check"]).aggregate([]).to_pylist():
+            own = rows.filter(pc.and_(pc.equal(rows["table"], name["table"]), pc.equal(rows["check"], name["check"])))
+            first = own.filter(pc.is_valid(own["key"]))
+            first = first.take(pc.select_k_unstable(first, k=SAMPLE, sort_keys=[("key", "ascending")]))
+            keys = [k for k, n in zip(first["key"].to_pylist(), first["n"].to_pylist(), strict=True) for _ in range(min(n, SAMPLE))]
+            n, before = held.get((name["table"], name["check"]), (0, []))
+            held[name["table"], name["check"]] = n + pc.sum(own["n"]).as_py(), sorted(before + keys)[:SAMPLE]
+    for (table, check), (n, keys) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([check]), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.string()))], names=["table", "check", "n", "keys"])
+
+
+def stacked(rules: list[Rules]) -> DataFrame:
+    """A row for each rule: table, check, violations, sample (the ten smallest keys of rows that break it)."""
+    lines = rules[0].lines()
+    for r in rules[1:]:
+        lines = lines.unionByName(r.lines())
+    counted = lines.groupBy("table", "check", "counts", "whole", "key").agg(F.count(F.lit(1)).alias("n"))
+    wrong = counted.where("not counts or n > 1").select("table", "check", "key", F.when(F.col("counts"), F.lit(1)).otherwise(F.col("n")).cast("bigint").alias("n"))
+    parts = wrong.mapInArrow(_smallest, "table string, check string, n bigint, keys array<string>")  # a few rows a task
+    sample = F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, SAMPLE), ",")
+    found = parts.groupBy("table", "check").agg(F.sum("n").alias("violations"), sample.alias("sample"))
+    names = lines.sparkSession.createDataFrame([(r.table, c) for r in rules for c in r.checks], "table string, check string")
+    joined = names.join(found, ["table", "check"], "left")
+    return joined.select("table", "check", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("sample", F.lit("")).alias("sample"))
+
+
+def report(bad: DataFrame, table: str, check: str, key: Column) -> Rules:
+    """bad: rows that break the rule."""
+    return Rules(bad, table).broken(check, F.lit(True), key)
+
+
+def unique(df: DataFrame, table: str, check: str, key: list[str]) -> Rules:
+    return Rules(df, table).unique(check, key)
+
+
+def rule(df: DataFrame, table: str, check: str, holds: Column, key: Column) -> Rules:
+    return Rules(df, table).rule(check, holds, key)
+
+
+def increasing(df: DataFrame, table: str, check: str, order: str, value: str, by: list[str], strict: bool = True) -> Rules:
     """value must grow (or not fall) along order within `by`."""
     w = Window.partitionBy(*by).orderBy(order)
     rows = df.withColumn("before_", F.lag(value).over(w)).where("before_ is not null")
     return report(rows.where(F.col(value) <= F.col("before_") if strict else F.col(value) < F.col("before_")), table, check, F.col(order))
 
 
-def increasing_over_buckets(df: DataFrame, table: str, check: str, order: str, value: str, bucket: Column) -> DataFrame:
+def increasing_over_buckets(df: DataFrame, table: str, check: str, order: str, value: str, bucket: Column) -> Rules:
     """value must grow along order. Windows run inside buckets; the last row of each bucket is carried to the next one that exists."""
     own = df.select(order, value, bucket.alias("b_"))
     edges = own.groupBy("b_").agg(F.max(F.struct(order, value)).alias("hi_"))
@@ -54,14 +126,14 @@ def increasing_over_buckets(df: DataFrame, table: str, check: str, order: str, v
     return report(rows.where(F.col(value) <= F.coalesce("before_", "edge_").getField(value)), table, check, F.col(order))
 
 
-def recompute(stored: DataFrame, computed: DataFrame, table: str, check: str, key: list[str], column: str) -> DataFrame:
-    """Keys of both whose stored value isn't the one computed anew."""
-    both = stored.select(*key, F.col(column).alias("is_")).join(computed.select(*key, F.col(column).alias("should_")), key)
-    return report(both.where(~F.col("is_").eqNullSafe(F.col("should_"))), table, check, F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
-
-
-def stacked(reports: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, reports)
+def recompute(stored: DataFrame, computed: DataFrame, table: str, checks: dict[str, str], key: list[str]) -> Rules:
+    """checks: rule to column. Keys of both whose stored value isn't the one computed anew."""
+    columns = sorted(set(checks.values()))
+    both = stored.select(*key, *columns).join(computed.select(*key, *[F.col(c).alias(f"{c}_should_") for c in columns]), key)
+    rules = Rules(both, table)
+    for check, column in checks.items():
+        rules.broken(check, ~F.col(column).eqNullSafe(F.col(f"{column}_should_")), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
+    return rules
 
 
 # --- the tables ---
@@ -71,172 +143,113 @@ def check_ledgers(ledgers: DataFrame, bucket: int = 500) -> DataFrame:
     from orrery.operators.reads import ledger_neighbours
 
     gaps = ledger_neighbours(ledgers, bucket).where("next is not null and next <> sequence + 1")
-    return stacked(
-        [
-            report(gaps, "ledgers", "contiguous", F.col("sequence")),
-            unique(ledgers, "ledgers", "sequence_unique", ["sequence"]),
-            unique(ledgers, "ledgers", "hash_unique", ["hash"]),
-            increasing_over_buckets(ledgers, "ledgers", "close_time_increasing", "sequence", "closed_at", F.floor(F.col("sequence") / bucket)),
-            rule(ledgers, "ledgers", "counts_not_negative", (F.col("transaction_count") >= 0) & (F.col("base_fee") >= 0), F.col("sequence")),
-        ]
-    )
+    rows = Rules(ledgers, "ledgers").unique("sequence_unique", ["sequence"]).unique("hash_unique", ["hash"])
+    rows.rule("counts_not_negative", (F.col("transaction_count") >= 0) & (F.col("base_fee") >= 0), F.col("sequence"))
+    order = increasing_over_buckets(ledgers, "ledgers", "close_time_increasing", "sequence", "closed_at", F.floor(F.col("sequence") / bucket))
+    return stacked([report(gaps, "ledgers", "contiguous", F.col("sequence")), rows, order])
 
 
 def check_transactions(transactions: DataFrame, operations: DataFrame, ledgers: DataFrame, accounts: DataFrame) -> DataFrame:
     """operation_count is what the transaction declares; its rows of operations may be folded, so there are that many at most."""
-    held = operations.groupBy(F.col("transaction_id").alias("id")).agg(F.count(F.lit(1)).alias("held_"))
-    return stacked(
-        [
-            unique(transactions, "transactions", "hash_unique", ["hash"]),
-            foreign_key(transactions, "transactions", "ledger_exists", "ledger_sequence", ledgers, "sequence", "id"),
-            foreign_key(transactions, "transactions", "source_exists", "source_id", accounts, "account_id", "id"),
-            rule(transactions, "transactions", "not_negative", (F.col("fee_charged") >= 0) & (F.col("operation_count") >= 0) & (F.col("application_order") >= 0), F.col("id")),
-            rule(transactions.join(held, "id"), "transactions", "operations_declared", F.col("operation_count") >= F.col("held_"), F.col("id")),
-            rule(transactions.where("inner_tx_hash is not null"), "transactions", "inner_hash_shape", F.col("inner_tx_hash").rlike(HASH), F.col("id")),
-            report(transactions.join(operations.select(F.col("transaction_id").alias("id")), "id", "left_anti"), "transactions", "without_operation", F.col("id")),
-        ]
-    )
+    held = operations.groupBy(F.col("transaction_id").alias("of_")).agg(F.count(F.lit(1)).alias("held_"))
+    key = F.col("id")
+    rows = Rules(transactions.join(held, key == F.col("of_"), "left"), "transactions").unique("hash_unique", ["hash"])
+    rows.foreign_key("ledger_exists", "ledger_sequence", ledgers, "sequence", "id").foreign_key("source_exists", "source_id", accounts, "account_id", "id")
+    rows.rule("not_negative", (F.col("fee_charged") >= 0) & (F.col("operation_count") >= 0) & (F.col("application_order") >= 0), key)
+    rows.rule("operations_declared", F.col("operation_count") >= F.col("held_"), key, F.col("held_").isNotNull())
+    rows.rule("inner_hash_shape", F.col("inner_tx_hash").rlike(HASH), key, F.col("inner_tx_hash").isNotNull())
+    return stacked([rows.broken("without_operation", F.col("held_").isNull(), key)])
 
 
 def check_hash_index(index: DataFrame, transactions: DataFrame) -> DataFrame:
-    own = transactions.select("hash")
-    return stacked(
-        [
-            foreign_key(index, "hash_index", "transaction_exists", "transaction_id", transactions, "id", "hash"),
-            report(own.join(index, "hash", "left_anti"), "hash_index", "transaction_indexed", F.col("hash")),
-            unique(index, "hash_index", "hash_unique", ["hash"]),
-            rule(index, "hash_index", "hash_shape", F.col("hash").rlike(HASH), F.col("hash")),
-        ]
-    )
+    rows = Rules(index, "hash_index").foreign_key("transaction_exists", "transaction_id", transactions, "id", "hash").unique("hash_unique", ["hash"])
+    rows.rule("hash_shape", F.col("hash").rlike(HASH), F.col("hash"))
+    own = Rules(transactions.select("hash"), "hash_index")
+    return stacked([rows, own.broken("transaction_indexed", ~own.known("hash", index, "hash"), F.col("hash"))])
 
 
 def check_operations(operations: DataFrame, transactions: DataFrame, accounts: DataFrame, pools: DataFrame) -> DataFrame:
-    return stacked(
-        [
-            foreign_key(operations, "operations", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
-            foreign_key(operations, "operations", "source_exists", "source_id", accounts, "account_id", "transaction_id"),
-            foreign_key(operations, "operations", "destination_exists", "destination_id", accounts, "account_id", "destination_id"),
-            foreign_key(operations, "operations", "pool_exists", "pool_id", pools, "pool_id", "pool_id"),
-            unique(operations, "operations", "place_unique", ["transaction_id", "application_order"]),
-            rule(operations.where("amount is not null"), "operations", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
-        ]
-    )
+    rows = Rules(operations, "operations").foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
+    rows.foreign_key("source_exists", "source_id", accounts, "account_id", "transaction_id").foreign_key("destination_exists", "destination_id", accounts, "account_id", "destination_id")
+    rows.foreign_key("pool_exists", "pool_id", pools, "pool_id", "pool_id").unique("place_unique", ["transaction_id", "application_order"])
+    return stacked([rows.rule("folded_count", F.col("amount") >= 1, F.col("transaction_id"), F.col("amount").isNotNull())])
 
 
 def check_participants(parts: DataFrame, transactions: DataFrame, accounts: DataFrame) -> DataFrame:
-    return stacked(
-        [
-            foreign_key(parts, "participants", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
-            foreign_key(parts, "participants", "account_exists", "account_id", accounts, "account_id", "account_id"),
-            unique(parts, "participants", "triple_unique", ["account_id", "ledger_sequence", "transaction_id"]),
-        ]
-    )
+    rows = Rules(parts, "participants").foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
+    rows.foreign_key("account_exists", "account_id", accounts, "account_id", "account_id")
+    return stacked([rows.unique("triple_unique", ["account_id", "ledger_sequence", "transaction_id"])])
 
 
 def check_contracts(contracts: DataFrame, accounts: DataFrame, code: DataFrame) -> DataFrame:
-    return stacked(
-        [
-            unique(contracts, "contracts", "contract_unique", ["contract_id"]),
-            foreign_key(contracts, "contracts", "deployer_exists", "deployer_id", accounts, "account_id", "contract_id"),
-            foreign_key(contracts, "contracts", "code_exists", "code_hash", code, "code_hash", "contract_id"),
-            rule(contracts, "contracts", "key_shape", F.col("contract_key").rlike(CONTRACT_KEY), F.col("contract_id")),
-            rule(contracts, "contracts", "type_range", F.col("contract_type").between(0, 3), F.col("contract_id")),
-            rule(contracts.where("code_hash is not null"), "contracts", "hash_shape", F.col("code_hash").rlike(HASH), F.col("contract_id")),
-        ]
-    )
+    key = F.col("contract_id")
+    rows = Rules(contracts, "contracts").unique("contract_unique", ["contract_id"])
+    rows.foreign_key("deployer_exists", "deployer_id", accounts, "account_id", "contract_id").foreign_key("code_exists", "code_hash", code, "code_hash", "contract_id")
+    rows.rule("key_shape", F.col("contract_key").rlike(CONTRACT_KEY), key).rule("type_range", F.col("contract_type").between(0, 3), key)
+    return stacked([rows.rule("hash_shape", F.col("code_hash").rlike(HASH), key, F.col("code_hash").isNotNull())])
 
 
 def check_code(code: DataFrame) -> DataFrame:
-    return stacked(
-        [
-            unique(code, "code", "hash_unique", ["code_hash"]),
-            rule(code, "code", "hash_shape", F.col("code_hash").rlike(HASH), F.col("code_hash")),
-            rule(code, "code", "json_object", F.schema_of_variant(F.try_parse_json("interface")).startswith("OBJECT"), F.col("code_hash")),
-        ]
-    )
+    rows = Rules(code, "code").unique("hash_unique", ["code_hash"]).rule("hash_shape", F.col("code_hash").rlike(HASH), F.col("code_hash"))
+    return stacked([rows.rule("json_object", F.schema_of_variant(F.try_parse_json("interface")).startswith("OBJECT"), F.col("code_hash"))])
+
+
+def _with_parent(df: DataFrame, transactions: DataFrame) -> DataFrame:
+    """df with the ledger of its transaction, null where there is none."""
+    parent = transactions.groupBy(F.col("id").alias("of_")).agg(F.min("ledger_sequence").alias("parent_"), F.max("ledger_sequence").alias("parent_too_"))
+    return df.join(parent, F.col("transaction_id") == F.col("of_"), "left")
+
+
+def _parents(rows: Rules) -> Rules:
+    key, there = F.col("transaction_id"), F.col("of_").isNotNull()
+    rows.broken("transaction_exists", key.isNotNull() & ~there, key)
+    rows.rule("ledger_of_parent", (F.col("ledger_sequence") == F.col("parent_")) & (F.col("ledger_sequence") == F.col("parent_too_")), key, there)
+    return rows.rule("folded_count", F.col("amount") >= 1, key, F.col("amount").isNotNull())
 
 
 def check_events(events: DataFrame, transactions: DataFrame, contracts: DataFrame) -> DataFrame:
-    parent = transactions.select(F.col("id").alias("transaction_id"), F.col("ledger_sequence").alias("parent_"))
-    return stacked(
-        [
-            foreign_key(events, "events", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
-            foreign_key(events, "events", "contract_exists", "contract_id", contracts, "contract_id", "contract_id"),
-            rule(events.where("amount is not null"), "events", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
-            rule(events.join(parent, "transaction_id"), "events", "ledger_of_parent", F.col("ledger_sequence") == F.col("parent_"), F.col("transaction_id")),
-        ]
-    )
+    rows = _parents(Rules(_with_parent(events, transactions), "events"))
+    return stacked([rows.foreign_key("contract_exists", "contract_id", contracts, "contract_id", "contract_id")])
 
 
 def check_invocations(invocations: DataFrame, transactions: DataFrame, contracts: DataFrame, accounts: DataFrame, events: DataFrame) -> DataFrame:
-    parent = transactions.select(F.col("id").alias("transaction_id"), F.col("ledger_sequence").alias("parent_"))
-    return stacked(
-        [
-            foreign_key(invocations, "invocations", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
-            foreign_key(invocations, "invocations", "contract_exists", "contract_id", contracts, "contract_id", "contract_id"),
-            foreign_key(invocations, "invocations", "caller_exists", "caller_id", accounts, "account_id", "caller_id"),
-            rule(invocations.where("amount is not null"), "invocations", "folded_count", F.col("amount") >= 1, F.col("transaction_id")),
-            rule(invocations.join(parent, "transaction_id"), "invocations", "ledger_of_parent", F.col("ledger_sequence") == F.col("parent_"), F.col("transaction_id")),
-            report(invocations.join(events, ["contract_id", "transaction_id"], "left_anti"), "invocations", "without_event", F.col("transaction_id")),
-        ]
-    )
+    with_event = events.select(F.col("contract_id").alias("c_"), F.col("transaction_id").alias("t_")).distinct()
+    rows = _with_parent(invocations, transactions).join(with_event, (F.col("contract_id") == F.col("c_")) & (F.col("transaction_id") == F.col("t_")), "left")
+    rows = _parents(Rules(rows, "invocations")).foreign_key("contract_exists", "contract_id", contracts, "contract_id", "contract_id")
+    rows.foreign_key("caller_exists", "caller_id", accounts, "account_id", "caller_id")
+    return stacked([rows.broken("without_event", F.col("t_").isNull(), F.col("transaction_id"))])
 
 
 def check_assets(assets: DataFrame, accounts: DataFrame, contracts: DataFrame) -> DataFrame:
-    kind, code, issuer = F.col("asset_type"), F.col("asset_code"), F.col("issuer_id")
+    kind, code, issuer, key = F.col("asset_type"), F.col("asset_code"), F.col("issuer_id"), F.col("id")
     shape = F.when(kind == 0, code == "").when(kind == 1, (code != "") & issuer.isNotNull()).otherwise(code == "")
-    return stacked(
-        [
-            rule(assets, "assets", "type_range", kind.isin(0, 1, 3), F.col("id")),
-            rule(assets, "assets", "identity_shape", shape, F.col("id")),
-            rule(assets.agg(F.count_if(kind == 0).alias("n")), "assets", "one_native", F.col("n") == 1, F.col("n")),
-            foreign_key(assets, "assets", "issuer_exists", "issuer_id", accounts, "account_id", "id"),
-            rule(assets, "assets", "not_negative", (F.coalesce("holders", F.lit(0)) >= 0) & (F.coalesce("supply", F.lit(0)) >= 0), F.col("id")),
-            foreign_key(assets.where(kind == 3), "assets", "contract_exists", "id", contracts, "contract_id", "id"),
-        ]
-    )
+    rows = Rules(assets, "assets").rule("type_range", kind.isin(0, 1, 3), key).rule("identity_shape", shape, key)
+    rows.foreign_key("issuer_exists", "issuer_id", accounts, "account_id", "id").foreign_key("contract_exists", "id", contracts, "contract_id", "id", kind == 3)
+    rows.rule("not_negative", (F.coalesce("holders", F.lit(0)) >= 0) & (F.coalesce("supply", F.lit(0)) >= 0), key)
+    return stacked([rows, rule(assets.agg(F.count_if(kind == 0).alias("n")), "assets", "one_native", F.col("n") == 1, F.col("n"))])
 
 
 def check_accounts(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
-    sources = transactions.select(F.col("source_id").alias("account_id")).distinct()
-    return stacked(
-        [
-            unique(accounts, "accounts", "account_unique", ["account_id"]),
-            rule(accounts, "accounts", "key_shape", F.col("account_key").rlike(ACCOUNT_KEY), F.col("account_id")),
-            rule(accounts, "accounts", "ledgers_not_negative", (F.col("first_seen_ledger") >= 0) & (F.col("last_seen_ledger") >= 0), F.col("account_id")),
-            rule(accounts, "accounts", "seen_in_order", F.col("first_seen_ledger") <= F.col("last_seen_ledger"), F.col("account_id")),
-            rule(accounts, "accounts", "sequence_not_negative", F.col("sequence_number") >= 0, F.col("account_id")),
-            rule(accounts.join(sources, "account_id", "left_semi"), "accounts", "source_has_sequence", F.col("sequence_number") > 0, F.col("account_id")),
-        ]
-    )
+    key, first, last = F.col("account_id"), F.col("first_seen_ledger"), F.col("last_seen_ledger")
+    rows = Rules(accounts, "accounts").unique("account_unique", ["account_id"]).rule("key_shape", F.col("account_key").rlike(ACCOUNT_KEY), key)
+    rows.rule("ledgers_not_negative", (first >= 0) & (last >= 0), key).rule("seen_in_order", first <= last, key).rule("sequence_not_negative", F.col("sequence_number") >= 0, key)
+    return stacked([rows.rule("source_has_sequence", F.col("sequence_number") > 0, key, rows.known("account_id", transactions, "source_id"))])
 
 
 def check_balances(balances: DataFrame, accounts: DataFrame, assets: DataFrame) -> DataFrame:
     """Issuers and identities of balances: check_issuers()."""
-    native = balances.join(assets.where("asset_type = 0").select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
-    return stacked(
-        [
-            foreign_key(balances, "balances", "account_exists", "holder_id", accounts, "account_id", "holder_id"),
-            foreign_key(balances, "balances", "asset_exists", "asset_id", assets, "id", "asset_id"),
-            rule(balances, "balances", "not_negative", F.col("amount") >= 0, F.col("holder_id")),
-            unique(balances, "balances", "holder_asset_unique", ["holder_id", "asset_id"]),
-            unique(native, "balances", "one_native_a_holder", ["holder_id"]),
-        ]
-    )
+    rows = Rules(balances, "balances").foreign_key("account_exists", "holder_id", accounts, "account_id", "holder_id").foreign_key("asset_exists", "asset_id", assets, "id", "asset_id")
+    rows.rule("not_negative", F.col("amount") >= 0, F.col("holder_id")).unique("holder_asset_unique", ["holder_id", "asset_id"])
+    return stacked([rows.unique("one_native_a_holder", ["holder_id"], rows.known("asset_id", assets.where("asset_type = 0"), "id"))])
 
 
 def check_nfts(tokens: DataFrame, contracts: DataFrame, accounts: DataFrame, ownership: DataFrame) -> DataFrame:
     from orrery.operators.contracts import nft_state
 
-    return stacked(
-        [
-            unique(tokens, "nfts", "token_unique", ["contract_id", "token_id"]),
-            foreign_key(tokens, "nfts", "contract_exists", "contract_id", contracts, "contract_id", "contract_id"),
-            foreign_key(tokens, "nfts", "owner_exists", "owner_id", accounts, "account_id", "owner_id"),
-            rule(tokens.where("minted_at_ledger is not null"), "nfts", "minted_before_seen", F.col("minted_at_ledger") <= F.col("last_seen_ledger"), F.col("token_id")),
-            recompute(tokens, nft_state(ownership), "nfts", "owner_is_latest", ["contract_id", "token_id"], "owner_id"),
-        ]
-    )
+    rows = Rules(tokens, "nfts").unique("token_unique", ["contract_id", "token_id"]).foreign_key("contract_exists", "contract_id", contracts, "contract_id", "contract_id")
+    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id")
+    rows.rule("minted_before_seen", F.col("minted_at_ledger") <= F.col("last_seen_ledger"), F.col("token_id"), F.col("minted_at_ledger").isNotNull())
+    return stacked([rows, recompute(tokens, nft_state(ownership), "nfts", {"owner_is_latest": "owner_id"}, ["contract_id", "token_id"])])
 
 
 def check_nft_ownership(ownership: DataFrame, tokens: DataFrame, transactions: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -244,43 +257,27 @@ def check_nft_ownership(ownership: DataFrame, tokens: DataFrame, transactions: D
     key = ["contract_id", "token_id"]
     first = ownership.groupBy(*key).agg(F.min(F.struct("ledger_sequence", "event_order", "event_type")).event_type.alias("event_type"))
     name = F.concat_ws(":", "contract_id", "token_id")
-    return stacked(
-        [
-            report(ownership.join(tokens, key, "left_anti"), "nft_ownership", "token_exists", name),
-            foreign_key(ownership, "nft_ownership", "transaction_exists", "transaction_id", transactions, "id", "transaction_id"),
-            foreign_key(ownership, "nft_ownership", "owner_exists", "owner_id", accounts, "account_id", "owner_id"),
-            rule(ownership, "nft_ownership", "type_range", F.col("event_type").between(0, 2), name),
-            rule(first, "nft_ownership", "first_is_mint", F.col("event_type") == 0, name),
-            rule(ownership, "nft_ownership", "order_not_negative", F.col("event_order") >= 0, name),
-        ]
-    )
+    there = tokens.select(F.col("contract_id").alias("c_"), F.col("token_id").alias("t_")).distinct()
+    rows = Rules(ownership.join(there, (F.col("contract_id") == F.col("c_")) & (F.col("token_id") == F.col("t_")), "left"), "nft_ownership")
+    rows.broken("token_exists", F.col("t_").isNull(), name).foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
+    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id").rule("type_range", F.col("event_type").between(0, 2), name)
+    rows.rule("order_not_negative", F.col("event_order") >= 0, name)
+    return stacked([rows, rule(first, "nft_ownership", "first_is_mint", F.col("event_type") == 0, name)])
 
 
 def check_pools(pools: DataFrame, assets: DataFrame) -> DataFrame:
     """A pool without a creation ledger (0) is a placeholder: that is reported, and no fault. Issuers of the legs: check_issuers()."""
-    return stacked(
-        [
-            rule(pools, "pools", "key_shape", F.col("pool_key").rlike(HASH), F.col("pool_id")),
-            report(pools.where("created_at_ledger = 0"), "pools", "placeholders", F.col("pool_id")),
-            unique(pools, "pools", "pool_unique", ["pool_id"]),
-            rule(pools, "pools", "leg_order", F.col("asset_a") < F.col("asset_b"), F.col("pool_id")),
-            foreign_key(pools, "pools", "asset_a_exists", "asset_a", assets, "id", "pool_id"),
-            foreign_key(pools, "pools", "asset_b_exists", "asset_b", assets, "id", "pool_id"),
-            rule(pools, "pools", "fee_range", F.col("fee_bps").between(0, 10_000), F.col("pool_id")),
-        ]
-    )
+    key = F.col("pool_id")
+    rows = Rules(pools, "pools").rule("key_shape", F.col("pool_key").rlike(HASH), key).broken("placeholders", F.col("created_at_ledger") == 0, key).unique("pool_unique", ["pool_id"])
+    rows.rule("leg_order", F.col("asset_a") < F.col("asset_b"), key).rule("fee_range", F.col("fee_bps").between(0, 10_000), key)
+    return stacked([rows.foreign_key("asset_a_exists", "asset_a", assets, "id", "pool_id").foreign_key("asset_b_exists", "asset_b", assets, "id", "pool_id")])
 
 
 def check_snapshots(snapshots: DataFrame, pools: DataFrame, ledgers: DataFrame) -> DataFrame:
-    return stacked(
-        [
-            foreign_key(snapshots, "pool_snapshots", "pool_exists", "pool_id", pools, "pool_id", "pool_id"),
-            rule(snapshots, "pool_snapshots", "reserves_not_negative", (F.col("reserve_a") >= 0) & (F.col("reserve_b") >= 0), F.col("pool_id")),
-            rule(snapshots.where("gross_volume_a is not null"), "pool_snapshots", "volume_not_negative", F.col("gross_volume_a") >= 0, F.col("pool_id")),
-            unique(snapshots, "pool_snapshots", "one_a_ledger", ["pool_id", "ledger_sequence"]),
-            foreign_key(snapshots, "pool_snapshots", "ledger_exists", "ledger_sequence", ledgers, "sequence", "ledger_sequence"),
-        ]
-    )
+    key, volume = F.col("pool_id"), F.col("gross_volume_a")
+    rows = Rules(snapshots, "pool_snapshots").foreign_key("pool_exists", "pool_id", pools, "pool_id", "pool_id")
+    rows.rule("reserves_not_negative", (F.col("reserve_a") >= 0) & (F.col("reserve_b") >= 0), key).rule("volume_not_negative", volume >= 0, key, volume.isNotNull())
+    return stacked([rows.unique("one_a_ledger", ["pool_id", "ledger_sequence"]).foreign_key("ledger_exists", "ledger_sequence", ledgers, "sequence", "ledger_sequence")])
 
 
 def check_positions(positions: DataFrame, pools: DataFrame, accounts: DataFrame, snapshots: DataFrame, tolerance: float = 0.001) -> DataFrame:
@@ -288,16 +285,11 @@ def check_positions(positions: DataFrame, pools: DataFrame, accounts: DataFrame,
 
     total = latest_snapshots(snapshots).select("pool_id", "total_shares")
     sums = positions.where("shares > 0").groupBy("pool_id").agg(F.sum("shares").alias("held")).join(total, "pool_id")
-    return stacked(
-        [
-            foreign_key(positions, "positions", "pool_exists", "pool_id", pools, "pool_id", "pool_id"),
-            foreign_key(positions, "positions", "account_exists", "account_id", accounts, "account_id", "account_id"),
-            rule(positions, "positions", "shares_not_negative", F.col("shares") >= 0, F.col("account_id")),
-            rule(positions, "positions", "ledgers_in_order", F.col("first_deposit_ledger") <= F.col("last_updated_ledger"), F.col("account_id")),
-            unique(positions, "positions", "holder_unique", ["pool_id", "account_id"]),
-            rule(sums, "positions", "shares_add_up", F.abs(F.col("held") - F.col("total_shares")) <= F.col("total_shares") * tolerance, F.col("pool_id")),
-        ]
-    )
+    key = F.col("account_id")
+    rows = Rules(positions, "positions").foreign_key("pool_exists", "pool_id", pools, "pool_id", "pool_id").foreign_key("account_exists", "account_id", accounts, "account_id", "account_id")
+    rows.rule("shares_not_negative", F.col("shares") >= 0, key).rule("ledgers_in_order", F.col("first_deposit_ledger") <= F.col("last_updated_ledger"), key)
+    rows.unique("holder_unique", ["pool_id", "account_id"])
+    return stacked([rows, rule(sums, "positions", "shares_add_up", F.abs(F.col("held") - F.col("total_shares")) <= F.col("total_shares") * tolerance, F.col("pool_id"))])
 
 
 def check_layout(ledgers: DataFrame, size: int, recent: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -305,51 +297,57 @@ def check_layout(ledgers: DataFrame, size: int, recent: int = 2) -> tuple[DataFr
     wrong = rule(ledgers, "ledgers", "in_bucket", F.col("bucket") == F.floor(F.col("sequence") / size), F.col("sequence"))
     buckets = ledgers.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     newest = buckets.agg(F.max("bucket").alias("last"))
-    return wrong, buckets.join(F.broadcast(newest)).select("bucket", "rows", (F.col("bucket") > F.col("last") - recent).alias("recent"))  # newest is one row
+    return stacked([wrong]), buckets.join(F.broadcast(newest)).select("bucket", "rows", (F.col("bucket") > F.col("last") - recent).alias("recent"))  # newest is one row
 
 
 def check_contract_code(contracts: DataFrame, updates: DataFrame) -> DataFrame:
     """The stored code hash is that of the latest update; a contract that is missing or has none breaks the rule. updates: contract_id, ledger_sequence, event_index, code_hash."""
     last = updates.groupBy("contract_id").agg(F.max(F.struct("ledger_sequence", "event_index", "code_hash")).code_hash.alias("should"))
     joined = last.join(contracts.select("contract_id", "code_hash"), "contract_id", "left")
-    return rule(joined, "contracts", "code_is_latest", F.col("code_hash") == F.col("should"), F.col("contract_id"))
+    return stacked([rule(joined, "contracts", "code_is_latest", F.col("code_hash") == F.col("should"), F.col("contract_id"))])
 
 
 def check_after_merge(ledgers: DataFrame, transactions: DataFrame, operations: DataFrame, versions: DataFrame, accounts: DataFrame, parts: DataFrame) -> DataFrame:
     """Gaps, stored minimums against those of participants, transactions without operations, counts of ledgers, sequence numbers that fall."""
     from orrery.operators.reads import ledger_neighbours
 
-    first = parts.groupBy("account_id").agg(F.min("ledger_sequence").alias("first_seen_ledger"))
+    first = parts.groupBy(F.col("account_id").alias("of_")).agg(F.min("ledger_sequence").alias("first_"))
+    stored = Rules(accounts.join(first, F.col("account_id") == F.col("of_"), "left"), "accounts").rule("skeleton", F.col("sequence_number") > 0, F.col("account_id"))
+    stored.broken("first_seen_is_least", F.col("of_").isNotNull() & ~F.col("first_seen_ledger").eqNullSafe(F.col("first_")), F.col("account_id"))
     counts = transactions.groupBy(F.col("ledger_sequence").alias("sequence")).agg(F.count(F.lit(1)).alias("transaction_count"))
+    own = Rules(operations.select("transaction_id"), "operations")
     return stacked(
         [
             report(ledger_neighbours(ledgers).where("next > sequence + 1"), "ledgers", "gap_after", F.col("sequence")),
-            recompute(accounts, first, "accounts", "first_seen_is_least", ["account_id"], "first_seen_ledger"),
-            report(operations.join(transactions.select(F.col("id").alias("transaction_id")), "transaction_id", "left_anti"), "operations", "without_transaction", F.col("transaction_id")),
-            recompute(ledgers, counts, "ledgers", "transaction_count", ["sequence"], "transaction_count"),
-            rule(accounts, "accounts", "skeleton", F.col("sequence_number") > 0, F.col("account_id")),
+            stored,
+            own.broken("without_transaction", ~own.known("transaction_id", transactions, "id"), F.col("transaction_id")),
+            recompute(ledgers, counts, "ledgers", {"transaction_count": "transaction_count"}, ["sequence"]),
             increasing(versions, "accounts", "sequence_never_falls", "version", "sequence_number", ["account_id"], strict=False),
         ]
     )
 
 
 def check_issuers(operations: DataFrame, balances: DataFrame, pools: DataFrame, assets: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Issuers of the assets of operations, balances and pool legs exist; a native balance has neither code nor issuer, a credit balance both."""
-    own = assets.select(F.col("id").alias("asset_"), "asset_type", "asset_code", "issuer_id")
-
-    def issuers(df: DataFrame, table: str, check: str, asset: str, key: Column) -> DataFrame:
-        return foreign_key(df.select(F.col(asset).alias("asset_"), key.cast("string").alias("key_")).join(own, "asset_"), table, check, "issuer_id", accounts, "account_id", "key_")
+    """Issuers of the assets of operations, balances and pool legs exist; a native balance has neither code nor issuer, a credit balance both.
 
+    Assets are looked up in the accounts once; what refers to them takes the verdict from there.
+    """
+    known = accounts.select(F.col("account_id").alias("issuer_id"), F.lit(True).alias("known_")).distinct()
+    own = assets.select(F.col("id").alias("asset_"), "asset_type", "asset_code", "issuer_id").join(known, "issuer_id", "left")
+    own = own.select("asset_", "asset_type", "asset_code", "issuer_id", (F.col("issuer_id").isNotNull() & F.col("known_").isNull()).alias("lost_"))
     name = F.concat_ws(":", "holder_id", "asset_id")
     kind, code, issuer = F.col("asset_type"), F.coalesce("asset_code", F.lit("")), F.col("issuer_id")
     shape = F.when(kind == 0, (code == "") & issuer.isNull()).when(kind.isin(1, 2), (code != "") & issuer.isNotNull()).otherwise(True)
+
+    def legs(df: DataFrame) -> DataFrame:
+        side = lambda x: own.select(F.col("asset_").alias(f"{x}_"), F.col("lost_").alias(f"{x}_lost_"))
+        return df.join(side("a"), F.col("asset_a") == F.col("a_"), "left").join(side("b"), F.col("asset_b") == F.col("b_"), "left")
+
     return stacked(
         [
-            issuers(operations, "operations", "issuer_exists", "asset_id", F.col("transaction_id")),
-            issuers(balances, "balances", "issuer_exists", "asset_id", name),
-            rule(balances.join(own, F.col("asset_id") == F.col("asset_")), "balances", "identity_shape", shape, name),
-            issuers(pools, "pools", "asset_a_issuer_exists", "asset_a", F.col("pool_id")),
-            issuers(pools, "pools", "asset_b_issuer_exists", "asset_b", F.col("pool_id")),
+            Rules(operations.join(own, F.col("asset_id") == F.col("asset_")), "operations").broken("issuer_exists", F.col("lost_"), F.col("transaction_id")),
+            Rules(balances.join(own, F.col("asset_id") == F.col("asset_")), "balances").broken("issuer_exists", F.col("lost_"), name).rule("identity_shape", shape, name),
+            Rules(legs(pools), "pools").broken("asset_a_issuer_exists", F.col("a_lost_"), F.col("pool_id")).broken("asset_b_issuer_exists", F.col("b_lost_"), F.col("pool_id")),
         ]
     )
 
@@ -364,10 +362,9 @@ def check_stored_minimums(positions: DataFrame, operations: DataFrame, tokens: D
     rate = accounts.agg(F.round(F.try_divide(F.lit(100) * F.count_if(F.coalesce("sequence_number", F.lit(0)) == 0), F.count(F.lit(1))), 4).alias("percent_")).where("percent_ is not null")
     return stacked(
         [
-            recompute(positions, deposits, "positions", "first_deposit_is_least", ["pool_id", "account_id"], "first_deposit_ledger"),
-            recompute(tokens, mints, "nfts", "minted_at_is_least", ["contract_id", "token_id"], "minted_at_ledger"),
-            recompute(known, deployed, "contracts", "deployed_at_is_least", ["contract_id"], "deployed_at_ledger"),
-            recompute(known, deployed, "contracts", "deployer_is_first", ["contract_id"], "deployer_id"),
+            recompute(positions, deposits, "positions", {"first_deposit_is_least": "first_deposit_ledger"}, ["pool_id", "account_id"]),
+            recompute(tokens, mints, "nfts", {"minted_at_is_least": "minted_at_ledger"}, ["contract_id", "token_id"]),
+            recompute(known, deployed, "contracts", {"deployed_at_is_least": "deployed_at_ledger", "deployer_is_first": "deployer_id"}, ["contract_id"]),
             rule(rate, "accounts", "skeleton_rate", F.col("percent_") < percent, F.col("percent_")),
         ]
     )
