@@ -304,3 +304,19 @@ def test_stored_minimums_are_recomputed(spark):
     accounts = spark.createDataFrame([(1, 0), (2, 5)], "account_id int, sequence_number int")
     got = {r.check: r["sample"] for r in V.check_stored_minimums(positions, operations, tokens, ownership, contracts, versions, accounts).collect()}
     assert got == {"first_deposit_is_least": "1:2", "minted_at_is_least": "1:2", "deployed_at_is_least": "2", "deployer_is_first": "3", "skeleton_rate": "50.0"}
+
+
+def test_exact_percentiles_with_a_hot_key(spark):
+    """One key with most of the rows, all values distinct: equal to percentile(), and its values lie in many ranges."""
+    from orrery.functions.percentiles import exact_percentiles
+
+    hot = spark.range(20_000).select(F.lit("hot").alias("k"), (F.xxhash64("id") % 1_000_000 / 7).alias("x"))
+    few = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("b", None), (None, 5.0), (None, 5.0), (None, 6.0), ("c", 2.0)], "k string, x double")
+    df = hot.unionByName(few)
+    at = {"low": 0.0, "p50": 0.5, "p99": 0.99, "top": 1.0}
+    want = {r.k: r for r in df.where("x is not null").groupBy("k").agg(*[F.percentile("x", q).alias(n) for n, q in at.items()]).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "x", at, partitions=16).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][n] - want[k][n]) < 1e-6 for k in want for n in at)
+    assert exact_percentiles(df.where("false"), ["k"], "x", at).count() == 0
+    plan = exact_percentiles(df, ["k"], "x", at, partitions=16)._jdf.queryExecution().toString()
+    assert "percentile" not in plan.lower().replace("exact_percentiles", "")
