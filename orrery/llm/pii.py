@@ -66,7 +66,8 @@ def _address(text: str, at: int, _: int) -> tuple[Span | None, int]:
     found = ADDRESS.match(text, at)
     if not found:
         return None, DIGITS.match(text, at).end()
-    good = all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in found.group().split("."))
+    parts = [part.lstrip("0") for part in found.group().split(".")]  # Python reads no number of very many digits, zeros included
+    good = all(len(part) <= 3 and int(part or 0) <= 255 for part in parts)
     return (found.span() if good else None), found.end()
 
 

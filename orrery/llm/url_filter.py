@@ -38,13 +38,14 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def build_index(rules: list[tuple[str, str]]) -> bytes:
-    """rules: (``host/path``, allow or block; of one rule's verdicts block). Counts, keys, ends of strings, verdicts, path lengths, strings."""
+    """rules: (``host/path``, allow or block; of one rule's verdicts block). Counts, the longest host in labels and signs, keys, ends of strings, verdicts, path lengths, strings."""
     unique = dict(sorted(rules))
     held = sorted((xxhash.xxh64_intdigest(rule.encode()), rule.encode(), verdict == "block") for rule, verdict in unique.items())
     lengths = sorted({len(rule[rule.index(b"/") :].decode()) for _, rule, _ in held})
     strings = b"".join(rule for _, rule, _ in held)
+    hosts = [rule[: rule.index(b"/")].decode() for _, rule, _ in held]
     parts = [
-        np.array([len(held), len(lengths)], "<u8"),
+        np.array([len(held), len(lengths), max((h.count(".") + 1 for h in hosts), default=0), max(map(len, hosts), default=0)], "<u8"),
         np.array([key for key, _, _ in held], "<u8"),
         np.cumsum([0, *(len(rule) for _, rule, _ in held)]).astype("<u8"),
         np.array([block for _, _, block in held], "<u8"),
@@ -58,10 +59,10 @@ class DigestArray:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n, m = raw[:16].view("<u8").tolist()
-        words = raw[16 : 16 + 8 * (n + n + 1 + n + m)].view("<u8")
+        n, m, self.labels, self.signs = raw[:32].view("<u8").tolist()
+        words = raw[32 : 32 + 8 * (n + n + 1 + n + m)].view("<u8")
         self.keys, self.ends, self.block, self.lengths = words[:n], words[n : 2 * n + 1], words[2 * n + 1 : 3 * n + 1], words[3 * n + 1 :].tolist()
-        self.strings = raw[16 + 8 * len(words) :]
+        self.strings = raw[32 + 8 * len(words) :]
 
     def find(self, candidates: list[bytes]) -> np.ndarray:
         """The place of each candidate, -1 where no stored string equals it."""
@@ -81,13 +82,17 @@ class DigestArray:
         return self.strings[int(self.ends[k]) : int(self.ends[k + 1])].tobytes()
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Rules that would fit, the longest first; of equal length the smallest string first."""
-    suffixes, at = [], host
-    while at:
-        suffixes.append(at)
-        at = at.partition(".")[2]
-    found = {suffix + path[:n] for suffix in suffixes for n in lengths if n <= len(path)}
+def candidates(host: str, path: str, lengths: list[int], labels: int, signs: int) -> list[bytes]:
+    """Rules that would fit, the longest first; of equal length the smallest string first. No rule's host has more labels or signs, so no longer suffix is tried."""
+    suffixes, at = [], len(host)
+    for _ in range(labels):
+        dot = host.rfind(".", max(0, len(host) - signs - 1), at)
+        if dot < 0:
+            suffixes += [host] * (len(host) <= signs)
+            break
+        suffixes.append(host[dot + 1 :])
+        at = dot
+    found = {suffix + path[:n] for suffix in suffixes if suffix for n in lengths if n <= len(path)}
     return [c.encode() for c in sorted(found, key=lambda c: (-len(c), c))]
 
 
@@ -109,7 +114,7 @@ def _prober(name: str):
 
     def probe(batch: pa.RecordBatch) -> list:
         index = state.get("index") or state.setdefault("index", DigestArray(SparkFiles.get(name)))
-        tried = [candidates(h, p, index.lengths) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        tried = [candidates(h, p, index.lengths, index.labels, index.signs) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         at = index.find([c for some in tried for c in some])
         rules, verdicts, k = [], [], 0
         for some in tried:
@@ -125,9 +130,12 @@ def _prober(name: str):
 def _judged_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for rules of any number: each distinct host and path meets its rules by an equi-join on the full string."""
     rules = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
-    lengths = rules.select(F.length(F.regexp_extract("rule", r"(?s)(/.*)$", 1)).alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))
+    host = F.regexp_extract("rule", "^([^/]*)", 1)
+    bounds = [F.collect_set(F.length(F.regexp_extract("rule", r"(?s)(/.*)$", 1))).alias("lengths"), F.max(F.size(F.split(host, "[.]"))).alias("labels")]
+    lengths = rules.agg(*bounds)
     keys = urls.select("host", "path").distinct().crossJoin(F.broadcast(lengths))  # lengths is one row
-    suffixes = "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))"
+    keys = keys.withColumn("parts", F.expr("split(substring_index(host, '.', -coalesce(labels, 0)), '[.]')"))  # no more labels than a rule has
+    suffixes = "transform(sequence(1, size(parts)), i -> array_join(slice(parts, i, size(parts)), '.'))"
     tried = keys.select("host", "path", F.explode(F.expr(f"flatten(transform({suffixes}, h -> transform(filter(lengths, n -> n <= length(path)), n -> concat(h, substring(path, 1, n)))))")).alias("rule"))
     best = (
         tried.join(rules, "rule")

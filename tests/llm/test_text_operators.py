@@ -544,7 +544,7 @@ def brute_rule(url):
 
 
 def test_url_rules_equal_brute_force(spark):
-    urls = [None, "", "x", "http://", "http://A.Example.ORG/es/1?x", "https://example.org/en/15", "http://example.org/en/2", "http://badexample.org/es/", "http://org", "http://org/", "http://a.com/de/x#y", "http://a.com/fr/", "http://a.com/es/", "http://com/de/", "http://x.example.org?/es/", "s://u://example.org/es/", "http://example.org/ES/"]
+    urls = [None, "", "x", "http://", "http://A.Example.ORG/es/1?x", "https://example.org/en/15", "http://example.org/en/2", "http://badexample.org/es/", "http://org", "http://org/", "http://a.com/de/x#y", "http://a.com/fr/", "http://a.com/es/", "http://com/de/", "http://x.example.org?/es/", "s://u://example.org/es/", "http://example.org/ES/", "http://example.org./es/", "http://.org/x", "http://a..com/de/", "http://" + "a." * 20_000 + "example.org/es/x", "http://" + "b" * 300_000 + ".com/fr/", "http://a.com/de/" + "x/" * 200_000, "http://" + "org" * 99_999]
     pages = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in enumerate(urls)], "page_id bigint, url string, host string, path string, rule string")
     rules = url_filter.rules_frame(spark, URL_RULES)
     for limit in (url_filter.INDEX_BYTES, 0):  # by the mapped array, and by the join that takes over beyond its bound
@@ -555,6 +555,22 @@ def test_url_rules_equal_brute_force(spark):
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_candidates_are_bounded_by_the_rules():
+    """However long a host is, no suffix is tried that is longer than the longest rule's host."""
+    host = ".".join("a" * 300_000)
+    found = url_filter.candidates(host, "/x/y", [1, 3], 3, 5)
+    assert sorted(found) == sorted(h + p for h in (b"a", b"a.a", b"a.a.a") for p in (b"/", b"/x/"))
+    assert url_filter.candidates("abcdef", "/", [1], 2, 6) == [b"abcdef/"] and url_filter.candidates("abcdef", "/", [1], 2, 5) == [] and url_filter.candidates("", "/", [1], 2, 5) == []
+    for host in ("a.", "..", ".a.b", "a..b", "a.b.c.d", "abc"):
+        every, at = [], host
+        while at:
+            every.append(at)
+            at = at.partition(".")[2]
+        for labels, signs in itertools.product(range(6), range(8)):
+            want = {h.encode() + b"/" for h in every if h.count(".") < labels and len(h) <= signs}
+            assert set(url_filter.candidates(host, "/", [1], labels, signs)) == want
+
+
 def test_collisions_are_confirmed_by_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)
     (tmp_path / "i").write_bytes(url_filter.build_index([("a/", "block"), ("b/", "allow"), ("c/", "block")]))
@@ -575,7 +591,7 @@ PATTERNS = {
 def good(kind, text):
     digits = re.sub(r"\D", "", text)
     if kind == "ip":
-        return all(int(p) <= 255 for p in text.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
     if kind == "card":
         return 16 <= len(digits) <= 19 and pii.luhn(digits)
     return kind == "email" or 8 <= len(digits) <= 15
@@ -589,6 +605,8 @@ def test_personal_data_equals_the_patterns(spark):
     rng = random.Random(9)
     alphabet = ["@", ".", "+", "-", " ", "(", ")", "a", "é", "1", "12", "255", "4111 1111 1111 1111", "a.b@c.d", "+1 (555) 123-4567", "1.2.3.4", "256.1.1.1", "x@", "://", "%"]
     texts = edge_texts() + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))) for _ in range(600)]
+    many = "0" * 10_000
+    texts += [f"{many}.1.1.1", f"1.{many}1.1.1 2.2.{many}.{many}2", f"{many}255.1.1.{'9' * 10_000}", f"+{many}", f"+1 ({many}", f"{many}@{many}.{many}", f"{many} 4111 1111 1111 1111", "7 " * 10_000, "iban GB82" + many, f"ssn {many}", f"token: {many}", f"http://{many}"]
     got = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = brute_spans(t)
