@@ -16,12 +16,17 @@ def ledger_rows(headers: DataFrame) -> DataFrame:
     return headers.select("sequence", F.lower("hash").alias("hash"), F.timestamp_seconds("closed_at").alias("closed_at"), "protocol_version", "transaction_count", F.col("base_fee").cast("bigint").alias("base_fee"))
 
 
+def is_account(column: str) -> Column:
+    """Keys of accounts: G…, 56 signs at most."""
+    return F.col(column).startswith("G") & (F.length(column) <= 56)
+
+
 def account_universe(roles: list[DataFrame]) -> DataFrame:
     """Every account of any role: one-column frames; only account keys (G…, 56 signs at most)."""
     both = roles[0].toDF("account")
     for df in roles[1:]:
         both = both.unionByName(df.toDF("account"))
-    return both.where(F.col("account").startswith("G") & (F.length("account") <= 56)).distinct()
+    return both.where(is_account("account")).distinct()
 
 
 def account_state_merge(states: DataFrame) -> DataFrame:
@@ -245,8 +250,8 @@ def op_assets(operations: DataFrame) -> DataFrame:
     return operations.select("transaction_id", "application_order", F.posexplode(F.array_compact(found)).alias("place", "asset"))
 
 
-def op_counterparties(operations: DataFrame) -> DataFrame:
-    """Accounts that an operation involves besides its source: targets by type, all claimants, and sellers of claimed order-book atoms."""
+def counterparties() -> Column:
+    """Accounts that an operation (type, details) involves besides its source: targets by type, all claimants, and sellers of claimed order-book atoms."""
     kind = F.col("type")
     none = F.array().cast("array<string>")
     own = (
@@ -260,8 +265,39 @@ def op_counterparties(operations: DataFrame) -> DataFrame:
         .otherwise(none)
     )
     sellers = F.transform(F.from_json(detail("claimedAtoms"), "array<struct<seller: string>>"), lambda a: a.seller)
-    everyone = F.array_distinct(F.array_compact(F.concat(F.coalesce(own, none), F.coalesce(sellers, none))))
-    return operations.select("transaction_id", "application_order", F.explode(everyone).alias("account"))
+    return F.array_distinct(F.array_compact(F.concat(F.coalesce(own, none), F.coalesce(sellers, none))))
+
+
+def op_counterparties(operations: DataFrame) -> DataFrame:
+    return operations.select("transaction_id", "application_order", F.explode(counterparties()).alias("account"))
+
+
+def participant_rows(transactions: DataFrame, operations: DataFrame, events: DataFrame, invocations: DataFrame) -> DataFrame:
+    """Distinct (account, ledger, transaction) of decoded records, over all roles.
+
+    A transaction's source and fee payer, an operation's source and all its counterparties (claimants and sellers of claimed atoms too), callers, and
+    both ends of token events, these only in transactions with a contract operation and without the copies kept for diagnosis. Only account keys
+    count (a contract that calls is none); issuers of assets take no part. transactions: transaction_id, ledger_sequence, source_account, fee_source; operations:
+    type, source_account, details; invocations: caller_account.
+    """
+    from orrery.operators.contracts import token_events
+
+    key = ["ledger_sequence", "transaction_id"]
+    own = operations.where(F.col("type").isin(*CONTRACT_OPS)).select("transaction_id")
+    ends = token_events(events, own)
+    roles = [
+        transactions.select(*key, F.array("source_account", "fee_source").alias("roles")),
+        operations.select(*key, F.concat(F.array("source_account"), counterparties()).alias("roles")),
+        ends.select(*key, F.array("from", "to").alias("roles")),
+        invocations.select(*key, F.array("caller_account").alias("roles")),
+    ]
+    both = roles[0]
+    for df in roles[1:]:
+        both = both.unionByName(df)
+    rows = both.select(F.explode(F.array_distinct("roles")).alias("account"), *key)
+    return rows.where(is_account("account")).distinct()
+
+
 
 
 def asset_registry(trustlines: DataFrame, wrappers: DataFrame, fungible: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.versioned import top_n_by
@@ -71,10 +71,33 @@ def row_count_parity(before: dict[str, DataFrame], after: dict[str, DataFrame])
     return counts(before, "rows_before").join(counts(after, "rows_after"), "table", "full_outer").withColumn("same", F.col("rows_before").eqNullSafe(F.col("rows_after")))
 
 
+COUNTS = ("transaction_count", "operation_count")
+#: Differing ledgers of the whole draw, in percent, from which on the gate is shut.
+LIMIT_PERCENT = 0.01
+
+
+def _drawn(ours: DataFrame, theirs: DataFrame, bucket: int, n: int, seed: int) -> DataFrame:
+    """For each bucket n ledgers in a seeded order, with whether each count (of those that both have) differs from the outside copy."""
+    counts = [c for c in COUNTS if c in ours.columns and c in theirs.columns]
+    drawn = top_n_by(ours.withColumn("bucket", F.floor(F.col("sequence") / bucket)), ["bucket"], [F.xxhash64("sequence", F.lit(seed)), F.col("sequence")], n)
+    both = drawn.join(theirs.select("sequence", *[F.col(c).alias(f"{c}_other") for c in counts]), "sequence", "left")
+    return both.select("bucket", *[(~F.col(c).eqNullSafe(F.col(f"{c}_other"))).alias(c) for c in counts])
+
+
 def stratified_compare(ours: DataFrame, theirs: DataFrame, bucket: int, n: int = 100, seed: int = 0) -> DataFrame:
-    """For each bucket, n ledgers in a seeded order: how many differ in their counts from the outside copy, and the ratio. Rows: sequence, transaction_count."""
-    stratum = F.floor(F.col("sequence") / bucket)
-    drawn = top_n_by(ours.withColumn("bucket", stratum), ["bucket"], [F.xxhash64("sequence", F.lit(seed)), F.col("sequence")], n)
-    both = drawn.join(theirs.select("sequence", F.col("transaction_count").alias("other")), "sequence", "left")
-    wrong = F.count_if(~F.col("transaction_count").eqNullSafe(F.col("other")))
-    return both.groupBy("bucket").agg(F.count(F.lit(1)).alias("drawn"), wrong.alias("different"), F.round(wrong / F.count(F.lit(1)), 6).alias("ratio"))
+    """For each bucket, n ledgers in a seeded order: how many differ in a count from the outside copy, and the ratio. Rows: sequence, transaction_count and, if both have it, operation_count; then each count's differences are told apart."""
+    both = _drawn(ours, theirs, bucket, n, seed)
+    counts = [c for c in COUNTS if c in both.columns]
+    wrong = F.count_if(reduce(Column.__or__, [F.col(c) for c in counts]))
+    apart = [F.count_if(c).alias(f"{c}s_different") for c in counts] if len(counts) > 1 else []
+    return both.groupBy("bucket").agg(F.count(F.lit(1)).alias("drawn"), wrong.alias("different"), F.round(wrong / F.count(F.lit(1)), 6).alias("ratio"), *apart)
+
+
+def stratified_gate(ours: DataFrame, theirs: DataFrame, bucket: int, n: int = 100, seed: int = 0, percent: float = LIMIT_PERCENT) -> DataFrame:
+    """One row over all strata for each count: ledgers drawn, differing ones, their percentage, and whether that is within the limit. Nothing drawn passes nothing."""
+    strata = stratified_compare(ours, theirs, bucket, n, seed)
+    names = [c for c in COUNTS if f"{c}s_different" in strata.columns]
+    each = [F.struct(F.lit(c).alias("count"), F.col(f"{c}s_different").alias("different")) for c in names] or [F.struct(F.lit(COUNTS[0]).alias("count"), "different")]
+    rows = strata.select("drawn", F.inline(F.array(*each))).groupBy("count").agg(F.sum("drawn").alias("drawn"), F.sum("different").alias("different"))
+    share = F.col("different") * 100 / F.col("drawn")
+    return rows.select("count", "drawn", "different", F.round(share, 6).alias("percent"), (share <= percent).alias("passed"))

@@ -170,6 +170,19 @@ def other_ledgers(v):
     return v.ledgers.where("sequence % 40 <> 0").withColumn("transaction_count", F.col("transaction_count") + F.when(F.col("sequence") % 30 == 0, 1).otherwise(0))
 
 
+TX_DIFFERS, OPS_DIFFER = "sequence % 40 = 0 OR sequence % 30 = 0", "sequence % 40 = 0 OR sequence % 70 = 0"
+
+
+def counted_ledgers(v, other=False):
+    """Ledgers with the number of their operations; an outside copy lacks every 40th, and has other counts of transactions (every 30th) and of operations (every 70th)."""
+    n = v.operations.groupBy(F.col("ledger_sequence").alias("sequence")).agg(F.count(F.lit(1)).alias("operation_count"))
+    rows = v.ledgers.select("sequence", "transaction_count").join(n, "sequence", "left").withColumn("operation_count", F.coalesce("operation_count", F.lit(0)))
+    if not other:
+        return rows
+    rows = rows.withColumn("transaction_count", F.col("transaction_count") + F.when(F.col("sequence") % 30 == 0, 1).otherwise(0))
+    return rows.withColumn("operation_count", F.col("operation_count") + F.when(F.col("sequence") % 70 == 0, 1).otherwise(0)).where("sequence % 40 <> 0")
+
+
 def versions(v):
     return v.events.select("contract_id", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("deployer_id"), (F.col("ledger_sequence") * 1_000_000 + F.col("transaction_id")).alias("ledger_sequence"))
 
@@ -250,6 +263,16 @@ PLANS = {
     "r2_order_rates": (lambda v: D.order_rates(D.order_diff(v.operations.select("transaction_id", "application_order", "type"), applied(v)), v.transactions, 500), f"WITH d AS ({ORDER_DIFF}) SELECT CASE WHEN operations = 1 THEN '1' WHEN operations <= 3 THEN '2-3' ELSE '4+' END AS size, CAST(floor(ledger_sequence / 500) * 500 AS BIGINT) AS ledgers, main_type, count(*) AS n, count(*) FILTER (match) AS matches FROM d JOIN v_transactions t ON t.id = d.transaction_id GROUP BY ALL"),
     "r3_volume_gate": (lambda v: D.volume_gate(v.lp_amounts, v.pool_snapshots.withColumn("gross_volume_a", F.when(F.col("ledger_sequence") % 100 == 0, F.col("gross_volume_a") + 1).otherwise(F.col("gross_volume_a")))), "SELECT pool_id, ledger_sequence, gross_volume_a AS moved, gross_volume_a + 1 AS stated FROM v_pool_snapshots WHERE gross_volume_a IS NOT NULL AND ledger_sequence % 100 = 0"),
     "r4_row_count_parity": (lambda v: D.row_count_parity({"ledgers": v.ledgers, "transactions": v.transactions, "operations": v.operations}, {"ledgers": v.ledgers, "transactions": v.transactions.where("id % 10 <> 0"), "operations": v.operations}), "SELECT 'ledgers' AS \"table\", count(*) AS rows_before, count(*) AS rows_after, true AS same FROM v_ledgers UNION ALL SELECT 'transactions', count(*), count(*) FILTER (id % 10 <> 0), false FROM v_transactions UNION ALL SELECT 'operations', count(*), count(*), true FROM v_operations"),
+    "r5_stratified_both_counts": (
+        lambda v: D.stratified_compare(counted_ledgers(v), counted_ledgers(v, True), 500, 10_000),
+        f"SELECT CAST(floor(sequence / 500) AS BIGINT) AS bucket, count(*) AS drawn, count(*) FILTER ({TX_DIFFERS} OR {OPS_DIFFER}) AS different, round(count(*) FILTER ({TX_DIFFERS} OR {OPS_DIFFER}) / count(*), 6) AS ratio, count(*) FILTER ({TX_DIFFERS}) AS transaction_counts_different, count(*) FILTER ({OPS_DIFFER}) AS operation_counts_different FROM v_ledgers GROUP BY 1",
+    ),
+    "r5_stratified_gate": (
+        lambda v: D.stratified_gate(counted_ledgers(v), counted_ledgers(v).where("sequence <> 700"), 500, 10_000, percent=0.05).unionByName(D.stratified_gate(counted_ledgers(v), counted_ledgers(v, True), 500, 10_000)),
+        "WITH n AS (SELECT count(*) AS drawn, count(*) FILTER (sequence = 700) AS one, count(*) FILTER (" + TX_DIFFERS + ") AS t, count(*) FILTER (" + OPS_DIFFER + ") AS o FROM v_ledgers), "
+        "c(\"count\", \"limit\", different) AS (SELECT 'transaction_count', 0.05, one FROM n UNION ALL SELECT 'operation_count', 0.05, one FROM n UNION ALL SELECT 'transaction_count', 0.01, t FROM n UNION ALL SELECT 'operation_count', 0.01, o FROM n) "
+        "SELECT \"count\", drawn, different, round(different * 100 / drawn, 6) AS percent, different * 100 / drawn <= \"limit\" AS passed FROM c, n",
+    ),
     "r5_stratified_compare": (lambda v: D.stratified_compare(v.ledgers, other_ledgers(v), 500, 10_000), "SELECT CAST(floor(sequence / 500) AS BIGINT) AS bucket, count(*) AS drawn, count(*) FILTER (sequence % 40 = 0 OR sequence % 30 = 0) AS different, round(count(*) FILTER (sequence % 40 = 0 OR sequence % 30 = 0) / count(*), 6) AS ratio FROM v_ledgers GROUP BY 1"),
     "b1_repair_accounts": (lambda v: B.repair_accounts(v.accounts, participants(v)), f"SELECT a.account_id, coalesce(l, first_seen_ledger) AS first_seen_ledger, last_seen_ledger, home_domain, sequence_number FROM v_accounts a LEFT JOIN (SELECT account_id, min(ledger_sequence) AS l FROM {PARTICIPANTS} p GROUP BY account_id) p ON p.account_id = a.account_id"),
     "b2_repair_positions": (lambda v: B.repair_positions(v.positions, v.operations.where("pool_id is not null").select("type", F.col("tx_source_id").alias("source_id"), "ledger_sequence", F.array("pool_id").alias("pool_ids"))), f"SELECT p.pool_id, p.account_id, shares, coalesce(l, first_deposit_ledger) AS first_deposit_ledger, last_updated_ledger FROM v_positions p LEFT JOIN (SELECT pool_id, tx_source_id, min(ledger_sequence) AS l FROM v_operations WHERE {REPAIR_OPS} GROUP BY ALL) d ON d.pool_id = p.pool_id AND d.tx_source_id = p.account_id"),

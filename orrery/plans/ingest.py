@@ -72,6 +72,24 @@ CASE signature WHEN 'transfer' THEN concat('G', user_id + 1) WHEN 'mint' THEN co
 FROM v_events WHERE transaction_id % 11 <> 0 AND signature <> 'other'"""
 
 
+def keyed_participants(v):
+    """Participants of decoded records; callers are accounts or contracts, one key is longer than an account's."""
+    t = v.transactions.select(F.col("id").alias("transaction_id"), "ledger_sequence", F.concat(F.lit("G"), "source_id").alias("source_account"), F.concat(F.lit("G"), F.when(F.col("id") % 20 == 0, F.rpad("fee_source_id", 60, "0")).otherwise(F.col("fee_source_id").cast("string"))).alias("fee_source"))
+    callers = v.invocations.withColumn("caller_account", F.concat(F.when(F.col("caller_id") % 4 == 0, "G").otherwise("C"), F.col("caller_id")))
+    return I.participant_rows(t, ops_json(v), raw_events(v), callers)
+
+
+CONTRACT_TX = "transaction_id IN (SELECT transaction_id FROM v_operations WHERE type IN (24, 25, 26))"
+KEYED_PARTICIPANTS = (
+    "SELECT concat('G', source_id) AS account, ledger_sequence, id AS transaction_id FROM v_transactions UNION SELECT concat('G', fee_source_id), ledger_sequence, id FROM v_transactions WHERE id % 10 = 0 AND id % 20 <> 0 "
+    "UNION SELECT concat('G', tx_source_id), ledger_sequence, transaction_id FROM v_operations UNION SELECT concat('G', destination_id), ledger_sequence, transaction_id FROM v_operations WHERE type IN (0, 1, 2, 7, 8, 13, 14, 19, 21) "
+    "UNION SELECT 'GX', ledger_sequence, transaction_id FROM v_operations WHERE type = 14 UNION SELECT 'GSELLER', ledger_sequence, transaction_id FROM v_operations "
+    f"UNION SELECT concat('G', user_id), ledger_sequence, transaction_id FROM v_events WHERE transaction_id % 11 <> 0 AND signature <> 'other' AND {CONTRACT_TX} "
+    f"UNION SELECT concat('G', user_id + 1), ledger_sequence, transaction_id FROM v_events WHERE transaction_id % 11 <> 0 AND signature = 'transfer' AND {CONTRACT_TX} "
+    "UNION SELECT concat('G', caller_id), ledger_sequence, transaction_id FROM v_invocations WHERE caller_id % 4 = 0"
+)
+
+
 def code(v):
     """Function lists of contract code."""
     c = v.contracts.where("code_hash is not null").select("code_hash", (F.col("contract_id") % 9).alias("k")).distinct()
@@ -152,6 +170,7 @@ PLANS = {
         "SELECT id, t.ledger_sequence, t.application_order, coalesce(n, 0) AS operation_count, coalesce(c, false) AS has_contract FROM v_transactions t LEFT JOIN (SELECT transaction_id, count(*) AS n, bool_or(type IN (24, 25, 26)) AS c FROM v_operations GROUP BY transaction_id) o ON o.transaction_id = t.id"),
     "e5_hash_index": (lambda v: I.hash_index(v.transactions), f"SELECT hash, ledger_sequence FROM {HASH_INDEX} i"),
     "e6_participants": (participants, f"SELECT account_id, ledger_sequence, transaction_id FROM {PARTICIPANTS} p"),
+    "e6_participant_rows": (keyed_participants, KEYED_PARTICIPANTS),
     "e7_token_events": (lambda v: C.token_events(raw_events(v)), TOKEN_EVENTS),
     "e8_op_typed": (lambda v: joined(I.op_typed(ops_json(v)), "pool_ids").select("transaction_id", "application_order", "destination", "contract", "asset_code", "asset_issuer", "pool_ids"),
         f"SELECT transaction_id, application_order, CASE WHEN type IN (0, 1, 2, 7, 8, 13, 19, 21) THEN concat('G', destination_id) END AS destination, CASE WHEN type IN (24, 25, 26) THEN concat('K', destination_id % 30) END AS contract, CASE WHEN type IN (1, 2, 3, 4, 6, 12, 13, 14, 19, 21) AND asset_id <> 0 THEN concat('C', asset_id) END AS asset_code, CASE WHEN type IN (1, 2, 3, 4, 6, 12, 13, 14, 19, 21) AND asset_id <> 0 THEN concat('I', asset_id % 10) END AS asset_issuer, CASE WHEN type IN (2, 3, 4, 12, 13, 22, 23) THEN CAST(coalesce(pool_id, 0) AS VARCHAR) ELSE '' END AS pool_ids FROM v_operations"),
