@@ -40,7 +40,7 @@ def _line_hashes(text: Column) -> Column:
 
 
 def _chunked(rows: DataFrame, window: int, divisor: int) -> DataFrame:
-    """rows (with a column text) and chunks, an array of (at: first line, lines: how many, text)."""
+    """rows (with a column text) and chunks, an array of (at: its number, lines: how many, text)."""
     lines = rows.withColumns({"lines": F.split("text", "\n", -1), "hashes": _line_hashes(F.col("text"))})
 
     def rolled(i: Column) -> Column:
@@ -55,7 +55,7 @@ def _chunked(rows: DataFrame, window: int, divisor: int) -> DataFrame:
 
     def chunk(end: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
-        return F.struct(start.alias("at"), (end - start + 1).alias("lines"), F.array_join(F.slice("lines", start + 1, end - start + 1), "\n").alias("text"))
+        return F.struct(k.alias("at"), (end - start + 1).alias("lines"), F.array_join(F.slice("lines", start + 1, end - start + 1), "\n").alias("text"))
 
     return ends.withColumn("chunks", F.transform("ends", chunk)).drop("lines", "hashes", "ends")
 
@@ -88,7 +88,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # The texts of these chunks; each task first brings a text's occurrences down to one: grouping by the text compares the bytes.
     own = _chunked(held.select("doc", "wanted", "text"), window, divisor)
-    own = own.select("doc", F.explode_outer(F.filter("chunks", lambda c: F.exists("wanted", lambda w: w["at"] == c["at"]))).alias("chunk"))
+    own = own.select("doc", F.explode_outer(F.transform("wanted", lambda w: F.when(w["at"] < F.size("chunks"), F.get("chunks", w["at"])))).alias("chunk"))  # named twice: a column that is named once would be computed anew for every element
     own = own.select(F.struct("doc", "chunk.at").alias("spot"), F.xxhash64("chunk.text").alias("hash"), F.col("chunk.text").alias("chunk"))
     firsts = saved(own.groupBy("hash", "chunk").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")))
     by_hash = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("n").alias("n"))
@@ -104,7 +104,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     whole = joined.where("wanted is null").withColumn("text", body).select("row", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_chunks_removed"))
     cut = _chunked(held.drop("wanted").join(gone, "doc", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))), window, divisor)
-    cut = cut.withColumn("left", F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"])))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
+    cut = cut.withColumn("left", F.transform(stays, lambda k: F.when(k < F.size("chunks"), F.get("chunks", k))))
     lines_left = F.aggregate("left", F.lit(0), lambda n, c: n + c.lines)
     cut = cut.select("row", F.array_join(F.transform("left", lambda c: c.text), "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - lines_left).alias("n_removed"), F.size("gone").alias("n_chunks_removed"))
     return whole.unionByName(cut)
@@ -118,16 +119,11 @@ def report(removed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def _pieces(rows: DataFrame, words: int) -> DataFrame:
-    """rows (with a column text) and: pieces (of which only the last can be without words), ends and starts.
-
-    ends[i] is the piece with which the shortest run of enough words that starts with piece i ends, starts[i] the one with which the shortest run that ends with piece i starts.
-    """
+    """rows (with a column text) and: pieces (of which only the last can be without words), and ends: the piece with which the shortest run of enough words that starts with each piece ends, null if none does."""
     out = rows.withColumn("pieces", F.split("text", PIECE_ENDS, -1))
     out = out.withColumn("of", F.flatten(F.transform("pieces", lambda p, i: F.array_repeat(i, F.regexp_count(p, F.lit(r"\S+"))))))  # the piece of each word
     out = out.withColumn("at", F.filter(F.transform("of", lambda p, i: F.when((i == 0) | (F.get("of", i - 1) != p), i)), lambda i: i.isNotNull()))  # the first word of each piece
-    last = F.size("of") - 1
-    starts = F.transform("at", lambda a, i: F.get("of", F.coalesce(F.get("at", i + 1) - 1, last) - (words - 1)))  # null before the first word
-    return out.withColumns({"ends": F.transform("at", lambda a: F.get("of", a + (words - 1))), "starts": starts}).drop("of", "at")
+    return out.withColumn("ends", F.transform("at", lambda a: F.get("of", a + (words - 1)))).drop("of", "at")
 
 
 def _with_boundaries(rows: DataFrame) -> DataFrame:
@@ -156,11 +152,14 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.select("row", "text", _document(F.col("text")).alias("doc"))
 
     cut = _with_boundaries(_pieces(rows.where("text is not null").select("doc", "text"), words))
-    found = F.array_distinct(F.filter("boundaries", lambda b: b.isNotNull()))
-    spots = cut.select("doc", F.explode_outer(found).alias("spot"))  # explode() would infer a filter that computes all boundaries anew
-    spots = saved(spots.where("spot is not null").select("doc", "spot.at", "spot.hash"))
+    # Boundaries come in the order of runs: those of neighbouring runs that share one are one spot, with its first and last run.
+    new = F.transform("boundaries", lambda b, i: F.when(b.isNotNull() & ~F.coalesce(F.get("boundaries", i - 1)["at"] == b["at"], F.lit(False)), i))
+    cut = cut.withColumn("firsts", F.filter(new, lambda i: i.isNotNull()))
+    last = lambda k: F.coalesce(F.get("firsts", k + 1), F.size("boundaries")) - 1
+    spots = cut.select("doc", F.explode_outer(F.transform("firsts", lambda s, k: F.struct(F.get("boundaries", s)["hash"].alias("hash"), s.alias("first"), last(k).alias("last")))).alias("spot"))  # explode() would infer a filter that computes all boundaries anew
+    spots = saved(spots.where("spot is not null").select("doc", "spot.first", "spot.last", "spot.hash"))
     repeated = saved(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_set("at").alias("wanted"))
+    wanted = spots.join(repeated, "hash").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("wanted"))
     joined = saved(rows.drop("text").join(wanted, "doc", "left"))
     body = F.col("row").getField(text)
     held = joined.where("wanted is not null").withColumn("text", body)
@@ -168,11 +167,14 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def told(start: Column, end: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), F.unhex(F.sha2(F.array_join(_run(start, end), ""), 256)).alias("digest"))
 
-    own = _with_boundaries(_pieces(held.select("doc", "wanted", "text"), words))
-    around = F.transform("boundaries", lambda b, i: F.when(F.array_contains("wanted", b["at"]), i))  # starts of the shortest runs around a repeated boundary
-    own = own.withColumn("wanted", F.filter(around, lambda i: i.isNotNull()))
+    own = _pieces(held.select("doc", "wanted", "text"), words)
+    starts = F.filter(F.flatten(F.transform("wanted", lambda r: F.sequence(r["first"], r["last"]))), lambda s: F.get("ends", s).isNotNull())
+    own = own.withColumn("wanted", starts)  # starts of the shortest runs around a repeated boundary
     forward = F.transform("wanted", lambda s: told(s, F.get("ends", s)))
-    backward = F.filter(F.transform("starts", lambda s, e: F.when(F.array_contains("wanted", s) & (F.get("ends", s) < e), told(s, e))), lambda r: r.isNotNull())
+    # The shortest run that ends with a piece starts with s if the run from s ends before, and that from s + 1 behind the piece.
+    after, before = (lambda s: F.get("ends", s) + 1), (lambda s: F.coalesce(F.get("ends", s + 1), F.size("ends")) - 1)
+    ending = lambda s: F.when(after(s) <= before(s), F.transform(F.sequence(after(s), before(s)), lambda e: told(s, e)))
+    backward = F.flatten(F.filter(F.transform("wanted", ending), lambda x: x.isNotNull()))
     own = own.select("doc", F.explode_outer(F.concat(forward, backward)).alias("run"))
     own = saved(own.where("run is not null").select("doc", "run.start", "run.end", "run.digest"))
     firsts = own.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")

@@ -269,6 +269,25 @@ def test_repeated_passages_equal_brute_force(spark):
     assert got[len(texts)].text is None and got[len(texts)].n_pieces == 0
 
 
+def test_long_equal_texts_take_linear_time(spark):
+    import time
+
+    rng = random.Random(3)
+
+    def seconds(lines):
+        text = "\n".join(" ".join(f"w{rng.randrange(9_999)}" for _ in range(4)) for _ in range(lines))
+        df = docs_of(spark, [text, "x. " + text])
+        began = time.time()
+        left = {r.row.doc_id: r.text for r in line_dedup.remove_passages(df).collect()}
+        assert left == {0: text, 1: "x."}
+        assert {r.row.doc_id: len(r.text) < len(text) / 5 for r in line_dedup.remove_repeats(df).collect()} == {0: False, 1: True}
+        return time.time() - began
+
+    seconds(5_000)
+    small = seconds(20_000)
+    assert seconds(160_000) < 8 * small + 20  # 3.8 MB; a time that grows with the square would be 64 times as long
+
+
 def test_repeated_passages_with_null_and_repeated_ids(spark):
     text = "\n".join(f"line {i}" for i in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + "\nmore")], "doc_id bigint, text string")
