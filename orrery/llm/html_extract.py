@@ -3,7 +3,8 @@
 A page becomes a tree of its block elements. Each node is content or not; unary potentials come from its
 tag, cue words in its class, id and role, and its own text, pairwise potentials join it to its parent.
 Sum-product messages upward and downward give every node's marginal, and the text blocks of nodes whose
-marginal for content is 0.5 or more are the main text. All pages of a batch pass their messages together,
+marginal for content is 0.5 or more are the main text; on a page where none reaches that, its prose outside of menus and the
+like is taken if its marginal is near the page's best. All pages of a batch pass their messages together,
 level by level.
 
 The weights are trained by gradient steps on the exact marginals: from the labelled pages below
@@ -37,6 +38,8 @@ from orrery.llm.common import field, map_columns
 #: Pages of the table, by a hash of the id, that the weights are trained on beside the labelled ones, if their author marks the content.
 SAMPLE = 200
 PAGES_AT_ONCE = 400
+#: Signs of a block that is prose for sure, if it also ends a sentence and isn't mostly links.
+PROSE = 80
 STEPS, RATE, DECAY = 80, 0.4, 1e-3
 
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption address summary legend".split())
@@ -217,7 +220,8 @@ def parse(source: str) -> Page:
             pop(len(stack) - 1)
         while len(stack) > 1 and page.tag[stack[-1]] in CLOSES.get(tag, ()):
             pop(len(stack) - 1)
-        if tag in ("html", "body") and len(stack) == 1 and tag == "html":
+        if tag == "html" and len(stack) == 1:
+            page.label[0] = int("data-main" in rest)
             continue
         node = len(page.parent)
         page.parent.append(stack[-1])
@@ -363,11 +367,23 @@ def main_texts(sources: list[str | None], model: Model) -> list[str]:
     for at in range(0, len(sources), PAGES_AT_ONCE):
         pages = [parse(s or "") for s in sources[at : at + PAGES_AT_ONCE]]
         forest = Forest(pages)
-        good = forest.marginals(model) >= 0.5
-        out += ["\n".join(text for node, text, _ in page.blocks if good[start + node]) for page, start in zip(pages, forest.starts.tolist(), strict=False)]
+        marginals = forest.marginals(model)
+        for page, start in zip(pages, forest.starts.tolist(), strict=False):
+            own = marginals[start : start + len(page.parent)]
+            out.append("\n".join(text for node, text, _ in page.blocks if own[node] >= 0.5) or "\n".join(unsure(page, own)))
     return out
 
 
+def unsure(page: Page, marginals: np.ndarray) -> list[str]:
+    """Blocks of a page on which no text reaches one half: its prose outside of everything that says it is something else, where it comes near to the likeliest of it."""
+    apart = [False] * len(page.parent)
+    for k in range(1, len(apart)):
+        apart[k] = apart[page.parent[k]] or page.tag[k] in ("nav", "aside", "header", "footer", "form") or bool(AGAINST.search(page.marks[k]))
+    prose = [(node, text) for node, text, linked in page.blocks if len(text) >= PROSE and text[-1] in ".!?…" and 2 * linked <= len(text) and not apart[node]]
+    best = max((marginals[node] for node, _ in prose), default=0.0)
+    return [text for node, text in prose if 2 * marginals[node] >= best]
+
+
 def labelled_pages() -> list[tuple[Page, list[int]]]:
     pages = [parse(source) for source in LABELLED]
     return [(p, p.label) for p in pages]
@@ -415,4 +431,29 @@ LABELLED = [
     "<article data-main><h1>Note</h1><p>Late train, again.</p></article>",
     f'<body><div><ul>{_LINKS}</ul></div><div><div data-main><h2>Bridge</h2><p>{_LONG}</p><p>{_MORE}</p><p>{_LONG}</p></div></div><div class="comments"><h3>Comments</h3><div><p>{_MORE}</p></div><div><p>{_LONG}</p></div></div><div>Imprint</div></body>',
     f'<body><p class="notice">{_LONG}</p><nav>{_LINKS}</nav><form><p>{_LONG}</p></form><footer>{_LONG}</footer></body>',
+    # Layouts without any name: bare blocks, text that lies in the body itself, tables, several articles.
+    f"<body><div><div data-main><p>{_LONG}</p><p>{_MORE}</p></div></div></body>",
+    f"<body><div data-main><p>{_MORE}</p><p>{_LONG}</p><p>{_MORE}</p></div></body>",
+    f"<body data-main><p>{_LONG}</p><p>{_MORE}</p></body>",
+    f"<body data-main><h1>Bridge</h1>{_LONG}<br>{_MORE}<footer data-not>Imprint, {_LINKS}</footer></body>",
+    f"<body data-main>{_LONG} {_MORE}</body>",
+    f"<body data-main><h2>Bridge</h2>{_LONG} {_MORE}<br><br>{_LONG}<hr>{_MORE}<div data-not class='footer'>Imprint</div></body>",
+    f"<body><table><tr><td><ul>{_LINKS}</ul></td><td data-main><h1>Bridge</h1><p>{_LONG}</p><p>{_MORE}</p></td></tr><tr><td>Imprint</td></tr></table></body>",
+    f"<body><table><tr><td><a href='/'>Home</a></td><td><a href='/n'>News</a></td></tr><tr><td></td><td data-main>{_LONG}<br>{_MORE}</td></tr></table></body>",
+    f"<body><table><tr><td><a href='/'>Home</a> | <a href='/n'>News</a></td></tr><tr><td data-main><h2>Bridge</h2>{_LONG} {_MORE}</td></tr><tr><td>Imprint</td></tr></table></body>",
+    f"<body><nav>{_LINKS}</nav><article data-main><h2>Bridge</h2><p>{_LONG}</p></article><article data-main><h2>Road</h2><p>{_MORE}</p><p>{_LONG}</p></article><footer>Imprint</footer></body>",
+    f"<body><div><ul>{_LINKS}</ul></div><div><div data-main>{_LONG}<br>{_MORE}</div></div><div>Imprint</div></body>",
+    f"<body><div><ul>{_LINKS}</ul></div><div><div data-main><p>{_LONG}</p><p>{_MORE}</p></div></div><div class='comments'><div><p>{_MORE}</p></div><div><p>{_LONG}</p></div></div></body>",
+    f"<body><div data-main><p>{_LONG}</p><p>{_MORE}</p></div><div class='comments'><div><p>{_MORE}</p></div></div></body>",
+    f"<body><center><b>The Daily</b></center><ul>{_LINKS}</ul><div data-main><p>{_LONG}</p><p>{_MORE}</p></div><center>Imprint</center></body>",
+    f"<body><ul>{_LINKS}</ul><form><p>{_MORE}</p></form><div class='newsletter'><p>{_LONG}</p></div></body>",
+    f"<html data-main>{_LONG} {_MORE}",
+    f"<html data-main>{_MORE}<br>{_LONG}",
+    f"<div data-main>{_LONG} {_MORE}</div>",
+    f"<body><ul>{_LINKS}</ul><div data-main>{_LONG}<br>{_MORE}</div></body>",
+    f"<body data-main><ul data-not>{_LINKS}</ul><span>{_LONG}</span><br><span>{_MORE}</span></body>",
+    f"<body><ul>{_LINKS}</ul><ul data-main><li>{_LONG}</li><li>{_MORE}</li></ul></body>",
+    f"<body><ul data-main><li>{_MORE}</li><li>{_LONG}</li></ul></body>",
+    "<article data-main><p>note</p></article>",
+    f"<body><nav>{_LINKS}</nav><article data-main><p>ok</p></article></body>",
 ]

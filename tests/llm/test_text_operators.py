@@ -119,6 +119,33 @@ def test_extraction_without_an_article_element(spark):
     assert html_extract.main_texts(layouts, model) == ["\n".join(story)] * len(layouts)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_no_page_with_prose_is_empty(spark):
+    """Layouts of other make than the labelled ones, with other words: each gives its prose, and nothing of its menus."""
+    model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    a, b = "The river rose by two metres in the night, and the lower town is without power since four o'clock.", "Schools stay closed until Friday, the mayor said, while the fire brigade pumps out cellars in nine streets."
+    links = "".join(f'<li><a href="/{k}">{k}</a></li>' for k in ("Start", "Sport", "Weather"))
+    layouts = {
+        f"<body><div><div><p>{a}</p><p>{b}</p></div></div></body>": [a, b],
+        f"<body><h1>Flood</h1>{a}<br>{b}<footer>Imprint, privacy</footer></body>": ["Flood", f"{a} {b}"],
+        f"<body><p>{a}</p><p>{b}</p></body>": [a, b],
+        f"{a} {b}": [f"{a} {b}"],
+        f"<div>{a} {b}</div>": [f"{a} {b}"],
+        f"<body><table><tr><td><a href=/>Start</a><br><a href=/s>Sport</a></td><td><h1>Flood</h1>{a}<p>{b}</td></tr></table></body>": ["Flood", a, b],
+        f"<body><article><h2>Flood</h2><p>{a}</p></article><article><p>{b}</p></article></body>": ["Flood", a, b],
+        f"<html><body><ul>{links}</ul><span>{a}</span><br><span>{b}</span></body></html>": [f"{a} {b}"],
+        "<div>" * 6 + f"<p>{a}<p>{b}" + "</div>" * 6: [a, b],
+        f"<body><div><p>{a}</p><p>{b}</p></div><div class='comments'><p>{b}</p></div></body>": [a, b],
+        f"<body><pre>{a}\n{b}</pre></body>": [f"{a} {b}"],
+        f"<body><section><p>{a}</p></section><section><p>{b}</p></section></body>": [a, b],
+        f"<body><dl><dt>Flood</dt><dd>{a}</dd><dd>{b}</dd></dl></body>": ["Flood", a, b],
+        f"<body><ul><li>{a}</li><li>{b}</li></ul></body>": [a, b],
+        f"<body><nav><ul>{links}</ul></nav><div><ul>{links}</ul></div></body>": [],
+        f"<body><form><p>{a}</p></form><div class='newsletter'><p>{b}</p></div></body>": [],
+    }
+    assert dict(zip(layouts, html_extract.main_texts(list(layouts), model), strict=True)) == {k: "\n".join(v) for k, v in layouts.items()}
+
+
 def test_pages_are_read_in_linear_time():
     import time
 
