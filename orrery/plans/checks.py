@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from orrery.functions import exprs as X
@@ -14,6 +16,7 @@ from orrery.operators import reads as R
 from orrery.operators import reconcile as D
 from orrery.operators import repair as B
 from orrery.operators import search as SE
+from orrery.operators import search_tables as ST
 from orrery.plans.ingest import AMOUNTS, atoms, deltas, raw_events
 from orrery.plans.reads import HASH_INDEX, PARTICIPANTS, TOKENS, TOKEN_ENRICHMENT, enrichment, facets, hash_index, participants, token_enrichment, tokens
 from orrery.plans.reads import code as interfaces
@@ -75,6 +78,46 @@ def search_parts(v, texts=None):
     }
 
 
+def asked_texts(v):
+    """Hashes of every 500th transaction, keys and prefixes of every 60th account and each contract, codes and names in parts, pairs of codes, odd texts."""
+    t = v.transactions.where("id % 500 = 0").select(F.upper("hash").alias("query"))
+    k = v.accounts.where("account_id % 60 = 0").select(F.substring(key_of("G", F.col("account_id"), F.lit(False)), 1, 56).alias("query"))
+    c = v.contracts.select(F.lower(key_of("C", F.col("contract_id"), F.lit(False))).alias("query"))
+    n = v.contracts.select(F.concat(F.lit(" tract "), F.col("contract_id").cast("string")).alias("query"))
+    a = v.assets.where("id % 20 = 0 AND id > 0").select(F.substring("asset_code", 3, 40).alias("query"))
+    p = v.assets.where("id % 30 = 0 AND id > 0").select(F.concat(F.col("asset_code"), F.lit(" / p"), (F.col("id") + 1).cast("string")).alias("query"))
+    odd = v.assets.where("id BETWEEN 1 AND 9").select(F.element_at(F.array(*[F.lit(x) for x in ("xlm", " Native", "7", "#4", "token 1", "no such thing", "17", "  ", "ga")]), F.col("id").cast("int")).alias("query"))
+    return reduce(lambda x, y: x.union(y), [t, k, c, n, a, p, odd])
+
+
+def searched_table(v):
+    asked = ST.parsed(asked_texts(v))
+    accounts, contracts = v.accounts.withColumn("account_key", key_of("G", F.col("account_id"), F.lit(False))), v.contracts.withColumn("contract_key", key_of("C", F.col("contract_id"), F.lit(False)))
+    groups = [
+        ST.search_transactions(hash_index(v), asked), ST.search_pools(pools_with_creation(v), v.assets, asked), ST.search_accounts(accounts, asked), ST.search_contracts(contracts, asked),
+        ST.search_assets(v.assets, asked, facets(v).where("contract_id is not null")), ST.search_nfts(token_enrichment(v), asked),
+    ]
+    return SE.search_all(groups, 5)
+
+
+ASKED = f"""(SELECT upper(hash) AS query FROM v_transactions WHERE id % 500 = 0 UNION SELECT {KEY.format('G', 'account_id')} FROM v_accounts WHERE account_id % 60 = 0 UNION SELECT lower({KEY.format('C', 'contract_id')}) FROM v_contracts
+UNION SELECT concat(' tract ', contract_id) FROM v_contracts UNION SELECT substr(asset_code, 3) FROM v_assets WHERE id % 20 = 0 AND id > 0 UNION SELECT concat(asset_code, ' / p', id + 1) FROM v_assets WHERE id % 30 = 0 AND id > 0
+UNION SELECT * FROM (VALUES ('xlm'), (' Native'), ('7'), ('#4'), ('token 1'), ('no such thing'), ('17'), ('ga')) o)"""
+SEARCHED = f"""WITH q AS (SELECT query, CASE WHEN regexp_full_match(trim(query), '[0-9a-fA-F]{{64}}') THEN lower(trim(query)) END AS hash, CASE WHEN regexp_full_match(upper(trim(query)), '[GC][A-Z2-7]{{1,55}}') THEN upper(trim(query)) END AS prefix,
+  lower(trim(query)) AS part, trim(split_part(upper(trim(query)), '/', 1)) AS c1, CASE WHEN contains(query, '/') THEN trim(split_part(upper(trim(query)), '/', 2)) ELSE '' END AS c2 FROM {ASKED} x),
+legs AS (SELECT p.pool_id, {LEG.format('a')} AS a, {LEG.format('b')} AS b, coalesce(-created, 0) AS rank FROM v_pools p JOIN v_assets a ON a.id = asset_a JOIN v_assets b ON b.id = asset_b {CREATED}),
+hits AS (
+  SELECT DISTINCT query, 'transaction' AS kind, i.hash AS route, i.hash AS label, 0 AS rank FROM {HASH_INDEX} i JOIN q ON i.hash = q.hash
+  UNION ALL SELECT query, 'pool', CAST(pool_id AS VARCHAR), concat(a, ' / ', b), rank FROM legs JOIN q ON CASE WHEN q.hash IS NOT NULL THEN sha256(concat('pool', pool_id)) = q.hash ELSE CAST(pool_id AS VARCHAR) = trim(query)
+    OR (c2 = '' AND (contains(upper(a), c1) OR contains(upper(b), c1))) OR (c2 <> '' AND ((contains(upper(a), c1) AND contains(upper(b), c2)) OR (contains(upper(a), c2) AND contains(upper(b), c1)))) END
+  UNION ALL SELECT query, 'account', {KEY.format('G', 'account_id')}, coalesce(home_domain, ''), 0 FROM v_accounts JOIN q ON starts_with({KEY.format('G', 'account_id')}, prefix)
+  UNION ALL SELECT query, 'contract', {KEY.format('C', 'contract_id')}, name, 0 FROM v_contracts JOIN q ON CASE WHEN prefix IS NULL THEN contains(lower(name), part) ELSE starts_with({KEY.format('C', 'contract_id')}, prefix) END
+  UNION ALL SELECT query, 'asset', CASE WHEN id % 3 <> 2 THEN CAST(id AS VARCHAR) WHEN asset_type = 0 THEN 'native' ELSE concat(asset_code, '-', issuer_id) END, CASE WHEN asset_type = 0 THEN 'XLM' ELSE asset_code END, 0
+    FROM v_assets JOIN q ON contains(lower(asset_code), part) OR (asset_type = 0 AND part IN ('xlm', 'native'))
+  UNION ALL SELECT query, 'nft', concat(contract_id, '/', token_id), token_name, 0 FROM {TOKEN_ENRICHMENT} t JOIN q ON contains(lower(token_name), part))
+SELECT query, kind, route, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY rank, route, label) AS rn FROM hits) x WHERE rn <= 5"""
+
+
 # --- damaged copies, on which invariants must fire ---
 
 
@@ -229,6 +272,7 @@ PLANS = {
     "f4_search_contracts": (lambda v: search_parts(v)["contracts"], CONTRACT_HITS),
     "f5_search_assets": (lambda v: search_parts(v)["assets"], ASSET_HITS),
     "f6_search_nfts": (lambda v: search_parts(v)["nfts"], NFT_HITS),
+    "f7_search_table": (searched_table, SEARCHED),
     "f7_search_all": (lambda v: SE.search_all(list(search_parts(v, TEXTS).values()), 5), f"SELECT query, kind, route, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY rank, route, label) AS rn FROM ({ALL_HITS}) a) x WHERE rn <= 5"),
     "x2_visible": (lambda v: X.visible(v.transactions.select("id", "ledger_sequence"), v.ledgers.where("sequence <= 1000")), "SELECT id, ledger_sequence FROM v_transactions WHERE ledger_sequence <= (SELECT max(sequence) FROM v_ledgers WHERE sequence <= 1000)"),
     "x5_texts": (lambda v: v.operations.select("transaction_id", "application_order", X.fee_percent(F.col("quantity")).alias("fee"), X.usd_text(F.col("price") / 7).alias("usd"), X.classify_query(F.when(F.col("type") % 2 == 0, F.concat(F.lit("G"), F.lit("ABC"))).otherwise(F.lit("usd coin"))).alias("query"), X.decimal_text_equal(F.concat(F.col("quantity").cast("string"), F.lit(".000")), F.col("quantity").cast("string")).alias("same")),

@@ -320,3 +320,30 @@ def test_exact_percentiles_with_a_hot_key(spark):
     assert exact_percentiles(df.where("false"), ["k"], "x", at).count() == 0
     plan = exact_percentiles(df, ["k"], "x", at, partitions=16)._jdf.queryExecution().toString()
     assert "percentile" not in plan.lower().replace("exact_percentiles", "")
+
+
+def test_search_for_a_table_of_texts_equals_search_text_by_text(spark):
+    import hashlib
+    import random
+
+    from orrery.operators import search as SE
+    from orrery.operators import search_tables as ST
+
+    rng = random.Random(8)
+    code = lambda: "".join(rng.choice("aAbBx1/") for _ in range(rng.randrange(0, 7)))
+    assets = spark.createDataFrame([(i, 0 if i == 0 else 1, "" if i == 0 else code(), i % 5) for i in range(60)], "id bigint, asset_type int, asset_code string, issuer_id bigint")
+    pools = spark.createDataFrame([(i, hashlib.sha256(str(i).encode()).hexdigest(), i % 60, (i * 7) % 60, None if i % 9 == 0 else i) for i in range(80)], "pool_id bigint, pool_key string, asset_a bigint, asset_b bigint, created_ledger bigint")
+    contracts = spark.createDataFrame([(i, "C" + "".join(rng.choice("ABC") for _ in range(55)), rng.choice([None, "", code(), "Straße Ab"])) for i in range(40)], "contract_id bigint, contract_key string, name string")
+    wrappers = spark.createDataFrame([(i, i) for i in range(0, 60, 4)], "asset_id bigint, contract_id bigint")
+    index = pools.select(F.col("pool_key").alias("hash"))
+    texts = ["", "  ", "/", " / a", "a/b", "A / 1", "ab", "a", "XLM", "native", " x ", "aab", "1/1/1", "straße", "no such", "CA", "ca", "CAB", "C", "17", "G", hashlib.sha256(b"5").hexdigest().upper(), "b//", *[code() for _ in range(40)]]
+    asked = ST.parsed(spark.createDataFrame([(t,) for t in texts + texts[:9] + [None]], "query string"))
+    for one, many in [
+        (SE.search_transactions(index, texts), ST.search_transactions(index, asked)),
+        (SE.search_pools(pools, assets, texts), ST.search_pools(pools, assets, asked)),
+        (SE.search_contracts(contracts, texts), ST.search_contracts(contracts, asked)),
+        (SE.search_assets(assets, texts, wrappers), ST.search_assets(assets, asked, wrappers)),
+    ]:
+        assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    many = ST.parsed(spark.range(10_000).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("query")))
+    assert ST.search_assets(assets, many, wrappers).count() == sum(c in r.asset_code.lower() for r in assets.collect() for c in ("b1", "b11", "b111", "b1111"))
