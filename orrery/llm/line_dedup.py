@@ -30,6 +30,8 @@ WINDOW, DIVISOR = 2, 3
 MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
 #: Words of the shortest passage that goes; where a text is cut into pieces.
 PASSAGE_WORDS = 50
+#: Bytes of a run's SHA-256 by which it is known.
+DIGEST_BYTES = 16
 SPACE = " \t\n\v\f\r"
 PIECE_ENDS = r"(?=\s)(?:(?<=[.!?])|(?<=\S)(?=\s*\n))"
 
@@ -118,12 +120,22 @@ def report(removed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
+def _words_of(trimmed: Column) -> Column:
+    """Words of a text without white space around it. Most have single spaces only, and these are counted without a pattern."""
+    odd = F.lit(False)
+    for sign in ("  ", *SPACE[1:]):
+        odd |= trimmed.contains(sign)
+    spaces = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit(" "), F.lit("")))
+    return F.when(trimmed == "", 0).when(odd, F.regexp_count(trimmed, F.lit(r"\S+"))).otherwise(spaces + 1)
+
+
 def _pieces(rows: DataFrame, words: int) -> DataFrame:
     """rows (with a column text) and: pieces (of which only the last can be without words), and ends: the piece with which the shortest run of enough words that starts with each piece ends, null if none does."""
     out = rows.withColumn("pieces", F.split("text", PIECE_ENDS, -1))
-    out = out.withColumn("of", F.flatten(F.transform("pieces", lambda p, i: F.array_repeat(i, F.regexp_count(p, F.lit(r"\S+"))))))  # the piece of each word
+    out = out.withColumn("trimmed", F.transform("pieces", lambda p: F.trim(p, F.lit(SPACE))))
+    out = out.withColumn("of", F.flatten(F.transform("trimmed", lambda p, i: F.array_repeat(i, _words_of(p)))))  # the piece of each word
     out = out.withColumn("at", F.filter(F.transform("of", lambda p, i: F.when((i == 0) | (F.get("of", i - 1) != p), i)), lambda i: i.isNotNull()))  # the first word of each piece
-    return out.withColumn("ends", F.transform("at", lambda a: F.get("of", a + (words - 1)))).drop("of", "at")
+    return out.withColumn("ends", F.transform("at", lambda a: F.get("of", a + (words - 1)))).drop("of", "at", "trimmed")
 
 
 def _with_boundaries(rows: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """For every row: row (a struct of all columns of docs), text (what stays of it), n_pieces, n_removed (pieces).
 
     Any repeated run of enough words is covered by shortest ones: of each piece either the one that ends with it or the one that starts the run.
-    So the boundaries of all shortest runs are counted over the corpus; only around those that repeat are both kinds of runs compared, by their SHA-256.
+    So the boundaries of all shortest runs are counted over the corpus; only around those that repeat are both kinds of runs compared, by 128 bits of their SHA-256.
     """
     rows = docs.select(F.struct(*[field(c) for c in docs.columns]).alias("row"), field(doc_id).alias("doc_id"), field(text).alias("text"))
     rows = rows.select("row", "text", _document(F.col("text")).alias("doc"))
@@ -165,7 +177,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = joined.where("wanted is not null").withColumn("text", body)
 
     def told(start: Column, end: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), F.unhex(F.sha2(F.array_join(_run(start, end), ""), 256)).alias("digest"))
+        return F.struct(start.alias("start"), end.alias("end"), F.substring(F.unhex(F.sha2(F.array_join(_run(start, end), ""), 256)), 1, DIGEST_BYTES).alias("digest"))
 
     own = _pieces(held.select("doc", "wanted", "text"), words)
     starts = F.filter(F.flatten(F.transform("wanted", lambda r: F.sequence(r["first"], r["last"]))), lambda s: F.get("ends", s).isNotNull())
