@@ -71,12 +71,13 @@ def keyset_page(df: DataFrame, key: Sequence[str], limit: int, cursor: Sequence
     return page.withColumn("has_next", nxt).withColumn("has_prev", prev).orderBy(*final).drop("rank_", "more_")
 
 
-def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, values: Sequence[str], step: int | None = None) -> DataFrame:
+def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, values: Sequence[str], step: int | None = None, reach: int | None = None) -> DataFrame:
     """Each left row with the values (and time) of the last right row of its keys at or before it; none: null.
 
     Both sides are stacked, laid out by key and time, and the last right row is carried forward: one shuffle, no pairs.
     step: the time axis is cut into stretches of this length, so that a hot key is many groups; each stretch starts with the
-    last right row before it, which is found among one row for each key and stretch.
+    last right row before it, which is found among one row for each key and stretch. reach: right rows that are older by more may be left
+    out; then what stretches start with is made from the right side alone, and the left side is read once.
     """
     carried = F.struct(F.col(right_at).alias(right_at), *[F.col(v) for v in values])
     whole = F.struct(*[F.col(c) for c in left.columns])
@@ -87,9 +88,16 @@ def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, rig
     if step is not None:
         both = both.withColumn("stretch_", F.floor(F.col("at_") / step))
         group.append("stretch_")
-        ends = both.groupBy(*group).agg(F.max(F.when(F.col("side_") == 1, F.struct("at_", "carried_"))).carried_.alias("end_"))
-        before = Window.partitionBy(*by).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
-        starts = ends.withColumn("carried_", F.last("end_", ignorenulls=True).over(before)).where("carried_ is not null")
+        if reach is None:
+            ends = both.groupBy(*group).agg(F.max(F.when(F.col("side_") == 1, F.struct("at_", "carried_"))).carried_.alias("end_"))
+            before = Window.partitionBy(*by).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+            starts = ends.withColumn("carried_", F.last("end_", ignorenulls=True).over(before)).where("carried_ is not null")
+        else:  # the last row of a stretch starts the next ones, up to that in which the next row lies
+            ends = r.withColumn("stretch_", F.floor(F.col("at_") / step)).groupBy(*group).agg(F.max(F.struct("at_", "carried_")).alias("end_"))
+            after = F.lead("stretch_").over(Window.partitionBy(*by).orderBy("stretch_"))
+            last = F.floor((F.col("end_.at_") + reach) / step)
+            ends = ends.withColumn("to_", F.least(F.coalesce(after, last), last)).where(F.col("to_") > F.col("stretch_"))
+            starts = ends.select(*by, F.explode(F.sequence(F.col("stretch_") + 1, "to_")).alias("stretch_"), F.col("end_.carried_").alias("carried_"))
         starts = starts.select(*group, (F.col("stretch_") * step).cast(both.schema["at_"].dataType).alias("at_"), F.lit(0).alias("side_"), "carried_")
         both = both.unionByName(starts, allowMissingColumns=True)
     w = Window.partitionBy(*group).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)

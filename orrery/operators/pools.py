@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import pool_filter
-from orrery.functions.versioned import latest_by_version
+from orrery.functions.versioned import asof_left, latest_by_version
 
 #: Id of the native asset in pools and wrappers.
 NATIVE_ID = 0
@@ -89,19 +89,22 @@ def pool_usd(pools: DataFrame, snapshots: DataFrame, closes: DataFrame, volume:
 INTERVALS = {"1h": ("hour", "hour"), "1d": ("day", "day"), "1w": ("week", "day")}
 
 
-def carried_prices(prices: DataFrame, grain: str, carry: int, now: Column | None = None) -> DataFrame:
-    """leg, bucket and close for every bucket in which a price holds: its own and later ones, up to the next price and at most `carry` seconds on.
+#: Seconds of a bucket of prices, and buckets in one stretch of time of the as-of pass, which makes a leg of very many pools many groups.
+SECONDS, STRETCH = {"hour": 3_600, "day": 86_400}, 64
 
-    The bucket of `now` is still open, and left out. A row becomes carry / grain rows at most, so that snapshots need no more than an equality on leg and bucket.
+
+def with_prices(rows: DataFrame, prices: DataFrame, grain: str, carry: int, now: Column | None = None) -> DataFrame:
+    """rows (leg, price_second: the start of a price bucket) with price: the close of that bucket or of the last one before it, at most `carry` seconds older; without a leg null.
+
+    One pass over prices and rows by leg and time. The bucket of `now` is still open, and left out.
     """
-    step = F.expr(f"INTERVAL 1 {grain}")
     own = prices.where("close_usd > 0").select("leg", F.date_trunc(grain, "bucket").alias("bucket"), "close_usd")
     if now is not None:
         own = own.where(F.col("bucket") < F.date_trunc(grain, now))
-    own = own.groupBy("leg", "bucket").agg(F.max("close_usd").alias("close_usd"))
-    after = F.lead("bucket").over(Window.partitionBy("leg").orderBy("bucket"))
-    until = F.least(F.coalesce(after - step, F.col("bucket") + F.make_interval(secs=F.lit(carry))), F.col("bucket") + F.make_interval(secs=F.lit(carry)))
-    return own.withColumn("until", until).select("leg", F.explode(F.sequence("bucket", F.greatest("until", "bucket"), step)).alias("bucket"), "close_usd")
+    own = own.groupBy("leg", F.unix_timestamp("bucket").alias("second")).agg(F.max("close_usd").alias("close_usd"))
+    found = asof_left(rows.where("leg is not null"), own, ["leg"], "price_second", "second", ["close_usd"], STRETCH * SECONDS[grain], carry)
+    found = found.withColumn("price", F.when(F.col("price_second") - F.col("second") <= carry, F.col("close_usd"))).drop("second", "close_usd")
+    return found.unionByName(rows.where("leg is null").withColumn("price", F.lit(None).cast("double")))
 
 
 def pool_chart(pools: DataFrame, snapshots: DataFrame, ledgers: DataFrame, prices: DataFrame, interval: str, carry: int, now: Column | None = None) -> DataFrame:
@@ -113,13 +116,15 @@ def pool_chart(pools: DataFrame, snapshots: DataFrame, ledgers: DataFrame, price
     bucket, grain = INTERVALS[interval]
     closes = ledgers.select(F.col("sequence").alias("ledger_sequence"), F.col("closed_at").cast("timestamp").alias("closed_at")).dropDuplicates(["ledger_sequence"])
     rows = snapshots.dropDuplicates(["pool_id", "ledger_sequence"]).join(pools.select("pool_id", "leg_a", "leg_b", "fee_bps"), "pool_id").join(closes, "ledger_sequence")
-    rows = rows.withColumns({"price_bucket": F.date_trunc(grain, "closed_at"), "bucket": F.date_trunc(bucket, "closed_at")})
-    carried = carried_prices(prices, grain, carry, now)
-    for side in "ab":
-        price = carried.select(F.col("leg").alias(f"leg_{side}"), F.col("bucket").alias("price_bucket"), F.col("close_usd").alias(f"price_{side}"))
-        rows = rows.join(price, [f"leg_{side}", "price_bucket"], "left")
-    tvl = F.col("reserve_a") * F.col("price_a") + F.col("reserve_b") * F.col("price_b")
-    rows = rows.withColumns({"tvl": tvl, "worth": F.col("gross_volume_a") * F.col("price_a")})
+    second = F.unix_timestamp(F.date_trunc(grain, "closed_at")).alias("price_second")
+    leg = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"leg_{side}").alias("leg"), F.col(f"reserve_{side}").alias("reserve"))
+    key = ["pool_id", "ledger_sequence", F.date_trunc(bucket, "closed_at").alias("bucket"), "fee_bps", "gross_volume_a"]
+    sides = with_prices(rows.select(*key, second, F.inline(F.array(leg("a"), leg("b")))), prices, grain, carry, now)
+    worth = F.col("reserve") * F.col("price")
+    both = sides.groupBy("pool_id", "ledger_sequence", "bucket").agg(
+        F.when(F.count("price") == 2, F.sum(worth)).alias("tvl"), F.max(F.when(F.col("side") == "a", F.col("price"))).alias("price_a"), F.max("gross_volume_a").alias("gross_volume_a"), F.max("fee_bps").alias("fee_bps")
+    )
+    rows = both.withColumn("worth", F.col("gross_volume_a") * F.col("price_a"))
     unpriced = F.count_if(F.col("gross_volume_a").isNotNull() & F.col("price_a").isNull())
     volume = F.when(unpriced > 0, None).otherwise(F.round(F.sum("worth"), 4))
     grouped = rows.groupBy("pool_id", "bucket").agg(

@@ -1,7 +1,7 @@
 """Ledger-shaped views over plain business tables, in SQL that Spark and other engines share.
 
-``DAYS(x)`` stands for the days from 1994-12-31 to x, ``MINUTES(x)`` for the minutes from 2024-01-01; each
-engine has its own words for them. Natural integers serve as ids, since hash functions differ.
+``DAYS(x)`` stands for the days from 1994-12-31 to x, ``MINUTES(x)`` for the minutes from 2024-01-01, ``EACH(x, y)`` for
+a row for each of the values; each engine has its own words for them. Natural integers serve as ids, since hash functions differ.
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_lp_amounts": (
         ("v_operations",),
-        "SELECT pool_id, ledger_sequence, transaction_id, application_order, tx_source_id, 'A' AS leg, CASE WHEN flag = 'R' THEN -quantity ELSE quantity END AS amount, flag FROM v_operations WHERE pool_id IS NOT NULL "
-        "UNION ALL "
-        "SELECT pool_id, ledger_sequence, transaction_id, application_order, tx_source_id, 'B' AS leg, CASE WHEN flag = 'N' THEN price ELSE -price END AS amount, flag FROM v_operations WHERE pool_id IS NOT NULL",
+        "SELECT pool_id, ledger_sequence, transaction_id, application_order, tx_source_id, leg, "
+        "CASE WHEN leg = 'A' THEN CASE WHEN flag = 'R' THEN -quantity ELSE quantity END ELSE CASE WHEN flag = 'N' THEN price ELSE -price END END AS amount, flag "
+        "FROM (SELECT *, EACH('A', 'B') AS leg FROM v_operations WHERE pool_id IS NOT NULL) o",
     ),
     "v_pool_snapshots": (
         ("v_lp_amounts",),
@@ -146,11 +146,13 @@ def with_clause(sql: str) -> str:
 def _outside(sql: str) -> str:
     sql = re.sub(r"DAYS\((\w+)\)", r"date_diff('day', DATE '1994-12-31', CAST(\1 AS DATE))", sql)
     sql = re.sub(r"MINUTES\((\w+)\)", r"floor((epoch(\1) - 1704067200) / 60)", sql)
+    sql = re.sub(r"EACH\(([^()]*)\)", r"unnest([\1])", sql)
     sql = re.sub(r"sha2\((.*?), 256\)", r"sha256(\1)", sql)
     return sql.replace("AS STRING", "AS VARCHAR")
 
 
 def _spark(sql: str) -> str:
+    sql = re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", sql)
     sql = re.sub(r"DAYS\((\w+)\)", r"datediff(\1, DATE '1994-12-31')", sql)
     return re.sub(r"MINUTES\((\w+)\)", r"timestampdiff(MINUTE, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(\1 AS TIMESTAMP_NTZ))", sql)
 

@@ -39,6 +39,10 @@ def test_asof_takes_the_last_at_or_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 2, 20.0), (1, 5, 50.0), (1, 6, 60.0)], "k int, at int, p double")
     assert rows(S.asof_left(left, right, ["k"], "t", "at", ["p"], step=2), "k", "t", "at", "p") == rows(S.asof_left(left, right, ["k"], "t", "at", ["p"]), "k", "t", "at", "p")
+    near = S.asof_left(left, right, ["k"], "t", "at", ["p"]).collect()
+    for step, reach in ((1, 2), (2, 3), (3, 100), (50, 1)):  # rows within reach are found, whatever the stretches
+        got = {(r.k, r.t): (r["at"], r.p) for r in S.asof_left(left, right, ["k"], "t", "at", ["p"], step=step, reach=reach).collect()}
+        assert all(got[r.k, r.t] == (r["at"], r.p) for r in near if r["at"] is None or r.t - r["at"] <= reach) and len(got) == len({(r.k, r.t) for r in near})
     assert rows(S.asof_left(left, right, ["k"], "t", "at", ["p"]), "k", "t", "at", "p") == [(1, 1, None, None), (1, 5, 5, 50.0), (2, 9, None, None)]
 
 
