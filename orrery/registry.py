@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.plans import checks, ingest, reads, stream
+from orrery.plans import checks, columns, damaged, ingest, reads, stream
 from orrery.sources.views import Views, with_clause
 
-_PLANS = reads.PLANS | ingest.PLANS | checks.PLANS | stream.PLANS
+_PLANS = reads.PLANS | ingest.PLANS | checks.PLANS | damaged.PLANS | columns.PLANS | stream.PLANS
 
 
 def _query(plan):
