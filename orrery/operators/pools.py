@@ -68,6 +68,20 @@ def pool_volume(snapshots: DataFrame, since: int) -> DataFrame:
     return snapshots.where(F.col("ledger_sequence") > since).groupBy("pool_id").agg(F.sum("gross_volume_a").alias("volume"))
 
 
+def closed_within(ledgers: DataFrame, seconds: int, now: Column | None = None) -> DataFrame:
+    """Ledgers (ledger_sequence, each once) that closed in the last seconds before `now`, or before the last close: a window by time, however many ledgers that is."""
+    own = ledgers.groupBy(F.col("sequence").alias("ledger_sequence")).agg(F.min(F.unix_timestamp(F.col("closed_at").cast("timestamp"))).alias("second_"))
+    end = own.agg(F.max("second_").alias("end_")) if now is None else ledgers.sparkSession.range(1).select(F.unix_timestamp(now).alias("end_"))  # one row
+    return own.join(F.broadcast(end), (F.col("second_") > F.col("end_") - seconds) & (F.col("second_") <= F.col("end_"))).select("ledger_sequence")
+
+
+def pool_volume_by_close(snapshots: DataFrame, ledgers: DataFrame, seconds: int = 86_400, now: Column | None = None) -> DataFrame:
+    """Gross volume of each pool over the ledgers that closed within the window; null without a trade. Snapshots that repeat count once."""
+    recent = snapshots.join(closed_within(ledgers, seconds, now), "ledger_sequence", "left_semi")
+    each = recent.groupBy("pool_id", "ledger_sequence").agg(F.max("gross_volume_a").alias("gross_volume_a"))
+    return each.groupBy("pool_id").agg(F.sum("gross_volume_a").alias("volume"))
+
+
 def last_closes(prices: DataFrame, now: int, max_age: int) -> DataFrame:
     """The last positive price of each asset, at most max_age old; the bucket of `now` is not closed yet."""
     rows = prices.where((F.col("close_usd") > 0) & (F.col("bucket") < now) & (F.col("bucket") >= now - max_age))
@@ -107,14 +121,19 @@ def with_prices(rows: DataFrame, prices: DataFrame, grain: str, carry: int, now:
     return found.unionByName(rows.where("leg is null").withColumn("price", F.lit(None).cast("double")))
 
 
-def pool_chart(pools: DataFrame, snapshots: DataFrame, ledgers: DataFrame, prices: DataFrame, interval: str, carry: int, now: Column | None = None) -> DataFrame:
+def pool_chart(pools: DataFrame, snapshots: DataFrame, ledgers: DataFrame, prices: DataFrame, interval: str, carry: int, now: Column | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """For each pool and hour, day or week (from Monday) by close time: value of the last snapshot that has both prices, volume (null if a trade has no price), fee, samples.
 
     A snapshot is priced by the close of its own price bucket or of the last one before it, at most `carry` seconds older.
     pools: pool_id, leg_a, leg_b (price_leg()), fee_bps; prices: leg, bucket, close_usd. Snapshots and ledgers that repeat count once.
+    since, until: bounds of the close times charted; the price bucket of `now` is open and gives no price.
     """
     bucket, grain = INTERVALS[interval]
     closes = ledgers.select(F.col("sequence").alias("ledger_sequence"), F.col("closed_at").cast("timestamp").alias("closed_at")).dropDuplicates(["ledger_sequence"])
+    if since is not None:
+        closes = closes.where(F.col("closed_at") >= since)
+    if until is not None:
+        closes = closes.where(F.col("closed_at") < until)
     rows = snapshots.dropDuplicates(["pool_id", "ledger_sequence"]).join(pools.select("pool_id", "leg_a", "leg_b", "fee_bps"), "pool_id").join(closes, "ledger_sequence")
     second = F.unix_timestamp(F.date_trunc(grain, "closed_at")).alias("price_second")
     leg = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"leg_{side}").alias("leg"), F.col(f"reserve_{side}").alias("reserve"))

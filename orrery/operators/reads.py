@@ -303,6 +303,16 @@ def contract_stats(invocations: DataFrame, events: DataFrame, window: int) -> Da
     return joined.select("contract_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "callers", "events")])
 
 
+def contract_stats_by_close(invocations: DataFrame, events: DataFrame, ledgers: DataFrame, seconds: int = 7 * 86_400) -> DataFrame:
+    """Calls, distinct callers and events of each contract over the ledgers that closed in the last seconds before the last close."""
+    from orrery.operators.pools import closed_within
+
+    recent = closed_within(ledgers, seconds)
+    calls = invocations.join(recent, "ledger_sequence", "left_semi").groupBy("contract_id").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("caller_id").alias("callers"))
+    said = events.join(recent, "ledger_sequence", "left_semi").groupBy("contract_id").agg(F.count(F.lit(1)).alias("events"))
+    return calls.join(said, "contract_id", "full_outer").select("contract_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "callers", "events")])
+
+
 def contract_interface(contracts: DataFrame, code: DataFrame) -> DataFrame:
     with_functions = code.where(F.get_json_object("interface", "$.functions").isNotNull())
     return contracts.select("contract_id", "code_hash").join(with_functions, "code_hash").select("contract_id", "interface")

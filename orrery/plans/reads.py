@@ -86,8 +86,18 @@ def price_series(v):
     return v.prices_1d.join(identities(v), F.col("id") == F.col("asset_id")).select("leg", day.alias("bucket"), "close_usd")
 
 
-def chart(v, interval):
-    return P.pool_chart(priced_pools(v), v.pool_snapshots, v.ledgers, price_series(v), interval, 48 * 3600)
+def chart(v, interval, **how):
+    return P.pool_chart(priced_pools(v), v.pool_snapshots, v.ledgers, price_series(v), interval, 48 * 3600, **how)
+
+
+#: A chart from a day to a moment of another, whose own bucket of prices is still open.
+CHART_FROM, CHART_TO = "TIMESTAMP '1997-03-01 00:00:00'", "TIMESTAMP '1998-02-08 12:00:00'"
+
+
+def minute_ledgers(v):
+    """Ledgers of the events, one a minute; some twice."""
+    own = v.events.select(F.col("ledger_sequence").alias("sequence")).distinct()
+    return own.union(own.where("sequence % 10 = 0")).withColumn("closed_at", F.timestamp_seconds(1_704_067_200 + 60 * F.col("sequence")))
 
 
 def code(v):
@@ -157,12 +167,12 @@ LEFT JOIN last ON last.pool_id = p.pool_id LEFT JOIN v_ledgers l ON l.sequence =
 IDENTITY = "CASE WHEN {0}.asset_type = 0 THEN 'native' ELSE concat('credit:', {0}.asset_code, ':', {0}.issuer_id) END"
 
 
-def chart_sql(interval: str, grain: str) -> str:
+def chart_sql(interval: str, grain: str, priced: str = "true", charted: str = "true") -> str:
     """Each snapshot at the close of its ledger, priced at the last close of its own price bucket or before, at most 48 hours old."""
     side = "SELECT {1}.*, CASE WHEN date_diff('second', price.bucket, {1}.price_bucket) <= 172800 THEN close_usd END AS price_{0} FROM {1} ASOF LEFT JOIN price ON {1}.leg_{0} = price.leg AND {1}.price_bucket >= price.bucket"
-    return f"""WITH price AS (SELECT {IDENTITY.format('a')} AS leg, CAST(DATE '1994-12-31' + CAST(bucket AS INT) AS TIMESTAMP) AS bucket, close_usd FROM v_prices_1d p JOIN v_assets a ON a.id = p.asset_id WHERE close_usd > 0),
+    return f"""WITH price AS (SELECT {IDENTITY.format('a')} AS leg, CAST(DATE '1994-12-31' + CAST(bucket AS INT) AS TIMESTAMP) AS bucket, close_usd FROM v_prices_1d p JOIN v_assets a ON a.id = p.asset_id WHERE close_usd > 0 AND {priced}),
 s AS (SELECT s.*, fee_bps, {IDENTITY.format('a')} AS leg_a, {IDENTITY.format('b')} AS leg_b, date_trunc('{grain}', CAST(closed_at AS TIMESTAMP)) AS price_bucket, date_trunc('{interval}', CAST(closed_at AS TIMESTAMP)) AS bk
-  FROM v_pool_snapshots s JOIN v_pools p ON s.pool_id = p.pool_id JOIN v_assets a ON a.id = p.asset_a JOIN v_assets b ON b.id = p.asset_b JOIN v_ledgers l ON l.sequence = s.ledger_sequence),
+  FROM v_pool_snapshots s JOIN v_pools p ON s.pool_id = p.pool_id JOIN v_assets a ON a.id = p.asset_a JOIN v_assets b ON b.id = p.asset_b JOIN v_ledgers l ON l.sequence = s.ledger_sequence WHERE {charted}),
 pa AS ({side.format('a', 's')}), pb AS ({side.format('b', 'pa')}),
 x AS (SELECT *, reserve_a * price_a + reserve_b * price_b AS tvl, gross_volume_a * price_a AS worth FROM pb),
 g AS (SELECT pool_id, bk, round(max_by(tvl, ledger_sequence) FILTER (tvl IS NOT NULL), 4) AS tvl_usd, CASE WHEN count(*) FILTER (gross_volume_a IS NOT NULL AND price_a IS NULL) = 0 THEN round(sum(worth), 4) END AS volume_usd,
@@ -221,6 +231,19 @@ PLANS = {
     "q38_last_closes": (lambda v: P.last_closes(v.prices_1d, NOW_DAY, 400), CLOSES),
     "q39_pool_usd": (lambda v: P.pool_usd(v.pools, v.pool_snapshots, P.last_closes(v.prices_1d, NOW_DAY, 400), P.pool_volume(v.pool_snapshots, NOW_DAY - 100)),
         f"WITH last AS ({LATEST}), c AS ({CLOSES}), vol AS ({VOLUME}) SELECT p.pool_id, round(reserve_a * a.close_usd + reserve_b * b.close_usd, 4) AS tvl_usd, round(volume * a.close_usd, 4) AS volume_usd, round(volume * a.close_usd * fee_bps / 10000, 4) AS fee_usd FROM v_pools p JOIN last ON last.pool_id = p.pool_id LEFT JOIN vol ON vol.pool_id = p.pool_id LEFT JOIN c a ON a.asset_id = p.asset_a LEFT JOIN c b ON b.asset_id = p.asset_b"),
+    "q37_pool_volume_by_close": (
+        lambda v: P.pool_volume_by_close(v.pool_snapshots.unionByName(v.pool_snapshots.where("pool_id % 2 = 0")), v.ledgers.unionByName(v.ledgers.where("sequence % 3 = 0")), 200 * 86_400),
+        "SELECT pool_id, CAST(sum(gross_volume_a) AS BIGINT) AS volume FROM v_pool_snapshots WHERE ledger_sequence > (SELECT max(sequence) FROM v_ledgers) - 200 GROUP BY pool_id",
+    ),
+    "q26_contract_stats_by_close": (
+        lambda v: R.contract_stats_by_close(v.invocations, v.events, minute_ledgers(v)),
+        "WITH h AS (SELECT max(ledger_sequence) - 10080 AS first FROM v_events), i AS (SELECT contract_id, count(*) AS calls, count(DISTINCT caller_id) AS callers FROM v_invocations, h WHERE ledger_sequence > first GROUP BY contract_id), "
+        "e AS (SELECT contract_id, count(*) AS events FROM v_events, h WHERE ledger_sequence > first GROUP BY contract_id) SELECT contract_id, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(events, 0) AS events FROM i FULL JOIN e USING (contract_id)",
+    ),
+    "q40_pool_chart_window": (
+        lambda v: chart(v, "1d", now=F.expr(CHART_TO), since=F.expr(CHART_FROM), until=F.expr(CHART_TO)),
+        chart_sql("day", "day", f"DATE '1994-12-31' + CAST(bucket AS INT) < CAST({CHART_TO} AS DATE)", f"CAST(closed_at AS TIMESTAMP) >= {CHART_FROM} AND CAST(closed_at AS TIMESTAMP) < {CHART_TO}"),
+    ),
     "q40_pool_chart": (lambda v: chart(v, "1w"), chart_sql("week", "day")),
     "q40_pool_chart_daily": (lambda v: chart(v, "1d"), chart_sql("day", "day")),
     "q40_pool_chart_hourly": (lambda v: chart(v, "1h"), chart_sql("hour", "hour")),
