@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.registry import ORACLE_SQL, QUERIES
 
@@ -12,6 +13,32 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+def test_rows_without_a_value_are_dealt_out(spark):
+    """A join on a column that is null in nearly all rows brings no task more than its share, and gives the same marks."""
+    from orrery.operators.quality import Rules, stacked
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).alias("of"))
+        rules = Rules(df, "t").foreign_key("known", "of", spark.range(0, 20_000, 200).toDF("k"), "k", "id", sparse="id")
+        sizes = [r["count"] for r in rules.df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 7_000
+        row = stacked([rules]).first()
+        assert (row.violations, row["sample"].split(",")[:2]) == (100, ["100", "10100"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_keys_that_join_to_one_text_are_two(spark):
+    from orrery.operators.quality import stacked, unique
+
+    df = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), (None, "x"), ("x", None), ("d", None), ("d", None)], "p string, q string")
+    row = stacked([unique(df, "t", "u", ["p", "q"])]).first()
+    assert (row.table, row.check, row.violations, row["sample"]) == ("t", "u", 1, "d")
+
+
 @pytest.fixture(scope="module")
 def far(tmp_path_factory):
     """The smallest tables with keys of orders far beyond a million, so that they weigh more than days."""
@@ -38,3 +65,14 @@ def rows_of_both(spark, far, name):
 def test_large_keys(spark, far, name):
     ours, theirs = rows_of_both(spark, far, name)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["e37_call_trace", "e18_net_settled", "q45_classify_tx"])
+def test_operations_in_more_partitions(spark, far, name, monkeypatch):
+    """The operations of a larger table stay in partitions of so many rows, and queries on them give the same."""
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500, raising=False)
+    assert views.Views(spark, far[0]).operations.rdd.getNumPartitions() >= 12
+    ours, theirs = rows_of_both(spark, far, name)
+    assert ours == theirs
