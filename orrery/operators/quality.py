@@ -27,10 +27,10 @@ class Rules:
         self.df, self.table, self.checks, self._lines, self._joined = df, table, [], [], 0
 
     def _line(self, check: str, said: Column, key: Column, whole: Column | None = None) -> Rules:
-        """whole: the key that must be unique; without it the row breaks the rule where `said` holds."""
+        """whole: what makes the key one that must be unique; without it the row breaks the rule where `said` holds."""
         self.checks.append(check)
         own = F.lit(None).cast("string") if whole is None else whole
-        self._lines.append(F.when(said, F.struct(F.lit(check).alias("check"), F.lit(whole is not None).alias("counts"), own.alias("whole"), key.cast("string").alias("key"))))
+        self._lines.append((said, own.alias("whole"), key.cast("string").alias("key")))
         return self
 
     def broken(self, check: str, said: Column, key: Column) -> Rules:
@@ -45,54 +45,63 @@ class Rules:
     def unique(self, check: str, key: list[str], where: Column | None = None) -> Rules:
         """Keys of several rows, each once."""
         texts = [F.col(k).cast("string") for k in key]
-        parts = [F.concat(F.coalesce(F.length(t), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(t, F.lit(""))) for t in texts]
-        return self._line(check, F.lit(True) if where is None else where, F.concat_ws(":", *texts), F.concat(*parts))
+        lengths = F.concat_ws(":", *[F.coalesce(F.length(t), F.lit(-1)).cast("string") for t in texts])  # with them the joined text can be taken apart in one way only
+        return self._line(check, F.lit(True) if where is None else where, F.concat_ws(":", *texts), lengths)
 
-    def known(self, column: str, dim: DataFrame, dim_key: str) -> Column:
-        """Whether a value has a row in dim."""
+    def known(self, column: str, dim: DataFrame, dim_key: str, sparse: str | None = None) -> Column:
+        """Whether a value has a row in dim. sparse: many rows have no value, and are dealt out by this column, as a join would bring all of them to one task."""
         self._joined += 1
-        at, mark = f"dim_{self._joined}_", f"known_{self._joined}_"
+        at, mark, deal = f"dim_{self._joined}_", f"known_{self._joined}_", f"deal_{self._joined}_"
         side = dim.select(F.col(dim_key).alias(at)).distinct().withColumn(mark, F.lit(True))
-        self.df = self.df.join(side, F.col(column) == F.col(at), "left")
+        same = F.col(column) == F.col(at)
+        if sparse is not None:
+            self.df = self.df.withColumn(deal, F.when(F.col(column).isNull(), F.xxhash64(sparse)).otherwise(F.xxhash64(column)))
+            side = side.withColumn(f"{deal}of_", F.xxhash64(at))  # no constant, which would fall out of the join's keys
+            same = same & (F.col(deal) == F.col(f"{deal}of_"))
+        self.df = self.df.join(side, same, "left")
         return F.col(mark).isNotNull()
 
-    def foreign_key(self, check: str, column: str, dim: DataFrame, dim_key: str, key: str | Column, where: Column | None = None) -> Rules:
+    def foreign_key(self, check: str, column: str, dim: DataFrame, dim_key: str, key: str | Column, where: Column | None = None, sparse: str | None = None) -> Rules:
         """Values that are not null and have no row in dim."""
-        wrong = F.col(column).isNotNull() & ~self.known(column, dim, dim_key)
+        wrong = F.col(column).isNotNull() & ~self.known(column, dim, dim_key, sparse)
         return self._line(check, wrong if where is None else where & wrong, F.col(key) if isinstance(key, str) else key)
 
-    def lines(self) -> DataFrame:
-        return self.df.select(F.lit(self.table).alias("table"), F.inline(F.filter(F.array(*self._lines), lambda x: x.isNotNull())))
+    def lines(self, first: int) -> DataFrame:
+        """A line of each rule that a row breaks or may break, with the rule's number, from `first`."""
+        each = [F.when(said, F.struct(F.lit(first + i).alias("rule"), whole, key)) for i, (said, whole, key) in enumerate(self._lines)]
+        return self.df.select(F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
 
 
 def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each rule the count, and the ten smallest keys (a key as often as it breaks the rule)."""
-    held: dict[tuple[str, str], tuple[int, list[str]]] = {}
+    held: dict[int, tuple[int, list[str]]] = {}
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        for name in rows.select(["table", "check"]).group_by(["table", "check"]).aggregate([]).to_pylist():
-            own = rows.filter(pc.and_(pc.equal(rows["table"], name["table"]), pc.equal(rows["check"], name["check"])))
+        for rule in pc.unique(rows["rule"]).to_pylist():
+            own = rows.filter(pc.equal(rows["rule"], rule))
             first = own.filter(pc.is_valid(own["key"]))
             first = first.take(pc.select_k_unstable(first, k=SAMPLE, sort_keys=[("key", "ascending")]))
             keys = [k for k, n in zip(first["key"].to_pylist(), first["n"].to_pylist(), strict=True) for _ in range(min(n, SAMPLE))]
-            n, before = held.get((name["table"], name["check"]), (0, []))
-            held[name["table"], name["check"]] = n + pc.sum(own["n"]).as_py(), sorted(before + keys)[:SAMPLE]
-    for (table, check), (n, keys) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([table]), pa.array([check]), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.string()))], names=["table", "check", "n", "keys"])
+            n, before = held.get(rule, (0, []))
+            held[rule] = n + pc.sum(own["n"]).as_py(), sorted(before + keys)[:SAMPLE]
+    for rule, (n, keys) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([rule], pa.int32()), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.string()))], names=["rule", "n", "keys"])
 
 
 def stacked(rules: list[Rules]) -> DataFrame:
     """A row for each rule: table, check, violations, sample (the ten smallest keys of rows that break it)."""
-    lines = rules[0].lines()
-    for r in rules[1:]:
-        lines = lines.unionByName(r.lines())
-    counted = lines.groupBy("table", "check", "counts", "whole", "key").agg(F.count(F.lit(1)).alias("n"))
-    wrong = counted.where("not counts or n > 1").select("table", "check", "key", F.when(F.col("counts"), F.lit(1)).otherwise(F.col("n")).cast("bigint").alias("n"))
-    parts = wrong.mapInArrow(_smallest, "table string, check string, n bigint, keys array<string>")  # a few rows a task
+    named = [(r.table, c) for r in rules for c in r.checks]
+    lines, first = None, 0
+    for r in rules:
+        own, first = r.lines(first), first + len(r.checks)
+        lines = own if lines is None else lines.unionByName(own)
+    counted = lines.groupBy("rule", "whole", "key").agg(F.count(F.lit(1)).alias("n"))
+    wrong = counted.where("whole is null or n > 1").select("rule", "key", F.when(F.col("whole").isNull(), F.col("n")).otherwise(F.lit(1)).cast("bigint").alias("n"))
+    parts = wrong.mapInArrow(_smallest, "rule int, n bigint, keys array<string>")  # a few rows a task
     sample = F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, SAMPLE), ",")
-    found = parts.groupBy("table", "check").agg(F.sum("n").alias("violations"), sample.alias("sample"))
-    names = lines.sparkSession.createDataFrame([(r.table, c) for r in rules for c in r.checks], "table string, check string")
-    joined = names.join(found, ["table", "check"], "left")
+    found = parts.groupBy("rule").agg(F.sum("n").alias("violations"), sample.alias("sample"))
+    names = lines.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(named)], "rule int, table string, check string")
+    joined = names.join(found, "rule", "left")
     return joined.select("table", "check", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
@@ -170,8 +179,8 @@ def check_hash_index(index: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def check_operations(operations: DataFrame, transactions: DataFrame, accounts: DataFrame, pools: DataFrame) -> DataFrame:
     rows = Rules(operations, "operations").foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
-    rows.foreign_key("source_exists", "source_id", accounts, "account_id", "transaction_id").foreign_key("destination_exists", "destination_id", accounts, "account_id", "destination_id")
-    rows.foreign_key("pool_exists", "pool_id", pools, "pool_id", "pool_id").unique("place_unique", ["transaction_id", "application_order"])
+    rows.foreign_key("source_exists", "source_id", accounts, "account_id", "transaction_id", sparse="transaction_id").foreign_key("destination_exists", "destination_id", accounts, "account_id", "destination_id")
+    rows.foreign_key("pool_exists", "pool_id", pools, "pool_id", "pool_id", sparse="transaction_id").unique("place_unique", ["transaction_id", "application_order"])
     return stacked([rows.rule("folded_count", F.col("amount") >= 1, F.col("transaction_id"), F.col("amount").isNotNull())])
 
 
@@ -184,7 +193,7 @@ def check_participants(parts: DataFrame, transactions: DataFrame, accounts: Data
 def check_contracts(contracts: DataFrame, accounts: DataFrame, code: DataFrame) -> DataFrame:
     key = F.col("contract_id")
     rows = Rules(contracts, "contracts").unique("contract_unique", ["contract_id"])
-    rows.foreign_key("deployer_exists", "deployer_id", accounts, "account_id", "contract_id").foreign_key("code_exists", "code_hash", code, "code_hash", "contract_id")
+    rows.foreign_key("deployer_exists", "deployer_id", accounts, "account_id", "contract_id", sparse="contract_id").foreign_key("code_exists", "code_hash", code, "code_hash", "contract_id", sparse="contract_id")
     rows.rule("key_shape", F.col("contract_key").rlike(CONTRACT_KEY), key).rule("type_range", F.col("contract_type").between(0, 3), key)
     return stacked([rows.rule("hash_shape", F.col("code_hash").rlike(HASH), key, F.col("code_hash").isNotNull())])
 
@@ -216,7 +225,7 @@ def check_invocations(invocations: DataFrame, transactions: DataFrame, contracts
     with_event = events.select(F.col("contract_id").alias("c_"), F.col("transaction_id").alias("t_")).distinct()
     rows = _with_parent(invocations, transactions).join(with_event, (F.col("contract_id") == F.col("c_")) & (F.col("transaction_id") == F.col("t_")), "left")
     rows = _parents(Rules(rows, "invocations")).foreign_key("contract_exists", "contract_id", contracts, "contract_id", "contract_id")
-    rows.foreign_key("caller_exists", "caller_id", accounts, "account_id", "caller_id")
+    rows.foreign_key("caller_exists", "caller_id", accounts, "account_id", "caller_id", sparse="transaction_id")
     return stacked([rows.broken("without_event", F.col("t_").isNull(), F.col("transaction_id"))])
 
 
@@ -224,7 +233,7 @@ def check_assets(assets: DataFrame, accounts: DataFrame, contracts: DataFrame) -
     kind, code, issuer, key = F.col("asset_type"), F.col("asset_code"), F.col("issuer_id"), F.col("id")
     shape = F.when(kind == 0, code == "").when(kind == 1, (code != "") & issuer.isNotNull()).otherwise(code == "")
     rows = Rules(assets, "assets").rule("type_range", kind.isin(0, 1, 3), key).rule("identity_shape", shape, key)
-    rows.foreign_key("issuer_exists", "issuer_id", accounts, "account_id", "id").foreign_key("contract_exists", "id", contracts, "contract_id", "id", kind == 3)
+    rows.foreign_key("issuer_exists", "issuer_id", accounts, "account_id", "id", sparse="id").foreign_key("contract_exists", "id", contracts, "contract_id", "id", kind == 3)
     rows.rule("not_negative", (F.coalesce("holders", F.lit(0)) >= 0) & (F.coalesce("supply", F.lit(0)) >= 0), key)
     return stacked([rows, rule(assets.agg(F.count_if(kind == 0).alias("n")), "assets", "one_native", F.col("n") == 1, F.col("n"))])
 
@@ -247,7 +256,7 @@ def check_nfts(tokens: DataFrame, contracts: DataFrame, accounts: DataFrame, own
     from orrery.operators.contracts import nft_state
 
     rows = Rules(tokens, "nfts").unique("token_unique", ["contract_id", "token_id"]).foreign_key("contract_exists", "contract_id", contracts, "contract_id", "contract_id")
-    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id")
+    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id", sparse="token_id")
     rows.rule("minted_before_seen", F.col("minted_at_ledger") <= F.col("last_seen_ledger"), F.col("token_id"), F.col("minted_at_ledger").isNotNull())
     return stacked([rows, recompute(tokens, nft_state(ownership), "nfts", {"owner_is_latest": "owner_id"}, ["contract_id", "token_id"])])
 
@@ -260,7 +269,7 @@ def check_nft_ownership(ownership: DataFrame, tokens: DataFrame, transactions: D
     there = tokens.select(F.col("contract_id").alias("c_"), F.col("token_id").alias("t_")).distinct()
     rows = Rules(ownership.join(there, (F.col("contract_id") == F.col("c_")) & (F.col("token_id") == F.col("t_")), "left"), "nft_ownership")
     rows.broken("token_exists", F.col("t_").isNull(), name).foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
-    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id").rule("type_range", F.col("event_type").between(0, 2), name)
+    rows.foreign_key("owner_exists", "owner_id", accounts, "account_id", "owner_id", sparse="transaction_id").rule("type_range", F.col("event_type").between(0, 2), name)
     rows.rule("order_not_negative", F.col("event_order") >= 0, name)
     return stacked([rows, rule(first, "nft_ownership", "first_is_mint", F.col("event_type") == 0, name)])
 
