@@ -351,3 +351,13 @@ def test_search_for_a_table_of_texts_equals_search_text_by_text(spark):
         assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
     many = ST.parsed(spark.range(10_000).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("query")))
     assert ST.search_assets(assets, many, wrappers).count() == sum(c in r.asset_code.lower() for r in assets.collect() for c in ("b1", "b11", "b111", "b1111"))
+
+
+def test_texts_look_at_few_more_names_than_they_fit(spark):
+    """Numbered names and as many texts: what postings bring near grows with the hits, not with texts times names."""
+    from orrery.operators import search_tables as ST
+
+    names = spark.range(4_000).select("id", F.concat(F.lit("brand#12p"), (F.col("id") + 100_000).cast("string")).alias("name"))
+    asked = names.where("id % 2 = 0").select(F.col("name").alias("query"), F.array("name").alias("parts"))
+    near = ST._containing(names, "id", [F.col("name")], asked, F.lit(True))
+    assert 2_000 <= near.count() <= 4_000 and near.where("query = name").count() == 2_000
