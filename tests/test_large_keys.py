@@ -76,3 +76,26 @@ def test_operations_in_more_partitions(spark, far, name, monkeypatch):
     assert views.Views(spark, far[0]).operations.rdd.getNumPartitions() >= 12
     ours, theirs = rows_of_both(spark, far, name)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["q40_pool_chart_daily", "q40_pool_chart_window"])
+def test_charts_in_more_partitions(spark, far, name, monkeypatch):
+    """Snapshots, prices and the as-of pass of a larger table go by partitions that grow in number."""
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500)
+    assert views.Views(spark, far[0]).partitions >= 12
+    ours, theirs = rows_of_both(spark, far, name)
+    assert ours == theirs
+
+
+def test_rows_without_a_leg_are_priced_in_the_same_pass(spark):
+    """They are dealt out, and what they come from is read once."""
+    from orrery.operators.pools import with_prices
+
+    rows = spark.range(4_000).select("id", F.when(F.col("id") % 4 == 0, F.lit("a")).alias("leg"), (F.col("id") * 3_600).alias("price_second"))
+    prices = spark.createDataFrame([("a", "1970-01-01 05:00:00", 2.0), (None, "1970-01-01 00:00:00", 3.0)], "leg string, bucket string, close_usd double").withColumn("bucket", F.col("bucket").cast("timestamp"))
+    found = with_prices(rows, prices, "hour", 7_200, partitions=8)
+    assert found.count() == 4_000 and sorted(map(tuple, found.where("price is not null").select("id", "price").collect())) == [] and found.columns == ["id", "leg", "price_second", "price"]
+    assert sorted(tuple(r) for r in with_prices(rows, prices, "hour", 4 * 3_600).where("price is not null").select("id", "price").collect()) == [(8, 2.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4000") == 1
