@@ -88,13 +88,18 @@ def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([rule], pa.int32()), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.string()))], names=["rule", "n", "keys"])
 
 
-def stacked(rules: list[Rules]) -> DataFrame:
-    """A row for each rule: table, check, violations, sample (the ten smallest keys of rows that break it)."""
+def stacked(rules: list[Rules], partitions: int | None = None) -> DataFrame:
+    """A row for each rule: table, check, violations, sample (the ten smallest keys of rows that break it).
+
+    partitions: of the lines, where most are of keys that must be unique: a partial step would hold as many; else the session's.
+    """
     named = [(r.table, c) for r in rules for c in r.checks]
     lines, first = None, 0
     for r in rules:
         own, first = r.lines(first), first + len(r.checks)
         lines = own if lines is None else lines.unionByName(own)
+    if partitions is not None:
+        lines = lines.repartition(partitions, "rule", "whole", "key")
     counted = lines.groupBy("rule", "whole", "key").agg(F.count(F.lit(1)).alias("n"))
     wrong = counted.where("whole is null or n > 1").select("rule", "key", F.when(F.col("whole").isNull(), F.col("n")).otherwise(F.lit(1)).cast("bigint").alias("n"))
     parts = wrong.mapInArrow(_smallest, "rule int, n bigint, keys array<string>")  # a few rows a task
@@ -184,10 +189,10 @@ def check_operations(operations: DataFrame, transactions: DataFrame, accounts: D
     return stacked([rows.rule("folded_count", F.col("amount") >= 1, F.col("transaction_id"), F.col("amount").isNotNull())])
 
 
-def check_participants(parts: DataFrame, transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+def check_participants(parts: DataFrame, transactions: DataFrame, accounts: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = Rules(parts, "participants").foreign_key("transaction_exists", "transaction_id", transactions, "id", "transaction_id")
     rows.foreign_key("account_exists", "account_id", accounts, "account_id", "account_id")
-    return stacked([rows.unique("triple_unique", ["account_id", "ledger_sequence", "transaction_id"])])
+    return stacked([rows.unique("triple_unique", ["account_id", "ledger_sequence", "transaction_id"])], partitions)
 
 
 def check_contracts(contracts: DataFrame, accounts: DataFrame, code: DataFrame) -> DataFrame:
@@ -245,11 +250,11 @@ def check_accounts(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     return stacked([rows.rule("source_has_sequence", F.col("sequence_number") > 0, key, rows.known("account_id", transactions, "source_id"))])
 
 
-def check_balances(balances: DataFrame, accounts: DataFrame, assets: DataFrame) -> DataFrame:
+def check_balances(balances: DataFrame, accounts: DataFrame, assets: DataFrame, partitions: int | None = None) -> DataFrame:
     """Issuers and identities of balances: check_issuers()."""
     rows = Rules(balances, "balances").foreign_key("account_exists", "holder_id", accounts, "account_id", "holder_id").foreign_key("asset_exists", "asset_id", assets, "id", "asset_id")
     rows.rule("not_negative", F.col("amount") >= 0, F.col("holder_id")).unique("holder_asset_unique", ["holder_id", "asset_id"])
-    return stacked([rows.unique("one_native_a_holder", ["holder_id"], rows.known("asset_id", assets.where("asset_type = 0"), "id"))])
+    return stacked([rows.unique("one_native_a_holder", ["holder_id"], rows.known("asset_id", assets.where("asset_type = 0"), "id"))], partitions)
 
 
 def check_nfts(tokens: DataFrame, contracts: DataFrame, accounts: DataFrame, ownership: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ PLANS = {
         [("source_exists", rows_twice("transaction_id", "v_operations", "transaction_id % 45 = 0", "transaction_id % 90 = 0")), ("place_unique", "SELECT concat(transaction_id, ':', application_order) FROM v_operations WHERE transaction_id % 90 = 0")],
     ),
     "v5_participants_damaged": entry(
-        lambda v: V.check_participants(twice(participants(v), "account_id % 50 = 0"), v.transactions.where("id % 60 <> 0"), v.accounts),
+        lambda v: V.check_participants(twice(participants(v), "account_id % 50 = 0"), v.transactions.where("id % 60 <> 0"), v.accounts, v.partitions),
         "participants",
         [("transaction_exists", rows_twice("transaction_id", P, "transaction_id % 60 = 0", "account_id % 50 = 0")), ("triple_unique", f"SELECT concat(account_id, ':', ledger_sequence, ':', transaction_id) FROM {P} WHERE account_id % 50 = 0")],
     ),
@@ -88,7 +88,7 @@ PLANS = {
         "accounts",
         [("account_unique", "SELECT account_id FROM v_accounts WHERE account_id % 45 = 0"), ("sequence_not_negative", rows_twice("account_id", "v_accounts", "account_id % 35 = 0", "account_id % 45 = 0"))],
     ),
-    "v12_balances_damaged": entry(lambda v: V.check_balances(v.balances, v.accounts.where("account_id % 25 <> 0"), v.assets), "balances", [("account_exists", "SELECT holder_id FROM v_balances WHERE holder_id % 25 = 0")]),
+    "v12_balances_damaged": entry(lambda v: V.check_balances(v.balances, v.accounts.where("account_id % 25 <> 0"), v.assets, v.partitions), "balances", [("account_exists", "SELECT holder_id FROM v_balances WHERE holder_id % 25 = 0")]),
     "v13_nfts_damaged": entry(
         lambda v: V.check_nfts(twice(changed(tokens(v), "last_seen_ledger", "token_id = 9", F.col("minted_at_ledger") - 1), "token_id % 13 = 4"), v.contracts.where("contract_id <> 6"), v.accounts, v.nft_ownership),
         "nfts",

@@ -99,3 +99,16 @@ def test_rows_without_a_leg_are_priced_in_the_same_pass(spark):
     assert found.count() == 4_000 and sorted(map(tuple, found.where("price is not null").select("id", "price").collect())) == [] and found.columns == ["id", "leg", "price_second", "price"]
     assert sorted(tuple(r) for r in with_prices(rows, prices, "hour", 4 * 3_600).where("price is not null").select("id", "price").collect()) == [(8, 2.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4000") == 1
+
+
+@pytest.mark.parametrize("name", ["v5_participants_damaged", "v12_balances"])
+def test_rules_in_more_partitions(spark, name, monkeypatch):
+    """Lines of unique keys go by partitions that grow in number, and rules count the same."""
+    from orrery.sources import views
+
+    before = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(views, "ROWS", 500)
+    df, n = QUERIES[name](spark, SF), views.Views(spark, SF).partitions
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [rule" in plan and f"], {n}" in plan
+    assert sorted(map(tuple, df.collect())) == before
