@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,17 @@ def test_rules_in_more_partitions(spark, name, monkeypatch):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [rule" in plan and f"], {n}" in plan
     assert sorted(map(tuple, df.collect())) == before
+
+
+def test_presence_is_laid_out_once(spark, far, monkeypatch):
+    """What is seen and what was settled go by asset and transaction in partitions that grow in number, and are not shuffled again."""
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500)
+    n = views.Views(spark, far[0]).partitions
+    assert n >= 12
+    plan = QUERIES["e10_asset_presence"](spark, far[0])._jdf.queryExecution()
+    assert len(re.findall(rf"RepartitionByExpression \[asset_id#\d+L?, transaction_id#\d+L?\], {n}\b", plan.optimizedPlan().toString())) == 2
+    assert "ENSURE_REQUIREMENTS" not in "".join(line for line in plan.executedPlan().toString().splitlines(True) if "asset_id" in line)
+    ours, theirs = rows_of_both(spark, far, "e10_asset_presence")
+    assert ours == theirs
