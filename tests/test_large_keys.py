@@ -127,3 +127,16 @@ def test_presence_is_laid_out_once(spark, far, monkeypatch):
     assert "ENSURE_REQUIREMENTS" not in "".join(line for line in plan.executedPlan().toString().splitlines(True) if "asset_id" in line)
     ours, theirs = rows_of_both(spark, far, "e10_asset_presence")
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["b12_replay_amounts_only"])
+def test_amounts_stay_in_partitions_of_operations(spark, far, name, monkeypatch):
+    """Amounts and deltas of a larger table are made in the partitions of its operations, and are the same."""
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500)
+    df = QUERIES[name](spark, far[0])
+    assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() >= 12
+    ours, theirs = rows_of_both(spark, far, name)
+    assert ours == theirs
