@@ -129,7 +129,7 @@ def test_presence_is_laid_out_once(spark, far, monkeypatch):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["b12_replay_amounts_only"])
+@pytest.mark.parametrize("name", ["b12_replay_amounts_only", "e17_balance_deltas"])
 def test_amounts_stay_in_partitions_of_operations(spark, far, name, monkeypatch):
     """Amounts and deltas of a larger table are made in the partitions of its operations, and are the same."""
     from orrery.sources import views
