@@ -140,3 +140,26 @@ def test_amounts_stay_in_partitions_of_operations(spark, far, name, monkeypatch)
     assert df.rdd.getNumPartitions() >= 12
     ours, theirs = rows_of_both(spark, far, name)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["b12_replay_amounts_only", "e12_lp_operation_amounts"])
+def test_amounts_number_operations_once(spark, far, name, monkeypatch):
+    """Trades, deposits and withdrawals come from one pass over the operations, so that a task sorts them once, and amounts are the same."""
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500)
+    plan = QUERIES[name](spark, far[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Window \[row_number\(\)", plan)) == 1 and "Union" not in plan
+    ours, theirs = rows_of_both(spark, far, name)
+    assert ours == theirs
+
+
+def test_amounts_of_operations_are_those_of_atoms_and_deltas(spark):
+    from orrery.operators import ingest as I
+
+    atom, delta = "struct<asset_bought: string, amount_bought: bigint, asset_sold: string, amount_sold: bigint>", "struct<asset_id: string, before: bigint, after: bigint>"
+    rows = [(1, 1, 9, 1, [("usd", 5, "eur", 2), ("eur", 2, "usd", 4)], None), (1, 2, 9, 1, [("usd", 7, "eur", 3)], [("usd", 10, 4), ("xlm", 3, 3)]), (2, 1, 9, 1, None, [("usd", 1, 9), ("eur", None, 3)]), (2, 2, 9, 1, None, None), (2, 3, 9, 1, [], [])]
+    df = spark.createDataFrame(rows, f"transaction_id int, application_order int, ledger_sequence int, pool_id int, atoms array<{atom}>, deltas array<{delta}>")
+    apart = I.lp_operation_amounts(df.select(*df.columns[:4], F.inline("atoms")), df.select(*df.columns[:4], F.inline("deltas")))
+    found = sorted(map(tuple, I.lp_amounts_of_operations(df).collect()))
+    assert found == sorted(map(tuple, apart.collect())) == [(1, 1, 9, 1, "usd", 1), (1, 2, 9, 1, "eur", -3), (1, 2, 9, 1, "usd", 1), (2, 1, 9, 1, "usd", 8)]
