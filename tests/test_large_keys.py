@@ -163,3 +163,18 @@ def test_amounts_of_operations_are_those_of_atoms_and_deltas(spark):
     apart = I.lp_operation_amounts(df.select(*df.columns[:4], F.inline("atoms")), df.select(*df.columns[:4], F.inline("deltas")))
     found = sorted(map(tuple, I.lp_amounts_of_operations(df).collect()))
     assert found == sorted(map(tuple, apart.collect())) == [(1, 1, 9, 1, "usd", 1), (1, 2, 9, 1, "eur", -3), (1, 2, 9, 1, "usd", 1), (2, 1, 9, 1, "usd", 8)]
+
+
+@pytest.mark.parametrize("name", ["e17_balance_deltas", "e18_net_settled"])
+def test_changes_are_sorted_once(spark, far, name, monkeypatch):
+    """The window over an asset's changes and the grouping to deltas share one order."""
+    from orrery.plans.ingest import entry_changes
+    from orrery.sources import views
+
+    monkeypatch.setattr(views, "ROWS", 500)
+    plan = QUERIES[name](spark, far[0])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortAggregate\(.*\n[^\n]*\bSort \[", plan) and "SortAggregate" in plan
+    v = views.Views(spark, far[0])
+    ours, view = entry_changes(v), v.entry_changes
+    assert ours.count() == view.count() and ours.exceptAll(view.select(*ours.columns)).isEmpty()
+    assert rows_of_both(spark, far, name)[0] == rows_of_both(spark, far, name)[1]
